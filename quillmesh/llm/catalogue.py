@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.media import op7_media_columns
+from quillmesh.llm.mixing import op4_pivotal_mixing
 from quillmesh.llm.ngram_join import OP6_SQL, op6_ngram_jaccard
+from quillmesh.llm.packing import op8_bin_completion
 from quillmesh.llm.sharding import op9_lookup_sharding
 from quillmesh.llm.suffix_dedup import op10_suffix_dedup
 from quillmesh.llm.topk import OP5_SQL, op5_exact_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op9_lookup_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
