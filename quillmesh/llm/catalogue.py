@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.llm.language import op1_language_id
 from quillmesh.llm.media import op7_media_columns
 from quillmesh.llm.mixing import op4_pivotal_mixing
 from quillmesh.llm.ngram_join import OP6_SQL, op6_ngram_jaccard
@@ -16,7 +17,7 @@ from quillmesh.llm.topk import OP5_SQL, op5_exact_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
