@@ -5,9 +5,9 @@ then by hash. Two documents that link must share an n-gram of their prefixes in
 into fragments; for candidate pairs the partial overlaps are counted in each fragment and summed per pair.
 
 Only distinct sets take part, so copies cost nothing, and no group of documents with a common n-gram is expanded into all
-its pairs: two rounds link each member to one centre of its group; then only members that are still apart from their
-group's main component are held against the rest of it. What is skipped is connected already, so no link between
-components is lost.
+its pairs: a first round links members to one centre of their group; then only members that are still apart from their
+group's main component are held against the rest of it, where sizes and places in the order leave room for enough common
+n-grams. What is skipped is connected already or can't link, so no link between components is lost.
 
 Edge cases: null and empty texts, and texts of white space, have no n-gram (n_shingles 0) and link with nothing; shorter
 texts than an n-gram count as one n-gram of their own length; a null id never is the smallest one of a component, and rows
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Rolling, mix64, shared_dir, small_batches, stash, table
@@ -33,7 +33,9 @@ SKETCH_BITS = 16
 FRAGMENT_BITS = 3
 #: Keys that may be broadcast (8 bytes each); beyond that the same join shuffles.
 BROADCAST_KEYS = 1_000_000
-SEEDS = (17, 71)
+SEED = 17
+#: Bits of the bitmap that tells n-grams of one row: a constant (2 MB).
+BITMAP_BITS = 24
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -65,7 +67,7 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def _commonness(docs: DataFrame, words: int) -> np.ndarray:
-    """For each bucket of n-grams a class, 0 for the usual ones and higher the more the bucket's count stands out."""
+    """For each bucket of n-grams how far its count over all documents stands out, in halves of a standard deviation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -79,8 +81,7 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
     for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
     usual = np.median(counts)
-    over = counts - usual - 5 * np.sqrt(usual) - 5
-    return np.where(over > 0, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.int8)
+    return np.rint((counts - usual) / (0.5 * np.sqrt(usual) + 1)).clip(-1000, 30000).astype(np.int16)
 
 
 def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
@@ -120,21 +121,42 @@ def _fragments(docs: DataFrame, words: int) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(part, pa.int32()), listed], names=["sig", "fragment", "grams"])
 
-    return docs.select("sig", "text").mapInArrow(run, "sig long, fragment int, grams array<long>").dropDuplicates(["sig", "fragment"])
+    return docs.select("sig", "text").mapInArrow(run, "sig long, fragment int, grams array<long>")
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, na, b, nb) whose partial overlaps, summed over the fragments, reach the similarity."""
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, na, b, nb) whose partial overlaps, summed over the fragments, reach the similarity.
+
+    Only the texts of the pairs' sets are read again. A set that repeated rows bring twice counts once (max).
+    """
+    pairs = stash(pairs)
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = stash(nodes.join(ends, "sig").select("sig", "key"))
+    fragments = stash(_fragments(docs.join(few(wanted), "key"), words))
     left = fragments.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = fragments.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("gb"))
-    part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
-    return part.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common")).filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
+    part = part.groupBy("a", "na", "b", "nb", "fragment").agg(F.max("common").alias("common"))
+    total = part.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
+    return total.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def _least(percent: int) -> Column:
+    """The least number of common n-grams of sets of na and nb that reaches the similarity."""
+    return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+
+
+def _possible(percent: int) -> Column:
+    """Whether sizes allow a link, and the places of a common n-gram do: what only one set has before it shifts its place there."""
+    apart, spare = F.col("pa") - F.col("pb"), {x: F.col(x) - _least(percent) for x in ("na", "nb")}
+    return (spare["na"] >= 0) & (spare["nb"] >= 0) & (apart <= spare["na"]) & (-apart <= spare["nb"])
 
 
-def _possible(percent: int):
-    """Whether sizes and the places of the first common n-gram leave room for enough common ones."""
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return F.lit(100 + percent) * room >= F.lit(percent) * (F.col("na") + F.col("nb"))
+def _shared(percent: int) -> Column:
+    """The least number of common n-grams in both prefixes. A set of n has a prefix of n - ceil(n * percent / 100) + 1, of
+    which at most n - _least are not in the other; the common ones that both prefixes hold are the first ones of all."""
+    prefix = {x: F.col(x) - F.ceil(F.lit(percent) * F.col(x) / F.lit(100)) + 1 for x in ("na", "nb")}
+    return F.greatest(F.lit(1), F.least(*[prefix[x] - (F.col(x) - _least(percent)) for x in prefix]))
 
 
 def few(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
@@ -142,6 +164,21 @@ def few(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def _common(sets: DataFrame) -> DataFrame:
+    """(gram, sig, n, pos) of the prefixes' n-grams that more than one row has.
+
+    A bitmap of constant size (2**BITMAP_BITS bits in words of 64) keeps most n-grams of one row out of the second shuffle.
+    """
+    seen = sets.filter("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sig", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    shared = stash(seen.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram"))
+    place = f"shiftrightunsigned(xxhash64(gram), {64 - BITMAP_BITS})"
+    word, bit = F.expr(f"shiftright({place}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({place} & 63 AS int))")
+    bitmap = shared.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    likely = seen.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    found = likely.select("gram", "sig", "at").join(shared, "gram").distinct()
+    return found.select("gram", "sig", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of df; see the module's text."""
     spark = df.sparkSession
@@ -150,33 +187,29 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text")).withColumn("key", F.coalesce("id", F.xxhash64("text")))
     sets = stash(_sets(docs, words, percent, _commonness(docs, words)))
+    nodes = stash(sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
+    found = stash(_common(sets))
 
-    seen = sets.filter("n > 0").select("sig", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = seen.groupBy("gram").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("gram")
-    found = stash(seen.join(shared, "gram").distinct())
-
-    nodes = sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key"))
-    wanted = stash(nodes.join(found.select("sig").distinct(), "sig").select("sig", "key"))
-    fragments = stash(_fragments(docs.join(few(wanted), "key"), words))
-
-    centre = found.groupBy("gram").agg(*[F.min(F.struct(F.xxhash64("sig", F.lit(s)), "sig", "n", "pos")).alias(f"c{s}") for s in SEEDS])
-    star = found.join(centre, "gram").select("sig", "n", "pos", F.explode(F.array(*[f"c{s}" for s in SEEDS])).alias("c"))
-    pairs = star.select(F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    near = stash(_linked(pairs.filter("a <> b").filter(_possible(percent)).select("a", "na", "b", "nb").distinct(), fragments, percent))
-    joined = components(near)
+    centre = found.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig", F.lit(SEED)), "sig", "n", "pos")).alias("c"), F.count("*").alias("rows")).filter("rows > 1")
+    centre = stash(centre.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
+    star = found.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(centre, "gram").filter("a <> b").filter(_possible(percent))
+    star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
+    joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, words, percent))
 
     member = found.join(joined.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    parts = member.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("gram", "main")
-    member = stash(member.join(parts, "gram"))
+    parts = member.groupBy("gram", "root").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    member = stash(member.join(stash(parts.filter("parts > 1").select("gram", "main")), "gram"))
     a = member.filter("root <> main").select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     b = member.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main")
-    rest = a.join(b, "gram").filter("ra <> rb AND (rb = main OR a < b)").filter(_possible(percent)).select("a", "na", "b", "nb").distinct()
-    more = _linked(rest, fragments, percent)
+    rest = a.join(b, (a["gram"] == b["gram"]) & F.expr("ra <> rb AND (rb = main OR a < b)") & _possible(percent))
+    ordered = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
+    rest = rest.select(*ordered).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(F.col("rows") >= _shared(percent))
+    more = _linked(rest.select("a", "na", "b", "nb"), docs, nodes, words, percent)
     root = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
     own = nodes.join(root.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "root").select("sig", "component_id")
+    named = stash(own.join(least, "root").select("sig", "component_id"))
     empty = sets.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return sets.filter("n > 0").join(named, "sig").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
