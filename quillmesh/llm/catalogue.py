@@ -15,10 +15,11 @@ from quillmesh.llm.sharding import op9_lookup_sharding
 from quillmesh.llm.suffix_dedup import op10_suffix_dedup
 from quillmesh.llm.topk import OP5_SQL, op5_exact_topk
 from quillmesh.llm.toxicity import op3_string_kernel_toxicity
+from quillmesh.llm.urls import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_string_kernel_toxicity, op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_string_kernel_toxicity, op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
