@@ -31,6 +31,8 @@ WORDS, PERCENT = 5, 80
 #: Counters of the sketch that tells common n-grams: a constant, so what the driver sums and sends is bounded.
 SKETCH_BITS = 16
 FRAGMENT_BITS = 3
+#: Longs of a set's parity bitmap, a power of two.
+PARITY = 16
 #: Keys that may be broadcast (8 bytes each); beyond that the same join shuffles.
 BROADCAST_KEYS = 1_000_000
 SEED = 17
@@ -85,22 +87,24 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(key, n, sig, prefix) of each row: the set's size, its fingerprint and its first n-grams in the global order."""
+    """(id, key, n, sig, parity, prefix) of each row: the set's size, fingerprint, parity bitmap and first n-grams in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches, 2):
-            size, sig, prefix = [], [], []
+            size, sig, prefix, parity = [], [], [], []
             for data in texts:
                 h = shingles(data, words)
                 least = -(-percent * len(h) // 100)
                 size.append(len(h))
                 sig.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
                 prefix.append(h[np.lexsort((h, classes[_buckets(h)]))[: len(h) - least + 1]].view(np.int64) if len(h) else h.view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), listed], names=["id", "key", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed], names=["id", "key", "n", "sig", "parity", "prefix"])
 
-    return docs.select("id", "key", "text").mapInArrow(run, "id long, key long, n long, sig long, prefix array<long>")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, key long, n long, sig long, parity array<long>, prefix array<long>")
 
 
 def _fragments(docs: DataFrame, words: int) -> DataFrame:
@@ -124,12 +128,19 @@ def _fragments(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("sig", "text").mapInArrow(run, "sig long, fragment int, grams array<long>")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, na, b, nb) that their parity bitmaps allow: each bit they differ in is an n-gram that only one set has."""
+    sides = [parities.select(F.col("sig").alias(x), F.col("parity").alias(f"p{x}")) for x in ("a", "b")]
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(apart <= F.col("na") + F.col("nb") - 2 * _least(percent)).select("a", "na", "b", "nb")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parities: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, na, b, nb) whose partial overlaps, summed over the fragments, reach the similarity.
 
     Only the texts of the pairs' sets are read again. A set that repeated rows bring twice counts once (max).
     """
-    pairs = stash(pairs)
+    pairs = stash(_near(pairs, parities, percent))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = stash(nodes.join(ends, "sig").select("sig", "key"))
     fragments = stash(_fragments(docs.join(few(wanted), "key"), words))
@@ -188,13 +199,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text")).withColumn("key", F.coalesce("id", F.xxhash64("text")))
     sets = stash(_sets(docs, words, percent, _commonness(docs, words)))
     nodes = stash(sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
+    parities = stash(sets.select("sig", "key", "parity").join(nodes.select("sig", "key"), ["sig", "key"]).select("sig", "parity"))
     found = stash(_common(sets))
 
     centre = found.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig", F.lit(SEED)), "sig", "n", "pos")).alias("c"), F.count("*").alias("rows")).filter("rows > 1")
     centre = stash(centre.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
     star = found.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(centre, "gram").filter("a <> b").filter(_possible(percent))
     star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
-    joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, words, percent))
+    joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent))
 
     member = found.join(joined.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     parts = member.groupBy("gram", "root").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("parts"))
@@ -204,7 +216,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rest = a.join(b, (a["gram"] == b["gram"]) & F.expr("ra <> rb AND (rb = main OR a < b)") & _possible(percent))
     ordered = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
     rest = rest.select(*ordered).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(F.col("rows") >= _shared(percent))
-    more = _linked(rest.select("a", "na", "b", "nb"), docs, nodes, words, percent)
+    more = _linked(rest.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent)
     root = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
     own = nodes.join(root.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
