@@ -183,19 +183,19 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     docs = docs.withColumn("tk", F.xxhash64("text")).withColumn("key", F.coalesce("_id", "tk")).select("_id", "_rest", "key", "tk", "text")
 
     ranked = _ranked(docs.filter(F.octet_length("text") >= width), width)
-    twice = ranked.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
+    twice = stash(ranked.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))  # written, so that the join has its own exchange, of which hot ranks can be split
     places = ranked.join(twice, "rank").groupBy("key").agg(F.collect_set("place").alias("places"))
     held = stash(_blocked(_packed(docs).join(places, "key", "left").select("_id", "_rest", "key", "tk", "z", "places"), width))
 
     part = held.select("key", "tk", F.explode("blocks").alias("b")).select("key", "tk", "b.*")
     part = part.withColumn("hull", F.when(F.col("hull") == 0, F.xxhash64("key", "tk", "first")).otherwise(F.col("hull")))
-    hulls = part.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "tk", "first")).alias("one")).filter("n > 1")
+    hulls = stash(part.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "tk", "first")).alias("one")).filter("n > 1"))
     part = stash(part.join(hulls, "hull", "left").select("key", "tk", "first", "last", "start", "end", "core", F.col("n").isNotNull().alias("done"), (F.struct("key", "tk", "first") == F.col("one")).alias("one")))
     open_ = part.filter("NOT done OR one")
-    cores = open_.groupBy("core").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("core")
+    cores = stash(open_.groupBy("core").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("core"))
     ranges = open_.join(cores, "core").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(ranges, ["key", "tk"]), width))
-    same = single.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
+    same = stash(single.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))
 
     spans = part.filter("done").select("key", "tk", F.col("first").alias("s"), (F.col("last") + width).alias("e"))
     spans = spans.unionByName(single.join(same, "rank").select("key", "tk", F.col("start").alias("s"), (F.col("start") + width).alias("e")))
