@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch for operators that read whole texts (documents are a few KB, some far longer).
 TEXT_BATCH = 256
@@ -55,6 +56,11 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, bound: int) -> DataFrame:
+    """df marked for broadcast if it has no more rows than bound; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of unsigned 64-bit values (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

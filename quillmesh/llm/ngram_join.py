@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Rolling, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import Rolling, few, mix64, shared_dir, small_batches, stash, table
 from quillmesh.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -143,7 +143,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parities: DataF
     pairs = stash(_near(pairs, parities, percent))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = stash(nodes.join(ends, "sig").select("sig", "key"))
-    fragments = stash(_fragments(docs.join(few(wanted), "key"), words))
+    fragments = stash(_fragments(docs.join(few(wanted, BROADCAST_KEYS), "key"), words))
     left = fragments.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = fragments.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
@@ -170,11 +170,6 @@ def _shared(percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(*[prefix[x] - (F.col(x) - _least(percent)) for x in prefix]))
 
 
-def few(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
-    """df marked for broadcast if it has no more rows than bound; else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def _common(sets: DataFrame) -> DataFrame:
     """(gram, sig, n, pos) of the prefixes' n-grams that more than one row has.
 

@@ -25,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import M64, Rolling, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import M64, Rolling, few, mix64, shared_dir, small_batches, stash, table
 
 WIDTH = 200
 #: Length of the k-grams that anchors start with, and how many starts share a block in round 2.
 GRAM, BLOCK = 50, 51
 #: Bytes worked on at once; an anchor's place must fit 24 bits.
 SEGMENT = 1 << 21
+#: Documents whose few ranges or spans may be broadcast; beyond that the same join shuffles.
+BROADCAST_DOCS = 500_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -173,14 +175,34 @@ def _single(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("key", "tk", "z", "ranges").mapInArrow(run, "key long, tk long, start int, rank long")
 
 
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """spans (key, tk, spans) with overlapping and touching spans made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        for b in batches:
+            made = [[{"s": s, "e": e} for s, e in covered(1 << 31, [(x["s"], x["e"]) for x in row])] for row in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, kind)], names=["key", "tk", "spans"])
+
+    return spans.select("key", "tk", "spans").mapInArrow(run, f"key long, tk long, spans {SPANS}")
+
+
+def keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with the two columns that tell its rows apart here: tk, a hash of the text, and key, the id or else tk."""
+    return df.withColumn("tk", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).withColumn("key", F.coalesce(F.col(f"`{doc_id}`").cast("long"), "tk"))
+
+
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
-    """(doc_id, *keep, n_bytes, sha, z, spans): of each row the spans of its bytes that are covered; z is the packed text where there may be any."""
+    """(doc_id, key, tk, *keep, n_bytes, sha, z, spans): of each row the spans of its bytes that are covered; z is the packed text where there may be any."""
     spark = df.sparkSession
     small_batches(spark)
     shared_dir(spark)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_rest"), whole.alias("text"))
-    docs = docs.withColumn("tk", F.xxhash64("text")).withColumn("key", F.coalesce("_id", "tk")).select("_id", "_rest", "key", "tk", "text")
+    docs = keys(docs, "_id").select("_id", "_rest", "key", "tk", "text")
 
     ranked = _ranked(docs.filter(F.octet_length("text") >= width), width)
     twice = stash(ranked.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))  # written, so that the join has its own exchange, of which hot ranks can be split
@@ -193,42 +215,56 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     part = stash(part.join(hulls, "hull", "left").select("key", "tk", "first", "last", "start", "end", "core", F.col("n").isNotNull().alias("done"), (F.struct("key", "tk", "first") == F.col("one")).alias("one")))
     open_ = part.filter("NOT done OR one")
     cores = stash(open_.groupBy("core").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("core"))
-    ranges = open_.join(cores, "core").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(ranges, ["key", "tk"]), width))
+    ranges = stash(open_.join(cores, "core").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
+    single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(few(ranges, BROADCAST_DOCS), ["key", "tk"]), width))
     same = stash(single.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))
 
     spans = part.filter("done").select("key", "tk", F.col("first").alias("s"), (F.col("last") + width).alias("e"))
     spans = spans.unionByName(single.join(same, "rank").select("key", "tk", F.col("start").alias("s"), (F.col("start") + width).alias("e")))
-    spans = spans.groupBy("key", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return held.drop("blocks").join(spans, ["key", "tk"], "left").select(F.col("_id").alias("doc_id"), *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "n_bytes", "sha", "z", "spans")
+    spans = stash(_merged(spans.groupBy("key", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))))
+    return held.drop("blocks").join(few(spans, BROADCAST_DOCS), ["key", "tk"], "left").select(F.col("_id").alias("doc_id"), "key", "tk", *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "n_bytes", "sha", "z", "spans")
 
 
-def remove_spans(df: DataFrame, keep: tuple[str, ...] = (), store: bool = False) -> DataFrame:
-    """Applies repeated_spans: (doc_id, *keep, n_bytes, n_removed, n_spans, kept_sha256[, text]); text is null where nothing was removed."""
-    columns = ["doc_id", *keep, "n_bytes", "sha", "z", "spans"]
+def digests(df: DataFrame) -> DataFrame:
+    """What repeated_spans finds, as (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.select(columns)
-            removed, count, sha, left = [], [], [], []
-            for n, whole, z, spans in zip(*(b.column(len(keep) + i).to_pylist() for i in range(1, 5)), strict=True):
-                runs = covered(n, [(x["s"], x["e"]) for x in spans or []])
+            removed, count, sha = [], [], []
+            for n, whole, z, spans in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                runs = [(x["s"], x["e"]) for x in spans or []]
                 count.append(len(runs))
                 removed.append(sum(e - s for s, e in runs))
-                if runs:
-                    data = _unpack(z)
-                    kept = b"".join(data[s:e] for s, e in zip([0, *[e for _, e in runs]], [*[s for s, _ in runs], n], strict=True))
-                    whole = hashlib.sha256(kept).hexdigest()
-                sha.append(whole)
-                left.append(kept.decode("utf-8", "ignore") if runs and store else None)
-            made = {"n_bytes": b.column("n_bytes"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            made |= {"text": pa.array(left, pa.string())} if store else {}
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], *made.values()], names=["doc_id", *keep, *made])
+                sha.append(hashlib.sha256(_cut(_unpack(z), runs)).hexdigest() if runs else whole)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return df.select("doc_id", "n_bytes", "sha", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    return b"".join(data[s:e] for s, e in zip([0, *[e for _, e in runs]], [*[s for s, _ in runs], len(data)], strict=True))
+
+
+def strip_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """df with the repeated spans taken out of its texts; all other columns as they are."""
+    found = repeated_spans(df, doc_id, text, (), width).filter("spans IS NOT NULL").select(F.col("key").alias("_key"), F.col("tk").alias("_tk"), F.col("spans").alias("_spans"))
+    found = stash(found.dropDuplicates(["_key", "_tk"]))
+    hashed = keys(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), f"c{df.columns.index(doc_id)}", f"c{df.columns.index(text)}")
+    joined = hashed.join(few(found, BROADCAST_DOCS), (F.col("key") == F.col("_key")) & (F.col("tk") == F.col("_tk")), "left")
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for v, spans in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+                value = v.as_py()
+                made.append(_cut(value.encode(), [(x["s"], x["e"]) for x in spans.as_py()]).decode("utf-8", "ignore") if spans.is_valid and value else value)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(made, pa.string()), *b.columns[at + 1 : -1]], names=b.schema.names[:-1])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if store else "")
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    columns = [c for c in hashed.columns if c not in ("key", "tk")]
+    kinds = dict(hashed.dtypes) | {f"c{at}": "string"}
+    return joined.select(*columns, "_spans").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns)).toDF(*df.columns)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_spans(repeated_spans(table(spark, sf_dir, "documents")))
+    return digests(repeated_spans(table(spark, sf_dir, "documents")))
