@@ -41,6 +41,8 @@ CLOSE = -0.8
 THRESHOLD = 0.7
 #: From so many texts on every fourth one is held back for the probabilities.
 HELD = 300
+#: Words worked on at once; bounds memory.
+AT_ONCE = 8_000
 #: Shorter words have too few subsequences to be a positive case.
 SHORTEST, LEAST = 4, -0.4
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…-—–*_~"
@@ -94,11 +96,13 @@ def explicit(words: list[str], bits: int = BITS) -> np.ndarray:
 
 def against(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """The kernel of each word with each landmark (rows of explicit)."""
+    if len(words) > AT_ONCE // 8:
+        return np.concatenate([against(words[i : i + AT_ONCE // 8], landmarks) for i in range(0, len(words), AT_ONCE // 8)])
     at, bucket, weight, _ = subsequences(words)
     norm = norms(len(words), at, bucket, weight)
     out = np.zeros((len(words), len(landmarks)))
-    for s in range(0, len(at), 200_000):
-        part = slice(s, s + 200_000)
+    for s in range(0, len(at), 10_000):
+        part = slice(s, s + 10_000)
         rows = landmarks[:, bucket[part]].T * weight[part, None]
         cut = np.flatnonzero(np.diff(at[part], prepend=-1))
         order = np.argsort(at[part], kind="stable") if len(cut) and (np.diff(at[part]) < 0).any() else None
@@ -118,6 +122,8 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The machine's value for each word."""
+        if len(words) > AT_ONCE:
+            return np.concatenate([self.margins(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)])
         at, bucket, weight, norm = subsequences(words)
         value = np.bincount(at, self.weights[bucket] * weight, len(words))
         out = value / norm + self.bias
@@ -250,7 +256,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, weight: np.ndarray, seed: int
         both = positive + negative
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         w = machine(against(both, marks) @ white, y)
-        model = Model((white @ w[:-1]) @ marks.astype(np.float64), float(w[-1]))
+        model = Model(((white @ w[:-1]).astype(np.float32) @ marks).astype(np.float64), float(w[-1]))
     model.link = calibrate(model.signs(held), held_toxic.astype(float), held_weight)
     return model
 
@@ -278,7 +284,12 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     toxic = np.array([r["toxic"] == 1 for r in rows], bool)
     used = {0: max(1, int((~toxic).sum())), 1: max(1, int(toxic.sum()))}
     weight = np.array([count[int(t)] / used[int(t)] for t in toxic])
-    return fit([set(r["words"]) for r in rows], toxic, weight / weight.mean()) if len(rows) else Model()
+    if not rows:
+        return Model()
+    shared: dict[str, str] = {}
+    sets = [{shared.setdefault(w, w) for w in r["words"]} for r in rows]
+    del rows, shared
+    return fit(sets, toxic, weight / weight.mean())
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
