@@ -5,8 +5,8 @@ then by hash. Two documents that link must share an n-gram of their prefixes in
 into fragments; for candidate pairs the partial overlaps are counted in each fragment and summed per pair.
 
 Only distinct sets take part, so copies cost nothing, and no group of documents with a common n-gram is expanded into all
-its pairs: a first round links members to one centre of their group; then only members that are still apart from their
-group's main component are held against the rest of it, where sizes and places in the order leave room for enough common
+its pairs: a first round links members to the centre of their group (the set whose n-grams are the most shared, like the text
+that copies were made of), a second one links those still apart to a member of the group's main component; then only members that are still apart are held against the rest of it, where sizes and places in the order leave room for enough common
 n-grams. What is skipped is connected already or can't link, so no link between components is lost.
 
 Edge cases: null and empty texts, and texts of white space, have no n-gram (n_shingles 0) and link with nothing; shorter
@@ -35,7 +35,8 @@ FRAGMENT_BITS = 3
 PARITY = 16
 #: Keys that may be broadcast (8 bytes each); beyond that the same join shuffles.
 BROADCAST_KEYS = 1_000_000
-SEED = 17
+#: One round of linking to a centre for each seed.
+SEEDS = (17, 71)
 #: Bits of the bitmap that tells n-grams of one row: a constant (2 MB).
 BITMAP_BITS = 24
 
@@ -185,6 +186,13 @@ def _common(sets: DataFrame) -> DataFrame:
     return found.select("gram", "sig", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
 
 
+def _apart(found: DataFrame, joined: DataFrame) -> DataFrame:
+    """found with each set's component (root) and the largest component of its n-gram's sets (main), where there is more than one."""
+    member = found.join(joined.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    parts = member.groupBy("gram", "root").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    return stash(member.join(stash(parts.filter("parts > 1").select("gram", "main")), "gram"))
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of df; see the module's text."""
     spark = df.sparkSession
@@ -197,15 +205,25 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     parities = stash(sets.select("sig", "key", "parity").join(nodes.select("sig", "key"), ["sig", "key"]).select("sig", "parity"))
     found = stash(_common(sets))
 
-    centre = found.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig", F.lit(SEED)), "sig", "n", "pos")).alias("c"), F.count("*").alias("rows")).filter("rows > 1")
+    often = stash(found.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    shared = found.join(often, "gram")
+    middle = stash(shared.groupBy("sig").agg((F.sum("rows") / F.max("n")).alias("middle")))
+    centre = shared.join(middle, "sig").groupBy("gram").agg(F.max(F.struct("middle", F.xxhash64("sig", F.lit(SEEDS[0])), "sig", "n", "pos")).alias("c"))
     centre = stash(centre.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
     star = found.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(centre, "gram").filter("a <> b").filter(_possible(percent))
     star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
     joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent))
 
-    member = found.join(joined.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    parts = member.groupBy("gram", "root").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("parts"))
-    member = stash(member.join(stash(parts.filter("parts > 1").select("gram", "main")), "gram"))
+    for seed in SEEDS[1:]:
+        member = _apart(found, joined)
+        main = member.filter("root = main").groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig", F.lit(seed)), "sig", "n", "pos")).alias("c"))
+        main = stash(main.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
+        star = member.filter("root <> main").select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(main, "gram").filter(_possible(percent))
+        star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
+        more = _linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent)
+        joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+
+    member = _apart(found, joined)
     a = member.filter("root <> main").select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     b = member.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main")
     rest = a.join(b, (a["gram"] == b["gram"]) & F.expr("ra <> rb AND (rb = main OR a < b)") & _possible(percent))
