@@ -18,6 +18,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
 
 
+def log_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream: files as they come."""
+    return spark.readStream.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
+
+
 def pending(events: DataFrame) -> DataFrame:
     """(space_id, work_id, subject_id, ord, pos): subjects begun and neither done nor in a cleared batch, in order of submission.
 
