@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as X
-from quillmesh.operators import chunk, facts, graph, resolve, search
+from quillmesh.operators import chunk, facts, graph, planning, resolve, search
 from quillmesh.sources import html as pages_html
 from quillmesh.streaming import incremental, worklog
 
@@ -463,6 +463,28 @@ def narrations(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("conv_id", F.array_join(F.transform("a", lambda s: s["x"]), "\n").alias("narration"), "turns")
 
 
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n FROM conversations), r AS (
+SELECT conv_id, turn, 0 AS w, n AS used FROM c WHERE turn = 0 UNION ALL
+SELECT c.conv_id, c.turn, CASE WHEN used = 0 OR used + n <= 2000 THEN w ELSE w + 1 END, CASE WHEN used = 0 OR used + n <= 2000 THEN used + n ELSE n END FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1)
+SELECT conv_id, turn, CAST(w AS INTEGER) AS "window" FROM r""")
+def page_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return planning.windows(t(spark, sf, "conversations"), ["conv_id"], "turn", F.length("text"), 2000).select("conv_id", "turn", "window")
+
+
+@query(f"""WITH {_LINT_SQL} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e WHERE NOT (src % 10 = 1 AND dst = src + 1) AND NOT (dst % 10 = 1 AND src = dst + 1)""")
+def unbacked_edges(spark: SparkSession, sf: str) -> DataFrame:
+    links = t(spark, sf, "documents").filter("doc_id % 10 = 1").select(F.col("doc_id").cast("string").alias("from_id"), (F.col("doc_id") + 1).cast("string").alias("to_id"))
+    return planning.unbacked(graph.adjacency(_lint_objects(spark, sf)), links)
+
+
+@query("""SELECT source AS name, count(*) FILTER (doc_id % 5 = 1) AS documents, count(*) FILTER (doc_id % 5 = 2) AS conversations, count(*) FILTER (doc_id % 5 = 3) AS agents,
+count(*) FILTER (doc_id % 5 IN (0, 4) AND doc_id % 7 <> 0) AS untagged FROM documents GROUP BY source""")
+def classify_sources(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 5 == 1, "document").when(F.col("doc_id") % 5 == 2, "conversation").when(F.col("doc_id") % 5 == 3, "agent")
+    docs = t(spark, sf, "documents").select(F.col("source").alias("name"), F.col("doc_id").alias("id"), kind.alias("source_type"))
+    return planning.classify(docs, "name", docs.filter("id % 7 = 0").select("id")).drop("mixed")
+
+
 def queries() -> dict[str, Query]:
     return {"hybrid_rank": QUERIES["hybrid_rank"]} | QUERIES
 
