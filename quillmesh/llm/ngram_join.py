@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Rolling, few, mix64, shared_dir, small_batches, stash, table
@@ -186,9 +186,9 @@ def _common(sets: DataFrame) -> DataFrame:
     return found.select("gram", "sig", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
 
 
-def _apart(found: DataFrame, joined: DataFrame) -> DataFrame:
-    """found with each set's component (root) and the largest component of its n-gram's sets (main), where there is more than one."""
-    member = found.join(joined.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+def _apart(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """shared with each set's component (root) and the largest component of its n-gram's sets (main), where there is more than one."""
+    member = shared.drop("rows").join(joined.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     parts = member.groupBy("gram", "root").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("parts"))
     return stash(member.join(stash(parts.filter("parts > 1").select("gram", "main")), "gram"))
 
@@ -206,16 +206,17 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = stash(_common(sets))
 
     often = stash(found.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1"))
-    shared = found.join(often, "gram")
+    rare = Window.partitionBy("sig").orderBy("rows", "gram")
+    shared = stash(found.join(often, "gram").withColumn("rank", F.row_number().over(rare)).withColumn("held", F.count("*").over(Window.partitionBy("sig"))))
     middle = stash(shared.groupBy("sig").agg((F.sum("rows") / F.max("n")).alias("middle")))
     centre = shared.join(middle, "sig").groupBy("gram").agg(F.max(F.struct("middle", F.xxhash64("sig", F.lit(SEEDS[0])), "sig", "n", "pos")).alias("c"))
     centre = stash(centre.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
-    star = found.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(centre, "gram").filter("a <> b").filter(_possible(percent))
+    star = shared.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(centre, "gram").filter("a <> b").filter(_possible(percent))
     star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
     joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent))
 
     for seed in SEEDS[1:]:
-        member = _apart(found, joined)
+        member = _apart(shared, joined)
         main = member.filter("root = main").groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig", F.lit(seed)), "sig", "n", "pos")).alias("c"))
         main = stash(main.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
         star = member.filter("root <> main").select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(main, "gram").filter(_possible(percent))
@@ -223,13 +224,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         more = _linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent)
         joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
-    member = _apart(found, joined)
-    a = member.filter("root <> main").select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    b = member.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "main")
-    rest = a.join(b, (a["gram"] == b["gram"]) & F.expr("ra <> rb AND (rb = main OR a < b)") & _possible(percent))
+    member = _apart(shared, joined)
+    a = member.filter("root <> main").select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), (F.col("held") - F.col("rank")).alias("ka"))
+    b = member.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), (F.col("held") - F.col("rank")).alias("kb"), "main")
+    # Two sets that link share _shared n-grams at least, so the first of these in order of rarity has as many of either set's from it on.
+    early = (F.col("ka") + 1 >= _shared(percent)) & (F.col("kb") + 1 >= _shared(percent))
+    rest = a.join(b, (a["gram"] == b["gram"]) & F.expr("ra <> rb AND (rb = main OR a < b)") & early & _possible(percent))
     ordered = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
-    rest = rest.select(*ordered).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(F.col("rows") >= _shared(percent))
-    more = _linked(rest.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent)
+    more = _linked(rest.select(*ordered).distinct(), docs, nodes, parities, words, percent)
     root = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
     own = nodes.join(root.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
