@@ -56,9 +56,12 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, bound: int) -> DataFrame:
-    """df marked for broadcast if it has no more rows than bound; else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def few(df: DataFrame, bound: int, entries: str | None = None) -> DataFrame:
+    """df marked for broadcast if it has no more rows than bound, entries of its array column included; else as it is, to be joined by a shuffle."""
+    if entries is None:
+        return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    rows, held = df.agg(F.count("*"), F.sum(F.size(entries))).first()
+    return F.broadcast(df) if rows + (held or 0) <= bound else df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

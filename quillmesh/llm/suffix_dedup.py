@@ -32,8 +32,8 @@ WIDTH = 200
 GRAM, BLOCK = 50, 51
 #: Bytes worked on at once; an anchor's place must fit 24 bits.
 SEGMENT = 1 << 21
-#: Documents whose few ranges or spans may be broadcast; beyond that the same join shuffles.
-BROADCAST_DOCS = 500_000
+#: Documents, with their ranges or spans, that may be broadcast (some 50 bytes each); beyond that the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -216,13 +216,13 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     open_ = part.filter("NOT done OR one")
     cores = stash(open_.groupBy("core").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("core"))
     ranges = stash(open_.join(cores, "core").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
-    single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(few(ranges, BROADCAST_DOCS), ["key", "tk"]), width))
+    single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(few(ranges, BROADCAST_ROWS, "ranges"), ["key", "tk"]), width))
     same = stash(single.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))
 
     spans = part.filter("done").select("key", "tk", F.col("first").alias("s"), (F.col("last") + width).alias("e"))
     spans = spans.unionByName(single.join(same, "rank").select("key", "tk", F.col("start").alias("s"), (F.col("start") + width).alias("e")))
     spans = stash(_merged(spans.groupBy("key", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))))
-    return held.drop("blocks").join(few(spans, BROADCAST_DOCS), ["key", "tk"], "left").select(F.col("_id").alias("doc_id"), "key", "tk", *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "n_bytes", "sha", "z", "spans")
+    return held.drop("blocks").join(few(spans, BROADCAST_ROWS, "spans"), ["key", "tk"], "left").select(F.col("_id").alias("doc_id"), "key", "tk", *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "n_bytes", "sha", "z", "spans")
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def strip_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     found = repeated_spans(df, doc_id, text, (), width).filter("spans IS NOT NULL").select(F.col("key").alias("_key"), F.col("tk").alias("_tk"), F.col("spans").alias("_spans"))
     found = stash(found.dropDuplicates(["_key", "_tk"]))
     hashed = keys(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), f"c{df.columns.index(doc_id)}", f"c{df.columns.index(text)}")
-    joined = hashed.join(few(found, BROADCAST_DOCS), (F.col("key") == F.col("_key")) & (F.col("tk") == F.col("_tk")), "left")
+    joined = hashed.join(few(found, BROADCAST_ROWS, "_spans"), (F.col("key") == F.col("_key")) & (F.col("tk") == F.col("_tk")), "left")
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
