@@ -56,7 +56,8 @@ def fold(text: Column) -> Column:
     for c, folded in _MANY:
         if c.lower() == c and c in "ßŉǰĳŀﬁﬂ":
             out = F.replace(out, F.lit(c), F.lit(folded))
-    return F.regexp_replace(out, r"\p{M}+", "")
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.regexp_replace(out, r"\p{M}+", ""))
 
 
 @F.pandas_udf(T.StringType())

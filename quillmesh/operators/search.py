@@ -6,6 +6,7 @@ candidate order. Statistics are counted per space, so a query touches one partit
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,16 +69,24 @@ def bm25_stats(docs: DataFrame, key: str, words: Column) -> DataFrame:
 def bm25(docs: DataFrame, key: str, words: Column, query: list[str], depth: int | None = None) -> DataFrame:
     """(key, score) of documents with a score above 0, best first, ties by key; depth rows at most.
 
-    Only postings of the query's terms are kept from the scan on; the mean idf needs the whole vocabulary once.
+    One pass counts documents, lengths and the query's terms (a single row comes back), one scores; nothing is shuffled. Only
+    if a term is in more than half of the documents the whole vocabulary is counted, for the mean idf.
     """
-    asked = F.create_map(*[x for t in dict.fromkeys(query) for x in (F.lit(t), F.lit(float(query.count(t))))]) if query else None
-    if asked is None:
+    asked = {t: query.count(t) for t in query}
+    if not asked:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    stats = bm25_stats(docs, key, words).filter(F.col("term").isin(*query))
-    found = docs.select(key, words.alias("_words")).select(key, F.size("_words").alias("size"), F.explode(F.filter("_words", lambda t: t.isin(*query))).alias("term"))
-    posted = found.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("size").alias("size")).join(F.broadcast(stats), "term")  # stats: a row a query term
-    part = asked[F.col("term")] * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
-    scored = posted.groupBy(key).agg(F.sum(part).alias("score")).filter("score > 0")
+    base = docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("_size"), F.filter("_w", lambda t: t.isin(*asked)).alias("_hits"))
+    seen = base.agg(F.count("*"), F.avg("_size"), *[F.count_if(F.array_contains("_hits", t)) for t in asked]).first()
+    n, mean_size, df = seen[0], seen[1] or 1.0, dict(zip(asked, seen[2:], strict=True))
+    idf = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items() if d}
+    if any(v < 0 for v in idf.values()):
+        floor = EPSILON * bm25_stats(docs, key, words).agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        idf = {t: floor if v < 0 else v for t, v in idf.items()}
+    score = F.lit(0.0)
+    for t, v in sorted(idf.items()):
+        tf = F.size(F.filter("_hits", lambda x: x == t))  # noqa: B023 - called at once
+        score += F.lit(asked[t] * v) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_size") / F.lit(mean_size)))
+    scored = base.filter(F.size("_hits") > 0).select(key, score.alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(depth) if depth else scored
 
 
