@@ -91,7 +91,8 @@ def explicit(words: list[str], bits: int = BITS) -> np.ndarray:
     out = np.zeros((len(words), 1 << bits), np.float32)
     at, bucket, weight, _ = subsequences(words)
     np.add.at(out, (at, bucket >> (BITS - bits)), weight)
-    return out / (np.sqrt((out**2).sum(axis=1)) + 1e-9)[:, None]
+    out /= (np.sqrt(np.einsum("ij,ij->i", out, out)) + 1e-9)[:, None]
+    return out
 
 
 def against(words: list[str], landmarks: np.ndarray) -> np.ndarray:
@@ -246,8 +247,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, weight: np.ndarray, seed: int
             margin = dict(zip(clean, model.margins(clean).tolist(), strict=True))
             hard = sorted(clean, key=lambda w: (-margin[w], w))[: NEGATIVES // 2]
             own = [sorted(t) for t, label in zip(texts, toxic, strict=True) if label]
-            many = [dict(zip(t, model.margins(t).tolist(), strict=True)) for t in own if t]
-            found = Counter(max(sorted(m), key=m.get) for m in many)
+            found = Counter(t[int(model.margins(t).argmax())] for t in own if t)
             found = Counter({w: n for w, n in found.items() if bad[w] > 14 and bad[w] / toxic.sum() > 30 * good[w] / (~toxic).sum()})
             positive = sorted({*seeds[: 4 * LANDMARKS], *found})
         else:
@@ -279,17 +279,18 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(segments(v.as_py())) for v in b.column(2)], pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
-    rows = docs.filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<string>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    toxic = np.array([r["toxic"] == 1 for r in rows], bool)
-    used = {0: max(1, int((~toxic).sum())), 1: max(1, int(toxic.sum()))}
-    weight = np.array([count[int(t)] / used[int(t)] for t in toxic])
-    if not rows:
-        return Model()
-    shared: dict[str, str] = {}
-    sets = [{shared.setdefault(w, w) for w in r["words"]} for r in rows]
-    del rows, shared
-    return fit(sets, toxic, weight / weight.mean())
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared: dict[str, str] = {}
+        rows = sorted((d, t, tuple(shared.setdefault(w, w) for w in ws)) for b in batches for d, t, ws in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        toxic = np.array([t == 1 for _, t, _ in rows], bool)
+        used = {0: max(1, int((~toxic).sum())), 1: max(1, int(toxic.sum()))}
+        weight = np.array([count[int(t)] / used[int(t)] for t in toxic])
+        model = fit([set(ws) for *_, ws in rows], toxic, weight / weight.mean()) if rows else Model()
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([model.bias]), "link": pa.array([model.link and list(model.link)], pa.list_(pa.float64()))})
+
+    told = docs.filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<string>")
+    made = told.repartition(1).mapInArrow(fitted, "weights array<double>, bias double, link array<double>").collect()  # one task, as its rows are bounded
+    return Model(np.array(made[0]["weights"]), made[0]["bias"], made[0]["link"] and tuple(made[0]["link"])) if made else Model()
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
