@@ -212,10 +212,10 @@ def scrub_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(text, '[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}\x{2028}\x{2029}\x{e0020}-\x{e007f}]', '', 'g')) AS digest,
-CASE WHEN length(trim(text)) <= 200 AND trim(text) <> '' AND NOT regexp_matches(lower(trim(text)), '^(system:|assistant:|ignore|<\||\[inst\])') THEN length(trim(text)) END AS name_chars FROM documents""")
+CASE WHEN length(trim(text)) <= 200 AND trim(text) <> '' AND NOT regexp_matches(lower(trim(text)), '^(system:|assistant:|ignore|<\||\[inst\])') THEN length(trim(text)) ELSE -1 END AS name_chars FROM documents""")
 def strip_controls(spark: SparkSession, sf: str) -> DataFrame:
     name = X.sanitize_name(F.col("text"))
-    return t(spark, sf, "documents").select("doc_id", F.md5(X.strip_controls(F.col("text"))).alias("digest"), F.length(name).cast("long").alias("name_chars"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(X.strip_controls(F.col("text"))).alias("digest"), F.coalesce(F.length(name), F.lit(-1)).cast("long").alias("name_chars"))
 
 
 _IDS = [("c", "replace(c_name, '#', '_')"), ("p", "replace(p_name, ' ', '-')")]
