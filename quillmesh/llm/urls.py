@@ -2,7 +2,8 @@
 
 Rules (host and path prefix) decide first: a rule fits its host and all subdomains where the url's path starts with the
 rule's path, and the longest rule wins. Urls that rules decide are what naive Bayes learns from; it decides the others.
-The words of the unigram model are counted over all hosts, paths and pages.
+The words of the unigram model are counted over all pages: those of the prose, and delimited parts of hosts and paths. All of
+them count, however rare: each distinct name is joined with the words that lie in it, so no vocabulary is held whole.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no token and the verdict of the class prior; a
 host is A-Z lower-cased only; without urls that rules decide the method allows all; equal urls get equal verdicts; equally
@@ -16,21 +17,27 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import small_batches, table
+from quillmesh.llm.common import few, shared_dir, small_batches, stash, table
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Bounds of the model: words kept, length of a word, buckets of tokens.
-WORDS, LONGEST, BITS = 30_000, 20, 16
+#: Bounds of the model: length of a word, buckets of tokens.
+LONGEST, BITS = 20, 16
+#: Rows of words, names or urls that may be broadcast; beyond that the same join shuffles.
+BROADCAST_ROWS = 200_000
+#: Substrings gathered before a batch of them is handed on.
+SUBSTRINGS = 50_000
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[a-z0-9]+")
+_ADDRESS = re.compile(r"\b[a-z]{2,10}://\S*|\bwww\.\S*")
 
 
 def after_scheme() -> Column:
@@ -58,8 +65,6 @@ def ruled(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> Dat
 class Model:
     cost: dict[str, float] = field(default_factory=dict)
     unknown: float = 12.0
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS))
-    prior: float = 0.0
     seen: dict[str, list[str]] = field(default_factory=dict)
 
     def split(self, name: str) -> list[str]:
@@ -76,8 +81,6 @@ class Model:
         while j:
             out.append(name[back[j] : j])
             j = back[j]
-        if len(self.seen) < WORDS:
-            self.seen[name] = out[::-1]
         return out[::-1]
 
     def tokens(self, host: str, path: str) -> list[str]:
@@ -91,10 +94,6 @@ class Model:
                     out += [mark + w for w in (self.split(name) if len(name) <= 1000 else [name])]
         return out
 
-    def score(self, host: str, path: str) -> float:
-        """Log-odds of block."""
-        return self.prior + sum(self.weights[bucket(t)] for t in self.tokens(host, path))
-
 
 def bucket(token: str) -> int:
     h = 14695981039346656037
@@ -103,66 +102,129 @@ def bucket(token: str) -> int:
     return h * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - BITS
 
 
-def vocabulary(pages: DataFrame, words: int = WORDS) -> dict[str, float]:
-    """Costs of the most frequent words of pages (host, path, html), counted over all rows."""
+def named(host: str, path: str) -> list[str]:
+    """The names of a url that are split into words."""
+    return [x for x in _PART.findall(f"{host} {path.lower()}") if not x.isdigit() and len(x) <= 1000]
+
+
+def words(host: str, path: str, html: str | None) -> list[str]:
+    """The words that a page shows to be words: those of its prose without addresses, the parts of hyphenated names, the last label of its host.
+
+    A name that stands alone in a host or path may be a concatenation, so it is no evidence of a word.
+    """
+    text = unescape(_TAG.sub(" ", html or "")).lower()
+    text = _ADDRESS.sub(" ", text.replace(host, " ") if host else text)
+    out = [w for w in _WORD.findall(text) if w.isascii()]
+    labels = host.split(".")
+    for x in (*labels, *path.lower().split("/")):
+        parts_ = [p for p in re.split("[-_]", x) if p]
+        if len(parts_) > 1:
+            out += [p for p in parts_ if _PART.fullmatch(p) and not p.isdigit()]
+    if len(labels) > 1 and _PART.fullmatch(labels[-1]) and not labels[-1].isdigit():
+        out.append(labels[-1])
+    return [w for w in out if len(w) <= LONGEST]
+
+
+def vocabulary(pages: DataFrame) -> DataFrame:
+    """(word, n): all words of pages (host, path, html), counted over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count: Counter = Counter()
             for host, path, html in zip(*(b.column(i) for i in range(3)), strict=True):
-                count.update(x for x in _PART.findall(f"{host.as_py()} {path.as_py().lower()}") if not x.isdigit())
-                count.update(w for w in map(str.lower, _WORD.findall(_TAG.sub(" ", html.as_py() or ""))) if len(w) <= LONGEST and w.isascii())
+                count.update(words(host.as_py(), path.as_py(), html.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-    counts = pages.select("host", "path", "html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    total = sum(r["n"] for r in rows)
-    return {r["word"]: -math.log(r["n"] / total) for r in rows}
+    return pages.select("host", "path", "html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split_names(names: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(name, words) of distinct names: each is split with the costs of all words of vocab that lie in it, whatever the size of vocab."""
+    total, rarest = vocab.agg(F.sum("n"), F.min("n")).first()
+    total = total or 1
+    unknown = max(12.0, math.log(total / (rarest or 1)))
 
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            name, word = [], []
+            for x in b.column(0).to_pylist():
+                found = {x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+                name += [x] * len(found)
+                word += found
+                if len(word) > SUBSTRINGS:
+                    yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(word, pa.string())], names=["name", "word"])
+                    name, word = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(word, pa.string())], names=["name", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                made.append(Model({w["word"]: -math.log(w["n"] / total) for w in known or []}, unknown).split(name))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["name", "words"])
 
-def train(pages: DataFrame) -> Model:
-    """Naive Bayes from pages (host, path, by_rule, html): token counts of each verdict over all urls that rules decide."""
-    model = Model(vocabulary(pages))
-    model.unknown = max([12.0, *model.cost.values()])
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+    lying = names.select("name").mapInArrow(inner, "name string, word string").join(few(vocab, BROADCAST_ROWS), "word")
+    known = lying.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return names.join(known, "name", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
+
+
+def tokenised(pages: DataFrame) -> DataFrame:
+    """(host, path, by_rule, n, tokens, at) of each distinct url of pages (host, path, by_rule, html): its rows, its tokens and their buckets."""
+    urls = stash(pages.groupBy("host", "path").agg(F.first("by_rule").alias("by_rule"), F.count("*").alias("n")))
+
+    def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sorted(set(named(h, p))) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.string()))], names=["host", "path", "by_rule", "n", "names"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((2, (1 << BITS) + 1), np.int64)
         for b in batches:
-            for host, path, verdict in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                row = count[int(verdict == "block")]
-                row[-1] += 1
-                for t in sent.value.tokens(host, path):
-                    row[bucket(t)] += 1
-        k, at = np.nonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(count[k, at])], names=["block", "at", "n"])
-
-    count = np.zeros((2, (1 << BITS) + 1))
-    known = pages.filter("by_rule IS NOT NULL").select("host", "path", "by_rule").mapInArrow(run, "block int, at int, n long")
-    for r in known.groupBy("block", "at").agg(F.sum("n").alias("n")).collect():
+            made = []
+            for h, p, known in zip(*(b.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
+                made.append(Model(seen={x["name"]: x["words"] for x in known}).tokens(h, p))
+            at = [[bucket(t) for t in x] for x in made]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32()))], names=["host", "path", "by_rule", "n", "tokens", "at"])
+
+    listed = urls.select("host", "path", "by_rule", "n").mapInArrow(split_up, "host string, path string, by_rule string, n long, names array<string>")
+    one = stash(listed.select("host", "path", "by_rule", "n", F.explode_outer("names").alias("name")))
+    split = stash(split_names(stash(one.filter("name IS NOT NULL").select("name").distinct()), stash(vocabulary(pages))))
+    held = one.join(few(split, BROADCAST_ROWS), "name", "left").groupBy("host", "path", "by_rule", "n")
+    held = held.agg(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "words"))).alias("known"))
+    return stash(held.mapInArrow(run, "host string, path string, by_rule string, n long, tokens array<string>, at array<int>"))
+
+
+def train(urls: DataFrame) -> tuple[np.ndarray, float]:
+    """Naive Bayes from tokenised urls: the weight of each bucket and the prior, from token counts over all rows that rules decide."""
+    count, weights, prior = np.zeros((2, (1 << BITS) + 1)), np.zeros(1 << BITS), 0.0
+    known = urls.filter("by_rule IS NOT NULL").select((F.col("by_rule") == "block").cast("int").alias("block"), "n", "at")
+    every = known.select("block", "n", F.explode("at").alias("at")).unionByName(known.select("block", "n", F.lit(1 << BITS).alias("at")))
+    for r in every.groupBy("block", "at").agg(F.sum("n").alias("n")).collect():
         count[r["block"], r["at"]] = r["n"]
     if count[:, -1].any():
         used = (count[:, :-1].sum(axis=0) > 0).sum()
         share = (count[:, :-1] + 1) / (count[:, :-1].sum(axis=1, keepdims=True) + max(1, used))
-        model.weights = np.where(count[:, :-1].sum(axis=0) > 0, np.log(share[1] / share[0]), 0.0)
-        model.prior = math.log((count[1, -1] + 1) / (count[0, -1] + 1))
-    return model
+        weights = np.where(count[:, :-1].sum(axis=0) > 0, np.log(share[1] / share[0]), 0.0)
+        prior = math.log((count[1, -1] + 1) / (count[0, -1] + 1))
+    return weights, prior
 
 
 def filter_urls(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of df (page_id, url, html); score is the log-odds of block."""
     small_batches(df.sparkSession)
+    shared_dir(df.sparkSession)
     pages = ruled(parts(df.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), rules)
-    sent = df.sparkSession.sparkContext.broadcast(train(pages))
+    urls = tokenised(pages)
+    sent = df.sparkSession.sparkContext.broadcast(train(urls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [sent.value.score(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            verdict = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column("by_rule").to_pylist(), score, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("page_id", "host", "path", "rule")], pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
+            weights, prior = sent.value
+            score = [prior + sum(weights[x]) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["host", "path", "score"])
 
-    kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "host", "path", "rule", "by_rule").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    scored = stash(urls.select("host", "path", "at").mapInArrow(run, "host string, path string, score double"))
+    verdict = F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict")
+    return pages.select("page_id", "host", "path", "rule", "by_rule").join(few(scored, BROADCAST_ROWS), ["host", "path"]).select("page_id", "host", "path", "rule", verdict, "score")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

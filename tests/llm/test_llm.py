@@ -298,3 +298,21 @@ def test_words_are_split_at_the_least_cost():
     m = urls.Model({"free": 3.0, "casino": 4.0, "fr": 6.0, "ee": 6.0})
     assert m.split("freecasino") == ["free", "casino"] and m.split("xfree") == ["x", "free"] and m.split("") == []
     assert m.tokens("free-casino.example.com", "/Free/12")[:2] == ["h:free", "h:casino"] and "p:#2" in m.tokens("", "/12")
+
+
+def test_concatenated_hosts_are_split_and_judged_by_their_words(spark):
+    rows = [(i, f"http://{w}-x.com/en/{i}", "<p>free casino money garden flower</p>") for i, w in enumerate(["free", "casino"] * 20)]
+    rows += [(100 + i, f"http://s{i}.example.com/en/7{i}", "<p>garden flower seeds</p>") for i in range(40)]
+    rows += [(200, "http://freecasino.io/a", None), (201, "http://freecasino.io/a", "&copy; freecasino.io http://freecasino.io/"), (202, "http://gardenflower.io/a", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tokens = {r.host: r.tokens for r in urls.tokenised(urls.ruled(urls.parts(df))).collect()}
+    assert tokens["freecasino.io"][:2] == ["h:free", "h:casino"] and tokens["gardenflower.io"][:2] == ["h:garden", "h:flower"]
+    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
+    assert len(got) == len(rows) and got[200].score == got[201].score > got[202].score and got[200].verdict == "block"
+
+
+def test_all_words_count_however_many(spark, monkeypatch):
+    many = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(40_000))
+    df = spark.createDataFrame([(0, "http://zyxwvutsrq.com/", f"<p>{many} {many} zyxwv utsrq</p>")], "page_id long, url string, html string")
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 1)
+    assert urls.tokenised(urls.ruled(urls.parts(df))).first().tokens == ["h:zyxwv", "h:utsrq", "h:com"]
