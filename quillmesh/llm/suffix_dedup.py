@@ -59,7 +59,10 @@ def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
         for x, y in zip(out, (at[first] + s, ranks[at[first]], first + s, last + s), strict=True):
             x.append(y)
-    return tuple(np.concatenate(x) for x in out)
+    place, rank, low, high = (np.concatenate(x) for x in out)
+    # An anchor whose strings lie on both sides of a segment's end was found in both: one entry for one place.
+    new = np.flatnonzero(np.concatenate([[True], np.diff(place) != 0])[: len(place)])
+    return place[new], rank[new], low[new], high[np.append(new[1:], len(place))[: len(new)] - 1]
 
 
 def blocks(data: np.ndarray, kept: np.ndarray, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, ...]:
@@ -209,8 +212,9 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     places = ranked.join(twice, "rank").groupBy("key").agg(F.collect_set("place").alias("places"))
     held = stash(_blocked(_packed(docs).join(places, "key", "left").select("_id", "_rest", "key", "tk", "z", "places"), width))
 
-    part = held.select("key", "tk", F.explode("blocks").alias("b")).select("key", "tk", "b.*")
-    part = part.withColumn("hull", F.when(F.col("hull") == 0, F.xxhash64("key", "tk", "first")).otherwise(F.col("hull")))
+    part = held.select("key", "tk", "n_bytes", F.explode("blocks").alias("b")).select("key", "tk", "n_bytes", "b.*")
+    part = part.withColumn("last", F.least("last", F.col("n_bytes").cast("int") - width)).drop("n_bytes")
+    part = part.withColumn("hull", F.when(F.col("hull") == 0, F.xxhash64("key", "tk", "first", "start")).otherwise(F.col("hull")))  # blocks of two anchors may have one first, but not one start
     hulls = stash(part.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "tk", "first")).alias("one")).filter("n > 1"))
     part = stash(part.join(hulls, "hull", "left").select("key", "tk", "first", "last", "start", "end", "core", F.col("n").isNotNull().alias("done"), (F.struct("key", "tk", "first") == F.col("one")).alias("one")))
     open_ = part.filter("NOT done OR one")

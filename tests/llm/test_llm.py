@@ -316,3 +316,31 @@ def test_all_words_count_however_many(spark, monkeypatch):
     df = spark.createDataFrame([(0, "http://zyxwvutsrq.com/", f"<p>{many} {many} zyxwv utsrq</p>")], "page_id long, url string, html string")
     monkeypatch.setattr(urls, "BROADCAST_ROWS", 1)
     assert urls.tokenised(urls.ruled(urls.parts(df))).first().tokens == ["h:zyxwv", "h:utsrq", "h:com"]
+
+
+def test_segments_do_not_change_anchors(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 110, 5000).astype(np.uint8)
+    whole = suffix_dedup.anchors(data)
+    for size in (1, 151, 700):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", size)
+        assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(data), strict=True))
+    assert all(len(x) == 0 for x in suffix_dedup.anchors(data[:199]))
+
+
+def test_spans_over_a_segments_end(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, 2 * suffix_dedup.SEGMENT + 5000).astype(np.uint8).tobytes().decode()
+    at = suffix_dedup.SEGMENT - 150
+    other = "#" + long[at : at + 300] + "#"
+    got = {r.doc_id: r for r in suffix_dedup.digests(suffix_dedup.repeated_spans(docs(spark, [long, other, long[:-199][::-1]]))).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(3)] == [(300, 1), (300, 1), (0, 0)]
+    assert got[0].kept_sha256 == hashlib.sha256((long[:at] + long[at + 300 :]).encode()).hexdigest()
+
+
+def test_spans_of_repeated_rows_are_those_of_brute_force(spark, corpus):
+    rng = random.Random(11)
+    texts = [words(rng, n) for n in (37, 40, 45, 90)] + ["é" * 150]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, texts[2]), (None, texts[3]), (None, "x" + texts[3][:-1]), (50, words(rng, 50)), (50, words(rng, 60))]
+    got = suffix_dedup.digests(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    want = [(i, *x) for (i, _), x in zip(rows, brute.spans([t for _, t in rows], 200), strict=True)]
+    assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(doc_id=i, n_bytes=a, n_removed=b, n_spans=c, kept_sha256=d) for i, a, b, c, d in want]))
