@@ -22,6 +22,8 @@ from quillmesh.llm.common import small_batches, table
 BLOCK = 64
 RATE = 8000
 FRAME, HOP, BANDS, REACH = 512, 256, 4, 2
+#: Sounds of so few samples are looked at in smaller hops.
+SHORT = 1024
 #: Frames transformed at once; bounds memory for long sounds.
 AT_ONCE = 2048
 
@@ -51,13 +53,16 @@ def from_wav(media: bytes) -> bytes:
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """Pairs of spectral peaks as time-coded longs: frame << 32 | band << 24 | first bin << 16 | second bin << 8 | distance.
 
-    Each frame's strongest bin in each band is a peak if it is above the band's mean by half; a peak pairs with those of
-    the same band in the next REACH frames.
+    The frames start a hop before the sound and end after it, so each sample lies in two of them. Each frame's strongest bin
+    in each band is a peak if it is above the band's mean by half; a peak pairs with those of the same band in the next REACH
+    frames. The strongest bins of two bands of one frame pair too, at distance 0 and with (band + 1) << 4 | second band as
+    their band, so that the shortest sound has pairs. Sounds of up to SHORT samples have eight times as many frames.
     """
-    short = max(0, FRAME - len(samples))
-    x = np.concatenate([samples, np.full(short, 128, np.uint8)]) if short else samples
-    count = 1 + (len(x) - FRAME) // HOP
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:count]
+    hop = HOP if len(samples) > SHORT else HOP // 8
+    count = HOP // hop - (-len(samples) // hop)
+    x = np.full((count - 1) * hop + FRAME, 128, np.uint8)
+    x[HOP : HOP + len(samples)] = samples
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::hop]
     window, width = np.hanning(FRAME).astype(np.float32), FRAME // 2 // BANDS
     bins, loud = np.empty((count, BANDS), np.int64), np.empty((count, BANDS), bool)
     for i in range(0, count, AT_ONCE):
@@ -65,7 +70,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         power = np.abs(np.fft.rfft(part, axis=1)[:, 1:]).reshape(len(part), BANDS, width)
         bins[i : i + AT_ONCE] = power.argmax(axis=2)
         loud[i : i + AT_ONCE] = power.max(axis=2) > 1.5 * power.mean(axis=2)
-    found = []
+    found = [np.arange(count) << 32 | ((a + 1) << 4 | b) << 24 | bins[:, a] << 16 | bins[:, b] << 8 for a in range(BANDS) for b in range(a + 1, BANDS)]
     for d in range(1, REACH + 1):
         t, band = np.nonzero(loud[:-d] & loud[d:]) if count > d else (np.zeros(0, np.int64),) * 2
         found.append(t << 32 | band << 24 | bins[t, band] << 16 | bins[t + d, band] << 8 | d)

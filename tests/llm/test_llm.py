@@ -344,3 +344,17 @@ def test_spans_of_repeated_rows_are_those_of_brute_force(spark, corpus):
     got = suffix_dedup.digests(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     want = [(i, *x) for (i, _), x in zip(rows, brute.spans([t for _, t in rows], 200), strict=True)]
     assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(doc_id=i, n_bytes=a, n_removed=b, n_spans=c, kept_sha256=d) for i, a, b, c, d in want]))
+
+
+def test_short_and_last_samples_reach_the_feature(spark):
+    rng = random.Random(12)
+    texts = [words(rng, n) for n in range(1, 60) for _ in range(3)]
+    long = words(rng, 400)
+    long = long[: len(long) // 256 * 256 + 190]
+    texts += [long, long[:-60] + "".join(rng.choice("xyz !?") for _ in range(60))]
+    got = media.media_columns(docs(spark, texts), store=True).collect()
+    assert len({r.feature for r in got}) == len(set(texts)) and all(r.peaks for r in got)
+    ends = [np.full(n, 128, np.uint8) for n in (64, 704, 1024) for _ in range(2)]
+    for quiet, heard in zip(ends[::2], ends[1::2], strict=True):
+        heard[-32:] = np.arange(32) * 7 % 251
+        assert media.fingerprint(quiet).tolist() != media.fingerprint(heard).tolist()
