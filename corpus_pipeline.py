@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import few, small_batches, stash, table
 from quillmesh.llm.mixing import mix
-from quillmesh.llm.ngram_join import jaccard_components
+from quillmesh.llm.ngram_join import surplus
 from quillmesh.llm.packing import pack_documents
 from quillmesh.llm.suffix_dedup import keys, strip_repeats
 from quillmesh.llm.toxicity import learned, score
@@ -27,9 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that n-gram Jaccard links join, the document with the smallest id stays. Rows without an id stay."""
-    gone = stash(jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(few(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group that n-gram Jaccard links join one row stays: that with the smallest id, a null id last, and once if repeated."""
+    extra = stash(surplus(docs))
+    found = few(extra, BROADCAST_IDS)
+    named = keys(docs).join(found, ["key", "tk"], "left")
+    once = named.filter("gone IS NULL").select(*docs.columns)
+    return once.unionByName(named.filter("NOT gone").dropDuplicates(["key", "tk"]).select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

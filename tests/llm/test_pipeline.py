@@ -65,3 +65,18 @@ def test_stages_of_empty_tables(spark, tmp_path):
     for _, stage in P.STAGES:
         docs = P.stash(stage(spark, docs, str(tmp_path)))
     assert docs.count() == 0
+
+
+def test_repeated_rows_and_null_ids_stay_once(spark):
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (None, a), (2, b), (None, b), (None, c), (None, c), (None, c + " end"), (7, d), (7, "other words that are few"), (3, ""), (3, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOC)
+    got = P.stash(P.near_duplicates(spark, docs, ""))
+    texts = sorted((r.doc_id or -1, r.text or "") for r in got.collect())
+    assert got.columns == docs.columns and len(texts) == 8
+    assert [x for x in texts if x[0] > 0] == [(1, a), (2, b), (3, ""), (7, "other words that are few"), (7, d)]
+    assert [x[1] for x in texts if x[0] < 0][:2] == ["", ""] and texts[2][1] in (c, c + " end")
+    cut = P.stash(P.repeated_passages(spark, got, ""))
+    assert sorted((r.doc_id or -1, r.text or "") for r in cut.collect()) == texts
+    assert {r.doc_id for r in P.mixture(spark, cut, "").collect()} >= {1, 2, 7}
