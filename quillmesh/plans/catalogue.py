@@ -253,9 +253,8 @@ def duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("name"), "source")
-    half = docs.filter("source IN ('src1', 'src3', 'src5', 'src7', 'src9')")
-    return resolve.similar(half.drop("source"), docs.drop("source")).withColumn("ratio", F.round("ratio", 6))
+    parts = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return resolve.similar(parts, parts).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"""WITH n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS k, list_sort(list_distinct({_sql_tokens(_sql_fold("p_name"))})) AS t FROM part),

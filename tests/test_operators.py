@@ -211,3 +211,15 @@ def test_pending_in_batch_and_stream(spark, tmp_path):
     left = {}
     q = worklog.drain(worklog.log_stream(spark, str(log)), lambda df, _: left.update({r.work_id: list(r.pending) for r in df.collect()}), str(tmp_path / "check"))
     assert q.awaitTermination(60) and left == {"w1": ["b"], "w2": ["y"], "w3": []}
+
+
+def test_fuzzy_resolve_takes_all_parts(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from quillmesh.plans import catalogue
+
+    names = [(1, "large polished red widget"), (2, "large polished red widgets"), (3, "small blue bolt"), (4, "a" * 60 + "one end"), (5, "a" * 60 + "1 other tail"), (6, "small blue bolt")]
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {(i, j) for i, x in names for j, y in names if SequenceMatcher(None, x, y).ratio() >= 0.92}
+    got = {(r.a, r.b) for r in catalogue.fuzzy_resolve(spark, str(tmp_path)).collect()}
+    assert got == want and (1, 2) in got and (4, 5) not in got
