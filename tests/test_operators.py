@@ -223,3 +223,12 @@ def test_fuzzy_resolve_takes_all_parts(spark, tmp_path):
     want = {(i, j) for i, x in names for j, y in names if SequenceMatcher(None, x, y).ratio() >= 0.92}
     got = {(r.a, r.b) for r in catalogue.fuzzy_resolve(spark, str(tmp_path)).collect()}
     assert got == want and (1, 2) in got and (4, 5) not in got
+
+
+def test_lint_findings_are_given_all_failures(spark, monkeypatch):
+    from quillmesh.plans import catalogue
+
+    at, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(catalogue.graph, "lint", lambda objects, links, failed, when: seen.append(failed.count()))
+    catalogue.lint_findings(spark, at)
+    assert seen == [spark.read.parquet(f"{at}/events.parquet").filter("event_type = 'error'").count()]
