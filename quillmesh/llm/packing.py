@@ -2,18 +2,20 @@
 
 There are at most `capacity` different lengths, so the packing problem is a histogram of constant size, however many
 documents there are. The driver packs the histogram: around the largest length left it enumerates undominated fillings
-(branch and bound on waste) and applies each as often as the counts allow; the best-fit decreasing packing is the first
-incumbent, and other choices of fillings are tried while the bound on waste leaves room. Spark then numbers the pieces of
-each length and joins them to the places of the plan.
-
-Edge cases: a null or empty text is one piece with the id 0 alone; longer documents than a sequence are cut, the first piece
-being the short one; equal lengths and repeated rows get places of their own; an empty table gives no rows; only the
-columns named are read, so other columns do not matter.
+(branch and bound on waste) and goes on from each of them, depth first; the best-fit decreasing packing is the first
+incumbent, and branches that waste too much to beat the incumbent are cut. Spark then numbers the pieces of each length and
+joins them to the places of the plan.
+
+Edge cases: a null or empty text is one piece with the id 0 alone; the text of a special token of the vocabulary is that
+token, as the tokenizer's own defaults have it; longer documents than a sequence are cut, the first piece being the short
+one; equal lengths, null ids and repeated rows get places of their own; an empty table gives no rows; only the columns named
+are read, so other columns do not matter.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,32 +31,35 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import shared_dir, small_batches, stash, table
 
 CAPACITY, END = 2048, 0
-#: The vocabulary of byte_bpe_50k.json as ranks: the same ids (tests compare both), several times as fast.
-RANKS = "byte_bpe_50k.tiktoken"
+#: The tokenizer, and its vocabulary as ranks: the same ids (tests compare both), several times as fast.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Rows a numbering task may hold, and the least number of parts a length is dealt to.
 ROWS, PARTS = 1_000_000, 64
-#: Fillings looked at for a sequence, and packings tried before the best is taken.
-NODES, TRIES = 4000, 12
+#: Bounds of the search, which is exponential: nodes of one enumeration of fillings, and steps in all.
+NODES, STEPS = 4000, 20_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def encoder(ranks: str, tokenizer: str) -> tiktoken.Encoding:
+    """The ranks with the special tokens that the tokenizer's file adds to them."""
+    with open(ranks, "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(tokenizer, "rb") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
 
 
-def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids, ended by END and cut into pieces that fit."""
-    path = path or public_tokenizers.path(RANKS)
+    paths = (ranks or public_tokenizers.path(RANKS), tokenizer or public_tokenizers.path(TOKENIZER))
     kind = dict(df.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(*paths).encode
         for b in batches:
             rows = []
             for i, v in enumerate(b.column(1)):
-                ids = np.array([*encode(v.as_py() or ""), END], "<u4")
+                ids = np.array([*encode(v.as_py() or "", allowed_special="all"), END], "<u4")
                 starts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity)]
                 rows += [(i, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True))]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -63,10 +68,11 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     return df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first and then fewest and largest pieces.
+def fillings(counts: dict[int, int], sizes: list[int], room: int, most_waste: int, every: bool = False) -> list[tuple[int, ...]]:
+    """Undominated fillings of room that waste most_waste at most, least waste first and then fewest and largest pieces.
 
-    A filling is left out if another piece still fits, or if one piece of the sum of two of its pieces is at hand.
+    A filling is left out if another piece still fits, or if one piece of the sum of two of its pieces is at hand. Without
+    every only those count that waste no more than the ones found before, and one that wastes nothing ends the search.
     """
     found: list[tuple[int, int, tuple[int, ...]]] = []
     best, nodes = most_waste, 0
@@ -93,62 +99,90 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, most_waste: in
                 if stop or nodes > NODES:
                     return stop or nodes > NODES
         if not fits and left <= best and not any(c > used[s] and s <= left for s, c in counts.items()):
-            best = left
+            best = best if every else left
             found.append((left, len(chosen), chosen))
-            return left == 0
+            return left == 0 and not every
         return False
 
     go(room, 0, ())
-    return [x[2] for x in sorted(found, key=lambda x: (x[0], x[1], [-s for s in x[2]]))[:3]]
-
-
-def _fit(counts: dict[int, int], room: int, sizes: list[int]) -> tuple[int, ...]:
-    """The best-fit decreasing filling of room."""
-    out, used = [], Counter()
-    for s in sizes:
-        n = min(counts[s] - used[s], room // s)
-        out += [s] * n
-        used[s] += n
-        room -= n * s
-    return tuple(out)
+    return [x[2] for x in sorted(found, key=lambda x: (x[0], x[1], [-s for s in x[2]]))]
 
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def _run(lengths: dict[int, int], capacity: int, waste: int | None, turn: int, fit: bool) -> tuple[Plan, int] | None:
-    """One packing: pieces' lengths and how often; None once it wastes more than waste. At step number turn the second best filling is taken."""
-    counts, plan, bins, step, lost = dict(lengths), [], 0, 0, 0
-    sizes = sorted(counts, reverse=True)
-    while sizes:
-        top = sizes[0]
-        counts[top] -= 1
-        room = capacity - top
-        found = [] if fit else fillings(counts, [s for s in sizes if s <= room and counts[s]], room, room)
-        best = _fit(counts, room, [s for s in sizes if s <= room]) if not found else found[min(len(found) - 1, int(step == turn))]
-        counts[top] += 1
-        need = Counter((top, *best))
+def best_fit(lengths: dict[int, int], capacity: int) -> tuple[Plan, int]:
+    """The best-fit decreasing packing, pieces of one length together: (filling, times), and the number of sequences."""
+    counts, plan, bins = dict(lengths), [], 0
+    while sizes := sorted((s for s, n in counts.items() if n), reverse=True):
+        room, filling = capacity, []
+        for s in sizes:
+            n = min(counts[s], room // s)
+            filling += [s] * n
+            room -= n * s
+        need = Counter(filling)
         times = min(counts[s] // n for s, n in need.items())
-        plan.append(((top, *best), times))
-        bins, step, lost = bins + times, step + 1, lost + times * (capacity - top - sum(best))
+        plan.append((tuple(filling), times))
+        bins += times
         for s, n in need.items():
             counts[s] -= n * times
-        sizes = [s for s in sizes if counts[s]]
-        if waste is not None and lost > waste and sizes:
-            return None
     return plan, bins
 
 
-def pack(lengths: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> Plan:
-    """Fillings and how often each is used, for pieces of the given lengths and counts."""
+def pack(lengths: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
+    """Fillings and how often each is used, for pieces of the given lengths and counts.
+
+    Depth first over the fillings of a sequence around the largest piece left, each used as often as the counts allow or
+    once. A branch ends where it wastes more than a packing with one sequence less than the incumbent could. The search
+    ends at the bound that total and large pieces give, when all is tried, or after `steps` steps: the incumbent stands.
+    """
     total = sum(s * n for s, n in lengths.items())
-    least = -(-total // capacity)
-    best, bins = _run(lengths, capacity, None, -1, True)
-    for turn in range(-1, tries):
-        if bins <= least:
-            break
-        if (made := _run(lengths, capacity, (bins - 1) * capacity - total, turn, False)) and made[1] < bins:
-            best, bins = made
+    least = max(-(-total // capacity), sum(n for s, n in lengths.items() if 2 * s > capacity))
+    best, bins = best_fit(lengths, capacity)
+    counts, used, lost = dict(lengths), 0, 0
+    path: Plan = []
+
+    def spare() -> int:
+        return (bins - 1) * capacity - total - lost
+
+    def put(filling: tuple[int, ...], times: int) -> None:
+        nonlocal used, lost
+        for s in filling:
+            counts[s] -= times
+        used, lost = used + times, lost + times * (capacity - sum(filling))
+
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+        """What may be done next; run on only while the counts are those it began with."""
+        tried = set()
+        for every in (False, True):
+            sizes = sorted((s for s, n in counts.items() if n), reverse=True)
+            top = sizes[0]
+            counts[top] -= 1
+            made = fillings(counts, [s for s in sizes if s <= capacity - top and counts[s]], capacity - top, min(capacity - top, spare()), every)
+            counts[top] += 1
+            for rest in made:
+                if rest not in tried:
+                    tried.add(rest)
+                    most = min(counts[s] // n for s, n in Counter((top, *rest)).items())
+                    yield from ((((top, *rest), times)) for times in sorted({most, 1}, reverse=True))
+
+    stack = [options()] if total else []
+    while stack and steps > 0 and bins > least:
+        steps -= 1
+        move = next(stack[-1], None)
+        if move is None:
+            stack.pop()
+            if path:
+                filling, times = path.pop()
+                put(filling, -times)
+        elif move[1] * (capacity - sum(move[0])) <= spare():
+            put(*move)
+            path.append(move)
+            if any(counts.values()):
+                stack.append(options())
+            else:
+                best, bins = list(path), used
+                put(path[-1][0], -path.pop()[1])
     return best
 
 
@@ -166,15 +200,16 @@ def places(plan: Plan) -> list[tuple[int, int, int, int, int]]:
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut (rows with length, and doc_id and piece to order them) with sequence_id and offset. cut is read more than once: pass a written table."""
+    """cut with sequence_id and offset. cut (rows with length) must be a written table: its rows are told apart by their places in its files."""
     spark = cut.sparkSession
     lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     parts = max(PARTS, -(-sum(lengths.values()) // ROWS))
     goal = spark.createDataFrame(places(pack(lengths, capacity)) if lengths else [], "_length long, _low long, _high long, _base long, offset long")
-    dealt = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
+    dealt = cut.select("*", *place).withColumn("_part", F.pmod(F.xxhash64("_file", "_place"), F.lit(parts)))
     before = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
-    number = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1
+    number = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_file", "_place")) - 1
     numbered = dealt.withColumn("_row", number).join(before, ["length", "_part"]).withColumn("_at", F.col("_row") + F.col("_before"))
     here = (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
     return numbered.join(F.broadcast(goal), here).select(*cut.columns, (F.col("_base") + F.col("_at") - F.col("_low")).alias("sequence_id"), "offset")

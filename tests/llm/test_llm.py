@@ -185,9 +185,8 @@ def test_piece_ids_are_those_of_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(1)
-    texts = ["", "Hello  world's\n\n ünï \u200b 日本 🎉🎉", "<|endoftext|> x", "a" * 3000, words(rng, 3000), "\t\r\n  x  ", "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(4000))]
+    texts = ["", "Hello  world's\n\n ünï \u200b 日本 🎉🎉", "<|endoftext|> x", "a <|endoftext|> b", "x  \n<|endoftext|><|endoftext|>  <|endoftext", "<|endoftext|>", "a" * 3000, words(rng, 3000), "\t\r\n  x  ", "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(4000))]
     got = {}
     for r in packing.pieces(docs(spark, [None, *texts])).collect():
         got.setdefault(r.doc_id, []).append(r)
@@ -210,6 +209,24 @@ def test_packing_is_the_best_for_few_pieces(lengths):
     assert Counter(s for f, n in plan for s in f for _ in range(n)) == Counter(lengths) and all(sum(f) <= 10 for f, _ in plan)
 
 
+def test_search_for_packings_beats_best_fit():
+    from collections import Counter
+
+    lengths = Counter([6, 6, 5, 5, 4, 4, 3, 3, 2, 2] * 3)
+    assert packing.best_fit(lengths, 20)[1] >= sum(n for _, n in packing.pack(lengths, 20)) == 6
+    hard = Counter([11, 11, 9, 9, 8, 8, 7, 7, 5, 5])
+    plan = packing.pack(hard, 20)
+    assert Counter(s for f, n in plan for s in f for _ in range(n)) == hard and sum(n for _, n in plan) == brute.fits(list(hard.elements()), 20)
+    assert sum(n for _, n in packing.pack(hard, 20, 0)) == packing.best_fit(hard, 20)[1]
+    assert packing.pack({}, 20) == []
+
+
+def test_packing_of_many_equal_rows_without_ids(spark):
+    df = spark.range(3000).selectExpr("CAST(NULL AS long) AS doc_id", "IF(id % 3 = 0, 'one two', NULL) AS text", "id AS piece", "'x' AS sequence_id", "1 AS _part")
+    got = packing.pack_documents(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == 3000 and len({r.sequence_id for r in got}) == -(-5000 // 2048) and got[0].doc_id is None
+
+
 def test_packing_rows(spark):
     rng = random.Random(4)
     texts = [words(rng, rng.randrange(0, 400)) for _ in range(300)] + ["same text"] * 50 + [words(rng, 3000), None]
