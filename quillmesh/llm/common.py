@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch for operators that read whole texts (documents are a few KB, some far longer).
-TEXT_BATCH = 256
+#: Bytes of one Arrow batch that a Python worker gets; a longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
 M64 = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,15 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bounds the rows an Arrow batch holds, so that a batch of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch, so that a batch of very long texts fits a Python worker. The same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process.
+
+    A cluster without the setting is refused: its executors would not see a folder of the driver's machine.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -47,13 +53,21 @@ def _drop(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs a reread and not a recomputation.
 
-    The files go when the driver exits.
+    The files go when free() is called, at the latest when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stash = path
+    return made
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that stash wrote. Call it once all that reads them is written itself: what is lost later could not be made again."""
+    for t in tables:
+        _drop(t.sparkSession, t._stash)
 
 
 def few(df: DataFrame, bound: int, entries: str | None = None) -> DataFrame:
