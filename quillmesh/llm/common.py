@@ -50,14 +50,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs a reread and not a recomputation.
 
     The files go when free() is called, at the latest when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     atexit.register(_drop, spark, path)
     made = spark.read.schema(df.schema).parquet(path)
     made._stash = path

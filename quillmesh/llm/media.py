@@ -1,5 +1,7 @@
 """Operator 7, media columns: texts as 8-bit WAV, read back by the wave module, with spectral-peak pair fingerprints.
 
+The sounds are written as a binary column; all that is told of them is worked out from what is read back.
+
 Edge cases: a null text counts as empty; an empty text is one payload of 64 zero bytes; equal texts give equal rows;
 rows are independent, so repeated rows, ties and extra columns need no care; an empty table gives no rows.
 """
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import small_batches, table
+from quillmesh.llm.common import shared_dir, small_batches, stash, table
 
 BLOCK = 64
 RATE = 8000
@@ -77,34 +79,56 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(found))
 
 
-OUT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+OUT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, peaks array<long>"
 
 
-def media_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), store: bool = False) -> DataFrame:
-    """Each row's text as a sound: sizes, digests and a fingerprint; with store also the WAV (media) and the fingerprint array (peaks).
+def stored(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, n_bytes, media): each row's text as a WAV file; a media column to be written."""
+    small_batches(df.sparkSession)
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(v.as_py() or "").encode() for v in b.column(b.num_columns - 1)]
+            made = [pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(pad(t)) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*keep, "n_bytes", "media"])
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_bytes long, media binary"]))
 
-    No shuffle; the memory of a task is a batch of texts and one sound's frames.
+
+def features(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, sizes, digests, fingerprint and its digest) of a media column as stored wrote it.
+
+    No shuffle; the memory of a task is a batch of sounds and one sound's frames.
     """
-    small_batches(df.sparkSession)
-    schema = ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in keep] + [OUT] + (["media binary, peaks array<long>"] if store else []))
+    kinds = dict(media.dtypes)
+    types = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in OUT.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for value in b.column(b.num_columns - 1):
-                data = (value.as_py() or "").encode()
-                media = to_wav(pad(data))
-                back = from_wav(media)
+            for v in b.column(b.num_columns - 1):
+                sound = v.as_py()
+                back = from_wav(sound)
                 peaks = fingerprint(np.frombuffer(back, np.uint8))
                 feature = f"{len(peaks)}:{hashlib.sha256(peaks.astype('<i8').tobytes()).hexdigest()[:32]}"
-                row = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-                rows.append(row + ((media, peaks) if store else ()))
-            names = [x.split()[0] for x in OUT.split(", ")] + (["media", "peaks"] if store else [])
-            kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(), "peaks": pa.list_(pa.int64())}
-            made = [pa.array(list(c), kinds.get(n, pa.int64())) for n, c in zip(names, zip(*rows) if rows else [[]] * len(names), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*keep, *names])
-
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(sound), hashlib.sha256(sound).hexdigest(), feature, peaks))
+            made = [pa.array(list(c), types[t]) for (_, t), c in zip(fields, zip(*rows) if rows else [[]] * len(fields), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*keep, *[n for n, _ in [["n_bytes", ""], *fields]]])
+
+    return media.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "media").mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [OUT]))
+
+
+def media_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), store: bool = False) -> DataFrame:
+    """Each row's text as a sound: written, read back, and described; with store the column media too. keep must not name an output column."""
+    shared_dir(df.sparkSession)
+    written = stash(stored(df, text, keep), "zstd")
+    if not store:
+        return features(written, keep)
+    small = {c: f"_{i}" for i, c in enumerate(keep)}
+    both = written.select(*[F.col(f"`{c}`").alias(n) for c, n in small.items()], "n_bytes", "media", F.col("media").alias("_media"))
+    return features(both, (*small.values(), "_media")).withColumnsRenamed({n: c for c, n in small.items()} | {"_media": "media"})
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ modulo the table size. Dropping a shard moves few rows between the others.
 
 Edge cases: a null key is hashed as the text `null`'s own marker and goes to one slot; equal keys go to one shard, so a
 hot key makes a hot shard by definition, but placing it needs no shuffle; an empty table gives no rows; extra columns stay,
-and a column that is already called `slot` or `shard` is replaced.
+and a column that is already called `slot` or `shard` is replaced, also if it is the key.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ def shard(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, s
     spark = df.sparkSession
     listed = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, owner))), ",")).alias("slot", "shard"))
     lookup = listed.select(F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard"))
-    placed = df.drop("slot", "shard").withColumn("slot", slot(F.col(f"`{key}`") if key not in ("slot", "shard") else df[key], slots))
-    return placed.join(F.broadcast(lookup), "slot")
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    return df.select(*rest, slot(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(lookup), "slot")
 
 
 def op9_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

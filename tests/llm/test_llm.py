@@ -115,7 +115,8 @@ def test_top_k_is_that_of_brute_force(spark):
 
 def test_media_round_trip(spark):
     texts = [None, "", "a" * 64, "é" * 33, "x" * 5000, "x" * 5000]
-    got = sorted(media.media_columns(docs(spark, texts), store=True).collect(), key=lambda r: r.doc_id)
+    clash = docs(spark, texts).withColumn("media", F.lit("x"))
+    got = sorted(media.media_columns(clash, keep=("doc_id", "lang"), store=True).collect(), key=lambda r: r.doc_id)
     for r, t in zip(got, texts, strict=True):
         data = (t or "").encode()
         padded = data + b"\0" * (64 if not data else -len(data) % 64)
@@ -152,6 +153,29 @@ def test_sharding_rows(spark):
     assert sharding.shard(df.limit(0)).collect() == []
 
 
+def test_sharding_by_a_column_named_slot_or_shard(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, None, 6)], "slot long, Shard string, other int")
+    owner = sharding.fill(["x", "y", "z"], 101)
+    for key in ("slot", "Shard"):
+        got = sorted(sharding.shard(df, key, ["x", "y", "z"], 101).collect())
+        assert len(got) == 3 and all(r.shard == owner[r.slot] for r in got)
+        given_ = [str(r[key]) for r in df.collect() if r[key] is not None]
+        assert {r.slot for r in got} >= {int(hashlib.md5(v.encode()).hexdigest()[:15], 16) % 101 for v in given_}
+
+
+def test_table_is_filled_by_turns_in_order_of_preference():
+    names, slots = [f"s{i}" for i in range(7)], 53
+    order = []
+    for s in names:
+        at, skip = (int(hashlib.md5(f"{x}:{s}".encode()).hexdigest()[:15], 16) for x in ("offset", "skip"))
+        order.append([(at + j * (skip % (slots - 1) + 1)) % slots for j in range(slots)])
+    want, turn = {}, 0
+    while len(want) < slots:
+        want[next(p for p in order[turn % 7] if p not in want)] = turn % 7
+        turn += 1
+    assert sharding.fill(names, slots) == [want[i] for i in range(slots)] and all(sorted(o) == list(range(slots)) for o in order)
+
+
 def test_mix_takes_whole_documents_near_the_target(spark):
     rng = random.Random(2)
     rows = [(i, words(rng, rng.randrange(0, 60)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(3000)] + [(9000, None, "a"), (9001, "", "e"), (None, "one two", "a"), (5, "x y", "a"), (5, "x y", "a")]
