@@ -6,7 +6,9 @@ the k-th best score of each query; a last pass keeps the scores at or above it a
 Edge cases: rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part; components
 missing from a shorter vector count as 0; a candidate with the query's id is the query's own row and is left out; of
 several query rows with one id the least vector is taken; other repeated rows stay apart; with fewer candidates than k all
-are returned; no queries or an empty table give no rows.
+are returned; no queries or an empty table give no rows. Scores are exact integers, by doubles where no sum can pass 2**53,
+by longs where none can pass 2**63, else by integers without bounds; a score beyond the range of a long is the nearest long
+(so are components), and equal ones are ties.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import small_batches, table
+from quillmesh.llm.common import shared_dir, small_batches, stash, table
 
 SCALE = 1024
-BINS = 1024
-#: Queries searched at once: the bound of what is broadcast (4096 * 64 components of 8 bytes are 2 MB) and of a task's histograms.
-QUERIES = 4096
+BINS = 256
+#: Queries searched at once: the bound of what is broadcast (16384 * 64 components of 8 bytes are 8 MB) and of a task's histograms (32 MB).
+QUERIES = 16384
 #: Queries of one matrix product.
 TILE = 256
-ROWS = 2048
+#: Long scores as unsigned ones in the same order, whose differences can't overflow.
+_FLIP = np.uint64(1 << 63)
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -41,31 +45,50 @@ def finite(vector: Column) -> Column:
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     sizes, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == dim).all():
-        return values.reshape(-1, dim).astype(np.float64)
-    out = np.zeros((len(sizes), dim))
+        return values.reshape(-1, dim).astype(np.int64)
+    out = np.zeros((len(sizes), dim), np.int64)
     out[np.arange(dim) < sizes[:, None]] = values
     return out
 
 
-def _scores(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each tile of queries: its first row, the integer scores, and where a score counts. Doubles hold the sums exactly (below 2**53)."""
-    own, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), queries.shape[1])
-    for i in range(0, len(ids), TILE):
-        yield i, np.rint(queries[i : i + TILE] @ vectors.T).astype(np.int64), own[None, :] != ids[i : i + TILE, None]
+class Block:
+    """Queries that are searched together: ids, vectors as rows of longs, and the kind of numbers that holds their scores exactly."""
 
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float):
+        """most: the largest square of a candidate's length."""
+        self.ids = ids
+        reach = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1) * most) * (1 + 1e-9) + 1
+        bound = float(reach.max(initial=1.0))
+        self.kind = np.float64 if bound < 2.0**53 else np.int64 if bound < 2.0**63 else object
+        self.vectors = vectors.astype(self.kind)
+        ends = [max(_LEAST, -int(r)) for r in reach]
+        #: The least score that each query may have, and how many values from there on.
+        self.low = np.array(ends, np.int64).view(np.uint64) ^ _FLIP
+        self.span = max(min(_MOST, int(r)) - low + 1 for r, low in zip(reach, ends, strict=True)) if len(ids) else 1
 
-def _histograms(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: int, span: int, k: int, above: np.ndarray) -> DataFrame:
+    def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each tile of queries: its first row, the scores, and where a score counts."""
+        own, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), self.vectors.shape[1]).astype(self.kind)
+        for i in range(0, len(self.ids), TILE):
+            made = self.vectors[i : i + TILE] @ vectors.T
+            made = np.clip(made, _LEAST, _MOST) if self.kind is object else np.rint(made) if self.kind is np.float64 else made
+            yield i, made.astype(np.int64), own[None, :] != self.ids[i : i + TILE, None]
+
+
+def _histograms(rows: DataFrame, block: Block, low: np.ndarray, width: int, span: int, k: int, above: np.ndarray) -> DataFrame:
     """(q, bin, n): how many scores of query q lie in each bin of that width of [low, low + span), BINS bins at most. Of each task only the bins that can hold the k-th best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(ids), BINS), np.int64)
+        counts = np.zeros((len(block.ids), BINS), np.int64)
         for b in batches:
-            for i, scores, other in _scores(b, ids, queries):
-                at = scores - low[i : i + TILE, None]
-                other &= (at >= 0) & (at < span)
-                at //= width
+            for i, scores, other in block.scores(b):
+                at, first = scores.view(np.uint64) ^ _FLIP, low[i : i + TILE, None]
+                other &= at >= first
+                at = at - first
+                if span < 1 << 64:
+                    other &= at < np.uint64(span)
                 q, c = np.nonzero(other)
-                counts[i : i + TILE] += np.bincount(q * BINS + at[q, c], minlength=len(scores) * BINS).reshape(-1, BINS)
+                counts[i : i + TILE] += np.bincount(q * BINS + (at[q, c] // np.uint64(width)).astype(np.int64), minlength=len(scores) * BINS).reshape(-1, BINS)
         from_top = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
         q, c = np.nonzero((counts > 0) & (from_top < (k - above)[:, None]))
         yield pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int32()), "bin": pa.array(c, pa.int32()), "n": pa.array(counts[q, c], pa.int64())})
@@ -73,71 +96,75 @@ def _histograms(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, low: np.n
     return rows.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
-def _kept(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
+def _kept(rows: DataFrame, block: Block, least: np.ndarray, k: int) -> DataFrame:
     """(query_id, vec_id, score) with scores of at least least; of each batch each query's k best, as no more can count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_numpy()
-            for i, scores, other in _scores(b, ids, queries):
+            for i, scores, other in block.scores(b):
                 q, c = np.nonzero((scores >= least[i : i + TILE, None]) & other)
-                order = np.lexsort((own[c], -scores[q, c], q))
+                order = np.lexsort((own[c], ~scores[q, c], q))
                 q, c = q[order], c[order]
                 first = np.searchsorted(q, q)
                 use = np.arange(len(q)) - first < k
                 q, c = q[use], c[use]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[i + q], pa.int64()), "vec_id": pa.array(own[c], pa.int64()), "score": pa.array(scores[q, c], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(block.ids[i + q], pa.int64()), "vec_id": pa.array(own[c], pa.int64()), "score": pa.array(scores[q, c], pa.int64())})
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, at_once: int = QUERIES) -> DataFrame:
     """The k best of candidates (vec_id, vector of long) by inner product for each of queries (same columns).
 
     Queries go in chunks of at_once, so what is broadcast is bounded; each chunk takes one pass over the candidates for
-    each histogram (about three) and one to collect. Nothing but counts and kept rows is shuffled.
+    each histogram (three or four) and one to collect, and writes its results, so no plan grows with the chunks. Nothing
+    but counts and kept rows is shuffled.
     """
     spark = candidates.sparkSession
-    small_batches(spark, ROWS)
+    small_batches(spark)
+    shared_dir(spark)
     rows = candidates.select("vec_id", "vector")
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     most, dim = rows.agg(F.max(norm), F.max(F.size("vector"))).first()
     unique = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    left, out = unique.agg(F.count("*")).first()[0], None
-    done = None
-    while left > 0 and most is not None:
+    out, done = [], None
+    while most is not None:
         part = (unique if done is None else unique.filter(F.col("vec_id") > done)).orderBy("vec_id").limit(at_once).collect()
         if not part:
             break
-        done, left = part[-1]["vec_id"], left - len(part)
-        wide = max([dim, *(len(r["vector"]) for r in part)])
-        ids, matrix = np.array([r["vec_id"] for r in part]), np.zeros((len(part), wide))
-        for row, r in zip(matrix, part, strict=True):
+        done = part[-1]["vec_id"]
+        vectors = np.zeros((len(part), max([dim, *(len(r["vector"]) for r in part)])), np.int64)
+        for row, r in zip(vectors, part, strict=True):
             row[: len(r["vector"])] = r["vector"]
-        least = _select(rows, ids, matrix, most, k)
-        kept = _kept(rows, ids, matrix, least, k)
-        out = kept if out is None else out.unionByName(kept)
-    if out is None:
-        out = rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        block = Block(np.array([r["vec_id"] for r in part], np.int64), vectors, most)
+        out.append(_best(_kept(rows, block, _select(rows, block, k), k), k))
+        if len(part) < at_once and len(out) == 1:
+            return out[0]
+        out[-1] = stash(out[-1])
+    if not out:
+        return _best(rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")), k)
+    return spark.read.schema(out[0].schema).parquet(*[x._stash for x in out])
 
 
-def _select(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, most: float, k: int) -> np.ndarray:
+def _select(rows: DataFrame, block: Block, k: int) -> np.ndarray:
     """Each query's k-th best score, or the least possible one if there are fewer scores."""
-    reach = np.floor(np.sqrt((matrix**2).sum(axis=1) * most)).astype(np.int64) + 1
-    low, above = -reach, np.zeros(len(ids), np.int64)
-    span = int(2 * reach.max() + 1)
+    low, above, span = block.low.copy(), np.zeros(len(block.ids), np.int64), block.span
     while True:
         width, by = -(-span // BINS), Window.partitionBy("q").orderBy(F.desc("bin"))
-        counted = _histograms(rows, ids, matrix, low, width, span, k, above)
+        counted = _histograms(rows, block, low, width, span, k, above)
         run = counted.withColumn("upto", F.sum("n").over(by))
         goal = counted.sparkSession.createDataFrame([(i, int(k - a)) for i, a in enumerate(above)], "q int, goal long")
         hit = run.join(F.broadcast(goal), "q").filter((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("n") < F.col("goal")))
         for q, at, before in hit.select("q", "bin", F.col("upto") - F.col("n")).collect():
-            low[q], above[q] = low[q] + at * width, above[q] + before
+            low[q], above[q] = low[q] + np.uint64(at * width), above[q] + before
         if width == 1:
-            return low
+            return (low ^ _FLIP).view(np.int64)
         span = width
 
 

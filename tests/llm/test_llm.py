@@ -106,13 +106,27 @@ def test_top_k_is_that_of_brute_force(spark):
     df = spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     rows = df.filter(F.col("vec_id").isNotNull() & topk.finite(F.col("embedding"))).select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
     ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in made[:440]]
-    for k, at_once in ((10, 4096), (3, 2), (1000, 4096)):
+    for k, at_once in ((10, 4096), (3, 2), (10, 4), (1000, 4096)):
         got = topk.top_k(rows, rows.filter("vec_id % 100 = 0"), k, at_once)
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute.best(ints, k)
     assert topk.top_k(rows.limit(0), rows.limit(0)).collect() == []
     assert topk.top_k(rows, rows.filter("vec_id = 5000")).collect() == []
 
 
+@pytest.mark.parametrize("power", [12, 17, 20, 24, 30, 40, 62, 70])
+def test_top_k_is_exact_for_large_components(spark, power):
+    rng = random.Random(power)
+    ints = [(i, [rng.randrange(-(2**power), 2**power) for _ in range(16)]) for i in range(0, 300)] + [(300, [2**power - 1] * 16), (301, [-(2**power) + 1] * 16), (302, [])]
+    ints = [(i, [max(-(2**63), min(2**63 - 1, x)) for x in v]) for i, v in ints]
+    df = spark.createDataFrame(ints, "vec_id long, vector array<long>")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), 7).collect()}
+    want = set()
+    for q, a in ints[::100]:
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ints if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:7])}
+    assert got == want
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "a" * 64, "é" * 33, "x" * 5000, "x" * 5000]
     clash = docs(spark, texts).withColumn("media", F.lit("x"))
