@@ -1,16 +1,17 @@
 """Operator 1, language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Document frequencies come from all rows to learn from. The model is fitted on the driver, on a bounded sample of them, by
+Document frequencies come from all rows to learn from. The model is fitted in one task, on a bounded sample of them, by
 follow-the-regularised-leader with elastic-net penalties; a part of the sample that is held back sets the temperature.
+Every language seen is learned; fitting takes 256 KB for each.
 
-Edge cases: a null text and one without a letter get `und` with the score 0; rows whose language is null teach nothing;
-without any row to learn from every text is `und`; equal texts get equal results; ties go to the first language in order;
-an empty table gives no rows; other columns are not read, and keep must not name an output column.
+Edge cases: a null text and one without a letter (as Python's isalpha has it: no digits, fractions or Roman numeral signs)
+get `und` with the score 0; rows whose language is null teach nothing; without any row to learn from every text is `und`;
+equal texts get equal results, however long; ties go to the first language in order; repeated rows and null ids are drawn
+like others; an empty table gives no rows; other columns are not read, and keep must not name an output column.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import small_batches, table
 
 BITS, ORDERS = 14, (1, 2, 3)
-#: Bound of the sample that the model is fitted on: rows in all, dealt evenly to the languages, and languages.
-SAMPLE, LANGUAGES = 2400, 64
+#: Bound of the sample that the model is fitted on: rows in all, dealt evenly to the languages, but no less than FEWEST of each.
+SAMPLE, FEWEST = 2400, 5
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.01, 2
-_LETTER = re.compile(r"[^\W\d_]")
 #: Characters worked on at once.
 SEGMENT = 1 << 20
+#: Languages whose counts may be broadcast.
+BROADCAST = 100_000
 
 
 def grams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ class Model:
         return self.weights[:, at] @ tfidf(at, count, self.idf)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         p = softmax(self.logits(*grams(text)) / self.heat)
         best = int(p.argmax())
@@ -101,7 +103,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], id
 
 
 def train(known: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (order, text, lang): document frequencies of all of them, weights from a sample of at most `sample` rows (and its share for each language)."""
+    """A model from rows (order, text, lang): document frequencies of all of them, weights from a sample of about `sample` rows in all, dealt evenly to the languages."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
@@ -112,8 +114,8 @@ def train(known: DataFrame, sample: int = SAMPLE) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(1 << BITS))
     df = np.zeros((1 << BITS) + 1)
@@ -121,19 +123,30 @@ def train(known: DataFrame, sample: int = SAMPLE) -> Model:
         df[r["at"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    share = max(1, sample // len(languages))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted |= (F.col("lang") == r["lang"]) & (F.pmod(F.col("order"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * share / r["n"])))
+    share = max(FEWEST, sample // len(languages))
+    part = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 1.2 * share / F.col("n")).alias("_part"))
+    wanted = F.pmod(F.col("order"), F.lit(1 << 30)) < F.floor(F.col("_part") * (1 << 30))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [grams(v.as_py()) for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["order", "lang", "at", "count"])
 
-    drawn = known.filter(wanted).select("order", "lang", "text").mapInArrow(features, "order long, lang string, at array<int>, count array<int>")
-    rows = sorted(drawn.orderBy("order").limit(2 * sample).collect(), key=lambda r: (r["order"], r["lang"], r["at"]))
-    return fit([(languages.index(r["lang"]), np.array(r["at"], np.int64), np.array(r["count"])) for r in rows], languages, idf)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(o, lang, at.values.to_numpy(), count.values.to_numpy()) for b in batches for o, lang, at, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+        index = {x: i for i, x in enumerate(languages)}
+        if rows:
+            model = fit([(index[lang], at.astype(np.int64), count) for _, lang, at, count in rows], languages, idf)
+            for i, w in enumerate(model.weights):
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "heat": pa.array([model.heat]), "weights": pa.array([w.tobytes()], pa.binary())})
+
+    drawn = known.join(F.broadcast(part) if len(languages) <= BROADCAST else part, F.col("lang") == F.col("_lang")).filter(wanted)
+    drawn = drawn.select("order", "lang", "text").mapInArrow(features, "order long, lang string, at array<int>, count array<int>")
+    made = drawn.orderBy("order", "lang").limit(2 * share * len(languages)).mapInArrow(fitted, "i int, heat double, weights binary").collect()  # one task, as its rows are bounded; a row a language
+    if not made:
+        return Model([], np.zeros((0, 1 << BITS)), idf)
+    return Model(languages, np.stack([np.frombuffer(r["weights"]) for r in sorted(made, key=lambda r: r["i"])]), idf, made[0]["heat"])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -157,5 +170,5 @@ def fold(doc_id: Column, parts: int) -> Column:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id"), 5) == 0).alias("held_out"))
-    known = docs.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("order"), "text", "lang")
+    known = docs.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("order"), "text", "lang")
     return identify(docs, train(known), keep=("doc_id", "held_out"))

@@ -6,8 +6,10 @@ The words of the unigram model are counted over all pages: those of the prose, a
 them count, however rare: each distinct name is joined with the words that lie in it, so no vocabulary is held whole.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no token and the verdict of the class prior; a
-host is A-Z lower-cased only; without urls that rules decide the method allows all; equal urls get equal verdicts; equally
-long rules go to the first one given; an empty table gives no rows; other columns are not read.
+host is A-Z lower-cased only, its tokens are lower-cased in all scripts; names of any length and script are split; a null
+html has no words; without urls that rules decide the method allows all; equal urls get equal verdicts; equally long rules
+go to the first one given; null and repeated page_ids are rows like others; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ from quillmesh.llm.common import few, shared_dir, small_batches, stash, table
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Bounds of the model: length of a word, buckets of tokens.
-LONGEST, BITS = 20, 16
+#: Of the model: the longest word that a name is split into but for runs of unknown characters, and the bits of a token's bucket.
+LONGEST, BITS = 32, 16
 #: Rows of words, names or urls that may be broadcast; beyond that the same join shuffles.
 BROADCAST_ROWS = 200_000
-#: Substrings gathered before a batch of them is handed on.
-SUBSTRINGS = 50_000
+#: Substrings gathered before a batch of them is handed on, and places of a name whose substrings are gathered at once.
+SUBSTRINGS, STARTS = 50_000, 2_000
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_PART = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"\b[a-z]{2,10}://\S*|\bwww\.\S*")
 
 
@@ -84,14 +86,14 @@ class Model:
         return out[::-1]
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Segmented words of host (h:) and path (p:); names longer than a thousand characters stay whole."""
+        """Segmented words of host (h:) and path (p:)."""
         out = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
+        for mark, text in (("h:", host.lower()), ("p:", path.lower())):
             for name in _PART.findall(text):
                 if name.isdigit():
                     out.append(f"{mark}#{len(name)}")
                 else:
-                    out += [mark + w for w in (self.split(name) if len(name) <= 1000 else [name])]
+                    out += [mark + w for w in self.split(name)]
         return out
 
 
@@ -104,7 +106,7 @@ def bucket(token: str) -> int:
 
 def named(host: str, path: str) -> list[str]:
     """The names of a url that are split into words."""
-    return [x for x in _PART.findall(f"{host} {path.lower()}") if not x.isdigit() and len(x) <= 1000]
+    return [x for x in _PART.findall(f"{host} {path}".lower()) if not x.isdigit()]
 
 
 def words(host: str, path: str, html: str | None) -> list[str]:
@@ -113,8 +115,8 @@ def words(host: str, path: str, html: str | None) -> list[str]:
     A name that stands alone in a host or path may be a concatenation, so it is no evidence of a word.
     """
     text = unescape(_TAG.sub(" ", html or "")).lower()
-    text = _ADDRESS.sub(" ", text.replace(host, " ") if host else text)
-    out = [w for w in _WORD.findall(text) if w.isascii()]
+    host = host.lower()
+    out = _WORD.findall(_ADDRESS.sub(" ", text.replace(host, " ") if host else text))
     labels = host.split(".")
     for x in (*labels, *path.lower().split("/")):
         parts_ = [p for p in re.split("[-_]", x) if p]
@@ -139,33 +141,39 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 
 
 def split_names(names: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(name, words) of distinct names: each is split with the costs of all words of vocab that lie in it, whatever the size of vocab."""
+    """(name, words) of distinct names: each is split with the costs of all words of vocab that lie in it, whatever the size of vocab.
+
+    Names meet the words by a 64-bit hash, so long names are not repeated with each of their words.
+    """
     total, rarest = vocab.agg(F.sum("n"), F.min("n")).first()
     total = total or 1
     unknown = max(12.0, math.log(total / (rarest or 1)))
+    hashed = names.select("name", F.xxhash64("name").alias("at"))
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name, word = [], []
-            for x in b.column(0).to_pylist():
-                found = {x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
-                name += [x] * len(found)
-                word += found
-                if len(word) > SUBSTRINGS:
-                    yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(word, pa.string())], names=["name", "word"])
-                    name, word = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(word, pa.string())], names=["name", "word"])
+            at, word = [], []
+            for x, h in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                x = x.as_py()
+                for s in range(0, len(x), STARTS):
+                    found = {x[i:j] for i in range(s, min(len(x), s + STARTS)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+                    at += [h] * len(found)
+                    word += found
+                    if len(word) > SUBSTRINGS:
+                        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(word, pa.string())], names=["at", "word"])
+                        at, word = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(word, pa.string())], names=["at", "word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                made.append(Model({w["word"]: -math.log(w["n"] / total) for w in known or []}, unknown).split(name))
+            for name, known in zip(b.column(0), b.column(1), strict=True):
+                made.append(Model({w["word"]: -math.log(w["n"] / total) for w in known.as_py() or []}, unknown).split(name.as_py()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["name", "words"])
 
-    lying = names.select("name").mapInArrow(inner, "name string, word string").join(few(vocab, BROADCAST_ROWS), "word")
-    known = lying.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return names.join(known, "name", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
+    lying = hashed.select("name", "at").mapInArrow(inner, "at long, word string").join(few(vocab, BROADCAST_ROWS), "word")
+    known = lying.groupBy("at").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    return hashed.join(known, "at", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
 
 
 def tokenised(pages: DataFrame) -> DataFrame:

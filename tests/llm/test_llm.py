@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -240,16 +241,12 @@ def test_piece_ids_are_those_of_the_tokenizers_library(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10), min_size=1, max_size=9))
 def test_packing_is_the_best_for_few_pieces(lengths):
-    from collections import Counter
-
     plan = packing.pack(dict(Counter(lengths)), 10)
     assert sum(n for _, n in plan) == brute.fits(lengths, 10)
     assert Counter(s for f, n in plan for s in f for _ in range(n)) == Counter(lengths) and all(sum(f) <= 10 for f, _ in plan)
 
 
 def test_search_for_packings_beats_best_fit():
-    from collections import Counter
-
     lengths = Counter([6, 6, 5, 5, 4, 4, 3, 3, 2, 2] * 3)
     assert packing.best_fit(lengths, 20)[1] >= sum(n for _, n in packing.pack(lengths, 20)) == 6
     hard = Counter([11, 11, 9, 9, 8, 8, 7, 7, 5, 5])
@@ -297,6 +294,75 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(df, none).collect()} == {"und"}
 
 
+def test_language_learns_all_languages_from_odd_rows(spark):
+    rng = random.Random(16)
+    codes = [f"l{i:02}" for i in range(80)]
+    sound = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)] for c in codes}
+    text = lambda c, n=40: " ".join("".join(rng.choice(sound[c]) for _ in range(3)) for _ in range(n))
+    rows = [(None if i % 2 else i, text(c), c) for c in codes for i in range(12)] + [(5, text("l05"), "l05")] * 30
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(F.xxhash64("doc_id", "text").alias("order"), "text", "lang")
+    model = language.train(known)
+    assert model.languages == codes
+    asked = [text(c) for c in codes] + ["½ ² Ⅷ 12", "", text("l07", 60_000), "٣", "ª"]
+    df = spark.createDataFrame([(i, t, "x", 1.5) for i, t in enumerate(asked)], "doc_id long, text string, lang_pred string, score double")
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(df, model).collect()]
+    said = {i: (p, s) for i, p, s in got}
+    assert sum(said[i][0] == c for i, c in enumerate(codes)) >= 78 and said[82][0] == "l07"
+    assert said[80] == said[81] == said[83] == ("und", 0.0) and said[84][0] != "und"
+
+
+def _last(gram):
+    """The bucket of a whole gram: what its own grams have and those of its parts have not."""
+    parts = Counter()
+    for part in (gram[:-1], gram[1:]) if len(gram) > 1 else ():
+        parts.update(dict(zip(*(x.tolist() for x in language.grams(part)), strict=True)))
+    inner = Counter(dict(zip(*(x.tolist() for x in language.grams(gram[1:-1])), strict=True))) if len(gram) > 2 else Counter()
+    whole = Counter(dict(zip(*(x.tolist() for x in language.grams(gram)), strict=True)))
+    parts.subtract(inner)
+    whole.subtract(parts)
+    return +whole
+
+
+def test_language_probabilities_are_those_of_the_plain_formula():
+    rng = np.random.default_rng(3)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(3, 1 << language.BITS)), rng.uniform(1, 5, 1 << language.BITS), 0.7)
+    text = "Über den Wolken, ab ab!"
+    counts = Counter(int(k) for n in language.ORDERS for i in range(len(text) - n + 1) for k in _last(text.lower()[i : i + n]))
+    at, count = language.grams(text)
+    assert dict(zip(at.tolist(), count.tolist(), strict=True)) == counts
+    x = {int(k): np.log1p(c) * model.idf[k] for k, c in zip(at, count, strict=True)}
+    length = sum(v * v for v in x.values()) ** 0.5
+    z = [sum(w[k] * v / length for k, v in x.items()) / 0.7 for w in model.weights]
+    p = np.exp(z) / np.exp(z).sum()
+    got = model.predict(text)
+    assert got[0] == "abc"[int(p.argmax())] and abs(got[1] - p.max()) < 1e-9
+
+
+def test_leader_is_that_of_the_plain_rule():
+    """Two coordinates followed by hand: z gathers gradients less the proximal term, weights come from z and n alone."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), np.array([0, 1]), np.array([rng.randrange(1, 9), rng.randrange(1, 9)])) for _ in range(4)]
+    idf = np.ones(2)
+    model = language.fit(rows, ["a", "b"], idf)
+    z, n = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]
+
+    def weight(c, j):
+        v = z[c][j]
+        return 0.0 if abs(v) <= language.L1 else -(v - np.sign(v) * language.L1) / ((language.BETA + n[c][j] ** 0.5) / language.ALPHA + language.L2)
+
+    for _ in range(language.PASSES):
+        for label, _, count in rows[1:]:
+            x = np.log1p(count) / np.sqrt((np.log1p(count) ** 2).sum())
+            w = [[weight(c, j) for j in range(2)] for c in range(2)]
+            e = np.exp([w[c][0] * x[0] + w[c][1] * x[1] for c in range(2)])
+            for c in range(2):
+                for j in range(2):
+                    g = (e[c] / e.sum() - (c == label)) * x[j]
+                    z[c][j] += g - ((n[c][j] + g * g) ** 0.5 - n[c][j] ** 0.5) / language.ALPHA * w[c][j]
+                    n[c][j] += g * g
+    assert np.allclose(model.weights, [[weight(c, j) for j in range(2)] for c in range(2)])
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     syllables = ["the", "an", "er", "tion", "ou", "re", "st"]
@@ -366,6 +432,64 @@ def test_concatenated_hosts_are_split_and_judged_by_their_words(spark):
     assert len(got) == len(rows) and got[200].score == got[201].score > got[202].score and got[200].verdict == "block"
 
 
+def test_long_and_foreign_names_are_split(spark):
+    long = "free" * 1500 + "casino"
+    rows = [(1, f"http://{long}.com/", "<p>free casino</p>"), (2, "http://MÜNCHENstraße.de/Grüße", "<p>münchen straße und grüße</p>"), (None, None, None), (None, "http://x.com/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tokens = {r.host: r.tokens for r in urls.tokenised(urls.ruled(urls.parts(df))).collect()}
+    assert tokens[f"{long}.com"] == ["h:free"] * 1500 + ["h:casino", "h:com"]
+    assert tokens["mÜnchenstraße.de"][:2] == ["h:münchen", "h:straße"] and tokens["mÜnchenstraße.de"][3] == "p:grüße"
+    odd = df.withColumns({"verdict": F.lit("x"), "score": F.lit("x"), "at": F.lit(1), "n": F.lit(2), "name": F.lit("x"), "known": F.lit("x")})
+    got = urls.filter_urls(odd).collect()
+    assert sorted(r.host for r in got) == ["", f"{long}.com", "mÜnchenstraße.de", "x.com"] and {r.verdict for r in got} == {"allow"}
+
+
+def test_verdicts_are_those_of_plain_naive_bayes(spark):
+    """Every step written plainly: words counted over all pages, names split by trying all splits, shares with one added."""
+    rng = random.Random(21)
+    bad, good = ["casino", "poker", "bet"], ["garden", "rose", "soil"]
+    rows = []
+    for i in range(60):
+        w = bad if i % 2 else good
+        host = f"{rng.choice(w)}-{rng.choice(w)}.com" if i % 2 else f"{rng.choice(w)}-{i}.example.com"
+        rows.append((i, f"http://{host}/{'en' if i % 2 else 'en/7'}/{rng.choice(w)}", f"<p>{' '.join(rng.choice(w) for _ in range(5))}</p>"))
+    rows += [(100 + i, f"http://{a}{b}.io/{c}", None) for i, (a, b, c) in enumerate((rng.choice(x), rng.choice(x), rng.choice(x)) for x in [bad, good] * 8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    count = Counter()
+    for _, u, h in rows:
+        host, _, path = u.removeprefix("http://").partition("/")
+        count.update(re.findall("[a-z]+", re.sub("<[^>]*>", " ", h or "")))
+        for part in [*host.split("."), *path.split("/")]:
+            count.update(x for x in part.split("-") if "-" in part and not x.isdigit())
+        count[host.rsplit(".", 1)[1]] += 1
+    total = sum(count.values())
+    unknown = max(12.0, np.log(total / min(count.values())))
+
+    def split(name):
+        best = {0: (0.0, [])}
+        for j in range(1, len(name) + 1):
+            best[j] = min(((best[i][0] + (np.log(total / count[name[i:j]]) if name[i:j] in count else unknown * (j - i)), [*best[i][1], name[i:j]]) for i in range(j)), key=lambda x: x[0])
+        return best[len(name)][1]
+
+    seen, said = {}, {"block": Counter(), "allow": Counter()}
+    number = Counter()
+    for i, u, _ in rows:
+        host, _, path = u.removeprefix("http://").partition("/")
+        seen[i] = [f"{m}#{len(x)}" if x.isdigit() else m + w for m, t in (("h:", host), ("p:", path)) for x in re.findall("[a-z0-9]+", t) for w in ([x] if x.isdigit() else split(x))]
+        verdict = rule(host, "/" + path)[0]
+        if verdict:
+            said[verdict].update(seen[i])
+            number[verdict] += 1
+    both = set(said["block"]) | set(said["allow"])
+    share = lambda t, v: (said[v][t] + 1) / (sum(said[v].values()) + len(both))
+    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
+    for i, u, _ in rows:
+        want = np.log((number["block"] + 1) / (number["allow"] + 1)) + sum(np.log(share(t, "block") / share(t, "allow")) for t in seen[i] if t in both)
+        assert abs(got[i].score - want) < 1e-9
+        if i >= 100:
+            assert got[i].verdict == ("block" if want > 0 else "allow") == ("block" if i % 2 == 0 else "allow")
+
+
 def test_all_words_count_however_many(spark, monkeypatch):
     many = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(40_000))
     df = spark.createDataFrame([(0, "http://zyxwvutsrq.com/", f"<p>{many} {many} zyxwv utsrq</p>")], "page_id long, url string, html string")
