@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, extra ones included, whatever their names.
+
+Edge cases: rows are told apart by their places, so rows with one id and different texts are different documents, and equal
+rows, with or without an id, count one by one: near duplicates keep one of them, the mix takes them as often in all as it
+takes them in op4. Null and empty texts pass the first three stages and have no words to be mixed, so the mix leaves them
+out; so it does with what the third stage empties. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -9,30 +14,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import few, small_batches, stash, table
-from quillmesh.llm.mixing import mix
+from quillmesh.llm.common import few, free, placed, small_batches, stash, table
+from quillmesh.llm.mixing import times
 from quillmesh.llm.ngram_join import surplus
 from quillmesh.llm.packing import pack_documents
-from quillmesh.llm.suffix_dedup import keys, strip_repeats
+from quillmesh.llm.suffix_dedup import strip_repeats
 from quillmesh.llm.toxicity import learned, score
 
-#: Ids (8 bytes each) that may be broadcast; beyond that the same joins shuffle.
-BROADCAST_IDS = 1_000_000
+#: Places of rows (24 bytes each) that may be broadcast; beyond that the same joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. Null and empty texts stay."""
     model = learned(spark, docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = score(plain, model, text=f"c{docs.columns.index('text')}", keep=tuple(plain.columns)).filter("predicted = 0")
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that n-gram Jaccard links join one row stays: that with the smallest id, a null id last, and once if repeated."""
-    extra = stash(surplus(docs))
-    found = few(extra, BROADCAST_IDS)
-    named = keys(docs).join(found, ["key", "tk"], "left")
-    once = named.filter("gone IS NULL").select(*docs.columns)
-    return once.unionByName(named.filter("NOT gone").dropDuplicates(["key", "tk"]).select(*docs.columns))
+    held = placed(docs)
+    gone = stash(surplus(held, *(f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))))
+    return held.join(few(gone, BROADCAST_ROWS), ["file", "place"], "left_anti").drop("file", "place").toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +48,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, once or twice."""
-    named = keys(docs)
-    taken = mix(named, doc_id="key").filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken DIV size")).cast("int").alias("_times"))
-    both = named.join(few(stash(taken.withColumnRenamed("doc_id", "_key")), BROADCAST_IDS), F.col("key") == F.col("_key"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    held = placed(docs)
+    taken = stash(times(held, ("file", "place"), *(f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source"))))
+    both = held.join(few(taken, BROADCAST_ROWS), ["file", "place"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return both.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        if k:
+            free(before)
     return docs

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that a Python worker gets; a longer text is a batch of its own.
@@ -70,6 +70,29 @@ def free(*tables: DataFrame) -> None:
         _drop(t.sparkSession, t._stash)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df's columns as c0, c1 and so on, and the place (file, place) that tells each row from all others, equal ones included.
+
+    The place is that in the files that df is read from; whatever else df is is written first.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not df.inputFiles():
+        plain = stash(plain)
+    return plain.select("*", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    """df with n, the number from 0 of each row among those with its values of by (none of them null). A hot key's rows are numbered in parts.
+
+    The rows are read more than once: pass what gives the same ones each time.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    before = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_row", own).join(before, [*by, "_part"]).withColumn("n", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
 def few(df: DataFrame, bound: int, entries: str | None = None) -> DataFrame:
     """df marked for broadcast if it has no more rows than bound, entries of its array column included; else as it is, to be joined by a shuffle."""
     if entries is None:

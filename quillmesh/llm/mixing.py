@@ -7,8 +7,9 @@ source leave one fraction each, which meet in the next level's groups, and so on
 goes from its largest to its smallest document, so that what is left over at the end, one document of a source, is small.
 
 Edge cases: a null or empty text has the size 0 and is not taken; a null source is a source of its own, last in order;
-sources without words have the target 0; a null doc_id is a document like others; repeated rows are rounded apart; an
-empty table gives no rows; other columns are not read. The choices depend on ids, sizes and the seed only, so reruns agree.
+sources without words have the target 0; a null doc_id is a document like others; rows with one id, text and source are
+numbered copies, rounded apart and dealt to groups of their own; an empty table gives no rows; other columns are not read.
+The choices depend on ids, texts, sources, copy numbers and the seed only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import shared_dir, stash, table
+from quillmesh.llm.common import numbered, shared_dir, stash, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 GROUP, SEED = 200, 20240229
 #: Sources that may be broadcast; beyond that the same join shuffles.
 BROADCAST_SOURCES = 100_000
+#: Parts that sources are sorted in, copies of a row made by one task.
+PARTS, COPIES = 32, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,21 +34,30 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) of sizes (source, size); one row for each source, so its windows are small.
+    """(source, source_size, target) of sizes (source, size, n: how many documents have that size).
 
-    A target is weight * level, or most * source_size if that is less; the level is the one at which all targets sum to
-    share of all sizes. It is found in the order in which rising levels reach the sources' limits.
+    A target is weight * level, or most * source_size if that is less. The level starts where all targets would sum to share
+    of all sizes and rises by what sources above their limit leave, until none is above: each step is one sum over the sources.
+    Sources are sorted in parts, whose sizes tell where each part's numbers begin.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    total = total.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int")))
-    total = total.withColumn("limit", F.lit(most) * F.col("source_size"))
-    up = Window.orderBy(F.col("limit") / F.col("w"), F.col("source").asc_nulls_last())
-    past = F.coalesce(F.sum("limit").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing))
-    level = total.withColumn("all", F.sum("source_size").over(Window.partitionBy())).withColumn("step", F.row_number().over(up)).withColumn("level", (F.lit(share) * F.col("all") - past) / left)
-    first = F.min_by(F.when(F.col("limit") > F.col("w") * F.col("level"), F.col("level")), F.when(F.col("limit") > F.col("w") * F.col("level"), F.col("step"))).over(Window.partitionBy())
-    return level.withColumn("final", first).select("source", "source_size", F.least("limit", F.coalesce(F.col("w") * F.col("final"), F.col("limit"))).alias("target"))
+    total = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    order = F.col("source").asc_nulls_last()
+    parts = stash(total.repartitionByRange(PARTS, order).withColumn("part", F.spark_partition_id()))
+    before = parts.groupBy("part").agg(F.count("*").alias("rows"))
+    before = before.withColumn("before", F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).drop("rows")  # PARTS rows at most
+    number = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (number % len(weights) + 1).cast("int"))
+    goal = stash(parts.join(F.broadcast(before), "part").select("source", "source_size", weight.cast("long").alias("w")))
+
+    level, over = 0.0, -1
+    while True:
+        above = F.lit(most) * F.col("source_size") < F.col("w") * F.lit(level)
+        all_, count, taken, left = goal.agg(F.sum("source_size"), F.count_if(above), F.sum(F.when(above, F.col("source_size"))), F.sum(F.when(~above, F.col("w")))).first()
+        if count == over or not left:
+            break
+        over, level = count, (share * all_ - most * (taken or 0)) / left
+    limit = F.lit(most) * F.col("source_size")
+    return goal.select("source", "source_size", (F.least(limit, F.col("w") * F.lit(level)) if left else limit).alias("target"))
 
 
 def _fold(items: str, level: int, seed: int) -> Column:
@@ -64,26 +76,36 @@ def _fold(items: str, level: int, seed: int) -> Column:
         f"CASE WHEN s.left IS NULL THEN named_struct('done', s.done, 'left', e) ELSE transform(array({both}), b -> "
         f"CASE WHEN {settled} THEN named_struct('done', array_append(s.done, b.x), 'left', b.y) ELSE named_struct('done', array_append(s.done, b.y), 'left', b.x) END)[0] END"
     )
-    kind = "struct<last:bigint,key:bigint,id:bigint,size:bigint,whole:bigint,p:double>"
+    kind = "struct<last:bigint,key:bigint,id:struct<id:bigint,k:bigint,tk:bigint>,size:bigint,whole:bigint,p:double>"
     return F.expr(f"aggregate({items}, named_struct('done', CAST(array() AS array<{kind}>), 'left', CAST(NULL AS {kind})), (s, e) -> {step})")
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for each row of df; see the module's text."""
-    shared_dir(df.sparkSession)
-    sizes = stash(df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), words(F.col(f"`{text}`").cast("string")).alias("size")))
-    goal = stash(targets(sizes, weights, share, most))
+def rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, id, source, size, k, tk) of each row; rows with equal k and tk have one id, text and source."""
+    id_, from_, whole = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{source}`").cast("string"), F.col(f"`{text}`").cast("string")
+    k = F.xxhash64(id_.isNull(), F.coalesce(id_, F.lit(0)), from_.isNull(), F.coalesce(from_, F.lit("")))
+    return df.select(*[F.col(f"`{c}`") for c in keep], id_.alias("id"), from_.alias("source"), words(whole).alias("size"), k.alias("k"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("tk"))
+
+
+def mixed(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """(id: struct<id, k, tk>, size, source, source_size, target, taken): a row for each of sizes, a written table of rows()."""
+    docs = stash(sizes.groupBy("id", "source", "size", "k", "tk").agg(F.count("*").alias("n")))
+    goal = stash(targets(docs, weights, share, most))
     count, sources = sizes.count(), goal.limit(BROADCAST_SOURCES + 1).count()
     by = F.broadcast(goal) if sources <= BROADCAST_SOURCES else goal
+    part = docs.filter(F.col("n") > COPIES).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("k", "tk", "first")
+    part = part.withColumn("n", F.least(F.col("n") - F.col("first"), F.lit(COPIES).cast("long"))).unionByName(docs.filter(F.col("n") <= COPIES).withColumn("first", F.lit(0).cast("long")))
+    docs = part.withColumn("copy", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).drop("n", "first")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    docs = sizes.join(by.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("times", times + 1e-12)
+    docs = docs.join(by.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("times", times + 1e-12)
     docs = docs.withColumn("whole", F.floor("times")).withColumn("p", F.col("times") - F.col("whole")).withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
+    key = F.xxhash64("k", "tk", "copy", F.lit(seed))
+    docs = docs.select("source", "source_size", "target", "size", "whole", "p", key.alias("key"), F.struct("id", "k", "tk").alias("id"))
     plain = (F.col("p") == 0) | (F.col("size") == 0)
     settled = docs.filter(plain).select("id", "size", "source", "source_size", "target", (F.col("whole") * F.col("size")).alias("taken"))
 
     groups = max(1, -(-count // GROUP))
-    key = F.xxhash64("id", "size", F.lit(seed))
-    items = docs.filter(~plain).select("source", "source_size", "target", F.pmod(key, F.lit(groups)).alias("g"), F.struct((-F.col("size")).alias("last"), key.alias("key"), "id", "size", "whole", "p").alias("item"))
+    items = docs.filter(~plain).select("source", "source_size", "target", F.pmod("key", F.lit(groups)).alias("g"), F.struct((-F.col("size")).alias("last"), "key", "id", "size", "whole", "p").alias("item"))
     level = 0
     while True:
         node = items.groupBy("source", "source_size", "target", "g").agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -94,7 +116,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
         if groups == 1:
             u = (F.xxhash64("item.key", F.lit(level + 1), F.lit(seed)).bitwiseAND(F.lit(9007199254740991))) / F.lit(9007199254740992.0)
             last = left.select("source", "source_size", "target", F.struct("item.id", "item.size", "item.whole", F.when(u < F.col("item.p"), 1.0).otherwise(0.0).alias("p")).alias("d"))
-            return settled.unionByName(_taken(last)).select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
+            return settled.unionByName(_taken(last))
         groups, level = max(1, -(-groups // GROUP)), level + 1
         items = left.withColumn("g", F.pmod(F.col("g"), F.lit(groups)))
 
@@ -104,5 +126,25 @@ def _taken(done: DataFrame) -> DataFrame:
     return d.select("id", "size", "source", "source_size", "target", ((F.col("whole") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
 
 
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) for each row of df; see the module's text."""
+    shared_dir(df.sparkSession)
+    made = mixed(stash(rows(df, doc_id, text, source)), weights, share, most, seed)
+    return made.select(F.col("id.id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
+
+
+def times(df: DataFrame, places: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(*places, times) of the rows of df that the mix takes, by the columns places that tell rows apart: equal rows share what they are taken in all."""
+    shared_dir(df.sparkSession)
+    told = stash(rows(df, doc_id, text, source, places))
+    taken = mixed(told).filter("taken > 0").groupBy("id.k", "id.tk").agg(F.sum(F.expr("taken DIV size")).alias("times"))
+    copies = told.groupBy("k", "tk").agg(F.count("*").alias("copies"))
+    both = stash(copies.join(taken, ["k", "tk"]))
+    own = stash(told.filter("size > 0").select(*places, "k", "tk").join(both, ["k", "tk"]))
+    many = numbered(own.filter("copies > 1"), ["k", "tk"], list(places))
+    part = F.expr("times DIV copies") + F.when(F.col("n") < F.expr("times % copies"), 1).otherwise(0)
+    return own.filter("copies = 1").select(*places, "times").unionByName(many.select(*places, part.cast("long").alias("times"))).filter("times > 0")
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

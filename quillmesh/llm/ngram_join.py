@@ -40,6 +40,9 @@ SEEDS = (17, 71)
 #: Bits of the bitmap that tells n-grams of one row: a constant (2 MB).
 BITMAP_BITS = 24
 
+#: What tells rows apart that have one id and text.
+ROW = "struct<file:long,place:long>"
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -88,7 +91,7 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(id, key, n, sig, parity, prefix, tk) of each row: the set's size, fingerprint, parity bitmap and first n-grams in the global order."""
+    """(id, key, n, sig, parity, prefix, row) of each row: the set's size, fingerprint, parity bitmap and first n-grams in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches, 2):
@@ -103,9 +106,9 @@ def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> Dat
                 prefix.append(h[np.lexsort((h, classes[_buckets(h)]))[: len(h) - least + 1]].view(np.int64) if len(h) else h.view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "tk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "row"])
 
-    return docs.select("id", "key", "text", "tk").mapInArrow(run, "id long, key long, n long, sig long, parity array<long>, prefix array<long>, tk long")
+    return docs.select("id", "key", "text", "row").mapInArrow(run, f"id long, key long, n long, sig long, parity array<long>, prefix array<long>, row {ROW}")
 
 
 def _fragments(docs: DataFrame, words: int) -> DataFrame:
@@ -193,13 +196,13 @@ def _apart(shared: DataFrame, joined: DataFrame) -> DataFrame:
     return stash(member.join(stash(parts.filter("parts > 1").select("gram", "main")), "gram"))
 
 
-def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, key, tk, n, sig) of each row of df, and (sig, root, component_id) of each set that is not empty."""
+def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, sig, row) of each row of df, and (sig, root, component_id) of each set that is not empty."""
     spark = df.sparkSession
     small_batches(spark)
     shared_dir(spark)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text")).withColumn("tk", F.xxhash64("text")).withColumn("key", F.coalesce("id", "tk"))
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text"), (F.lit(None) if row is None else row).cast(ROW).alias("row")).withColumn("key", F.coalesce("id", F.xxhash64("text")))
     sets = stash(_sets(docs, words, percent, _commonness(docs, words)))
     nodes = stash(sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
     parities = stash(sets.select("sig", "key", "parity").join(nodes.select("sig", "key"), ["sig", "key"]).select("sig", "parity"))
@@ -246,21 +249,19 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return sets.filter("n > 0").join(named.drop("root"), "sig").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
-def surplus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, tk, gone): rows of df (by suffix_dedup.keys) that go (gone), or of whose copies one stays, so that each component keeps one row.
+def surplus(df: DataFrame, doc_id: str, text: str, file: str = "file", place: str = "place", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(file, place): the rows of df, told apart by these two columns, that go so that each component keeps one row.
 
-    That row has the smallest id, a null one last, and then the smallest hash of its text. Empty sets are components of their
-    own: those of one id and text keep one row, and those without an id all stay.
+    That row has the smallest id, a null one last, and then the first place. Empty sets are components of their own: those
+    of one id keep one row, and those without an id all stay.
     """
-    sets, named = _resolved(df, doc_id, text, words, percent)
-    copies = sets.groupBy("id", "key", "tk", "n", "sig").agg(F.count("*").alias("rows"))
-    member = stash(copies.filter("n > 0").join(named, "sig").select("root", "id", "key", "tk", "rows"))
-    one = F.struct(F.col("id").isNull(), "id", "key", "tk")
-    best = stash(member.groupBy("root").agg(F.min(one).alias("one"), F.count("*").alias("members")).filter("members > 1").select("root", F.col("one.key").alias("k"), F.col("one.tk").alias("t")))
-    gone = stash(member.join(few(best, BROADCAST_KEYS), "root").filter("key <> k OR tk <> t").select("key", "tk", F.lit(True).alias("gone")))
-    twice = member.filter("rows > 1").unionByName(copies.filter("n = 0 AND rows > 1 AND id IS NOT NULL").select(F.lit(None).cast("long").alias("root"), "id", "key", "tk", "rows"))
-    twice = twice.select("key", "tk", F.lit(False).alias("gone"))
-    return twice.join(gone.select("key", "tk"), ["key", "tk"], "left_anti").unionByName(gone)
+    sets, named = _resolved(df, doc_id, text, words, percent, F.struct(F.col(file).alias("file"), F.col(place).alias("place")))
+    member = sets.filter("n > 0").join(named, "sig").select("root", "id", "row")
+    alone = sets.filter("n = 0 AND id IS NOT NULL").select(F.xxhash64("id", F.lit("empty")).alias("root"), "id", "row")
+    member = stash(member.unionByName(alone))
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("kept"), F.count("*").alias("rows"))
+    best = stash(best.filter("rows > 1").select("root", "kept"))
+    return member.join(few(best, BROADCAST_KEYS), "root").filter("row <> kept").select("row.file", "row.place")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import shared_dir, small_batches, stash, table
+from quillmesh.llm.common import numbered, shared_dir, small_batches, stash, table
 
 CAPACITY, END = 2048, 0
 #: The tokenizer, and its vocabulary as ranks: the same ids (tests compare both), several times as fast.
@@ -206,13 +206,9 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = max(PARTS, -(-sum(lengths.values()) // ROWS))
     goal = spark.createDataFrame(places(pack(lengths, capacity)) if lengths else [], "_length long, _low long, _high long, _base long, offset long")
     place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
-    dealt = cut.select("*", *place).withColumn("_part", F.pmod(F.xxhash64("_file", "_place"), F.lit(parts)))
-    before = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
-    number = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_file", "_place")) - 1
-    numbered = dealt.withColumn("_row", number).join(before, ["length", "_part"]).withColumn("_at", F.col("_row") + F.col("_before"))
+    dealt = numbered(cut.select("*", *place), ["length"], ["_file", "_place"], parts).withColumnRenamed("n", "_at")
     here = (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
-    return numbered.join(F.broadcast(goal), here).select(*cut.columns, (F.col("_base") + F.col("_at") - F.col("_low")).alias("sequence_id"), "offset")
+    return dealt.join(F.broadcast(goal), here).select(*cut.columns, (F.col("_base") + F.col("_at") - F.col("_low")).alias("sequence_id"), "offset")
 
 
 def pack_documents(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:

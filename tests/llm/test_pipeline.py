@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from quillmesh.llm import mixing
 
 from . import brute
 
@@ -80,3 +81,45 @@ def test_repeated_rows_and_null_ids_stay_once(spark):
     cut = P.stash(P.repeated_passages(spark, got, ""))
     assert sorted((r.doc_id or -1, r.text or "") for r in cut.collect()) == texts
     assert {r.doc_id for r in P.mixture(spark, cut, "").collect()} >= {1, 2, 7}
+
+
+EXTRA = {"key": "k", "tk": "t", "score": "s", "predicted": "p", "_times": "x", "copy": "c", "file": "f", "place": "q", "size": "z", "_copy": "y"}
+
+
+def test_repeated_ids_bulk_null_ids_and_clashing_columns(spark, tmp_path):
+    """All stages on a table that is written once and holds rows with one id, equal rows without an id, very long texts and every name used inside."""
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    a, b, long = text(50), text(50), text(60_000)
+    rows = [(5, a, "s"), (5, b, "s"), (3, a, "s"), (8, long, "t"), (None, long + " end", "t"), (9, None, None), (9, None, None)]
+    rows += [(None, None, "s")] * 3 + [(100 + i, text(20), rng.choice(["s", "t", None])) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], DOC).withColumns({c: F.lit(v) for c, v in EXTRA.items()})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = P.stash(P.toxicity(spark, docs, str(tmp_path)))
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    once = P.stash(P.near_duplicates(spark, kept, ""))
+    got = [(r.doc_id, r.text) for r in once.collect()]
+    assert once.columns == docs.columns and all(r[c] == v for r in once.collect() for c, v in EXTRA.items())
+    want = [(5, b), (3, a), (8, long), (9, None)] + [(None, None)] * 3 + [(i, t) for i, t, _ in rows if i and i >= 100]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    cut = P.stash(P.repeated_passages(spark, once, ""))
+    assert cut.columns == docs.columns and sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(want, key=str)
+    last = P.mixture(spark, cut, "")
+    assert last.columns == docs.columns and all(r[c] == v for r in last.collect() for c, v in EXTRA.items())
+
+
+def test_mixture_takes_equal_rows_as_often_as_the_operator(spark):
+    rows = [(None, "one two three", "a")] * 100 + [(7, "four five", "b")] * 31 + [(i, f"w{i} x y", "a") for i in range(50)] + [(None, f"z{i} x", "b") for i in range(40)] + [(None, "u v", None)] * 9
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOC)
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    got = P.stash(P.mixture(spark, docs, "")).collect()
+    have = {}
+    for r in got:
+        have[r.source] = have.get(r.source, 0) + len(r.text.split())
+    assert have == {s: n for s, n in want.items() if n}
+    count = {}
+    for r in got:
+        count[(r.doc_id, r.text)] = count.get((r.doc_id, r.text), 0) + 1
+    assert all(n <= 2 * rows.count((i, t, s)) for (i, t), n in count.items() for s in {x for y, z, x in rows if (y, z) == (i, t)})
