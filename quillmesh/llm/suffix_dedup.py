@@ -1,12 +1,13 @@
 """Operator 10, suffix-array dedup: the bytes covered by strings of `width` bytes that start anywhere else too.
 
-Distributed prefix doubling. A suffix array over all positions of a corpus would be many times its size, so positions are
-carried in ranges: of each string of `width` bytes the least of its inner k-grams (by hash, the leftmost of equals) is its
-anchor, which depends on the string alone. Strings with one anchor form a range of starts that is carried as one position.
-Round 1 ranks the anchors by their k-grams; rounds 2 and 3 rank pairs of (rank so far, rank of what lies at the growing
-offsets on both sides) for ever smaller ranges, until a single string of `width` bytes is left. After each round Spark
-groups the ranks, and positions whose rank is unique leave. A range whose hull (all its strings together) is repeated is
-past the threshold and done. A rank is a 64-bit fingerprint: only equality of ranks matters here, not their order.
+Distributed prefix doubling over a sparse suffix array. One of all positions of a corpus would be many times its size, so
+positions are carried in ranges: of each string of `width` bytes the least of its inner k-grams (by hash, the leftmost of
+equals) is its anchor, which depends on the string alone. Strings with one anchor form a range of starts that is carried as
+one position. In each round Spark sorts pairs of a position's rank so far and what lies at the next, larger offsets on both
+sides of it, and the place of a pair among the sorted ones is the position's new rank (ranks.rerank); positions whose rank is
+theirs alone leave. Ranked lengths grow from GRAM bytes at the anchor to the 150 bytes that all strings of a third of the
+range share, then to the 250 that they cover together: where these are repeated the range is past the threshold and done.
+What is left are the ends of repeats: their single strings of `width` bytes are ranked last.
 
 Edge cases: null and empty texts, and texts shorter than width, lose nothing; matches never cross rows; overlapping
 matches inside a text count; repeated rows are copies of each other and lose all if long enough; a null or repeated id
@@ -25,7 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import M64, Rolling, few, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import M64, Rolling, few, free, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.ranks import rerank
 
 WIDTH = 200
 #: Length of the k-grams that anchors start with, and how many starts share a block in round 2.
@@ -65,15 +67,17 @@ def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
     return place[new], rank[new], low[new], high[np.append(new[1:], len(place))[: len(new)] - 1]
 
 
-def blocks(data: np.ndarray, kept: np.ndarray, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, ...]:
-    """Round 2, for the anchors at the places kept: first and last start of each block, and the ranks of its hull and its core.
+def blocks(data: np.ndarray, kept: np.ndarray, ranks: np.ndarray, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """For the anchors at the places kept, with their ranks: first and last start of each block of starts, where those of the text begin and end, the rank, and what core and hull hold.
 
     A block holds the starts that lie between b * block and (b + 1) * block - 1 bytes before the anchor. Its core is what
-    all its strings share, its hull what they cover together. A hull that the text's ends cut gets the rank 0.
+    all its strings share, its hull what they cover together. A hull that the text's ends cut is given as 0.
     """
-    place, rank, low, high = anchors(data, width, gram)
-    use = np.isin(place, kept)
-    place, rank, low, high = place[use], rank[use], low[use], high[use]
+    place, _, low, high = anchors(data, width, gram)
+    order = np.argsort(kept, kind="stable")
+    at = np.searchsorted(kept[order], place)
+    use = (at < len(kept)) & (kept[order][np.minimum(at, len(kept) - 1)] == place)
+    place, low, high, rank = place[use], low[use], high[use], ranks[order][at[use]]
     found, sums = [], Rolling(data)
     for b in range(-(-(width - gram + 1) // block)):
         near, far = b * block, min((b + 1) * block, width - gram + 1) - 1
@@ -83,22 +87,24 @@ def blocks(data: np.ndarray, kept: np.ndarray, width: int = WIDTH, gram: int = G
         whole = (i - far >= 0) & (i - near + width <= len(data))
         hull = np.zeros(len(i), np.uint64)
         hull[whole] = mix64(sums.at(i[whole] - far, i[whole] - near + width) + salt)
-        core = mix64(rank[here] * np.uint64(0x9FB21C651E98DF25) + sums.at(i - near, i - far + width) + salt)
-        found.append((i - far, i - near, start[here], end[here], hull, core))
+        found.append((i - far, i - near, start[here], end[here], rank[here], mix64(sums.at(i - near, i - far + width) + salt), hull))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def covered(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The maximal runs that spans (start, end) cover of n bytes."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((max(0, s), min(n, e)) for s, e in spans):
-        if s >= e:
-            continue
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def covered(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that spans [start, end) of each owner cover, in order; spans that touch make one run. Owners count from 0."""
+    start = np.maximum(start, 0)
+    use = start < end
+    owner, start, end = owner[use], start[use], end[use]
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    if not len(owner):
+        return owner, start, end
+    far = np.int64(max(int(end.max()), 0) + 2)
+    reach = np.maximum.accumulate(end + owner * far)  # a place of one line on which owners follow each other
+    first = np.concatenate([[True], (start + owner * far)[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(first)[1:], len(owner)) - 1
+    return owner[first], start[first], reach[last] - owner[last] * far
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -118,47 +124,55 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
-def _ranked(docs: DataFrame, width: int) -> DataFrame:
-    """Round 1: (rank, key, place) of each anchor of docs (key, text)."""
+def _grams(docs: DataFrame, width: int) -> DataFrame:
+    """(gram, key, tk, place) of each anchor of docs (key, tk, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank, key, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            count, found = [], [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
+            for v in b.column(2):
                 at, r, _, _ = anchors(np.frombuffer((v.as_py() or "").encode(), np.uint8), width)
-                rank.append(r)
-                key.append(np.full(len(r), k))
-                place.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rank).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(place).astype(np.int32))], names=["rank", "key", "place"])
+                count.append(len(at))
+                found[0].append(r)
+                found[1].append(at)
+            gram, place = (np.concatenate(x) for x in found)
+            own = [pa.array(np.repeat(b.column(i).to_numpy(), count)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *own, pa.array(place.astype(np.int32))], names=["gram", "key", "tk", "place"])
 
-    return docs.select("key", "text").mapInArrow(run, "rank long, key long, place int")
+    return docs.select("key", "tk", "text").mapInArrow(run, "gram long, key long, tk long, place int")
 
 
-BLOCKS = "array<struct<first:int,last:int,start:int,end:int,hull:long,core:long>>"
+BLOCKS = "array<struct<first:int,last:int,start:int,end:int,rank:long,core:long,hull:long>>"
+_BLOCK = ["first", "last", "start", "end", "rank", "core", "hull"]
 
 
 def _blocked(docs: DataFrame, width: int) -> DataFrame:
-    """Round 2 for docs (..., key, tk, z, places): n_bytes, the whole text's digest and the blocks; z only where there are blocks."""
+    """For docs (..., key, tk, z, places): n_bytes, the whole text's digest and the blocks; z only where there are blocks.
+
+    A last start that the text's end cuts is moved to the last one there is; a cut hull is told from all but those of equal rows.
+    """
     names = docs.columns
     rest = [c for c in names if c not in ("z", "places")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, sha, z, parts, ends = [], [], [], [[] for _ in range(6)], [0]
-            for packed, places in zip(b.column(names.index("z")), b.column(names.index("places")), strict=True):
+            size, sha, z, parts, ends = [], [], [], [[] for _ in _BLOCK], [0]
+            for packed, places, key, tk in zip(*(b.column(names.index(c)) for c in ("z", "places", "key", "tk")), strict=True):
                 data, found = _unpack(packed.as_py()), 0
                 size.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
                 if places.is_valid:
-                    got = blocks(np.frombuffer(data, np.uint8), places.values.to_numpy(), width)
-                    found = len(got[0])
+                    first, last, start, end, rank, core, hull = blocks(np.frombuffer(data, np.uint8), *(places.values.field(i).to_numpy() for i in (0, 1)), width)
+                    own = mix64(mix64(np.uint64(key.as_py() & M64) + mix64(np.uint64([tk.as_py() & M64]))) + (first + (1 << 31) << 32 | start).astype(np.uint64))
+                    got = (first, np.minimum(last, len(data) - width), start, end, rank, core.view(np.int64), np.where(hull == 0, own, hull).view(np.int64))
+                    found = len(first)
                     for x, y in zip(parts, got, strict=True):
                         x.append(y)
                 z.append(packed.as_py() if found else None)
                 ends.append(ends[-1] + found)
-            made = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts]
-            fields = [pa.array(x.astype(np.int32)) for x in made[:4]] + [pa.array(x.astype(np.uint64).view(np.int64)) for x in made[4:]]
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "start", "end", "hull", "core"]))
+            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts]
+            fields = [pa.array(x.astype(np.int32)) for x in made[:4]] + [pa.array(x.astype(np.int64)) for x in made[4:]]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, _BLOCK))
             yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)) for c in rest], pa.array(size, pa.int64()), pa.array(sha), pa.array(z, pa.binary()), listed], names=[*rest, "n_bytes", "sha", "z", "blocks"])
 
     kinds = dict(docs.dtypes)
@@ -166,16 +180,19 @@ def _blocked(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _single(docs: DataFrame, width: int) -> DataFrame:
-    """Round 3 for docs (key, tk, z, ranges): the rank of each string of width bytes that starts in the ranges."""
+    """For docs (key, tk, z, ranges): each start in the ranges, with the range's rank and what the string of width bytes holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t, z, ranges in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                sums = Rolling(np.frombuffer(_unpack(z), np.uint8))
-                p = np.unique(np.concatenate([np.arange(r["start"], r["end"] + 1) for r in ranges]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), k)), pa.array(np.full(len(p), t)), pa.array(p.astype(np.int32)), pa.array(sums.at(p, p + width).view(np.int64))], names=["key", "tk", "start", "rank"])
+            for k, t, z, ranges in zip(*(b.column(i) for i in range(4)), strict=True):
+                sums = Rolling(np.frombuffer(_unpack(z.as_py()), np.uint8))
+                start, end, rank = (ranges.values.field(i).to_numpy().astype(np.int64) for i in range(3))
+                count = end - start + 1
+                p = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                made = [pa.array(np.full(len(p), k.as_py())), pa.array(np.full(len(p), t.as_py())), pa.array(p.astype(np.int32)), pa.array(np.repeat(rank, count)), pa.array(sums.at(p, p + width).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(made, names=["key", "tk", "start", "rank", "text"])
 
-    return docs.select("key", "tk", "z", "ranges").mapInArrow(run, "key long, tk long, start int, rank long")
+    return docs.select("key", "tk", "z", "ranges").mapInArrow(run, "key long, tk long, start int, rank long, text long")
 
 
 SPANS = "array<struct<s:int,e:int>>"
@@ -185,10 +202,13 @@ def _merged(spans: DataFrame) -> DataFrame:
     """spans (key, tk, spans) with overlapping and touching spans made one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for b in batches:
-            made = [[{"s": s, "e": e} for s, e in covered(1 << 31, [(x["s"], x["e"]) for x in row])] for row in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, kind)], names=["key", "tk", "spans"])
+            listed = b.column(2)
+            flat, sizes = listed.flatten(), np.diff(listed.offsets.to_numpy())
+            owner, s, e = covered(np.repeat(np.arange(len(sizes)), sizes), *(flat.field(i).to_numpy().astype(np.int64) for i in (0, 1)))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["s", "e"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["key", "tk", "spans"])
 
     return spans.select("key", "tk", "spans").mapInArrow(run, f"key long, tk long, spans {SPANS}")
 
@@ -207,25 +227,27 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_rest"), whole.alias("text"))
     docs = keys(docs, "_id").select("_id", "_rest", "key", "tk", "text")
 
-    ranked = _ranked(docs.filter(F.octet_length("text") >= width), width)
-    twice = stash(ranked.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))  # written, so that the join has its own exchange, of which hot ranks can be split
-    places = ranked.join(twice, "rank").groupBy("key").agg(F.collect_set("place").alias("places"))
-    held = stash(_blocked(_packed(docs).join(places, "key", "left").select("_id", "_rest", "key", "tk", "z", "places"), width))
-
-    part = held.select("key", "tk", "n_bytes", F.explode("blocks").alias("b")).select("key", "tk", "n_bytes", "b.*")
-    part = part.withColumn("last", F.least("last", F.col("n_bytes").cast("int") - width)).drop("n_bytes")
-    part = part.withColumn("hull", F.when(F.col("hull") == 0, F.xxhash64("key", "tk", "first", "start")).otherwise(F.col("hull")))  # blocks of two anchors may have one first, but not one start
-    hulls = stash(part.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "tk", "first")).alias("one")).filter("n > 1"))
-    part = stash(part.join(hulls, "hull", "left").select("key", "tk", "first", "last", "start", "end", "core", F.col("n").isNotNull().alias("done"), (F.struct("key", "tk", "first") == F.col("one")).alias("one")))
-    open_ = part.filter("NOT done OR one")
-    cores = stash(open_.groupBy("core").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("core"))
-    ranges = stash(open_.join(cores, "core").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
+    grams = stash(_grams(docs.filter(F.octet_length("text") >= width), width))
+    ranked = rerank(grams, [["gram"]], ["key", "tk", "place"])
+    places = stash(ranked.groupBy("key", "tk").agg(F.collect_set(F.struct("place", F.col("rank0").alias("rank"))).alias("places")))
+    free(grams, ranked)
+    held = stash(_blocked(_packed(docs).join(places, ["key", "tk"], "left").select("_id", "_rest", "key", "tk", "z", "places"), width))
+    free(places)
+
+    part = held.select("key", "tk", F.explode("blocks").alias("b")).select("key", "tk", "b.*")
+    part = rerank(part, [["rank", "core"], ["hull"]], ["key", "tk", "first", "start"])
+    done = stash(part.filter("many1").groupBy("key", "tk").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + width).alias("e"))).alias("spans")))
+    open_ = stash(part.filter("NOT many1 OR head").select("key", "tk", "start", "end", F.col("rank0").alias("rank"), F.col("many1").alias("done")))
+    free(part)
+    ranks = stash(open_.groupBy("rank").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("rank"))
+    ranges = stash(open_.join(ranks, "rank").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end", "rank")).alias("ranges")))
     single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(few(ranges, BROADCAST_ROWS, "ranges"), ["key", "tk"]), width))
-    same = stash(single.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))
-
-    spans = part.filter("done").select("key", "tk", F.col("first").alias("s"), (F.col("last") + width).alias("e"))
-    spans = spans.unionByName(single.join(same, "rank").select("key", "tk", F.col("start").alias("s"), (F.col("start") + width).alias("e")))
-    spans = stash(_merged(spans.groupBy("key", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))))
+    free(open_, ranks, ranges)
+    last = rerank(single, [["rank", "text"]], ["key", "tk", "start"])
+    ends = last.groupBy("key", "tk").agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + width).alias("e"))).alias("spans"))
+    spans = done.unionByName(ends).groupBy("key", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = stash(_merged(spans))
+    free(done, single, last)
     return held.drop("blocks").join(few(spans, BROADCAST_ROWS, "spans"), ["key", "tk"], "left").select(F.col("_id").alias("doc_id"), "key", "tk", *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "n_bytes", "sha", "z", "spans")
 
 
