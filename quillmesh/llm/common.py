@@ -64,9 +64,23 @@ def stash(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return made
 
 
+def bucketed(df: DataFrame, by: list[str]) -> DataFrame:
+    """The same as a table in buckets by those columns, as many as shuffles have partitions: joins on them don't shuffle it again."""
+    spark = df.sparkSession
+    name = f"quillmesh_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/stash-{name}"
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).saveAsTable(name)
+    atexit.register(_drop, spark, path)
+    made = spark.table(name)
+    made._stash, made._table = path, name
+    return made
+
+
 def free(*tables: DataFrame) -> None:
-    """Deletes tables that stash wrote. Call it once all that reads them is written itself: what is lost later could not be made again."""
+    """Deletes tables that stash and bucketed wrote. Call it once all that reads them is written itself: what is lost later could not be made again."""
     for t in tables:
+        if name := getattr(t, "_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         _drop(t.sparkSession, t._stash)
 
 

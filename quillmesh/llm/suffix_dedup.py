@@ -10,9 +10,10 @@ range share, then to the 250 that they cover together: where these are repeated
 What is left are the ends of repeats: their single strings of `width` bytes are ranked last.
 
 Edge cases: null and empty texts, and texts shorter than width, lose nothing; matches never cross rows; overlapping
-matches inside a text count; repeated rows are copies of each other and lose all if long enough; a null or repeated id
-does no harm; a removed span may cut a UTF-8 character, whose rest is left out of the kept text (not of the kept bytes);
-an empty table gives no rows; extra columns are kept only if asked for, under their own names.
+matches inside a text count; repeated rows are copies of each other and lose all if long enough; rows are told apart by
+their places, so null and repeated ids do no harm; a removed span may cut a UTF-8 character, whose rest is left out of the
+kept text (not of the kept bytes); an empty table gives no rows; extra columns are kept only if asked for, under their own
+names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import M64, Rolling, few, free, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import M64, Rolling, bucketed, free, mix64, placed, shared_dir, small_batches, stash, table
 from quillmesh.llm.ranks import rerank
 
 WIDTH = 200
@@ -34,8 +35,8 @@ WIDTH = 200
 GRAM, BLOCK = 50, 51
 #: Bytes worked on at once; an anchor's place must fit 24 bits.
 SEGMENT = 1 << 21
-#: Documents, with their ranges or spans, that may be broadcast (some 50 bytes each); beyond that the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: What tells rows apart.
+ROW = ["file", "place"]
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -108,12 +109,12 @@ def covered(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """docs with the text as compressed bytes (z), which halves what later shuffles write."""
+    """docs (..., text) with the text as compressed bytes (z, null for null), which halves what later steps write."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = pa.array([tool.compress((v.as_py() or "").encode()) for v in b.column(b.num_columns - 1)], pa.binary())
+            z = pa.array([tool.compress(v.as_py().encode()) if v.is_valid else None for v in b.column(b.num_columns - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], names=[*b.schema.names[:-1], "z"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
@@ -125,7 +126,7 @@ def _unpack(z: bytes) -> bytes:
 
 
 def _grams(docs: DataFrame, width: int) -> DataFrame:
-    """(gram, key, tk, place) of each anchor of docs (key, tk, text)."""
+    """(gram, file, place, at) of each anchor of docs (file, place, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,40 +136,41 @@ def _grams(docs: DataFrame, width: int) -> DataFrame:
                 count.append(len(at))
                 found[0].append(r)
                 found[1].append(at)
-            gram, place = (np.concatenate(x) for x in found)
+            gram, at = (np.concatenate(x) for x in found)
             own = [pa.array(np.repeat(b.column(i).to_numpy(), count)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *own, pa.array(place.astype(np.int32))], names=["gram", "key", "tk", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *own, pa.array(at.astype(np.int32))], names=["gram", *ROW, "at"])
 
-    return docs.select("key", "tk", "text").mapInArrow(run, "gram long, key long, tk long, place int")
+    return docs.select(*ROW, "text").mapInArrow(run, "gram long, file long, place long, at int")
 
 
 BLOCKS = "array<struct<first:int,last:int,start:int,end:int,rank:long,core:long,hull:long>>"
 _BLOCK = ["first", "last", "start", "end", "rank", "core", "hull"]
 
 
-def _blocked(docs: DataFrame, width: int) -> DataFrame:
-    """For docs (..., key, tk, z, places): n_bytes, the whole text's digest and the blocks; z only where there are blocks.
+def _blocked(docs: DataFrame, width: int, whole: bool) -> DataFrame:
+    """For docs (..., file, place, z, anchors): n_bytes, the whole text's digest and the blocks; z only where there are blocks, unless whole.
 
-    A last start that the text's end cuts is moved to the last one there is; a cut hull is told from all but those of equal rows.
+    A last start that the text's end cuts is moved to the last one there is; a cut hull is told from all others.
     """
     names = docs.columns
-    rest = [c for c in names if c not in ("z", "places")]
+    rest = [c for c in names if c not in ("z", "anchors")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, sha, z, parts, ends = [], [], [], [[] for _ in _BLOCK], [0]
-            for packed, places, key, tk in zip(*(b.column(names.index(c)) for c in ("z", "places", "key", "tk")), strict=True):
+            for packed, held, file, place in zip(*(b.column(names.index(c)) for c in ("z", "anchors", *ROW)), strict=True):
                 data, found = _unpack(packed.as_py()), 0
                 size.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
-                if places.is_valid:
-                    first, last, start, end, rank, core, hull = blocks(np.frombuffer(data, np.uint8), *(places.values.field(i).to_numpy() for i in (0, 1)), width)
-                    own = mix64(mix64(np.uint64(key.as_py() & M64) + mix64(np.uint64([tk.as_py() & M64]))) + (first + (1 << 31) << 32 | start).astype(np.uint64))
+                if held.is_valid:
+                    first, last, start, end, rank, core, hull = blocks(np.frombuffer(data, np.uint8), *(held.values.field(i).to_numpy() for i in (0, 1)), width)
+                    row = np.array([file.as_py() & M64, place.as_py()], np.uint64)
+                    own = mix64(mix64(row[:1] + mix64(row[1:])) + (first + (1 << 31) << 32 | start).astype(np.uint64))
                     got = (first, np.minimum(last, len(data) - width), start, end, rank, core.view(np.int64), np.where(hull == 0, own, hull).view(np.int64))
                     found = len(first)
                     for x, y in zip(parts, got, strict=True):
                         x.append(y)
-                z.append(packed.as_py() if found else None)
+                z.append(packed.as_py() if found or whole else None)
                 ends.append(ends[-1] + found)
             made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts]
             fields = [pa.array(x.astype(np.int32)) for x in made[:4]] + [pa.array(x.astype(np.int64)) for x in made[4:]]
@@ -180,26 +182,26 @@ def _blocked(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _single(docs: DataFrame, width: int) -> DataFrame:
-    """For docs (key, tk, z, ranges): each start in the ranges, with the range's rank and what the string of width bytes holds."""
+    """For docs (file, place, z, ranges): each start in the ranges, with the range's rank and what the string of width bytes holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t, z, ranges in zip(*(b.column(i) for i in range(4)), strict=True):
+            for file, place, z, ranges in zip(*(b.column(i) for i in range(4)), strict=True):
                 sums = Rolling(np.frombuffer(_unpack(z.as_py()), np.uint8))
                 start, end, rank = (ranges.values.field(i).to_numpy().astype(np.int64) for i in range(3))
                 count = end - start + 1
                 p = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                made = [pa.array(np.full(len(p), k.as_py())), pa.array(np.full(len(p), t.as_py())), pa.array(p.astype(np.int32)), pa.array(np.repeat(rank, count)), pa.array(sums.at(p, p + width).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(made, names=["key", "tk", "start", "rank", "text"])
+                made = [pa.array(np.full(len(p), file.as_py())), pa.array(np.full(len(p), place.as_py())), pa.array(p.astype(np.int32)), pa.array(np.repeat(rank, count)), pa.array(sums.at(p, p + width).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(made, names=[*ROW, "start", "rank", "string"])
 
-    return docs.select("key", "tk", "z", "ranges").mapInArrow(run, "key long, tk long, start int, rank long, text long")
+    return docs.select(*ROW, "z", "ranges").mapInArrow(run, "file long, place long, start int, rank long, string long")
 
 
 SPANS = "array<struct<s:int,e:int>>"
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """spans (key, tk, spans) with overlapping and touching spans made one."""
+    """spans (file, place, spans) with overlapping and touching spans made one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,88 +210,78 @@ def _merged(spans: DataFrame) -> DataFrame:
             owner, s, e = covered(np.repeat(np.arange(len(sizes)), sizes), *(flat.field(i).to_numpy().astype(np.int64) for i in (0, 1)))
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
             made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["s", "e"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["key", "tk", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=[*ROW, "spans"])
 
-    return spans.select("key", "tk", "spans").mapInArrow(run, f"key long, tk long, spans {SPANS}")
+    return spans.select(*ROW, "spans").mapInArrow(run, f"file long, place long, spans {SPANS}")
 
 
-def keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the two columns that tell its rows apart here: tk, a hash of the text, and key, the id or else tk."""
-    return df.withColumn("tk", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).withColumn("key", F.coalesce(F.col(f"`{doc_id}`").cast("long"), "tk"))
+def repeated_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, whole: bool = False) -> DataFrame:
+    """(rest: struct<k0, k1, ...> of the columns kept, n_bytes, sha, z, spans): of each row the spans of its bytes that are covered.
 
-
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
-    """(doc_id, key, tk, *keep, n_bytes, sha, z, spans): of each row the spans of its bytes that are covered; z is the packed text where there may be any."""
-    spark = df.sparkSession
-    small_batches(spark)
-    shared_dir(spark)
-    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_rest"), whole.alias("text"))
-    docs = keys(docs, "_id").select("_id", "_rest", "key", "tk", "text")
+    z is the packed text, where there may be spans or, if whole, wherever there is a text. Texts are shuffled once, to lie in
+    buckets by row; what later rounds find is shuffled to them.
+    """
+    small_batches(df.sparkSession)
+    shared_dir(df.sparkSession)
+    docs = placed(df)
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"c{df.columns.index(c)}").alias(f"k{i}") for i, c in enumerate(keep)])
+    docs = docs.select(rest.alias("rest"), *ROW, F.col(f"c{df.columns.index(text)}").cast("string").alias("text"))
 
     grams = stash(_grams(docs.filter(F.octet_length("text") >= width), width))
-    ranked = rerank(grams, [["gram"]], ["key", "tk", "place"])
-    places = stash(ranked.groupBy("key", "tk").agg(F.collect_set(F.struct("place", F.col("rank0").alias("rank"))).alias("places")))
+    ranked = rerank(grams, [["gram"]], [*ROW, "at"])
+    anchored = stash(ranked.groupBy(*ROW).agg(F.collect_list(F.struct("at", F.col("rank0").alias("rank"))).alias("anchors")))
     free(grams, ranked)
-    held = stash(_blocked(_packed(docs).join(places, ["key", "tk"], "left").select("_id", "_rest", "key", "tk", "z", "places"), width))
-    free(places)
+    held = bucketed(_blocked(_packed(docs).join(anchored, ROW, "left"), width, whole), ROW)
+    free(anchored)
 
-    part = held.select("key", "tk", F.explode("blocks").alias("b")).select("key", "tk", "b.*")
-    part = rerank(part, [["rank", "core"], ["hull"]], ["key", "tk", "first", "start"])
-    done = stash(part.filter("many1").groupBy("key", "tk").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + width).alias("e"))).alias("spans")))
-    open_ = stash(part.filter("NOT many1 OR head").select("key", "tk", "start", "end", F.col("rank0").alias("rank"), F.col("many1").alias("done")))
+    part = held.select(*ROW, F.explode("blocks").alias("b")).select(*ROW, "b.*")
+    part = rerank(part, [["rank", "core"], ["hull"]], [*ROW, "first", "start"])
+    done = stash(part.filter("many1").groupBy(*ROW).agg(F.collect_list(F.struct(F.col("first").alias("s"), (F.col("last") + width).alias("e"))).alias("spans")))
+    open_ = stash(part.filter("NOT many1 OR head").select(*ROW, "start", "end", F.col("rank0").alias("rank"), F.col("many1").alias("done")))
     free(part)
     ranks = stash(open_.groupBy("rank").agg(F.count("*").alias("n"), F.max(~F.col("done")).alias("any")).filter("n > 1 AND any").select("rank"))
-    ranges = stash(open_.join(ranks, "rank").groupBy("key", "tk").agg(F.collect_set(F.struct("start", "end", "rank")).alias("ranges")))
-    single = stash(_single(held.filter("z IS NOT NULL").select("key", "tk", "z").join(few(ranges, BROADCAST_ROWS, "ranges"), ["key", "tk"]), width))
+    ranges = stash(open_.join(ranks, "rank").groupBy(*ROW).agg(F.collect_list(F.struct("start", "end", "rank")).alias("ranges")))
+    single = stash(_single(held.filter("z IS NOT NULL").select(*ROW, "z").join(ranges.hint("shuffle_hash"), ROW), width))
     free(open_, ranks, ranges)
-    last = rerank(single, [["rank", "text"]], ["key", "tk", "start"])
-    ends = last.groupBy("key", "tk").agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + width).alias("e"))).alias("spans"))
-    spans = done.unionByName(ends).groupBy("key", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = stash(_merged(spans))
+    last = rerank(single, [["rank", "string"]], [*ROW, "start"])
+    ends = last.groupBy(*ROW).agg(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + width).alias("e"))).alias("spans"))
+    spans = stash(_merged(done.unionByName(ends).groupBy(*ROW).agg(F.flatten(F.collect_list("spans")).alias("spans"))))
     free(done, single, last)
-    return held.drop("blocks").join(few(spans, BROADCAST_ROWS, "spans"), ["key", "tk"], "left").select(F.col("_id").alias("doc_id"), "key", "tk", *[F.col(f"_rest.`{c}`").alias(c) for c in keep], "n_bytes", "sha", "z", "spans")
+    return held.drop("blocks").join(spans.hint("shuffle_hash"), ROW, "left").select("rest", "n_bytes", "sha", "z", "spans")
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """What repeated_spans finds, as (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+def digests(found: DataFrame) -> DataFrame:
+    """What repeated_spans finds with the id as the first column kept, as (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, count, sha = [], [], []
-            for n, whole, z, spans in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for whole, z, spans in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 runs = [(x["s"], x["e"]) for x in spans or []]
                 count.append(len(runs))
                 removed.append(sum(e - s for s, e in runs))
                 sha.append(hashlib.sha256(_cut(_unpack(z), runs)).hexdigest() if runs else whole)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return df.select("doc_id", "n_bytes", "sha", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(F.col("rest.k0").cast("long").alias("id"), "n_bytes", "sha", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[s:e] for s, e in zip([0, *[e for _, e in runs]], [*[s for s, _ in runs], len(data)], strict=True))
 
 
-def strip_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def strip_repeats(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """df with the repeated spans taken out of its texts; all other columns as they are."""
-    found = repeated_spans(df, doc_id, text, (), width).filter("spans IS NOT NULL").select(F.col("key").alias("_key"), F.col("tk").alias("_tk"), F.col("spans").alias("_spans"))
-    found = stash(found.dropDuplicates(["_key", "_tk"]))
-    hashed = keys(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), f"c{df.columns.index(doc_id)}", f"c{df.columns.index(text)}")
-    joined = hashed.join(few(found, BROADCAST_ROWS, "_spans"), (F.col("key") == F.col("_key")) & (F.col("tk") == F.col("_tk")), "left")
-    at = df.columns.index(text)
+    others = [c for c in df.columns if c != text]
+    found = repeated_spans(df, text, tuple(others), width, True).select(*[F.col(f"rest.k{i}") for i in range(len(others))], "z", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for v, spans in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                value = v.as_py()
-                made.append(_cut(value.encode(), [(x["s"], x["e"]) for x in spans.as_py()]).decode("utf-8", "ignore") if spans.is_valid and value else value)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(made, pa.string()), *b.columns[at + 1 : -1]], names=b.schema.names[:-1])
-
-    columns = [c for c in hashed.columns if c not in ("key", "tk")]
-    kinds = dict(hashed.dtypes) | {f"c{at}": "string"}
-    return joined.select(*columns, "_spans").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns)).toDF(*df.columns)
+            made = [_cut(_unpack(z.as_py()), [(x["s"], x["e"]) for x in spans.as_py() or []]).decode("utf-8", "ignore") if z.is_valid else None for z, spans in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(made, pa.string())], names=[*b.schema.names[:-2], "text"])
+
+    cut = found.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in found.dtypes[:-2]] + ["text string"]))
+    return cut.select(*["text" if c == text else f"k{others.index(c)}" for c in df.columns]).toDF(*df.columns)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_spans_are_those_of_brute_force(spark, corpus, width):
 def test_spans_of_odd_tables(spark):
     a = "abc " * 20 + "".join(chr(97 + i % 26) + str(i) for i in range(200))
     rows = [(1, a, "k"), (1, a, "k"), (1, "other", "k"), (None, a[10:], "k"), (None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("key", F.lit(0)).withColumn("tk", F.lit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumns({c: F.lit(0) for c in ("key", "tk", "file", "place", "rest", "z", "k0", "c1")})
     got = suffix_dedup.strip_repeats(df)
     assert got.columns == df.columns and sorted((r.text or "") for r in got.collect()) == ["", "", "", "", "other"]
     assert suffix_dedup.digests(suffix_dedup.repeated_spans(docs(spark, []))).collect() == []
@@ -497,6 +497,12 @@ def test_all_words_count_however_many(spark, monkeypatch):
     assert urls.tokenised(urls.ruled(urls.parts(df))).first().tokens == ["h:zyxwv", "h:utsrq", "h:com"]
 
 
+def test_spans_do_not_fill_overlaps():
+    owner, start, end = suffix_dedup.covered(np.array([1, 0, 0, 1, 0, 3]), np.array([5, 10, 0, 1, 12, 4]), np.array([9, 20, 5, 5, 15, 4]))
+    assert (owner.tolist(), start.tolist(), end.tolist()) == ([0, 0, 1], [0, 10, 1], [5, 20, 9])
+    assert all(len(x) == 0 for x in suffix_dedup.covered(*(np.zeros(0, np.int64),) * 3))
+
+
 def test_segments_do_not_change_anchors(monkeypatch):
     data = np.random.default_rng(2).integers(97, 110, 5000).astype(np.uint8)
     whole = suffix_dedup.anchors(data)
