@@ -1,8 +1,9 @@
 """Operator 6, n-gram Jaccard join by vertical partitioning.
 
 All n-grams (hashed to 64 bits) stand in one global order: rare ones first, as a counting sketch over all documents tells,
-then by hash. Two documents that link must share an n-gram of their prefixes in that order. The order's hash range is cut
-into fragments; for candidate pairs the partial overlaps are counted in each fragment and summed per pair.
+then by hash. Two documents that link must share an n-gram of their prefixes in that order. The order is cut vertically into
+fragments that hold about as many n-grams each, at places that the sketch tells; for candidate pairs the partial overlaps are
+counted in each fragment and summed per pair.
 
 Only distinct sets take part, so copies cost nothing, and no group of documents with a common n-gram is expanded into all
 its pairs: a first round links members to the centre of their group (the set whose n-grams are the most shared, like the text
@@ -17,6 +18,7 @@ that share an id count as one document; repeated rows link; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from quillmesh.llm.graph import components
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch that tells common n-grams: a constant, so what the driver sums and sends is bounded.
 SKETCH_BITS = 16
-FRAGMENT_BITS = 3
+FRAGMENTS = 8
 #: Longs of a set's parity bitmap, a power of two.
 PARITY = 16
 #: Keys that may be broadcast (8 bytes each); beyond that the same join shuffles.
@@ -72,8 +74,40 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (mix64(hashes) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _commonness(docs: DataFrame, words: int) -> np.ndarray:
-    """For each bucket of n-grams how far its count over all documents stands out, in halves of a standard deviation."""
+@dataclass
+class Order:
+    """The global order of n-grams: by the class of their bucket, then by hash; and where it is cut into fragments."""
+
+    classes: np.ndarray
+    cuts: list[tuple[int, int]]
+
+    def sort(self, grams: np.ndarray) -> np.ndarray:
+        """Where the n-grams stand, sorted by the order."""
+        return np.lexsort((grams, self.classes[_buckets(grams)]))
+
+    def fragment(self, grams: np.ndarray) -> np.ndarray:
+        """The fragment of each n-gram: how many cuts lie at or before it."""
+        own, out = self.classes[_buckets(grams)], np.zeros(len(grams), np.int64)
+        for c, h in self.cuts:
+            out += (own > c) | ((own == c) & (grams >= np.uint64(h)))
+        return out
+
+
+def cut(classes: np.ndarray, counts: np.ndarray, fragments: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """Places (class, hash) in the global order that leave each fragment the same share of all n-grams; hashes are even within a class."""
+    found, at = np.unique(classes, return_inverse=True)
+    weight = np.bincount(at, counts, len(found)) + 1e-9
+    upto = np.cumsum(weight)
+    out = []
+    for share in np.arange(1, fragments) / fragments * upto[-1]:
+        i = int(np.searchsorted(upto, share))
+        inside = (share - (upto[i] - weight[i])) / weight[i]
+        out.append((int(found[i]), min((1 << 64) - 1, int(inside * 2.0**64))))
+    return out
+
+
+def _order(docs: DataFrame, words: int) -> Order:
+    """The order that counts over all documents tell: the class is how far a bucket's count stands out, in halves of a standard deviation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -87,10 +121,11 @@ def _commonness(docs: DataFrame, words: int) -> np.ndarray:
     for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
     usual = np.median(counts)
-    return np.rint((counts - usual) / (0.5 * np.sqrt(usual) + 1)).clip(-1000, 30000).astype(np.int16)
+    classes = np.rint((counts - usual) / (0.5 * np.sqrt(usual) + 1)).clip(-1000, 30000).astype(np.int16)
+    return Order(classes, cut(classes, counts))
 
 
-def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """(id, key, n, sig, parity, prefix, row) of each row: the set's size, fingerprint, parity bitmap and first n-grams in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +138,7 @@ def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> Dat
                 sig.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-                prefix.append(h[np.lexsort((h, classes[_buckets(h)]))[: len(h) - least + 1]].view(np.int64) if len(h) else h.view(np.int64))
+                prefix.append(h[order.sort(h)[: len(h) - least + 1]].view(np.int64) if len(h) else h.view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "row"])
@@ -111,20 +146,20 @@ def _sets(docs: DataFrame, words: int, percent: int, classes: np.ndarray) -> Dat
     return docs.select("id", "key", "text", "row").mapInArrow(run, f"id long, key long, n long, sig long, parity array<long>, prefix array<long>, row {ROW}")
 
 
-def _fragments(docs: DataFrame, words: int) -> DataFrame:
-    """(sig, fragment, grams): each set of docs (sig, text), cut at fixed places of the hash range."""
+def _fragments(docs: DataFrame, words: int, order: Order) -> DataFrame:
+    """(sig, fragment, grams): each set of docs (sig, text), cut where the global order is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches, 1):
             sig, part, grams = [], [], []
             for s, data in zip(b.column(0).to_pylist(), texts, strict=True):
                 h = shingles(data, words)
-                cuts = np.searchsorted(h >> np.uint64(64 - FRAGMENT_BITS), np.arange((1 << FRAGMENT_BITS) + 1))
-                for f, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if i < j:
+                own = order.fragment(h)
+                for f in range(len(order.cuts) + 1):
+                    if len(inside := h[own == f]):
                         sig.append(s)
                         part.append(f)
-                        grams.append(h[i:j].view(np.int64))
+                        grams.append(inside.view(np.int64))
             ends = np.cumsum([0, *map(len, grams)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(part, pa.int32()), listed], names=["sig", "fragment", "grams"])
@@ -139,7 +174,7 @@ def _near(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(apart <= F.col("na") + F.col("nb") - 2 * _least(percent)).select("a", "na", "b", "nb")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parities: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parities: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """Those of pairs (a, na, b, nb) whose partial overlaps, summed over the fragments, reach the similarity.
 
     Only the texts of the pairs' sets are read again. A set that repeated rows bring twice counts once (max).
@@ -147,7 +182,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parities: DataF
     pairs = stash(_near(pairs, parities, percent))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = stash(nodes.join(ends, "sig").select("sig", "key"))
-    fragments = stash(_fragments(docs.join(few(wanted, BROADCAST_KEYS), "key"), words))
+    fragments = stash(_fragments(docs.join(few(wanted, BROADCAST_KEYS), "key"), words, order))
     left = fragments.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = fragments.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
@@ -203,7 +238,8 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, r
     shared_dir(spark)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text"), (F.lit(None) if row is None else row).cast(ROW).alias("row")).withColumn("key", F.coalesce("id", F.xxhash64("text")))
-    sets = stash(_sets(docs, words, percent, _commonness(docs, words)))
+    order = _order(docs, words)
+    sets = stash(_sets(docs, words, percent, order))
     nodes = stash(sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
     parities = stash(sets.select("sig", "key", "parity").join(nodes.select("sig", "key"), ["sig", "key"]).select("sig", "parity"))
     found = stash(_common(sets))
@@ -216,7 +252,7 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, r
     centre = stash(centre.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
     star = shared.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(centre, "gram").filter("a <> b").filter(_possible(percent))
     star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
-    joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent))
+    joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent, order))
 
     for seed in SEEDS[1:]:
         member = _apart(shared, joined)
@@ -224,7 +260,7 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, r
         main = stash(main.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
         star = member.filter("root <> main").select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(main, "gram").filter(_possible(percent))
         star = star.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("rows")).filter(2 * F.col("rows") >= _shared(percent))
-        more = _linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent)
+        more = _linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent, order)
         joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
     member = _apart(shared, joined)
@@ -234,7 +270,7 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, r
     early = (F.col("ka") + 1 >= _shared(percent)) & (F.col("kb") + 1 >= _shared(percent))
     rest = a.join(b, (a["gram"] == b["gram"]) & F.expr("ra <> rb AND (rb = main OR a < b)") & early & _possible(percent))
     ordered = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
-    more = _linked(rest.select(*ordered).distinct(), docs, nodes, parities, words, percent)
+    more = _linked(rest.select(*ordered).distinct(), docs, nodes, parities, words, percent, order)
     root = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
     own = nodes.join(root.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")

@@ -63,6 +63,18 @@ def test_shingle_counts(text):
     assert len(ngram_join.shingles(text.encode())) == len(brute.shingles(text))
 
 
+def test_fragments_cut_the_global_order_into_even_parts():
+    rng = np.random.default_rng(8)
+    grams = rng.integers(0, 1 << 63, 40_000).astype(np.uint64) * np.uint64(2)
+    counts = np.bincount(ngram_join._buckets(grams), minlength=1 << ngram_join.SKETCH_BITS)
+    classes = np.minimum(counts, 3).astype(np.int16)
+    order = ngram_join.Order(classes, ngram_join.cut(classes, counts))
+    own = order.fragment(grams[order.sort(grams)])
+    assert (np.diff(own) >= 0).all() and set(own) == set(range(ngram_join.FRAGMENTS))
+    assert np.bincount(own).min() > 0.9 * len(grams) / ngram_join.FRAGMENTS and np.bincount(own).max() < 1.1 * len(grams) / ngram_join.FRAGMENTS
+    assert ngram_join.Order(classes * 0, ngram_join.cut(classes * 0, counts * 0)).fragment(grams).max() == ngram_join.FRAGMENTS - 1
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (7, 7), (70, 50)]
     got = {r.u: r.v for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
