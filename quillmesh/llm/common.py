@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that a Python worker gets; a longer text is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 768 << 10
 M64 = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,6 +29,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives freed memory of this Python worker, which later tasks use too, back to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Rolling, few, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import Rolling, few, mix64, shared_dir, small_batches, stash, table, trim
 from quillmesh.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -142,6 +142,7 @@ def _sets(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
             ends = np.cumsum([0, *map(len, prefix)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "row"])
+        trim()
 
     return docs.select("id", "key", "text", "row").mapInArrow(run, f"id long, key long, n long, sig long, parity array<long>, prefix array<long>, row {ROW}")
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import M64, Rolling, bucketed, free, mix64, placed, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import M64, Rolling, bucketed, free, mix64, placed, shared_dir, small_batches, stash, table, trim
 from quillmesh.llm.ranks import rerank
 
 WIDTH = 200
@@ -176,6 +176,7 @@ def _blocked(docs: DataFrame, width: int, whole: bool) -> DataFrame:
             fields = [pa.array(x.astype(np.int32)) for x in made[:4]] + [pa.array(x.astype(np.int64)) for x in made[4:]]
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, _BLOCK))
             yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)) for c in rest], pa.array(size, pa.int64()), pa.array(sha), pa.array(z, pa.binary()), listed], names=[*rest, "n_bytes", "sha", "z", "blocks"])
+        trim()
 
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", n_bytes long, sha string, z binary, blocks {BLOCKS}")

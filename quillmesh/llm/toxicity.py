@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import mix64, small_batches, table
+from quillmesh.llm.common import mix64, small_batches, table, trim
 from quillmesh.llm.language import fold
 
 BITS, SPAN, DECAY = 16, 6, 0.75
@@ -286,6 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
         used = {0: max(1, int((~toxic).sum())), 1: max(1, int(toxic.sum()))}
         weight = np.array([count[int(t)] / used[int(t)] for t in toxic])
         model = fit([set(ws) for *_, ws in rows], toxic, weight / weight.mean()) if rows else Model()
+        rows.clear()
+        shared.clear()
+        trim()
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([model.bias]), "link": pa.array([model.link and list(model.link)], pa.list_(pa.float64()))})
 
     told = docs.filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<string>")
@@ -301,6 +304,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
         for b in batches:
             got = sent.value.scores([segments(v.as_py() or "") for v in b.column(b.num_columns - 1)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
+        trim()
 
     kinds = dict(df.dtypes)
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, predicted int")
