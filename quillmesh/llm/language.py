@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import small_batches, table
+from quillmesh.llm.common import lean, small_batches, table
 
 BITS, ORDERS = 14, (1, 2, 3)
 #: Bound of the sample that the model is fitted on: rows in all, dealt evenly to the languages, but no less than FEWEST of each.
@@ -105,6 +105,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], id
 def train(known: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (order, text, lang): document frequencies of all of them, weights from a sample of about `sample` rows in all, dealt evenly to the languages."""
 
+    @lean
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
         for b in batches:
@@ -127,11 +128,13 @@ def train(known: DataFrame, sample: int = SAMPLE) -> Model:
     part = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 1.2 * share / F.col("n")).alias("_part"))
     wanted = F.pmod(F.col("order"), F.lit(1 << 30)) < F.floor(F.col("_part") * (1 << 30))
 
+    @lean
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [grams(v.as_py()) for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["order", "lang", "at", "count"])
 
+    @lean
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(o, lang, at.values.to_numpy(), count.values.to_numpy()) for b in batches for o, lang, at, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)]
         rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
@@ -153,6 +156,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     """(*keep, lang_pred, score) of each row; no shuffle. The model is of constant size."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [sent.value.predict(v.as_py()) for v in b.column(b.num_columns - 1)]

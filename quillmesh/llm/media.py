@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import shared_dir, small_batches, stash, table
+from quillmesh.llm.common import lean, shared_dir, small_batches, stash, table
 
 BLOCK = 64
 RATE = 8000
@@ -87,6 +87,7 @@ def stored(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [(v.as_py() or "").encode() for v in b.column(b.num_columns - 1)]
@@ -105,6 +106,7 @@ def features(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame
     types = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
     fields = [x.split() for x in OUT.split(", ")][1:]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

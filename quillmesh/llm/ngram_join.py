@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Rolling, few, mix64, shared_dir, small_batches, stash, table, trim
+from quillmesh.llm.common import Rolling, few, lean, mix64, shared_dir, small_batches, stash, table
 from quillmesh.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -109,6 +109,7 @@ def cut(classes: np.ndarray, counts: np.ndarray, fragments: int = FRAGMENTS) ->
 def _order(docs: DataFrame, words: int) -> Order:
     """The order that counts over all documents tell: the class is how far a bucket's count stands out, in halves of a standard deviation."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, texts in _texts(batches, 0):
@@ -128,6 +129,7 @@ def _order(docs: DataFrame, words: int) -> Order:
 def _sets(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """(id, key, n, sig, parity, prefix, row) of each row: the set's size, fingerprint, parity bitmap and first n-grams in the global order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches, 2):
             size, sig, prefix, parity = [], [], [], []
@@ -142,7 +144,6 @@ def _sets(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
             ends = np.cumsum([0, *map(len, prefix)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "row"])
-        trim()
 
     return docs.select("id", "key", "text", "row").mapInArrow(run, f"id long, key long, n long, sig long, parity array<long>, prefix array<long>, row {ROW}")
 
@@ -150,6 +151,7 @@ def _sets(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
 def _fragments(docs: DataFrame, words: int, order: Order) -> DataFrame:
     """(sig, fragment, grams): each set of docs (sig, text), cut where the global order is."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _texts(batches, 1):
             sig, part, grams = [], [], []

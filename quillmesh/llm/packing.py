@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import numbered, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import lean, numbered, shared_dir, small_batches, stash, table
 
 CAPACITY, END = 2048, 0
 #: The tokenizer, and its vocabulary as ranks: the same ids (tests compare both), several times as fast.
@@ -44,8 +45,9 @@ def encoder(ranks: str, tokenizer: str) -> tiktoken.Encoding:
     """The ranks with the special tokens that the tokenizer's file adds to them."""
     with open(ranks, "rb") as f:
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    with open(tokenizer, "rb") as f:
-        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    with open(tokenizer, encoding="utf-8") as f:
+        told = re.split(r'"added_tokens"\s*:\s*', f.read(), maxsplit=1)[1]  # the rest of the file is the vocabulary again
+    special = {t["content"]: t["id"] for t in json.JSONDecoder().raw_decode(told)[0]}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
 
 
@@ -54,6 +56,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     paths = (ranks or public_tokenizers.path(RANKS), tokenizer or public_tokenizers.path(TOKENIZER))
     kind = dict(df.dtypes)[doc_id]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*paths).encode
         for b in batches:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import stash
+from quillmesh.llm.common import lean, stash
 
 
 def rerank(rows: DataFrame, levels: list[list[str]], tie: list[str]) -> DataFrame:
@@ -33,6 +33,7 @@ def rerank(rows: DataFrame, levels: list[list[str]], tie: list[str]) -> DataFram
             made = [pa.array(np.full(len(use), part, np.int32)), pa.array(edge[use].astype(np.int32)), pa.array(head[use]), *[pa.array(x[use]) for x in (*run, *many)]]
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(use)).columns, *made], names=[*names, "part", "edge", "head", *[f"run{i}" for i in depth], *[f"many{i}" for i in depth]])
 
+    @lean
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, held = TaskContext.get().partitionId(), None, None
         count = [-1 for _ in depth]

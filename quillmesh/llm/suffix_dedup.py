@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import M64, Rolling, bucketed, free, mix64, placed, shared_dir, small_batches, stash, table, trim
+from quillmesh.llm.common import M64, Rolling, bucketed, free, lean, mix64, placed, shared_dir, small_batches, stash, table
 from quillmesh.llm.ranks import rerank
 
 WIDTH = 200
@@ -111,6 +111,7 @@ def covered(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 def _packed(docs: DataFrame) -> DataFrame:
     """docs (..., text) with the text as compressed bytes (z, null for null), which halves what later steps write."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -128,6 +129,7 @@ def _unpack(z: bytes) -> bytes:
 def _grams(docs: DataFrame, width: int) -> DataFrame:
     """(gram, file, place, at) of each anchor of docs (file, place, text)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count, found = [], [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
@@ -155,6 +157,7 @@ def _blocked(docs: DataFrame, width: int, whole: bool) -> DataFrame:
     names = docs.columns
     rest = [c for c in names if c not in ("z", "anchors")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, sha, z, parts, ends = [], [], [], [[] for _ in _BLOCK], [0]
@@ -176,7 +179,6 @@ def _blocked(docs: DataFrame, width: int, whole: bool) -> DataFrame:
             fields = [pa.array(x.astype(np.int32)) for x in made[:4]] + [pa.array(x.astype(np.int64)) for x in made[4:]]
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, _BLOCK))
             yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)) for c in rest], pa.array(size, pa.int64()), pa.array(sha), pa.array(z, pa.binary()), listed], names=[*rest, "n_bytes", "sha", "z", "blocks"])
-        trim()
 
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", n_bytes long, sha string, z binary, blocks {BLOCKS}")
@@ -185,6 +187,7 @@ def _blocked(docs: DataFrame, width: int, whole: bool) -> DataFrame:
 def _single(docs: DataFrame, width: int) -> DataFrame:
     """For docs (file, place, z, ranges): each start in the ranges, with the range's rank and what the string of width bytes holds."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, place, z, ranges in zip(*(b.column(i) for i in range(4)), strict=True):
@@ -204,6 +207,7 @@ SPANS = "array<struct<s:int,e:int>>"
 def _merged(spans: DataFrame) -> DataFrame:
     """spans (file, place, spans) with overlapping and touching spans made one."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             listed = b.column(2)
@@ -254,6 +258,7 @@ def repeated_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 def digests(found: DataFrame) -> DataFrame:
     """What repeated_spans finds with the id as the first column kept, as (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, count, sha = [], [], []
@@ -276,6 +281,7 @@ def strip_repeats(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     others = [c for c in df.columns if c != text]
     found = repeated_spans(df, text, tuple(others), width, True).select(*[F.col(f"rest.k{i}") for i in range(len(others))], "z", "spans")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [_cut(_unpack(z.as_py()), [(x["s"], x["e"]) for x in spans.as_py() or []]).decode("utf-8", "ignore") if z.is_valid else None for z, spans in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True)]

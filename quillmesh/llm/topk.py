@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import shared_dir, small_batches, stash, table
+from quillmesh.llm.common import lean, shared_dir, small_batches, stash, table
 
 SCALE = 1024
 BINS = 256
@@ -78,6 +78,7 @@ class Block:
 def _histograms(rows: DataFrame, block: Block, low: np.ndarray, width: int, span: int, k: int, above: np.ndarray) -> DataFrame:
     """(q, bin, n): how many scores of query q lie in each bin of that width of [low, low + span), BINS bins at most. Of each task only the bins that can hold the k-th best."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(block.ids), BINS), np.int64)
         for b in batches:
@@ -99,6 +100,7 @@ def _histograms(rows: DataFrame, block: Block, low: np.ndarray, width: int, span
 def _kept(rows: DataFrame, block: Block, least: np.ndarray, k: int) -> DataFrame:
     """(query_id, vec_id, score) with scores of at least least; of each batch each query's k best, as no more can count."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_numpy()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import mix64, small_batches, table, trim
+from quillmesh.llm.common import lean, mix64, small_batches, table, trim
 from quillmesh.llm.language import fold
 
 BITS, SPAN, DECAY = 16, 6, 0.75
@@ -275,19 +275,22 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
         ids += [(r["doc_id"], label) for r in part.orderBy(order, "doc_id").limit(texts).collect()]
     drawn = spark.createDataFrame(ids, "doc_id long, toxic int")  # at most 2 * texts rows
 
+    @lean
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(segments(v.as_py())) for v in b.column(2)], pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
+    @lean
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared: dict[str, str] = {}
-        rows = sorted((d, t, tuple(shared.setdefault(w, w) for w in ws)) for b in batches for d, t, ws in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = sorted(((d, t, {shared.setdefault(w, w) for w in ws}) for b in batches for d, t, ws in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), key=lambda r: (r[0], r[1], len(r[2]), sorted(r[2])[:8]))
+        shared.clear()
+        trim()
         toxic = np.array([t == 1 for _, t, _ in rows], bool)
         used = {0: max(1, int((~toxic).sum())), 1: max(1, int(toxic.sum()))}
         weight = np.array([count[int(t)] / used[int(t)] for t in toxic])
-        model = fit([set(ws) for *_, ws in rows], toxic, weight / weight.mean()) if rows else Model()
+        model = fit([ws for *_, ws in rows], toxic, weight / weight.mean()) if rows else Model()
         rows.clear()
-        shared.clear()
         trim()
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([model.bias]), "link": pa.array([model.link and list(model.link)], pa.list_(pa.float64()))})
 
@@ -300,11 +303,11 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     """(*keep, score, predicted) of each row; no shuffle. The model is of constant size."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = sent.value.scores([segments(v.as_py() or "") for v in b.column(b.num_columns - 1)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
-        trim()
 
     kinds = dict(df.dtypes)
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, predicted int")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import few, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import few, lean, shared_dir, small_batches, stash, table
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -130,6 +130,7 @@ def words(host: str, path: str, html: str | None) -> list[str]:
 def vocabulary(pages: DataFrame) -> DataFrame:
     """(word, n): all words of pages (host, path, html), counted over all rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count: Counter = Counter()
@@ -150,6 +151,7 @@ def split_names(names: DataFrame, vocab: DataFrame) -> DataFrame:
     unknown = max(12.0, math.log(total / (rarest or 1)))
     hashed = names.select("name", F.xxhash64("name").alias("at"))
 
+    @lean
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, word = [], []
@@ -164,6 +166,7 @@ def split_names(names: DataFrame, vocab: DataFrame) -> DataFrame:
                         at, word = [], []
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(word, pa.string())], names=["at", "word"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
@@ -180,11 +183,13 @@ def tokenised(pages: DataFrame) -> DataFrame:
     """(host, path, by_rule, n, tokens, at) of each distinct url of pages (host, path, by_rule, html): its rows, its tokens and their buckets."""
     urls = stash(pages.groupBy("host", "path").agg(F.first("by_rule").alias("by_rule"), F.count("*").alias("n")))
 
+    @lean
     def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [sorted(set(named(h, p))) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.string()))], names=["host", "path", "by_rule", "n", "names"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
@@ -224,6 +229,7 @@ def filter_urls(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES)
     urls = tokenised(pages)
     sent = df.sparkSession.sparkContext.broadcast(train(urls))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             weights, prior = sent.value
