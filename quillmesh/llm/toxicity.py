@@ -207,11 +207,11 @@ def enriched(bad: Counter, good: Counter, n_bad: int, n_good: int, clean: list[s
     some = sorted((w for w, n in bad.items() if n / n_bad > 3 * good[w] / n_good), key=lambda w: (-bad[w], w))[:NEGATIVES]
     if not some:
         return []
-    own, other = explicit(some, 12), explicit(clean, 12)
+    own = explicit(some, 12)
     often, seldom = np.array([bad[w] for w in some]), np.array([good[w] for w in clean])
     scale = sum(good.values()) / max(1, seldom.sum())
     inside = np.concatenate([(own[i : i + 500] @ own.T) ** SHARP @ often for i in range(0, len(some), 500)]) / n_bad
-    outside = np.concatenate([(own[i : i + 500] @ other.T) ** SHARP @ seldom for i in range(0, len(some), 500)]) * scale / n_good
+    outside = sum((own @ explicit(clean[i : i + 500], 12).T) ** SHARP @ seldom[i : i + 500] for i in range(0, len(clean), 500)) * scale / n_good
     tell = inside * np.log(inside / (outside + 0.5 / n_good))
     clear = n_bad / (n_bad + n_good)  # by chance a word of n toxic texts and no clean one has clear ** n, of len(bad) words
     alone = (clear**often * len(bad) < 0.05) & (often / n_bad > 30 * np.array([good[w] for w in some]) / n_good)
