@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -100,16 +101,18 @@ class Engine:
 
     def drain(self, apply, now: str) -> int:
         """Calls apply(pending DataFrame) and marks what was pending as done after it; with nothing left the queue is emptied."""
-        left = worklog.pending(self.store.read("queue"))
-        rows = [tuple(r) for r in left.orderBy("ord", "pos").select("space_id", "work_id", "subject_id", "ord").collect()]
-        if rows:
+        events = self.store.read("queue")  # read as it was: what comes meanwhile is not marked
+        left = worklog.pending(events)
+        count = left.count()
+        if count:
             apply(left)
-            done = [(s, w, "done", None, x, o) for s, w, x, o in rows]
-            self.store.append("queue", self.spark.createDataFrame(done, S.QUEUE))
-            self._log(rows[0][0], "remember", "drain", now, updated=len(rows))
+            done = left.select("space_id", "work_id", F.lit("done").alias("kind"), F.lit(None).cast("array<string>").alias("subjects"), "subject_id", "ord")
+            self.store.append("queue", done)
+            for r in left.groupBy("space_id").agg(F.count("*").alias("n")).collect():  # a row a space
+                self._log(r["space_id"], "remember", "drain", now, updated=r["n"])
         if worklog.pending(self.store.read("queue")).isEmpty():
             self.store.replace("queue", self.store.read("queue").limit(0))
-        return len(rows)
+        return count
 
     def reindex(self) -> dict[str, int]:
         """Chunks and embeds what changed, drops what vanished, and bumps the versions of the spaces concerned."""
@@ -127,9 +130,34 @@ class Engine:
         changes.unpersist()
         return stats
 
+    def _index(self, space: str) -> search.Index:
+        """The space's postings, made anew only if its version changed since they were written."""
+        row = self.store.read("versions").filter(F.col("space_id") == space).first()
+        version = row["version"] if row else 0
+        told = self.store.read("corpus").filter((F.col("space_id") == space) & (F.col("version") == version)).first()
+        if told is None:
+            own = self._rows(space)
+            made = search.postings(own, "row", search.chunk_words()).withColumn("space_id", F.lit(space)).withColumn("version", F.lit(version).cast("long"))
+            self.store.append("terms", made.select(*self.store.read("terms").columns).sortWithinPartitions("term"))
+            held = self.store.read("terms").filter((F.col("space_id") == space) & (F.col("version") == version))
+            stats = search.corpus(held, ("space_id", "version"))
+            self.store.append("corpus", stats)
+            told = self.store.read("corpus").filter((F.col("space_id") == space) & (F.col("version") == version)).first()
+        held = self.store.read("terms").filter((F.col("space_id") == space) & (F.col("version") == version))
+        return search.Index(held.select("term", "row", "tf", "size"), told["n"] if told else 0, (told["avgdl"] if told else 0) or 1.0, (told["mean"] if told else 0) or 0.0)
+
+    def tidy(self) -> None:
+        """Leaves out postings of versions that are past."""
+        now = self.store.read("versions").select("space_id", "version")
+        self.store.replace("terms", self.store.read("terms").join(F.broadcast(now), ["space_id", "version"], "left_semi"))
+
+    def _rows(self, space: str) -> DataFrame:
+        own = self.store.read("points").filter(F.col("space_id") == space).drop("embedding")
+        return own.withColumn("row", F.concat_ws(":", "object_id", F.lpad(F.col("chunk_idx").cast("string"), 6, "0")))
+
     def search(self, text: str, space: str | None = None, limit: int = 10, filters: search.Filters | None = None) -> DataFrame:
         """Hits, best first. Without a space only the nearest by meaning; without types asked, sources are left out."""
-        filters = filters or search.Filters()
+        filters = (filters or search.Filters()).checked()
         if not filters.types and not filters.source_type:
             filters = search.Filters(tuple(t for t in S.TYPES if t != "wiki_source"), (), filters.domain_tags, filters.after, filters.before)
         points = self.store.read("points")
@@ -140,20 +168,20 @@ class Engine:
         own = points.filter(F.col("space_id") == space)
         near = search.dense(own.filter(filters.column()), "embedding", self.embedder.vector(text), depth, "point_id")
         near = near.select("point_id", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")).alias("rank"))
-        rows = own.drop("embedding").withColumn("row", F.concat_ws(":", "object_id", F.lpad(F.col("chunk_idx").cast("string"), 6, "0")))
-        return search.hits(search.hybrid_rank(rows, text, near, limit, filters), rows.select("point_id", "object_id", "object_name", "type_key", "heading", "text")).orderBy("rank")
+        rows = self._rows(space)
+        ranked = search.hybrid_rank(rows, text, near, limit, filters, index=self._index(space))
+        return search.hits(ranked.drop("object_id"), rows.select("point_id", "object_id", "object_name", "type_key", "heading", "text")).orderBy("rank")
 
     def query(self, question: str, space: str, now: str, budget: int = 2000, file_back: bool | None = None) -> dict:
         """An answer from the best objects and their neighbours within the budget, filed if it rests on enough."""
         objects = self.store.read("objects").filter((F.col("space_id") == space) & ~F.coalesce(F.col("archived"), F.lit(False)))
-        points = self.store.read("points").filter(F.col("space_id") == space)
-        ids = points.select("object_id", "object_name").distinct()
-        found = self.search(question, space).join(ids, "object_name")
-        seeds = found.groupBy(F.col("object_id").alias("id")).agg(F.min("rank").alias("seed_rank"))
+        found = search.candidates(self.search(question, space), True)
+        seeds = found.select(F.col("object_id").alias("id"), F.col("pos").alias("seed_rank"))
         adj = graph.adjacency(objects.select("id", S.outbound().alias("outbound"))).withColumnRenamed("pos", "priority")
         near = graph.expand(adj, seeds)
         picked = seeds.select("id", F.col("seed_rank").alias("pos")).unionByName(near.select("id", (F.lit(1000) + F.row_number().over(Window.orderBy("seed_rank", "priority", "id"))).alias("pos")))
         body = objects.select("id", "name", F.coalesce(F.nullif(S.knowledge(), F.lit("")), F.col("markdown")).alias("text"))
+        body = body.withColumn("name", F.coalesce(X.sanitize_name(F.col("name")), F.lit("[REDACTED]"))).withColumn("text", F.substring("text", 1, graph.OBJECT_TOKENS * graph.CHARS_PER_TOKEN))
         kept = graph.context(picked.join(body, "id"), budget).orderBy("pos").collect()  # at most CONTEXT_OBJECTS rows
         answer = self.synthesizer.answer(question, [(r["name"], r["text"]) for r in kept])
         filed = None
@@ -172,13 +200,17 @@ class Engine:
         return row.select("id").first()[0]
 
     def relate(self, space: str, edges: DataFrame) -> DataFrame:
-        """Typed edges (from_id, label, to_id, source_id) merged into the links; gives what was done to each."""
-        stored = self.store.read("links").filter(F.col("space_id") == space)
-        merged = graph.merge_links(stored, edges.withColumn("label", X.edge_label(F.col("label"))))
-        rows = merged.select(F.lit(space).alias("space_id"), X.uuid5(F.concat_ws(":", F.lit(space), "from_id", "label", "to_id")).alias("link_id"), "from_id", "label", "to_id", "sources")
-        done = merged.select("from_id", "label", "to_id", "action").collect()  # as many as edges were given and stored in the space
-        self.store.upsert("links", rows, ["space_id", "link_id"])
-        return self.spark.createDataFrame(done, "from_id string, label string, to_id string, action string")
+        """Typed edges (from_id, label, to_id, source_id) merged into the links; gives what was done to each of them."""
+        wanted = edges.withColumn("label", X.edge_label(F.col("label")))
+        pair = ["from_id", "label", "to_id"]
+        stored = self.store.read("links").filter(F.col("space_id") == space).join(wanted.select(*pair).distinct(), pair, "left_semi")
+        merged = graph.merge_links(stored, wanted)
+        rows = merged.select(F.lit(space).alias("space_id"), X.uuid5(F.concat_ws(":", F.lit(space), *pair)).alias("link_id"), *pair, "sources", "action")
+        batch = f"{self.store.root}/edges/{uuid.uuid4().hex}"  # what is told must be what was written
+        rows.write.parquet(batch)
+        done = self.spark.read.parquet(batch)
+        self.store.upsert("links", done.filter("action <> 'unchanged'"), ["space_id", "link_id"])
+        return done.select(*pair, "action")
 
     def lint(self, space: str, now: str, threshold: str = "all", duplicates: bool = False) -> DataFrame:
         """Findings on a space, of the threshold's severity or worse."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -71,6 +72,11 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 def tokens(text: Column, folded: bool = False) -> Column:
     """Folded word runs, joined ones (by - _ . ') whole and in parts, without stop words."""
     base = text if folded else fold(F.coalesce(text, F.lit("")))
@@ -138,6 +144,18 @@ def normalize_title(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.translate(raw, DASHES, "-" * len(DASHES))), r"(?U)\s+", " "), r"^ | $", "")
 
 
+@F.pandas_udf(T.StringType())
+def title_exact(raw: pd.Series) -> pd.Series:
+    """normalize_title for all scripts: composed form, dashes as hyphens, case folded, single spaces."""
+    dashes = str.maketrans(DASHES, "-" * len(DASHES))
+    return raw.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).translate(dashes).casefold().split()))
+
+
+def endpoint_key(name: Column) -> Column:
+    """The key a relation's end is found by: that of the name made safe, else of the name as it is."""
+    return normalize_title(F.coalesce(sanitize_name(name), name))
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(name), r"(?U)[\W_]+", "-"), "^-|-$", "")
 
@@ -179,6 +197,11 @@ def fact_key(unit: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[.;,]+$", ""))
 
 
+def fact_key_exact(unit: Column) -> Column:
+    """The same key of the unit's compatibility form, by an Arrow UDF."""
+    return fact_key(nfkc(unit))
+
+
 def visible_text(markdown: Column) -> Column:
     """What a reader sees: labels of images and links, no addresses, no markup, single spaces."""
     text = F.regexp_replace(F.coalesce(markdown, F.lit("")), r"!\[([^\]]*)\]" + LINK_TARGET, "$1")
@@ -286,3 +309,74 @@ def text_verdict(raw: Column, markdown: Column, least: int = 300, challenge: int
         .when(seen == 0, "empty")
         .when(seen < least, F.concat(F.lit("too_little_text ("), seen.cast("string"), F.lit(" chars)")))
     )
+
+
+def navigation_like(line: Column, share: float = 0.5) -> Column:
+    """Whether a line of markdown has no visible text, or labels of links as at least this share of it."""
+    plain = F.regexp_replace(F.coalesce(line, F.lit("")), r"!\[([^\]]*)\]" + LINK_TARGET, "$1")
+    labels = F.regexp_extract_all(plain, F.lit(r"\[([^\]]*)\]" + LINK_TARGET), F.lit(1))
+    linked = F.aggregate(labels, F.lit(0), lambda n, x: n + F.length(visible_text(x)))
+    seen = F.length(visible_text(line))
+    return (seen == 0) | (linked >= share * seen)
+
+
+def http_url(text: Column) -> Column:
+    """Whether a text is one token with the scheme http or https."""
+    return F.coalesce(text.rlike(r"^(?i:https?):(?U:\S)*$"), F.lit(False))
+
+
+def one_line(text: Column, most: int) -> Column:
+    """A label or reason: one line, no brackets, semicolons, forged ids or runs of hashes, `most` characters."""
+    flat = F.trim(F.regexp_replace(normalize_breaks(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+    flat = F.replace(F.translate(flat, "[];", "(),"), F.lit("(id:"), F.lit("(id :"))
+    return F.trim(F.substring(F.regexp_replace(flat, "#{2,}", "#"), 1, most))
+
+
+def section_label(source: Column) -> Column:
+    """The label of a source's section: an address without secrets and long path segments, a local path's last part, other text with its addresses scrubbed."""
+    text = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?U)^\s+|\s+$", "")
+    local = text.rlike(r"^(/|~/|\./|\.\./)") & ~text.contains("\n")
+    base = F.regexp_extract(F.regexp_replace(text, "/+$", ""), "([^/]*)$", 1)
+    plain = strip_controls(scrub_text_urls(text))
+    made = F.when(http_url(text), elide_path(scrub_credentials(text))).when(local, F.when(base != "", base).otherwise(text)).otherwise(plain)
+    return F.trim(F.regexp_replace(one_line(made, NAME_LENGTH), "^#+", ""))
+
+
+def summary_cut(text: Column, most: int = 4000) -> Column:
+    """A summary to be kept: controls and secrets out, whole lines up to `most` characters, one longer line cut; null if blank."""
+    clean = F.regexp_replace(strip_controls(scrub_text_urls(text)), r"(?U)^\s+|\s+$", "")
+    head = F.substring(clean, 1, most)
+    lines = F.regexp_extract(head, r"(?s)^(.+)\n[^\n]*$", 1)
+    whole = F.substring(clean, most + 1, 1) == "\n"
+    cut = F.when(F.length(clean) <= most, clean).when(whole | (lines == ""), head).otherwise(lines)
+    return F.nullif(F.regexp_replace(cut, r"(?U)\s+$", ""), F.lit(""))
+
+
+def title_cut(name: Column) -> Column:
+    return F.substring(strip_controls(F.coalesce(name, F.lit(""))), 1, NAME_LENGTH)
+
+
+def link_name(from_id: Column, to_id: Column) -> Column:
+    """The name of a link object: the last eight characters of both ids, no names."""
+    return F.concat(F.lit("link "), F.right(from_id, F.lit(8)), F.lit("-"), F.right(to_id, F.lit(8)))
+
+
+def deep_link(scheme: str, space_id: Column, object_id: Column) -> Column:
+    return F.concat(F.lit(f"{scheme}://object/"), space_id, F.lit("/"), object_id)
+
+
+def short_type(type_key: Column, prefix: str = "wiki_") -> Column:
+    """A type's short label: its key without the prefix."""
+    return F.replace(F.coalesce(type_key, F.lit("")), F.lit(prefix), F.lit(""))
+
+
+def fence_safe(text: Column, fences: tuple[str, ...]) -> Column:
+    """text that cannot close one of the tags it is fenced by: their `</` becomes `<\\/`."""
+    names = "|".join(sorted((f.lower() for f in fences), key=lambda f: (-len(f), f)))
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)</(?=\s*(?:{names})\s*>)", "<\\\\/")
+
+
+def filled(template: str, values: dict[str, Column], fences: tuple[str, ...]) -> Column:
+    """A template with its placeholders (whole keys of values) filled in one pass, so that what looks like a placeholder in a value stays; values are fence-safe."""
+    parts = re.split("(" + "|".join(re.escape(k) for k in sorted(values, key=len, reverse=True)) + ")", template) if values else [template]
+    return F.concat(*[fence_safe(values[p], fences) if p in values else F.lit(p) for p in parts])

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import sanitize_name
+
 #: Content types, order of severities, relation kinds by priority, limits and ages of the checks.
 CONTENT_TYPES = ("wiki_source", "wiki_entity", "wiki_concept", "wiki_comparison")
 SEVERITIES = ("critical", "high", "medium", "low", "informational")
 NEIGHBOURS, CONTEXT_OBJECTS = 16, 24
 ORPHAN_DAYS, STALE_DAYS, REVIEW_DAYS, OVERSIZED, PIPELINE_SECONDS = 7, 90, 30, 2000, 300
 CHARS_PER_TOKEN = 4
+#: Estimated tokens of each object's text that a question's context holds.
+OBJECT_TOKENS = 1000
 
 
 def adjacency(objects: DataFrame, column: str = "outbound") -> DataFrame:
@@ -45,6 +49,23 @@ def context(pieces: DataFrame, budget: int, cap: int = CONTEXT_OBJECTS, order: s
     return pieces.withColumn("tokens", cost).withColumn("running", run).withColumn("_n", F.row_number().over(w)).filter((F.col("running") <= budget) & (F.col("_n") <= cap)).drop("_n")
 
 
+def shortened(objects: DataFrame, keys: tuple[str, ...], tokens: int = OBJECT_TOKENS) -> DataFrame:
+    """objects (name, properties: array of structs with key and text) with names made safe, texts of keys cut to the tokens, and `cut`: whether any was."""
+    most = tokens * CHARS_PER_TOKEN
+    own = lambda p: p["key"].isin(*keys) & p["text"].isNotNull()
+    name = F.coalesce(sanitize_name(F.col("name")), F.lit("[REDACTED]"))
+    return objects.withColumn("cut", F.exists("properties", lambda p: own(p) & (F.length(p["text"]) > most))).withColumn("name", name).withColumn("properties", F.transform("properties", lambda p: F.when(own(p), p.withField("text", F.substring(p["text"], 1, most))).otherwise(p)))
+
+
+def rendered(objects: DataFrame, keys: tuple[str, ...], order: str, notes: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, context) of objects (name, properties, and notes: an array of link notes): a block each, in order, with a title, its links and its texts. As many objects as a context holds."""
+    texts = F.transform(F.filter("properties", lambda p: p["key"].isin(*keys) & (F.coalesce(p["text"], F.lit("")) != "")), lambda p: F.concat(p["key"], F.lit(": "), p["text"]))
+    links = F.transform(F.coalesce(F.col(notes), F.array().cast("array<string>")), lambda x: F.concat(F.lit("Link: "), x)) if notes else F.array().cast("array<string>")
+    block = F.array_join(F.concat(F.array(F.concat(F.lit("Title: "), F.coalesce("name", F.lit("")))), links, texts), "\n")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b"))))
+    return objects.groupBy(*(by or [])).agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+
+
 def merge_links(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     """(from_id, label, to_id, sources, action): wanted edges (from_id, label, to_id, source_id) merged into stored ones: created, source_added or unchanged. Loops go."""
     new = wanted.filter("from_id <> to_id").groupBy("from_id", "label", "to_id").agg(F.array_sort(F.collect_set("source_id")).alias("add"))

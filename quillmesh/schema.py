@@ -15,7 +15,10 @@ STATE = "space_id string, object_id string, last_modified string"
 VERSIONS = "space_id string, version long"
 LOG = "space_id string, action string, subject string, created long, updated long, notes string, at timestamp"
 QUEUE = "space_id string, work_id string, kind string, subjects array<string>, subject_id string, ord long"
-TABLES = {"objects": OBJECTS, "links": LINKS, "points": POINTS, "state": STATE, "versions": VERSIONS, "log": LOG, "queue": QUEUE}
+TERMS = "space_id string, version long, term string, row string, tf long, size int"
+CORPUS = "space_id string, version long, n long, avgdl double, mean double"
+KEYS = {"objects": ["space_id", "id"], "links": ["space_id", "link_id"], "corpus": ["space_id"]}
+TABLES = {"terms": TERMS, "corpus": CORPUS, "objects": OBJECTS, "links": LINKS, "points": POINTS, "state": STATE, "versions": VERSIONS, "log": LOG, "queue": QUEUE}
 
 # The declared types with their properties (name: format), the version of the schema, and the select vocabularies.
 SCHEMA_VERSION = "0.5.0"

@@ -1,18 +1,24 @@
-"""Tables in a folder that Spark reads: every write is a whole new version, visible once it is complete."""
+"""Tables in a folder that Spark reads, partitioned by space: versions and what was added since, each visible once it is complete."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.schema import TABLES
+from quillmesh.schema import KEYS, TABLES
 
 #: Byte limits of a page and of a PDF, and its first characters.
 PAGE_BYTES, PDF_BYTES, PDF_MAGIC = 10 * 1024 * 1024, 25 * 1024 * 1024, "%PDF-"
+#: Additions to a version before it is written anew as one.
+ADDITIONS = 16
 
 
 class Store:
-    """A folder of versioned tables. Readers see the last version whose write ended; an interrupted write leaves no trace in results."""
+    """A folder of versioned tables. A version is a whole table; additions to it are folders of their own, so that writing a row costs a row.
+
+    Readers see the last version whose write ended with its complete additions; an interrupted write leaves no trace in
+    results. In tables with keys the last addition's rows stand for those before with their keys.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,40 +28,81 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def versions(self, table: str) -> list[int]:
+    def _parts(self, table: str) -> dict[int, list[int]]:
+        """Complete versions with the numbers of their complete additions."""
         fs, p = self._fs(f"{self.root}/{table}")
         if not fs.exists(p):
-            return []
+            return {}
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1])]
-        return sorted(done)
+        done = [n[1:].split("-") for n in names if n.startswith("v") and n[1:].replace("-", "").isdigit() and fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1])]
+        out: dict[int, list[int]] = {int(x[0]): [] for x in done if len(x) == 1}
+        for v, *rest in done:
+            if rest and int(v) in out:
+                out[int(v)].append(int(rest[0]))
+        return {v: sorted(out[v]) for v in sorted(out)}
+
+    def versions(self, table: str) -> list[int]:
+        return list(self._parts(table))
+
+    def state(self, table: str) -> tuple[int, int]:
+        """The last version and its last addition: changes with each write."""
+        parts = self._parts(table)
+        last = max(parts, default=0)
+        return last, max(parts.get(last, []), default=0)
+
+    def _read(self, table: str, folder: str) -> DataFrame:
+        names = [f.split()[0] for f in TABLES[table].split(", ")]
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{folder}").select(*names)
 
     def read(self, table: str) -> DataFrame:
-        found = self.versions(table)
-        if not found:
+        parts = self._parts(table)
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v{found[-1]}")
+        last = max(parts)
+        out = self._read(table, f"v{last}")
+        if not parts[last]:
+            return out
+        keys = KEYS.get(table)
+        out = out.withColumn("_seq", F.lit(0))
+        for k in parts[last]:
+            out = out.unionByName(self._read(table, f"v{last}-{k}").withColumn("_seq", F.lit(k)))
+        if keys:
+            out = out.withColumn("_last", F.max("_seq").over(Window.partitionBy(*keys))).filter("_seq = _last").drop("_last")
+        return out.drop("_seq")
+
+    def _write(self, table: str, df: DataFrame, folder: str) -> None:
+        names = [f.split()[0] for f in TABLES[table].split(", ")]
+        df.select(*names).write.mode("overwrite").partitionBy("space_id").parquet(f"{self.root}/{table}/{folder}")
 
     def replace(self, table: str, df: DataFrame) -> None:
         """Commits df as the table; the version before it stays for running readers."""
-        found = self.versions(table)
-        names = [f.split()[0] for f in TABLES[table].split(", ")]
-        df.select(*names).write.mode("overwrite").parquet(f"{self.root}/{table}/v{(found or [0])[-1] + 1}")
-        for old in found[:-1]:
-            fs, p = self._fs(f"{self.root}/{table}/v{old}")
-            fs.delete(p, True)
+        found = self._parts(table)
+        self._write(table, df, f"v{max(found, default=0) + 1}")
+        for old in list(found)[:-1]:
+            for folder in (f"v{old}", *(f"v{old}-{k}" for k in found[old])):
+                fs, p = self._fs(f"{self.root}/{table}/{folder}")
+                fs.delete(p, True)
 
     def append(self, table: str, df: DataFrame) -> None:
-        self.replace(table, self.read(table).unionByName(df.select(*self.read(table).columns)))
+        """Adds rows; in tables with keys they stand for those with their keys. df may come from the table itself."""
+        parts = self._parts(table)
+        if not parts:
+            return self.replace(table, df)
+        last = max(parts)
+        self._write(table, df, f"v{last}-{max(parts[last], default=0) + 1}")
+        if len(parts[last]) + 1 >= ADDITIONS:
+            self.replace(table, self.read(table))
 
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
-        """Rows of df take the place of those with their keys. df may come from the table itself."""
-        self.replace(table, self.read(table).join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df.select(*self.read(table).columns)))
+        """Rows of df take the place of those with the table's keys."""
+        if KEYS.get(table) != keys:
+            raise ValueError(f"{table} is not kept by {keys}")
+        self.append(table, df)
 
     def archive(self, ids: DataFrame) -> None:
         """Marks objects (space_id, id) as archived; nothing is erased."""
-        gone = ids.select("space_id", "id").distinct().withColumn("_gone", F.lit(True))
-        self.replace("objects", self.read("objects").join(gone, ["space_id", "id"], "left").withColumn("archived", F.coalesce("_gone", "archived", F.lit(False))))
+        gone = self.read("objects").join(ids.select("space_id", "id").distinct(), ["space_id", "id"], "left_semi")
+        self.append("objects", gone.withColumn("archived", F.lit(True)))
 
 
 def backup(df: DataFrame, path: str) -> None:
