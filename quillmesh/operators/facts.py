@@ -116,10 +116,15 @@ class Merge:
     marked: int
 
 
+def _writer(sections: list[Section], label: str, source_id: str | None) -> Section | None:
+    """A source's own section: that with its id, or for a source without one the section of its label that has none."""
+    return next((s for s in sections if (s.source_id == source_id if source_id else s.source_id is None and s.label == label)), None)
+
+
 def append(text: str, label: str, source_id: str | None, new: str) -> Merge:
-    """text with a source's facts: known in its own section they are skipped, known elsewhere marked there, else appended."""
+    """text with a source's facts: known in its own section or one of its label they are skipped, known elsewhere marked there, else appended before the flags that end its section."""
     sections = parse(text)
-    own = next((s for s in sections if (source_id and s.source_id == source_id) or (not source_id and s.label == label)), None)
+    own = _writer(sections, label, source_id)
     have: set[str] = set()
     elsewhere: dict[str, tuple[Section, int, list[str], int]] = {}  # by key: the first unit that says it, with its line
     for s in sections:
@@ -142,6 +147,8 @@ def append(text: str, label: str, source_id: str | None, new: str) -> Merge:
             have.add(k)
             if k in elsewhere:
                 s, i, found, j = elsewhere[k]
+                if label in labels(found[j]):
+                    continue
                 found[j] = mark_also(found[j], label)
                 s.lines[i] = " ".join(found)
                 marked += 1
@@ -153,18 +160,82 @@ def append(text: str, label: str, source_id: str | None, new: str) -> Merge:
     if lines:
         if own is None:
             sections.append(own := Section(label, source_id))
-        at = next((i for i, x in enumerate(own.lines) if x.startswith(">")), len(own.lines))
+        at = len(own.lines)
+        while at and own.lines[at - 1].startswith(">"):
+            at -= 1
         own.lines[at:at] = lines
-    return Merge(render(sections), added, marked)
+    return Merge(render(sections) if added or marked else text, added, marked)
+
+
+def tag_duplicates(text: str, label: str, judged: list[tuple[int, str]]) -> str:
+    """text with label among those that say the same as judged (section number, unit); sections are numbered without those of the label. What is not found is passed over."""
+    sections = parse(text)
+    others = [s for s in sections if s.label != label]
+    for number, unit in judged:
+        if not 0 <= number < len(others):
+            continue
+        spots = [(i, j, found) for i, x in enumerate(others[number].lines) if not x.startswith(">") for found in [units(x)] for j, u in enumerate(found) if key(u) == key(unit)]
+        if spots:
+            i, j, found = spots[0]
+            found[j] = mark_also(found[j], label)
+            others[number].lines[i] = " ".join(found)
+    return render(sections)
+
+
+def stamp(candidate: str, stored: str, label: str, source_id: str | None, known: set[str]) -> str:
+    """candidate with the source's id on its last section, if that is the one new section, has the label and no known id."""
+    sections = parse(candidate)
+    if not source_id or len(sections) != len(parse(stored)) + 1 or sections[-1].label != label or sections[-1].source_id in known:
+        return candidate
+    sections[-1].source_id = source_id
+    return render(sections)
+
+
+def _bare(unit: str, label: str) -> str:
+    """unit without label in its list of those that say the same."""
+    named = labels(unit)
+    if label not in named:
+        return " ".join(unit.split())
+    rest = [x for x in named if x != label]
+    plain = re.sub(r"\s*\[also:[^\]]*\]", "", unit, flags=re.IGNORECASE).rstrip()
+    return " ".join((plain + (f" [also: {'; '.join(rest)}]" if rest else "")).split())
+
+
+def faithful(old: str, new: str, label: str, source_id: str | None, allowed: list[str]) -> bool:
+    """Whether a rewrite keeps all sections, units and flags in place and adds only the writer's: units of allowed in its section, its label in tags, flags."""
+    before, after = parse(old), parse(new)
+    keys, exact = {key(u) for u in allowed}, {" ".join(u.split()) for u in allowed}
+    if not len(before) <= len(after) <= len(before) + 1 or any((x.label, x.source_id) != (y.label, y.source_id) for x, y in zip(before, after, strict=False)):
+        return False
+
+    def fine(unit: str) -> bool:
+        bare = _bare(unit, label)
+        return key(unit) in keys and not _MARK.search(bare) and bare in exact
+
+    def split(s: Section) -> tuple[list[str], list[str]]:
+        return [u for x in s.facts() for u in units(x)], [x for x in s.lines if x.startswith(">")]
+
+    if len(after) > len(before):
+        new_units, _ = split(after[-1])
+        if (after[-1].label, after[-1].source_id) != (label, source_id) or _writer(before, label, source_id) or not new_units or not all(map(fine, new_units)):
+            return False
+    own = _writer(before, label, source_id)
+    for x, y in zip(before, after, strict=False):
+        (had, flags), (has, now) = split(x), split(y)
+        if len(has) < len(had) or any(_bare(u, label) != _bare(v, label) for u, v in zip(had, has, strict=False)) or Counter(flags) - Counter(now):
+            return False
+        if x is not own and (len(has) > len(had) or len(now) > len(flags)) or not all(map(fine, has[len(had) :])):
+            return False
+    return _writer(after, label, source_id) is not None or label in {s.label for s in after}
 
 
 def flag_conflict(text: str, label: str, source_id: str | None, reason: str) -> str:
     """text with a flag line in the writer's section, once."""
     sections = parse(text)
     flag = f"> [conflict: {' '.join(reason.split())[:200]}]"
-    for s in sections:
-        if s.source_id == source_id and s.label == label and flag not in s.lines:
-            s.lines.append(flag)
+    own = _writer(sections, label, source_id)
+    if own is not None and flag not in own.lines:
+        own.lines.append(flag)
     return render(sections)
 
 

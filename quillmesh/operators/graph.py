@@ -96,6 +96,14 @@ def asymmetric(objects: DataFrame) -> DataFrame:
     return live.join(back, ["src", "dst"], "left_anti").join(own, ["src", "dst"], "left_anti")
 
 
+def near_in_time(rows: DataFrame, failed: DataFrame, seconds: int = PIPELINE_SECONDS) -> DataFrame:
+    """rows (..., ts) once for each time of failed (ts) that lies at most `seconds` away, as `failed`. A range join by slots of that width: each failure stands in three, so the join is on equal slots."""
+    width = seconds * 1_000_000
+    us = lambda c: F.unix_micros(c)
+    near = failed.select(F.col("ts").alias("failed")).withColumn("_slot", F.explode(F.array(*[F.floor(us(F.col("failed")) / width) + d for d in (-1, 0, 1)])))
+    return rows.withColumn("_slot", F.floor(us(F.col("ts")) / width)).join(near, "_slot").filter(F.abs(us(F.col("ts")) - us(F.col("failed"))) <= width).drop("_slot")
+
+
 def lint(objects: DataFrame, links: DataFrame, failed: DataFrame, now: str, duplicates: DataFrame | None = None) -> DataFrame:
     """All findings. failed (ts) are the times of failed ingests; duplicates (a, b, reason) are optional pairs."""
     at = F.lit(now).cast("timestamp")
@@ -108,10 +116,7 @@ def lint(objects: DataFrame, links: DataFrame, failed: DataFrame, now: str, dupl
     linked = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).unionByName(objects.filter(F.size("backlinks") > 0).select("id")).distinct()
     alone = timed.join(linked, "id", "left_anti")
     when = F.coalesce("source_ts", "created")
-    step = F.lit(PIPELINE_SECONDS)
-    slot = F.floor(F.unix_timestamp(when) / step)
-    near = failed.select(F.col("ts").alias("failed")).withColumn("slot", F.explode(F.array(*[F.floor(F.unix_timestamp("failed") / step) + d for d in (-1, 0, 1)])))
-    pipeline = alone.filter(F.size("outbound") == 0).withColumn("w", when).withColumn("slot", slot).join(near, "slot").filter(F.abs(F.unix_timestamp("w") - F.unix_timestamp("failed")) <= PIPELINE_SECONDS).select("id").distinct()
+    pipeline = near_in_time(alone.filter(F.size("outbound") == 0).select("id", when.cast("timestamp").alias("ts")), failed.select(F.col("ts").cast("timestamp").alias("ts"))).select("id").distinct()
     review = F.coalesce(F.col("status") == "needs-review", F.lit(False))
     live = objects.filter("NOT coalesce(archived, false)").select("id")
     ends = links.select("link_id", F.explode(F.array("from_id", "to_id")).alias("id")).join(live, "id", "left_anti").select("link_id")

@@ -50,6 +50,18 @@ def page_label(pages: Column) -> Column:
     return F.when(F.size(sorted_) == 0, "").when(F.size(sorted_) == 1, F.concat(F.lit("p. "), text)).otherwise(F.concat(F.lit("pp. "), text))
 
 
+def joined(parts: DataFrame, by: list[str], order: str, text: Column, name: str, count: str) -> DataFrame:
+    """(by, name, count): parts joined line by line in their order, as pages or the turns of a conversation; one row a document."""
+    made = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("x")))).alias("_a"), F.count("*").alias(count))
+    return made.select(*by, F.array_join(F.transform("_a", lambda s: s["x"]), "\n").alias(name), count)
+
+
+def digest(plan: DataFrame, by: list[str], kind: str, id_: str) -> DataFrame:
+    """(by, digest): the SHA-256 of a plan's kind and sorted ids as JSON, by which a confirmed plan is known again."""
+    listed = F.array_join(F.array_sort(F.collect_list(id_)), '", "')
+    return plan.groupBy(*by).agg(F.sha2(F.concat(F.lit(f'{{"kind": "{kind}", "ids": ["'), listed, F.lit('"]}')), 256).alias("digest"))
+
+
 def merge_windows(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, kind, name, facts, label) of items (by, kind, name, facts, window, pages): one row a kind and normalised name, first spelling, facts in order of windows."""
     made = items.withColumn("k", normalize_title(F.col("name"))).groupBy(*by, "kind", "k").agg(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as X
 from quillmesh.operators import chunk, facts, graph, planning, resolve, search
 from quillmesh.sources import html as pages_html
+from quillmesh.sources.kept import kept, version
 from quillmesh.streaming import incremental, worklog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,17 +63,24 @@ def fold_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STATS = f"""
-w AS ({_WORDS}), d AS (SELECT doc_id, len(w) AS size FROM w), u AS (SELECT doc_id, unnest(w) AS term FROM w),
-f AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS MATERIALIZED ({_WORDS}), d AS (SELECT doc_id, len(w) AS size FROM w), u AS (SELECT doc_id, unnest(w) AS term FROM w),
+f AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
 c AS (SELECT count(*) AS n, avg(size) AS avgdl FROM d),
-r AS (SELECT term, df, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM g, c),
-s AS (SELECT term, df, n, avgdl, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)"""
+r AS MATERIALIZED (SELECT term, df, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM g, c), v AS (SELECT avg(raw) AS mean FROM r),
+s AS (SELECT term, df, n, avgdl, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM r, v)"""
 
 
-@query(f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM s WHERE df >= 3")
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    """The postings of documents, kept while the table stays as it is."""
+    docs, now = t(spark, sf, "documents"), version(spark, f"{sf}/documents.parquet")
+    held = kept(spark, "postings", now, lambda: search.postings(docs, "doc_id", X.tokens(F.col("text"))).sortWithinPartitions("term"))
+    told = kept(spark, "corpus", now, lambda: search.corpus(held)).first()
+    return search.Index(held, told["n"], told["avgdl"] or 1.0, told["mean"] or 0.0)
+
+
+@query(f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM s")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    made = search.bm25_stats(t(spark, sf, "documents"), "doc_id", X.tokens(F.col("text")))
-    return made.filter("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
+    return _index(spark, sf).stats().select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 _ASKED_SQL = "[" + ", ".join(f"'{w}'" for w in ASKED.split() if w not in X.STOPWORDS) + "]"
@@ -87,7 +95,7 @@ def _asked() -> list[str]:
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b WHERE score > 0 ORDER BY b.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return search.bm25(t(spark, sf, "documents"), "doc_id", X.tokens(F.col("text")), _asked(), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return search.top(_index(spark, sf).scores(_asked()), 10).select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def _first_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -112,8 +120,8 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     near = search.dense(t(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding"), "embedding", _first_vector(spark, sf), 50, "point_id")
     near = near.select("point_id", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")).alias("rank"))
-    words = search.bm25(t(spark, sf, "documents"), "doc_id", X.tokens(F.col("text")), _asked(), 50)
-    return near, words.select(F.col("doc_id").alias("point_id"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))
+    words = search.top(_index(spark, sf).scores(_asked()), 50)
+    return near, words.select(F.col("row").alias("point_id"), F.row_number().over(Window.orderBy(F.desc("score"), "row")).alias("rank"))
 
 
 _LISTS = f"""{_BM25},
@@ -130,7 +138,7 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 _HYBRID_NAME = "src7"
 
 
-@query(f"""WITH {_LISTS.replace("FROM documents", "FROM named").replace(_sql_fold("text"), _sql_fold("source || ' ' || source || ' ' || text")).replace("w AS (", "named AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), w AS (", 1).replace(_ASKED_SQL, f"['{_HYBRID_NAME}']")},
+@query(f"""WITH {_LISTS.replace("FROM documents", "FROM named").replace(_sql_fold("text"), _sql_fold("source || ' ' || source || ' ' || text")).replace("w AS MATERIALIZED (", "named AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), w AS MATERIALIZED (", 1).replace(_ASKED_SQL, f"['{_HYBRID_NAME}']")},
 a AS (SELECT n.doc_id, CASE WHEN source = '{_HYBRID_NAME}' THEN 1 ELSE 0 END AS tier, source, coalesce(b.score, 0) AS s FROM named n LEFT JOIN b USING (doc_id)),
 k AS (SELECT z.id FROM z JOIN named ON doc_id = id WHERE source = '{_HYBRID_NAME}'),
 e AS (SELECT doc_id AS id, 0.0 AS rrf, 2 AS l, 2001 AS o FROM a WHERE tier = 1 AND NOT EXISTS (FROM k) ORDER BY s DESC, doc_id LIMIT 1),
@@ -145,7 +153,11 @@ def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
     chunks = docs.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("point_id"), F.col("source").alias("object_id"), F.col("source").alias("object_name"), F.lit("").alias("heading"), "text", F.col("lang").alias("type_key"))
     near = search.dense(t(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding"), "embedding", _first_vector(spark, sf), 50, "point_id")
     near = near.select("point_id", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")).alias("rank"))
-    return search.hybrid_rank(chunks, _HYBRID_NAME, near, 10).withColumn("score", F.round("score", 9))
+    now = version(spark, f"{sf}/documents.parquet", f"{sf}/embeddings.parquet")
+    held = kept(spark, "chunk-postings", now, lambda: search.postings(chunks, "row", search.chunk_words()).sortWithinPartitions("term"))
+    told = kept(spark, "chunk-corpus", now, lambda: search.corpus(held)).first()
+    index = search.Index(held, told["n"], told["avgdl"] or 1.0, told["mean"] or 0.0)
+    return search.hybrid_rank(chunks, _HYBRID_NAME, near, 10, index=index).withColumn("score", F.round("score", 9))
 
 
 _NORM = f"trim(regexp_replace({_sql_fold('p_name')}, '[^a-z0-9]+', ' ', 'g'))"
@@ -355,12 +367,9 @@ def severity_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT s.event_id, count(*) AS failures FROM events s JOIN events f ON f.event_type = 'error' AND abs(epoch_us(s.ts) - epoch_us(f.ts)) <= 300000000 WHERE s.event_type = 'signup' GROUP BY s.event_id")
 def pipeline_band_join(spark: SparkSession, sf: str) -> DataFrame:
-    """A range join by slots of the band's width: each failure stands in three slots, so the join is on equal slots."""
-    events = t(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    slot = F.floor(F.col("us") / 300_000_000)
-    f = events.filter("event_type = 'error'").select(F.col("us").alias("f"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    s = events.filter("event_type = 'signup'").select("event_id", "us", slot.alias("slot"))
-    return s.join(f, "slot").filter(F.abs(F.col("us") - F.col("f")) <= 300_000_000).groupBy("event_id").agg(F.count("*").alias("failures"))
+    events = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    begun = events.filter("event_type = 'signup'").select("event_id", "ts")
+    return graph.near_in_time(begun, events.filter("event_type = 'error'").select("ts"), 300).groupBy("event_id").agg(F.count("*").alias("failures"))
 
 
 @query(f"WITH {_LINT_SQL} SELECT CAST(id AS VARCHAR) AS id, CAST(date_diff('day', last_modified, ts) AS INTEGER) AS days FROM ec WHERE last_modified < ts - INTERVAL 90 DAY")
@@ -401,11 +410,8 @@ def worklog_pending(spark: SparkSession, sf: str) -> DataFrame:
 r AS (SELECT k, min(n) AS a, max(n) AS b FROM g GROUP BY k, i)
 SELECT k AS l_orderkey, CASE WHEN sum(b - a + 1) = 1 THEN 'p. ' ELSE 'pp. ' END || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ', ' ORDER BY a) AS label FROM r GROUP BY k""")
 def page_label_islands(spark: SparkSession, sf: str) -> DataFrame:
-    d = t(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()
-    runs = d.withColumn("i", F.col("n") - F.row_number().over(Window.partitionBy("l_orderkey").orderBy("n"))).groupBy("l_orderkey", "i").agg(F.min("n").alias("a"), F.max("n").alias("b"))
-    part = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("–", "a", "b"))
-    made = runs.groupBy("l_orderkey").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", part.alias("x")))), lambda s: s["x"]), ", ").alias("x"))
-    return made.select("l_orderkey", F.concat(F.when(F.col("pages") == 1, "p. ").otherwise("pp. "), "x").alias("label"))
+    held = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("pages"))
+    return held.select("l_orderkey", planning.page_label(F.col("pages")).alias("label"))
 
 
 @query("""SELECT n_regionkey, max(v) AS newest FROM (SELECT n_regionkey, [n_regionkey, n_nationkey, 0] AS v FROM nation) GROUP BY n_regionkey""")
@@ -416,8 +422,7 @@ def version_max(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT n_regionkey, sha256('{"kind": "plan", "ids": ["' || string_agg(n_name, '", "' ORDER BY n_name) || '"]}') AS digest FROM nation GROUP BY n_regionkey""")
 def plan_digest(spark: SparkSession, sf: str) -> DataFrame:
-    listed = F.array_join(F.array_sort(F.collect_list("n_name")), '", "')
-    return t(spark, sf, "nation").groupBy("n_regionkey").agg(F.sha2(F.concat(F.lit('{"kind": "plan", "ids": ["'), listed, F.lit('"]}')), 256).alias("digest"))
+    return planning.digest(t(spark, sf, "nation"), ["n_regionkey"], "plan", "n_name")
 
 
 @query(f"""WITH {_BM25}, h AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0 QUALIFY rank <= 50)
@@ -457,9 +462,7 @@ def merge_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS narration, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def narrations(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("x"))
-    made = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("a"), F.count("*").alias("turns"))
-    return made.select("conv_id", F.array_join(F.transform("a", lambda s: s["x"]), "\n").alias("narration"), "turns")
+    return planning.joined(t(spark, sf, "conversations"), ["conv_id"], "turn", F.concat(F.col("role"), F.lit(": "), F.col("text")), "narration", "turns")
 
 
 @query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n FROM conversations), r AS (

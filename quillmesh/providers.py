@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -11,6 +13,7 @@ import zlib
 from pyspark.sql import DataFrame
 
 from quillmesh.functions.text import fold_text
+from quillmesh.operators import facts
 
 
 class Embedder(Protocol):
@@ -43,6 +46,72 @@ class HashEmbedder:
         return df.select(*[f.name for f in columns]).mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", embedding array<float>")
 
 
+class Judge(Protocol):
+    """What stands for a model in the steps that ask one. Answers are plain data; anything may be raised or come back malformed."""
+
+    def extract(self, text: str, hint: str | None) -> dict: ...
+
+    def consolidate(self, stored: str, new: str, label: str) -> dict: ...
+
+    def same_as(self, name: str, facts: str, candidates: list[dict]) -> str | None: ...
+
+    def contradictions(self, checks: list[dict]) -> dict[str, dict]: ...
+
+
+class Rules:
+    """A judge without a model: headings are entities, new text is appended, names that hold each other are the same, units that differ only in a number contradict."""
+
+    def extract(self, text: str, hint: str | None) -> dict:
+        found = [{"name": m[1].strip(), "description": m[2].strip()} for m in re.finditer(r"(?ms)^#+ +(.+?)$(.*?)(?=^#|\Z)", text)]
+        return {"entities": found, "concepts": [], "summary": text.strip().split("\n")[0]} | ({"primary_subject": hint} if hint else {})
+
+    def consolidate(self, stored: str, new: str, label: str) -> dict:
+        made = facts.append(stored, label, None, new)
+        return {"consolidated_text": made.text, "changed": bool(made.added), "fact_actions": [], "conflicts": []}
+
+    def same_as(self, name: str, facts: str, candidates: list[dict]) -> str | None:
+        own = set(fold_text(name).split())
+        return next((c["object_id"] for c in candidates if own and (own <= set(fold_text(c["name"]).split()) or set(fold_text(c["name"]).split()) <= own)), None)
+
+    def contradictions(self, checks: list[dict]) -> dict[str, dict]:
+        def shape(u: str) -> str:
+            return re.sub(r"\d+", "#", facts.key(u))
+
+        out = {}
+        for c in checks:
+            hits, same = [], []
+            new = [u for line in c["new_facts"].split("\n") for u in facts.units(line)]
+            for other in c["candidates"]:
+                for old in (u for line in other["facts"].split("\n") for u in facts.units(line)):
+                    for u in new:
+                        if facts.key(u) == facts.key(old):
+                            same.append({"object_id": other["object_id"], "earlier": old, "new": u})
+                        elif "#" in shape(u) and shape(u) == shape(old):
+                            hits.append({"object_id": other["object_id"], "reason": f"{u} / {old}"})
+            out[c["check_id"]] = {"contradictions": hits, "duplicates": same}
+        return out
+
+
+def read_stream(lines: Iterable[str]) -> tuple[str | None, str | None, str | None]:
+    """(text, reason of its end, failure) of a model's answer as JSON lines, each with a piece, until one is done; what is no object, tells an error or ends before fails."""
+    parts: list[str] = []
+    for line in filter(None, map(str.strip, lines)):
+        try:
+            piece = json.loads(line)
+        except ValueError:
+            piece = None
+        if not isinstance(piece, dict):
+            return None, None, "stream_error: invalid chunk"
+        if piece.get("error"):
+            told = "".join(c for c in str(piece["error"]) if c.isprintable())
+            return None, None, f"stream_error: {re.sub(r'//[^/@ ]*@', '//', told)[:200]}"
+        message = piece.get("message")
+        parts.append(str(piece.get("response") or (message.get("content") if isinstance(message, dict) else "") or ""))
+        if piece.get("done"):
+            return "".join(parts), piece.get("done_reason"), None
+    return None, None, "stream_error: stream ended before done"
+
+
 class Extractive:
     """An answer made of the context's first sentences, with their objects' names."""
 
