@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh import schema as S
@@ -45,6 +45,35 @@ class Engine:
             self._log(space, "bootstrap", space, now, notes=S.SCHEMA_VERSION)
         return S.missing_properties({})
 
+    @staticmethod
+    def outbound() -> Column:
+        return S.outbound()
+
+    def narrate(self, space: str, note: str | None, now: str) -> DataFrame:
+        """The source object of narrated knowledge: its type by the note's words, an excerpt of it, or its own name without one."""
+        row = self.spark.createDataFrame([(space, note or "")], "space_id string, note string")
+        clean = X.scrub_text_urls(F.col("note"))
+        row = row.withColumn("name", F.when(F.col("note") == "", F.lit(f"agent {now[:10]}")).otherwise(F.substring(clean, 1, 200)))
+        kind = F.when(F.lower("note").contains("conversation"), "conversation").otherwise("agent")
+        row = row.withColumn("id", X.uuid5(F.concat_ws(":", "space_id", F.lit("narration"), "name", F.lit(now)))).withColumn("properties", F.array().cast(f"array<{S.PROPERTY}>"))
+        row = row.withColumn("properties", S.with_property("wiki_excerpt", "text", F.when(F.col("note") == "", F.col("name")).otherwise(F.substring(X.strip_controls(clean), 1, 500))))
+        row = row.withColumn("properties", S.with_property("wiki_ingested_at", "date", F.lit(now))).withColumn("properties", S.with_property("wiki_source_type", "select", F.struct(kind.alias("id"), kind.alias("name"))))
+        made = row.select("space_id", "id", "name", F.lit("wiki_source").alias("type_key"), "properties", F.lit("").alias("markdown"), F.lit(False).alias("archived"), F.lit(now).cast("timestamp").alias("created_date"), F.lit(now).alias("last_modified"), F.array().cast("array<string>").alias("backlinks"))
+        self.put(made)
+        return made
+
+    def backfill(self, now: str) -> bool:
+        """Fills the points' payload from their objects, once for a version of the schema; the mark is written only after it is done. Whether it ran."""
+        mark = f"payload {S.SCHEMA_VERSION}"
+        if not self.store.read("log").filter(F.col("notes") == mark).isEmpty():
+            return False
+        points, objects = self.store.read("points"), self.store.read("objects").select("space_id", F.col("id").alias("object_id"), *S.payload())
+        for column in ("source_type", "domain_tags", "wiki_url"):
+            points = incremental.backfill(points, objects.select("space_id", "object_id", column), column)
+        self.store.replace("points", points)
+        self._log("", "backfill", "points", now, notes=mark)
+        return True
+
     def put(self, objects: DataFrame) -> None:
         """Creates or replaces objects by (space_id, id)."""
         self.store.upsert("objects", objects, ["space_id", "id"])
@@ -88,8 +117,11 @@ class Engine:
         src = src.withColumn("properties", S.with_property("wiki_excerpt", "text", F.substring(X.scrub_text_urls(F.col("_m")), 1, EXCERPT))).withColumn("properties", S.with_property("wiki_url", "url", X.scrub_url_secrets(F.col("source"))))
         both = rows.select("space_id", "id", "name", "type_key", "properties").unionByName(src.select("space_id", "id", "name", "type_key", "properties").dropDuplicates(["space_id", "id"]))
         stamp = F.lit(now).cast("timestamp")
+        batch = f"{self.store.root}/ingests/{uuid.uuid4().hex}"  # written once, so that what is told is what was put
+        both.join(named.select("space_id", "id", F.col("known").isNull().alias("created")), ["space_id", "id"], "left").write.parquet(batch)
+        both = self.spark.read.parquet(batch).drop("created")
         self.put(both.select("*", F.lit("").alias("markdown"), F.lit(False).alias("archived"), stamp.alias("created_date"), F.lit(now).alias("last_modified"), F.array().cast("array<string>").alias("backlinks")))
-        done = self.store.read("objects").filter(F.col("last_modified") == now).select("space_id", "id", "name", "type_key").join(named.select("space_id", "id", F.col("known").isNull().alias("created")), ["space_id", "id"], "left")
+        done = self.spark.read.parquet(batch).select("space_id", "id", "name", "type_key", "created")
         for r in done.groupBy("space_id").agg(F.count_if("created").alias("c"), F.count_if(~F.col("created")).alias("u")).collect():
             self._log(r["space_id"], "ingest", "sources", now, r["c"], r["u"])
         return done

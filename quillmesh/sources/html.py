@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import text_verdict
+from quillmesh.functions.text import navigation_like, text_verdict, visible_text
 
 # What never is content, what is none outside the root, and the shares that decide.
 DROPPED = ("script", "style", "noscript", "template", "svg", "iframe", "nav", "aside")
@@ -89,7 +89,11 @@ def tree(html: str) -> Node:
 
 def main_content(html: str) -> Node:
     """The node that holds a page's content, chrome removed: the first of main, article and role=main, else the body; also the body if the root holds little of its text."""
-    top = tree(html)
+    return content_of(tree(html))
+
+
+def content_of(top: Node) -> Node:
+    """The same of a parsed page, which is changed."""
     for n in list(top.walk()):
         if n.tag in DROPPED or n.attrs.get("role") in ROLES or n.attrs.get("aria-hidden") == "true":
             n.drop()
@@ -142,15 +146,31 @@ def markdown(node: Node) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def _shell(nodes: list[Node]) -> bool:
+    return any(n.attrs.get("id") in MOUNTS and not n.text() for n in nodes) and any(n.tag == "script" for n in nodes)
+
+
 def js_shell(html: str) -> bool:
     """Whether a page is an empty mount point that scripts fill."""
-    nodes = list(tree(html).walk())
-    return any(n.attrs.get("id") in MOUNTS and not n.text() for n in nodes) and any(n.tag == "script" for n in nodes)
+    return _shell(list(tree(html).walk()))
+
+
+def read(html: str) -> tuple[str, str, bool]:
+    """(markdown, title, js_shell) of a page, parsed once: what is told of the whole page is told before its chrome goes."""
+    top = tree(html)
+    nodes = list(top.walk())
+    title = next((n.text() for n in nodes if n.tag == "title"), "")
+    shell = _shell(nodes)
+    return markdown(content_of(top)), title, shell
+
 
+def titled(markdown: Column, title: Column) -> Column:
+    """markdown under its title, unless it has none or begins with a heading of that title."""
+    def words(c: Column) -> Column:
+        return F.array_join(F.regexp_extract_all(F.lower(visible_text(c)), F.lit(r"(?U)\w+"), F.lit(0)), " ")
 
-def _title(html: str) -> str:
-    n = next((n for n in tree(html).walk() if n.tag == "title"), None)
-    return n.text() if n else ""
+    first = F.regexp_extract(markdown, r"^\s*#\s+([^\n]+)", 1)
+    return F.when((F.coalesce(title, F.lit("")) == "") | ((first != "") & (words(first) == words(title))), markdown).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), markdown))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -158,7 +178,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = b[html].fillna("")
-            yield b.assign(markdown=raw.map(lambda x: markdown(main_content(x))), title=raw.map(_title), js_shell=raw.map(js_shell))
+            made = raw.map(read)
+            yield b.assign(markdown=made.str[0], title=made.str[1], js_shell=made.map(lambda x: x[2]).astype(bool))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes) + ", markdown string, title string, js_shell boolean"
     made = pages.mapInPandas(run, schema)
@@ -173,5 +194,6 @@ def recover_lines(primary: DataFrame, baseline: DataFrame, by: str = "page_id")
         return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)), " "), F.lit(" "))
 
     lines = baseline.select(by, F.posexplode(F.split("markdown", "\n")).alias("line_no", "line")).withColumn("w", words(F.col("line"))).filter("trim(w) <> ''")
+    lines = lines.filter(~navigation_like(F.col("line")))
     once = lines.groupBy(by, "w").agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("line"))
     return once.join(primary.select(by, words(F.col("markdown")).alias("have")), by).filter(~F.col("have").contains(F.col("w"))).select(by, "line_no", "line")
