@@ -61,3 +61,10 @@ def shard(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, s
 def op9_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document goes: doc_id, slot, shard."""
     return shard(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
+
+
+def op9_sql() -> str:
+    """The same with the filled table written out: SQL tells the hash, the slot and the join, not the filling."""
+    return f"""WITH t AS (SELECT unnest(range({SLOTS})) AS slot, unnest({fill([f"shard-{i}" for i in range(SHARDS)])}) AS shard),
+d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, CAST(shard AS INTEGER) AS shard FROM d JOIN t USING (slot)"""
