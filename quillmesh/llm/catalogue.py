@@ -12,7 +12,7 @@ from quillmesh.llm.mixing import op4_pivotal_mixing
 from quillmesh.llm.ngram_join import OP6_SQL, op6_ngram_jaccard
 from quillmesh.llm.packing import op8_bin_completion
 from quillmesh.llm.sharding import op9_lookup_sharding, op9_sql
-from quillmesh.llm.suffix_dedup import op10_suffix_dedup
+from quillmesh.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from quillmesh.llm.topk import OP5_SQL, op5_exact_topk
 from quillmesh.llm.toxicity import op3_string_kernel_toxicity
 from quillmesh.llm.urls import op2_url_filter
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_lookup_sharding": op9_sql()}
+    return {"op5_exact_topk": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_lookup_sharding": op9_sql(), "op10_suffix_dedup": OP10_SQL}

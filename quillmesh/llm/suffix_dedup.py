@@ -293,3 +293,28 @@ def strip_repeats(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repeated_spans(table(spark, sf_dir, "documents")))
+
+
+#: Every string of WIDTH bytes of every text, grouped by what it holds; whole texts, so for small tables only.
+OP10_SQL = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS MATERIALIZED (
+  SELECT r, unnest(list_transform(range(1, octet_length(b) - {WIDTH} + 2), lambda p: {{'p': p, 'k': md5(array_slice(b, p, p + {WIDTH - 1}))}}), recursive := true) FROM docs
+), twice AS (
+  SELECT r, p FROM starts SEMI JOIN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1) AS repeated USING (k)
+), told AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {WIDTH} THEN 0 ELSE 1 END AS fresh FROM twice
+), runs AS (
+  SELECT r, min(p) AS s, max(p) + {WIDTH} AS e
+  FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM told) AS n GROUP BY r, run
+), gaps AS (
+  SELECT r, s, e, lag(e, 1, 1) OVER (PARTITION BY r ORDER BY s) AS since FROM runs
+), cut AS (
+  SELECT r, count(*) AS n, sum(e - s) AS removed, string_agg(hex(array_slice(b, since, s - 1)), '' ORDER BY s) || hex(array_slice(any_value(b), max(e), octet_length(any_value(b)))) AS kept
+  FROM gaps JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
