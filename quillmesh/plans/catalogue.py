@@ -6,6 +6,7 @@ line items; the change log and the work log are events.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -180,7 +181,24 @@ def _objects(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select(F.col("lang").alias("space_id"), F.col("doc_id").alias("id"), F.col("source").alias("name"), kinds.alias("type_key"), F.col("text").alias("markdown"))
 
 
-@query()
+_ENDS = r"^[\s\x{0b}\x{85}\p{Z}]+|[\s\x{0b}\x{85}\p{Z}]+$"
+
+
+@query(rf"""WITH n AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, regexp_matches(line, '^#{{1,4}}\s+.') AS head FROM n), s AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sec FROM h),
+b AS (SELECT doc_id, sec, coalesce(regexp_replace(max(CASE WHEN head THEN regexp_extract(line, '^#{{1,4}}\s+(.+)', 1) END), '{_ENDS}', '', 'g'), '') AS heading,
+  regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), '{_ENDS}', '', 'g') AS body FROM s GROUP BY doc_id, sec),
+k AS (SELECT * FROM b WHERE body <> '' UNION ALL SELECT doc_id, 0, '', regexp_replace(text, '{_ENDS}', '', 'g') FROM documents d WHERE regexp_replace(text, '{_ENDS}', '', 'g') <> '' AND NOT EXISTS (FROM b WHERE b.doc_id = d.doc_id AND body <> '')),
+c AS (SELECT doc_id, sec, heading, regexp_replace(regexp_replace(body, '[\x{{00}}-\x{{08}}\x{{0b}}\x{{0c}}\x{{0e}}-\x{{1f}}\x{{7f}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2066}}-\x{{2069}}\x{{feff}}\x{{2028}}\x{{2029}}\x{{e0020}}-\x{{e007f}}]', '', 'g'), '{_ENDS}', '', 'g') AS body FROM k),
+f AS (SELECT doc_id, sec, heading, body, list_reduce(list_transform(string_split_regex(body, '\n\s*\n'), lambda p: {{'done': []::VARCHAR[], 'open': p}}), lambda a, x: CASE
+  WHEN length(x.open) > {chunk.CHUNK_CHARS} THEN {{'done': list_concat(CASE WHEN a.open <> '' THEN list_append(a.done, a.open) ELSE a.done END, list_transform(range(0, (length(x.open) - 1) // {chunk.CHUNK_CHARS} + 1), lambda j: substr(x.open, j * {chunk.CHUNK_CHARS} + 1, {chunk.CHUNK_CHARS}))), 'open': ''}}
+  WHEN a.open = '' THEN {{'done': a.done, 'open': x.open}}
+  WHEN length(a.open) + 2 + length(x.open) <= {chunk.CHUNK_CHARS} THEN {{'done': a.done, 'open': a.open || chr(10) || chr(10) || x.open}}
+  ELSE {{'done': list_append(a.done, a.open), 'open': x.open}} END, {{'done': []::VARCHAR[], 'open': ''}}) AS r FROM c WHERE body <> ''),
+g AS (SELECT doc_id, sec, heading, unnest(l) AS text, generate_subscripts(l, 1) AS j FROM (SELECT *, CASE WHEN length(body) <= {chunk.CHUNK_CHARS} THEN [body] WHEN r.open <> '' THEN list_append(r.done, r.open) ELSE r.done END AS l FROM f)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, j) - 1 AS idx FROM g), u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || ':' || idx || ':' || heading)) AS h FROM o)
+SELECT CAST(doc_id AS VARCHAR) AS object_id, CAST(idx AS INTEGER) AS chunk_idx, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(lpad(to_hex((CAST('0x' || h[17:18] AS INTEGER) & 63) | 128), 2, '0')) || h[19:20] || '-' || h[21:32] AS point_id,
+heading, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM u""")
 def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     made = chunk.chunks(_objects(spark, sf))
     return made.select("object_id", "chunk_idx", "point_id", "heading", F.length("text").alias("chars"), F.md5("text").alias("digest"))
@@ -510,8 +528,10 @@ def classify_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    importlib.import_module("quillmesh.plans.rules")  # adds its queries
     return {"hybrid_rank": QUERIES["hybrid_rank"]} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("quillmesh.plans.rules")
     return dict(SQL)
