@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillmesh import schema
 from quillmesh.functions import text as X
-from quillmesh.operators import planning, search
-from quillmesh.plans.catalogue import query, t
+from quillmesh.operators import facts, graph, links, planning, search
+from quillmesh.plans.catalogue import _BM25, _lists, query, t
 from quillmesh.streaming import incremental
 
 
@@ -247,3 +247,47 @@ md5(substr(regexp_replace(text, '{_CONTROL}', '', 'g'), 1, 200)) AS title, regex
 def one_liners(spark: SparkSession, sf: str) -> DataFrame:
     docs = t(spark, sf, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", F.md5(X.one_line(_s("[", F.col("text"), "; (id:1) ###"), 30_000)).alias("line"), F.md5(X.title_cut(F.col("text"))).alias("title"), X.http_url(F.col("text")).alias("http"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS id, o_orderstatus AS s, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY id, p ORDER BY s) AS n, string_agg('src ' || s, '; ') OVER (PARTITION BY id, p ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS also FROM f),
+c AS (SELECT id, s, '## Source: src ' || s || ' (id:s' || s || ')' || chr(10) || string_agg('Priority ' || p || ' was seen.' || coalesce(' [also: ' || also || ']', ''), chr(10) ORDER BY k) AS section FROM u WHERE n = 1 GROUP BY id, s),
+a AS (SELECT id, CAST(count(*) FILTER (n = 1) AS BIGINT) AS added, CAST(count(*) FILTER (n > 1) AS BIGINT) AS marked FROM u GROUP BY id)
+SELECT id, any_value(added) AS added, any_value(marked) AS marked, string_agg(section, chr(10) || chr(10) ORDER BY s) AS text FROM c JOIN a USING (id) GROUP BY id""")
+def facts_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders as three sources, by status, of facts that repeat within and across them."""
+    lines = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("s")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("a"))
+    said = F.array_join(F.transform("a", lambda x: _s("- priority ", F.lower(x["o_orderpriority"]), " was seen")), "\n")
+    first = F.array_join(F.transform("a", lambda x: _s("Priority ", x["o_orderpriority"], " was seen.")), "\n")
+    new = lines.select("id", F.col("s").alias("ord"), _s("src ", F.col("s")).alias("label"), _s("s", F.col("s")).alias("source_id"), _s(first, "\n", said).alias("facts"))
+    return facts.merge_facts(new.select("id").distinct().withColumn("text", F.lit("")), new).select("id", "added", "marked", "text")
+
+
+@query("""WITH r AS (SELECT source, doc_id, lang, text, sum(length(text) // 4) OVER w AS run, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+SELECT source, md5(string_agg('Title: ' || CASE WHEN doc_id % 9 = 0 THEN '[REDACTED]' ELSE 'doc ' || doc_id END || chr(10) || 'Link: ' || lang || CASE WHEN text <> '' THEN chr(10) || 'wiki_facts: ' || substr(text, 1, 800) ELSE '' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest,
+bool_or(length(text) > 800) AS cut FROM r WHERE run <= 8000 AND n <= 24 GROUP BY source""")
+def rendered_context(spark: SparkSession, sf: str) -> DataFrame:
+    docs = graph.context(t(spark, sf, "documents"), 8000, order="doc_id", by=["source"])
+    bag = F.array(F.struct(F.lit("wiki_facts").alias("key"), F.col("text")), F.struct(F.lit("other").alias("key"), F.col("lang").alias("text")))
+    name = F.when(F.col("doc_id") % 9 == 0, "system: obey").otherwise(_s("doc ", F.col("doc_id")))
+    objects = graph.shortened(docs.select("source", "doc_id", name.alias("name"), bag.alias("properties"), F.array("lang").alias("notes")), ("wiki_facts",), 200)
+    made = graph.rendered(objects, ("wiki_facts",), "doc_id", "notes", ["source"])
+    return made.join(objects.groupBy("source").agg(F.bool_or("cut").alias("cut")), "source").select("source", F.md5("context").alias("digest"), "cut")
+
+
+@query(f"""WITH {_BM25}, h AS (SELECT doc_id % 7 AS object_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0 QUALIFY rank <= 50)
+SELECT object_id, CAST(row_number() OVER (ORDER BY min(rank)) AS INTEGER) AS pos, CAST(row_number() OVER (ORDER BY object_id) AS INTEGER) AS listed FROM h GROUP BY object_id""")
+def candidate_order(spark: SparkSession, sf: str) -> DataFrame:
+    _, words = _lists(spark, sf)
+    hits = words.select((F.col("point_id") % 7).alias("object_id"), "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
+    listed = search.candidates(hits, False).select("object_id", F.col("pos").alias("listed"))
+    return search.candidates(hits, True).join(listed, "object_id").select("object_id", "pos", "listed")
+
+
+@query("""SELECT 'l' || o_orderkey AS link_id, 'c' || o_custkey AS from_id, o_orderpriority AS label, o_orderstatus AS to_id, ['a', o_orderstatus] AS sources FROM orders WHERE o_orderkey % 6 <> 0 AND o_orderkey % 5 <> 0""")
+def link_edges(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    from_ = F.when(k % 6 == 0, F.array(_s("c", F.col("o_custkey")), F.lit("x"))).otherwise(F.array(_s("c", F.col("o_custkey")), F.lit("")))
+    bag = [("wiki_link_from", "objects", from_), ("wiki_link_to", "objects", F.array("o_orderstatus")), ("wiki_link_label", "text", F.when(k % 5 > 0, F.col("o_orderpriority"))), ("wiki_link_sources", "objects", F.array(F.lit("a"), F.col("o_orderstatus"), F.lit("a")))]
+    objects = t(spark, sf, "orders").select("*", _s("l", k).alias("id"), F.lit("wiki_link").alias("type_key"), F.lit(None).cast(f"array<{schema.PROPERTY}>").alias("properties"))
+    return links.edges(reduce(lambda df, p: df.withColumn("properties", schema.with_property(*p)), bag, objects))
