@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.llm.asof import OP12_SQL, op12_asof_join
 from quillmesh.llm.language import op1_language_id
 from quillmesh.llm.media import op7_media_columns
 from quillmesh.llm.mixing import op4_pivotal_mixing
@@ -19,8 +20,8 @@ from quillmesh.llm.urls import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_string_kernel_toxicity, op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_string_kernel_toxicity, op4_pivotal_mixing, op5_exact_topk, op6_ngram_jaccard, op7_media_columns, op8_bin_completion, op9_lookup_sharding, op10_suffix_dedup, op12_asof_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_lookup_sharding": op9_sql(), "op10_suffix_dedup": OP10_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_lookup_sharding": op9_sql(), "op10_suffix_dedup": OP10_SQL, "op12_asof_join": OP12_SQL}
