@@ -32,7 +32,7 @@ TEXT = """
 1 apache-2.0-notice compliance: you may not use this file except in compliance with the <l>
 1 apache-2.0-notice governing: see the <l> for the specific language governing permissions and limitations
 1 apache-2.0-with-llvm-exception llvm: apache(?: <l>)? <v>2(?: 0)? with llvm exceptions?
-1 apache-1.1-notice acknowledgment: this product includes software developed by the apache (?:software foundation|group)
+1 apache-1.1-notice apache: this product includes software developed by the apache (?:software foundation|group)
 1 mit-text hereby: permission is hereby granted free of charge to any person obtaining a copy
 1 mit-text sublicense: use copy modify merge publish distribute sublicense and or sell copies
 1 mit-text portions: shall be included in all copies or substantial portions of the software
@@ -57,8 +57,8 @@ TEXT = """
 1 cddl-text cddl: the contents of this file are subject to the terms of the (?:cddl|common development and distribution <l>)
 1 boost-text boost: distributed under the boost software <l>
 1 cc0-text waived: has waived all copyright and related or neighboring rights
-1 cc-by-text attribution: you must give appropriate credit provide a link
-1 cc-by-sa-text alike: if you remix transform or build upon the material you must distribute
+1 cc-by-text appropriate: you must give appropriate credit provide a link
+1 cc-by-sa-text remix: if you remix transform or build upon the material you must distribute
 1 cc-nc-text commercial: you may not use the material for commercial purposes
 1 cc-nd-text transform: if you remix transform or build upon the material you may not distribute
 1 odbl-text database: produced works? from the database

@@ -45,7 +45,7 @@ def folder(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("nothing"))
-    for name, schema in (("documents", DOC), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>")):
+    for name, schema in (("documents", DOC), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>"), ("clicks", "click_id long, client_id long, ts timestamp_ntz"), ("sales", "sale_id long, client_id long, total double, sold_at timestamp_ntz, priority int")):
         spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
     return at
 
