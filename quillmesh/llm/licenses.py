@@ -1,7 +1,8 @@
 """Operator 11, license scans by ordered signature rules, with DataFrame functions alone.
 
 A text is brought to words in lower case with one space between them. One pattern finds which keywords it has; only the
-rules of these keywords are tried (a join with the rules, whose number is fixed). A rule's places come from splitting the
+rules of these keywords are tried (a join with the rules, whose number is fixed), and of them only those whose plain parts
+the text has. A rule's places come from splitting the
 text at it: what lies between two matches tells how many words one starts after the last. The places of one text are put
 in order, and one running scan suppresses what lies within a place of the same or a better tier (the longer one, or with
 equal words the one of the earlier rule, stays).
@@ -36,12 +37,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def signatures() -> list[dict]:
     """All rules in order: those of the base phrases, then the others. The number of a rule is its place."""
     listed = [(0, label, keyword, phrase) for label, keyword, phrase in BASE] + rules()
-    return [{"rule": i, "tier": t, "label": label, "keyword": k, "pattern": f"(?<= )(?:{p})(?= )"} for i, (t, label, k, p) in enumerate(listed)]
+    return [{"rule": i, "tier": t, "label": label, "keyword": k, "needs": plain_parts(p), "pattern": f"(?<= )(?:{p})(?= )"} for i, (t, label, k, p) in enumerate(listed)]
+
+
+def plain_parts(pattern: str) -> list[str]:
+    """The runs of letters, digits and spaces outside of groups and classes: each match has them all."""
+    bare, depth = [], 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        bare.append(c if not depth and (c.isalnum() or c == " ") and pattern[i + 1 : i + 2] not in ("?", "*", "{") else "|")
+    return [x for x in "".join(bare).split("|") if x.strip()]
+
+
+def keyword_pattern(words: set[str]) -> str:
+    """A pattern whose first group is a keyword that stands as a word: told apart by their first letters first."""
+    firsts = sorted({w[0] for w in words})
+    tails = ["|".join(sorted((w[1:] for w in words if w[0] == f), reverse=True)) for f in firsts]
+    return f" (?=[{''.join(firsts)}])({'|'.join(f'{f}(?:{t})' for f, t in zip(firsts, tails, strict=True))})(?= )"
 
 
 def canonical(text: Column) -> Column:
-    """The words of a text in lower case, each between single spaces; two spaces if it has none."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    """The words of a text in lower case, each between single spaces; two spaces if it has none.
+
+    Lower-casing all letters is much faster than those of ASCII alone and moves no word: but for the two letters whose lower
+    case holds one of ASCII, what is not ASCII stays so. Texts with these two have A-Z alone lower-cased.
+    """
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    low = F.when(F.contains(whole, F.lit("\u0130")) | F.contains(whole, F.lit("\u212a")), F.translate(whole, UPPER, LOWER)).otherwise(F.lower(whole))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, GAP, " ")), F.lit(" "))
 
 
@@ -57,15 +79,14 @@ def license_places(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """
     told = signatures()
     spark = docs.sparkSession
-    schema = "array<struct<rule:int,tier:int,label:string,keyword:string,pattern:string>>"
+    schema = "array<struct<rule:int,tier:int,label:string,keyword:string,needs:array<string>,pattern:string>>"
     ruled = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(told)), schema)))
-    words = "|".join(sorted({r["keyword"] for r in told}))
     plain = docs.select("file", "place", *keep, canonical(F.col(text)).alias("_canon"))
     plain = plain.withColumn("n_words", F.when(F.col("_canon") == "  ", F.lit(0).cast("long")).otherwise(_spaces(F.col("_canon")) - 1))
-    keys = F.array_distinct(F.regexp_extract_all("_canon", F.lit(f"(?<= )(?:{words})(?= )"), F.lit(0)))
+    keys = F.array_distinct(F.regexp_extract_all("_canon", F.lit(keyword_pattern({r["keyword"] for r in told})), F.lit(1)))
     # The key '' stands for the text itself and meets no rule.
     asked = plain.withColumn("keyword", F.explode(F.array_append(keys, F.lit(""))))
-    tried = asked.join(F.broadcast(ruled), "keyword", "left").filter("rule IS NOT NULL OR keyword = ''")
+    tried = asked.join(F.broadcast(ruled), "keyword", "left").filter((F.col("rule").isNotNull() & F.forall("needs", lambda x: F.contains("_canon", x))) | (F.col("keyword") == ""))
     some = F.col("rule").isNotNull()
     gaps, hits = F.split("_canon", F.col("pattern"), -1), F.regexp_extract_all("_canon", F.col("pattern"), F.lit(0))
     sized = F.zip_with(F.transform(hits, lambda h: _spaces(h) + 1), F.transform(gaps, lambda g: _spaces(g) - 1), lambda h, g: F.struct(g.alias("gap"), h.alias("size")))
@@ -78,7 +99,7 @@ def license_places(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     before = Window.partitionBy("file", "place").orderBy("first", F.col("last").desc(), "tier", "rule").rowsBetween(Window.unboundedPreceding, -1)
     covered = {t: F.max(F.when(F.col("tier").between(1, t), F.col("last"))).over(before) for t in range(1, len(WEIGHTS))}
     within = F.coalesce(*[F.when(F.col("tier") == t, c) for t, c in covered.items()])
-    kept = (F.col("tier") == 0) | within.isNull() | (within < F.col("last"))
+    kept = F.col("rule").isNotNull() & ((F.col("tier") == 0) | within.isNull() | (within < F.col("last")))
     return placed_at.select("file", "place", *keep, "n_words", "rule", "tier", "label", "first", "last", kept.alias("kept"))
 
 
@@ -96,7 +117,7 @@ def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined(F.when(F.col("kept"), F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(F.col("kept"), weight)), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("kept") & F.col("rule").isNotNull(), F.struct("first", "last", "label")))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("first", "last", "label")))).alias("spans"),
     )
     return out.select(F.col(ids).alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
