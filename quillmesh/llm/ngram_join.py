@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Rolling, few, lean, mix64, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import Rolling, few, lean, mix64, placed, shared_dir, small_batches, stash, table
 from quillmesh.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -65,6 +65,11 @@ def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+def _signature(grams: np.ndarray) -> int:
+    """The fingerprint of a set, as a long."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for b in batches:
         yield b, [(v.as_py() or "").encode() for v in b.column(column)]
@@ -137,19 +142,19 @@ def _sets(docs: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
                 h = shingles(data, words)
                 least = -(-percent * len(h) // 100)
                 size.append(len(h))
-                sig.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                sig.append(_signature(h))
                 odd = np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
                 prefix.append(h[order.sort(h)[: len(h) - least + 1]].view(np.int64) if len(h) else h.view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(parity, pa.list_(pa.int64())), listed, b.column(3)], names=["id", "key", "n", "sig", "parity", "prefix", "row"])
 
     return docs.select("id", "key", "text", "row").mapInArrow(run, f"id long, key long, n long, sig long, parity array<long>, prefix array<long>, row {ROW}")
 
 
 def _fragments(docs: DataFrame, words: int, order: Order) -> DataFrame:
-    """(sig, fragment, grams): each set of docs (sig, text), cut where the global order is."""
+    """(sig, fragment, grams): each set of docs (sig, text), cut where the global order is. A text whose set is not that of sig is left out."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +162,8 @@ def _fragments(docs: DataFrame, words: int, order: Order) -> DataFrame:
             sig, part, grams = [], [], []
             for s, data in zip(b.column(0).to_pylist(), texts, strict=True):
                 h = shingles(data, words)
+                if _signature(h) != s:
+                    continue
                 own = order.fragment(h)
                 for f in range(len(order.cuts) + 1):
                     if len(inside := h[own == f]):
@@ -180,7 +187,7 @@ def _near(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parities: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """Those of pairs (a, na, b, nb) whose partial overlaps, summed over the fragments, reach the similarity.
 
-    Only the texts of the pairs' sets are read again. A set that repeated rows bring twice counts once (max).
+    Only the texts of the pairs' sets are read again, one row for each set, told by its place.
     """
     pairs = stash(_near(pairs, parities, percent))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
@@ -234,17 +241,18 @@ def _apart(shared: DataFrame, joined: DataFrame) -> DataFrame:
     return stash(member.join(stash(parts.filter("parts > 1").select("gram", "main")), "gram"))
 
 
-def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, key, n, sig, row) of each row of df, and (sig, root, component_id) of each set that is not empty."""
+def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, file: str = "file", place: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, sig, row) of each row of df, and (sig, root, component_id) of each set that is not empty. key stands for the row's place."""
     spark = df.sparkSession
     small_batches(spark)
     shared_dir(spark)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text"), (F.lit(None) if row is None else row).cast(ROW).alias("row")).withColumn("key", F.coalesce("id", F.xxhash64("text")))
+    row = F.struct(F.col(file).alias("file"), F.col(place).alias("place")).cast(ROW)
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole.alias("text"), row.alias("row"), F.xxhash64(file, place).alias("key"))
     order = _order(docs, words)
     sets = stash(_sets(docs, words, percent, order))
     nodes = stash(sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("key").alias("key")))
-    parities = stash(sets.select("sig", "key", "parity").join(nodes.select("sig", "key"), ["sig", "key"]).select("sig", "parity"))
+    parities = stash(sets.join(nodes.select("sig", "key"), ["sig", "key"]).select("sig", "parity"))
     found = stash(_common(sets))
 
     often = stash(found.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1"))
@@ -283,7 +291,8 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, r
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of df; see the module's text."""
-    sets, named = _resolved(df, doc_id, text, words, percent)
+    held = placed(df)
+    sets, named = _resolved(held, *(f"c{df.columns.index(c)}" for c in (doc_id, text)), words, percent)
     empty = sets.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return sets.filter("n > 0").join(named.drop("root"), "sig").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
@@ -294,7 +303,7 @@ def surplus(df: DataFrame, doc_id: str, text: str, file: str = "file", place: st
     That row has the smallest id, a null one last, and then the first place. Empty sets are components of their own: those
     of one id keep one row, and those without an id all stay.
     """
-    sets, named = _resolved(df, doc_id, text, words, percent, F.struct(F.col(file).alias("file"), F.col(place).alias("place")))
+    sets, named = _resolved(df, doc_id, text, words, percent, file, place)
     member = sets.filter("n > 0").join(named, "sig").select("root", "id", "row")
     alone = sets.filter("n = 0 AND id IS NOT NULL").select(F.xxhash64("id", F.lit("empty")).alias("root"), "id", "row")
     member = stash(member.unionByName(alone))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quillmesh.llm import mixing
+from quillmesh.llm import ngram_join, mixing
 
 from . import brute
 
@@ -123,3 +123,18 @@ def test_mixture_takes_equal_rows_as_often_as_the_operator(spark):
     for r in got:
         count[(r.doc_id, r.text)] = count.get((r.doc_id, r.text), 0) + 1
     assert all(n <= 2 * rows.count((i, t, s)) for (i, t), n in count.items() for s in {x for y, z, x in rows if (y, z) == (i, t)})
+
+
+def test_one_id_with_two_texts_links_each_by_its_own(spark):
+    """Two rows of one id with different texts: what is near one of them isn't linked with what is near the other, though it quotes it."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b = [word() for _ in range(300)], [word() for _ in range(300)]
+    near_a, near_b = [*a[:-3], word(), word(), word()], [*b[:-9], *a[40:49]]
+    for other in (8, 5):
+        rows = [(5, " ".join(a)), (other, " ".join(b)), (6, " ".join(near_a)), (7, " ".join(near_b))]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows] * 2, DOC)
+        got = P.near_duplicates(spark, docs, "").collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, rows[0][1]), (min(other, 7), rows[1][1] if other == 5 else rows[3][1])])
+        of = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+        assert {(i, c) for i, _, c in of} == {(5, 5), (6, 5), (7, min(other, 7)), (other, min(other, 7))}
