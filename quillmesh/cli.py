@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "lint":
             _rows(e.lint(a.space, now, a.severity or "all", a.duplicates))
         elif a.command == "drain":
-            print(json.dumps({"done": e.drain(lambda df: _rows(df), now)}))
+            print(json.dumps(runtime.only_one(spark, a.root, "drain", lambda: {"done": e.drain(now=now)})))
         elif a.command == "reindex":
             print(json.dumps(runtime.only_one(spark, a.root, "reindex", e.reindex)))
         elif a.command == "prune-links":

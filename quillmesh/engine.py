@@ -86,6 +86,35 @@ class Engine:
         made = parts.select("space_id", "source_id", "ord", F.when(headed, name).otherwise(F.col("fallback")).alias("raw"), chunk.trimmed(F.when(headed, F.regexp_replace("p", r"^#{1,2}\s+.+", "")).otherwise(F.col("p"))).alias("facts"))
         return made.withColumn("name", X.sanitize_name(F.col("raw"))).filter("name IS NOT NULL AND facts <> ''").filter(~X.identifier_like(F.col("name"))).drop("raw")
 
+    def _merged(self, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What is told (space_id, name, ord, label, source_id, facts) resolved by title and merged by source into the entities there are.
+
+        (space_id, k, id, name, known): the subjects, known being the id of the entity that was there; and (space_id, id, name,
+        type_key, properties, created): their objects as they are to be.
+        """
+        live = self.store.read("objects").filter("type_key = 'wiki_entity' AND NOT coalesce(archived, false)")
+        told = told.withColumn("k", X.normalize_title(F.col("name")))
+        fresh = told.groupBy("space_id", "k").agg(F.min("name").alias("name"))
+        known = live.withColumn("k", X.normalize_title(F.col("name"))).groupBy("space_id", "k").agg(F.min("id").alias("known"))
+        named = fresh.join(known, ["space_id", "k"], "left").withColumn("id", F.coalesce("known", X.uuid5(F.concat_ws(":", "space_id", F.lit("wiki_entity"), "k"))))
+        told = told.join(named.select("space_id", "k", "id"), ["space_id", "k"])
+        old = live.select("id", S.prop_text("wiki_facts").alias("text"))
+        merged = facts.merge_facts(old, told.select("id", "ord", "label", "source_id", "facts"))
+        result = named.join(merged, "id").select("space_id", "id", "name", F.lit("wiki_entity").alias("type_key"), F.col("known").isNull().alias("created"), "text")
+        base = live.select("space_id", "id", F.col("properties").alias("had"))
+        linked = told.groupBy("id").agg(F.array_sort(F.collect_set("source_id")).alias("new_sources"))
+        rows = result.join(base, ["space_id", "id"], "left").join(linked, "id").withColumn("properties", F.coalesce("had", F.array().cast(f"array<{S.PROPERTY}>")))
+        rows = rows.withColumn("properties", S.with_property("wiki_sources", "objects", F.array_union(S.relation_ids("wiki_sources"), "new_sources"))).withColumn("properties", S.with_property("wiki_facts", "text", F.col("text")))
+        return named, rows.select("space_id", "id", "name", "type_key", "properties", "created")
+
+    def _put_made(self, rows: DataFrame, now: str) -> DataFrame:
+        """Puts objects (space_id, id, name, type_key, properties, created) and gives (space_id, id, name, type_key, created) of just what was put."""
+        batch = f"{self.store.root}/ingests/{uuid.uuid4().hex}"  # written once, so that what is told is what was put
+        rows.write.parquet(batch)
+        made = self.spark.read.parquet(batch)
+        self.put(made.drop("created").select("*", F.lit("").alias("markdown"), F.lit(False).alias("archived"), F.lit(now).cast("timestamp").alias("created_date"), F.lit(now).alias("last_modified"), F.array().cast("array<string>").alias("backlinks")))
+        return self.spark.read.parquet(batch).select("space_id", "id", "name", "type_key", "created")
+
     def ingest(self, sources: DataFrame, now: str, dry_run: bool = False) -> DataFrame:
         """Sources (space_id, source, content) to objects: main content, a source object each, candidates resolved by title and merged by source.
 
@@ -96,48 +125,58 @@ class Engine:
         pages = pages.withColumn("markdown", F.when(F.col("is_html"), F.col("markdown")).otherwise(F.col("content"))).filter((~F.col("is_html") & (F.trim("content") != "")) | F.coalesce(F.col("verdict").isNull(), F.lit(False)))
         shown = X.scrub_credentials(F.col("source"))
         pages = pages.withColumn("source_id", X.uuid5(F.concat_ws(":", "space_id", shown))).withColumn("fallback", F.coalesce(F.nullif("title", F.lit("")), shown)).withColumn("shown", shown)
-        found = self.candidates(pages)
-        live = self.store.read("objects").filter("type_key = 'wiki_entity' AND NOT coalesce(archived, false)")
-        key = X.normalize_title(F.col("name"))
-        fresh = found.select("space_id", "name").withColumn("k", key).groupBy("space_id", "k").agg(F.min("name").alias("name"))
-        known = live.withColumn("k", key).groupBy("space_id", "k").agg(F.min("id").alias("known"))
-        named = fresh.join(known, ["space_id", "k"], "left").withColumn("id", F.coalesce("known", X.uuid5(F.concat_ws(":", "space_id", F.lit("wiki_entity"), "k"))))
-        told = found.withColumn("k", key).join(named.select("space_id", "k", "id"), ["space_id", "k"]).join(pages.select("source_id", "shown").distinct(), "source_id")
-        old = live.select("id", S.prop_text("wiki_facts").alias("text"))
-        merged = facts.merge_facts(old, told.select("id", F.col("ord").cast("long").alias("ord"), F.col("shown").alias("label"), "source_id", "facts"))
-        result = named.join(merged, "id").select("space_id", "id", "name", F.lit("wiki_entity").alias("type_key"), F.col("known").isNull().alias("created"), "text")
+        found = self.candidates(pages).join(pages.select("source_id", F.col("shown").alias("label")).distinct(), "source_id")
+        named, rows = self._merged(found.withColumn("ord", F.col("ord").cast("long")))
         if dry_run:
-            return result.drop("text")
+            return rows.select("space_id", "id", "name", "type_key", "created")
         empty = F.array().cast(f"array<{S.PROPERTY}>")
-        base = live.select("space_id", "id", F.col("properties").alias("had"))
-        linked = told.groupBy("id").agg(F.array_sort(F.collect_set("source_id")).alias("new_sources"))
-        rows = result.join(base, ["space_id", "id"], "left").join(linked, "id").withColumn("properties", F.coalesce("had", empty))
-        rows = rows.withColumn("properties", S.with_property("wiki_sources", "objects", F.array_union(S.relation_ids("wiki_sources"), "new_sources"))).withColumn("properties", S.with_property("wiki_facts", "text", F.col("text")))
         src = pages.select("space_id", F.col("source_id").alias("id"), F.substring("shown", 1, 200).alias("name"), F.lit("wiki_source").alias("type_key"), empty.alias("properties"), F.col("markdown").alias("_m"), "source")
         src = src.withColumn("properties", S.with_property("wiki_excerpt", "text", F.substring(X.scrub_text_urls(F.col("_m")), 1, EXCERPT))).withColumn("properties", S.with_property("wiki_url", "url", X.scrub_url_secrets(F.col("source"))))
-        both = rows.select("space_id", "id", "name", "type_key", "properties").unionByName(src.select("space_id", "id", "name", "type_key", "properties").dropDuplicates(["space_id", "id"]))
-        stamp = F.lit(now).cast("timestamp")
-        batch = f"{self.store.root}/ingests/{uuid.uuid4().hex}"  # written once, so that what is told is what was put
-        both.join(named.select("space_id", "id", F.col("known").isNull().alias("created")), ["space_id", "id"], "left").write.parquet(batch)
-        both = self.spark.read.parquet(batch).drop("created")
-        self.put(both.select("*", F.lit("").alias("markdown"), F.lit(False).alias("archived"), stamp.alias("created_date"), F.lit(now).alias("last_modified"), F.array().cast("array<string>").alias("backlinks")))
-        done = self.spark.read.parquet(batch).select("space_id", "id", "name", "type_key", "created")
+        src = src.select("space_id", "id", "name", "type_key", "properties", F.lit(None).cast("boolean").alias("created")).dropDuplicates(["space_id", "id"])
+        done = self._put_made(rows.unionByName(src), now)
         for r in done.groupBy("space_id").agg(F.count_if("created").alias("c"), F.count_if(~F.col("created")).alias("u")).collect():
             self._log(r["space_id"], "ingest", "sources", now, r["c"], r["u"])
         return done
 
-    def remember(self, space: str, work_id: str, subjects: list[str], order: int) -> None:
-        """Queues a batch of subjects; drain applies it."""
+    def remember(self, space: str, work_id: str, subjects: list[str], order: int, knowledge: dict[str, str] | None = None, note: str | None = None, now: str | None = None) -> None:
+        """Queues a batch of subjects by name, with what is known of each; drain applies it. With `now`, the note becomes their source object.
+
+        The knowledge is written before the event that begins the work, so a begun subject always has it.
+        """
+        source = self.narrate(space, note, now).select("id").first()[0] if now else None
+        label = note or "agent"
+        rows = [(space, work_id, s, s, (knowledge or {}).get(s, ""), label, source) for s in dict.fromkeys(subjects)]
+        self.store.upsert("subjects", self.spark.createDataFrame(rows, S.SUBJECTS), ["space_id", "work_id", "subject_id"])
         row = [(space, work_id, "begin", subjects, None, order)]
         self.store.append("queue", self.spark.createDataFrame(row, S.QUEUE))
 
-    def drain(self, apply, now: str) -> int:
-        """Calls apply(pending DataFrame) and marks what was pending as done after it; with nothing left the queue is emptied."""
+    def apply_pending(self, left: DataFrame, now: str) -> DataFrame:
+        """Writes pending subjects (space_id, work_id, subject_id, ord, pos) as objects: resolved by title, merged by source. (space_id, id, name, type_key, created).
+
+        A subject whose name is unusable is passed over. Applying the same subjects again changes nothing, as facts that a
+        source has told are skipped.
+        """
+        told = left.join(self.store.read("subjects"), ["space_id", "work_id", "subject_id"]).withColumn("name", X.sanitize_name(F.col("name")))
+        # Works in order, and within a work its subjects: a source may speak of one subject in several works.
+        turn = F.row_number().over(Window.partitionBy("space_id", X.normalize_title(F.col("name"))).orderBy("ord", "work_id", "pos"))
+        told = told.filter("name IS NOT NULL").withColumn("source_id", F.coalesce("source_id", X.uuid5(F.concat_ws(":", "space_id", F.lit("narration"), "work_id"))))
+        told = told.withColumn("ord", turn.cast("long"))
+        _, rows = self._merged(told.select("space_id", "name", "ord", "label", "source_id", "facts"))
+        return self._put_made(rows, now)
+
+    def drain(self, apply=None, now: str = "") -> int:
+        """Applies the pending subjects, with apply(pending DataFrame) or as objects, and only then marks them done; with nothing left the queue is emptied.
+
+        If it stops in between, the next drain applies the same subjects again.
+        """
         events = self.store.read("queue")  # read as it was: what comes meanwhile is not marked
         left = worklog.pending(events)
         count = left.count()
         if count:
-            apply(left)
+            if apply is None:
+                self.apply_pending(left, now)
+            else:
+                apply(left)
             done = left.select("space_id", "work_id", F.lit("done").alias("kind"), F.lit(None).cast("array<string>").alias("subjects"), "subject_id", "ord")
             self.store.append("queue", done)
             for r in left.groupBy("space_id").agg(F.count("*").alias("n")).collect():  # a row a space
@@ -146,22 +185,38 @@ class Engine:
             self.store.replace("queue", self.store.read("queue").limit(0))
         return count
 
-    def reindex(self) -> dict[str, int]:
-        """Chunks and embeds what changed, drops what vanished, and bumps the versions of the spaces concerned."""
+    def reindex(self, force: DataFrame | None = None) -> dict[str, int]:
+        """Chunks and embeds what changed, drops what vanished, and bumps the versions of the spaces concerned.
+
+        Only the points of changed objects are written, as an addition; so are those of force (space_id, object_id), embedded anew though unchanged.
+        """
         objects = self.store.read("objects").filter("NOT coalesce(archived, false)")
         current = objects.select("space_id", F.col("id").alias("object_id"), "last_modified")
-        changes = incremental.snapshot_diff(self.store.read("state"), current).persist()
+        changes = incremental.snapshot_diff(self.store.read("state"), current)
+        if force is not None:
+            asked = force.select("space_id", "object_id", F.lit(True).alias("_asked")).distinct()
+            changes = changes.join(asked, ["space_id", "object_id"], "left").withColumn("change", F.when(F.col("_asked") & (F.col("change") == "unchanged"), "changed").otherwise(F.col("change"))).drop("_asked")
+        changes = changes.persist()
         todo = objects.join(changes.filter("change IN ('new', 'changed')").select("space_id", F.col("object_id").alias("id")), ["space_id", "id"], "left_semi")
         texts = todo.withColumn("properties", F.transform("properties", lambda p: F.struct(p["key"].alias("key"), p["text"].alias("text"))))
         parts = chunk.chunks(texts).join(todo.select("space_id", F.col("id").alias("object_id"), *S.payload()), ["space_id", "object_id"])
         fresh = self.embedder.embed(parts, "text")
-        self.store.replace("points", incremental.replace_points(self.store.read("points"), changes, fresh.select(*self.store.read("points").columns)))
-        self.store.replace("versions", incremental.bump(self.store.read("versions"), changes))
         stats = {r["change"]: r["objects"] for r in incremental.reindex_stats(changes).collect()}
-        self.store.replace("state", current.withColumn("last_modified", F.coalesce("last_modified", F.lit(incremental.UNKNOWN))))
+        if set(stats) - {"unchanged"}:
+            self.store.append("points", incremental.point_additions(changes, fresh.select(*[f.split()[0] for f in S.POINTS.split(", ")])))
+            self.store.replace("versions", incremental.bump(self.store.read("versions"), changes))
+            self.store.replace("state", current.withColumn("last_modified", F.coalesce("last_modified", F.lit(incremental.UNKNOWN))))
         changes.unpersist()
         return stats
 
+    def forget(self, objects: DataFrame) -> None:
+        """Deletes the points of objects (space_id, object_id) and what is known of their state, so that a later reindex takes them as new."""
+        gone = objects.select("space_id", "object_id").distinct().withColumn("change", F.lit("removed"))
+        points = self.store.read("points")
+        self.store.append("points", incremental.point_additions(gone, points.limit(0)))
+        self.store.replace("versions", incremental.bump(self.store.read("versions"), gone))
+        self.store.replace("state", self.store.read("state").join(gone, ["space_id", "object_id"], "left_anti"))
+
     def _index(self, space: str) -> search.Index:
         """The space's postings, made anew only if its version changed since they were written."""
         row = self.store.read("versions").filter(F.col("space_id") == space).first()
@@ -169,11 +224,14 @@ class Engine:
         told = self.store.read("corpus").filter((F.col("space_id") == space) & (F.col("version") == version)).first()
         if told is None:
             own = self._rows(space)
-            made = search.postings(own, "row", search.chunk_words()).withColumn("space_id", F.lit(space)).withColumn("version", F.lit(version).cast("long"))
-            self.store.append("terms", made.select(*self.store.read("terms").columns).sortWithinPartitions("term"))
-            held = self.store.read("terms").filter((F.col("space_id") == space) & (F.col("version") == version))
-            stats = search.corpus(held, ("space_id", "version"))
-            self.store.append("corpus", stats)
+            here = (F.col("space_id") == space) & (F.col("version") == version)
+            if self.store.read("terms").filter(here).isEmpty():  # else a search stopped between the two writes, and the postings are whole
+                made = search.postings(own, "row", search.chunk_words()).withColumn("space_id", F.lit(space)).withColumn("version", F.lit(version).cast("long"))
+                if not own.isEmpty():
+                    self.store.append("terms", made.select(*self.store.read("terms").columns).sortWithinPartitions("term"))
+            stats = search.corpus(self.store.read("terms").filter(here), ("space_id", "version"))
+            none = self.spark.createDataFrame([(space, version, 0, 0.0, 0.0)], S.CORPUS)  # an empty space is known to be so
+            self.store.append("corpus", none if stats.isEmpty() else stats)
             told = self.store.read("corpus").filter((F.col("space_id") == space) & (F.col("version") == version)).first()
         held = self.store.read("terms").filter((F.col("space_id") == space) & (F.col("version") == version))
         return search.Index(held.select("term", "row", "tf", "size"), told["n"] if told else 0, (told["avgdl"] if told else 0) or 1.0, (told["mean"] if told else 0) or 0.0)

@@ -6,11 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import facts
-from quillmesh.operators.planning import BATCH_SHARE
+from quillmesh.operators.planning import BATCH_SHARE, windows
 
 VERDICT = "array<struct<object_id:string,reason:string>>"
 SAME = "array<struct<object_id:string,earlier:string,new:string>>"
@@ -19,10 +19,9 @@ _OWN = re.compile(r"#s(\d+)$")
 
 
 def batched(checks: DataFrame, by: list[str], budget: int) -> DataFrame:
-    """checks (by, check_id, new_facts, candidates) with `batch`: consecutive ones while their texts fit the share of the budget. A running sum in windows of that size, so a batch may hold one less than a packing from its start."""
+    """checks (by, check_id, new_facts, candidates) with `batch`: consecutive ones while their texts fit the share of the budget; one beyond it stands alone."""
     size = F.length("new_facts") + F.aggregate("candidates", F.lit(0), lambda n, c: n + F.length(F.coalesce(c["facts"], F.lit(""))))
-    run = F.sum(size).over(Window.partitionBy(*by).orderBy("check_id").rowsBetween(Window.unboundedPreceding, 0))
-    return checks.withColumn("batch", F.floor(run / (BATCH_SHARE * budget)))
+    return windows(checks, by, "check_id", size, int(BATCH_SHARE * budget)).withColumnRenamed("window", "batch")
 
 
 def judged(checks: DataFrame, judge, by: list[str]) -> DataFrame:

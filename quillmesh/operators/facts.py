@@ -23,6 +23,10 @@ _MARK = re.compile(r"\[(also|superseded):([^\]]*)\]", re.IGNORECASE)
 _CITE = re.compile(r"\s*\[pp?\. [^\]]*\]\s*$")
 _AFTER = re.compile(r"(?:\[(?:also|superseded):[^\]]*\]|\[pp?\.[^\]]*\])(?:\s+(?:\[(?:also|superseded):[^\]]*\]|\[pp?\.[^\]]*\]))*", re.IGNORECASE)
 _STOP = re.compile(r"[.!?]")
+# Line breaks of all kinds, what new text may not start a line with, and what would pass for a mark.
+_BREAK = re.compile("\r\n|[\r\u0085\u2028\u2029]")
+_LEAD = re.compile(r"^[\s#>\-]+")
+_FORGED = re.compile(r"\[(?=also:|superseded:|conflict)", re.IGNORECASE)
 _OPENS = set('"“([')
 
 
@@ -96,6 +100,23 @@ def render(sections: list[Section]) -> str:
     return "\n\n".join("\n".join([HEAD + s.label + (f" (id:{s.source_id})" if s.source_id else ""), *s.lines]) for s in sections)
 
 
+def _printed(text: str) -> str:
+    """text with newlines as its only line breaks, without control and format characters."""
+    return "".join(c for c in _BREAK.sub("\n", text) if c in "\n\t" or unicodedata.category(c) not in ("Cc", "Cf"))
+
+
+def defused(text: str) -> str:
+    """New text that cannot pass for headings, ids, marks or flags: functions.text.defuse for one string."""
+    lines = (_LEAD.sub("", _FORGED.sub("(", x)) for x in _printed(text).split("\n"))
+    return "\n".join(re.sub("#{2,}", "#", x).replace("(id:", "(id :").strip() for x in lines)
+
+
+def clean_label(label: str) -> str:
+    """A label of one line that cannot end its heading, list or mark, nor bring an id of its own."""
+    flat = " ".join(_printed(label).split()).translate(str.maketrans("[];", "(),")).replace("(id:", "(id :")
+    return re.sub("#{2,}", "#", flat).lstrip("#").strip()
+
+
 def labels(unit: str) -> list[str]:
     return [x.strip() for m in _MARK.finditer(unit) if m[1].lower() == "also" for x in m[2].split(";") if x.strip()]
 
@@ -122,7 +143,11 @@ def _writer(sections: list[Section], label: str, source_id: str | None) -> Secti
 
 
 def append(text: str, label: str, source_id: str | None, new: str) -> Merge:
-    """text with a source's facts: known in its own section or one of its label they are skipped, known elsewhere marked there, else appended before the flags that end its section."""
+    """text with a source's facts: known in its own section or one of its label they are skipped, known elsewhere marked there, else appended before the flags that end its section.
+
+    The label and the facts are defused first, so that neither can bring sections, ids, marks or flags.
+    """
+    label, new = clean_label(label), defused(new)
     sections = parse(text)
     own = _writer(sections, label, source_id)
     have: set[str] = set()
@@ -140,7 +165,7 @@ def append(text: str, label: str, source_id: str | None, new: str) -> Merge:
     added, marked, lines = [], 0, []
     for line in new.split("\n"):
         fresh = []
-        for u in units(line.strip().lstrip("#>").strip()):
+        for u in units(line):
             k = key(u)
             if not k or k in have:
                 continue

@@ -15,12 +15,13 @@ SELF_SECTIONS, SELF_CHARS = 8, 6000
 def windows(pages: DataFrame, by: list[str], order: str, size: Column, budget: int) -> DataFrame:
     """pages with `window`: consecutive pages while they fit the budget; a page beyond it stands alone. One fold a document, as each window starts where the last ended."""
     listed = pages.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n")))).alias("a"))
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,window:int>>").alias("out"))
+    kind = dict(pages.dtypes)[order]
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{kind},window:int>>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         fits = (s["used"] == 0) | (s["used"] + p["n"] <= budget)
         w = F.when(fits, s["w"]).otherwise(s["w"] + 1)
-        return F.struct(w.cast("int").alias("w"), F.when(fits, s["used"] + p["n"]).otherwise(p["n"]).alias("used"), F.array_append(s["out"], F.struct(p["o"].cast("long").alias("o"), w.cast("int").alias("window"))).alias("out"))
+        return F.struct(w.cast("int").alias("w"), F.when(fits, s["used"] + p["n"]).otherwise(p["n"]).alias("used"), F.array_append(s["out"], F.struct(p["o"].alias("o"), w.cast("int").alias("window"))).alias("out"))
 
     placed = listed.select(*by, F.explode(F.aggregate("a", start, step, lambda s: s["out"])).alias("x")).select(*by, F.col("x.o").alias(order), "x.window")
     return pages.join(placed, [*by, order])

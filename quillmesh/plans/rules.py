@@ -145,6 +145,24 @@ def points_replaced(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.replace_points(held, changes, points(changes.filter("change IN ('new', 'changed')"), 3, "fresh")).select("object_id", "chunk_idx", "made")
 
 
+@query(f"""WITH {_STATES}, l AS (SELECT *, u % 13 = 0 AS asked FROM d WHERE change <> 'removed')
+SELECT u AS object_id, CAST(unnest(range(2)) AS INTEGER) AS chunk_idx, 'old' AS made FROM l WHERE change = 'unchanged' AND NOT asked
+UNION ALL SELECT u, CAST(unnest(range(3)) AS INTEGER), 'fresh' FROM l WHERE change <> 'unchanged' AND NOT asked
+UNION ALL SELECT u, 0, 'forced' FROM l WHERE asked AND u % 2 = 1""")
+def points_added(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with two additions merged on reading: what changed or vanished, and then objects asked for by name, of which half have no chunk left."""
+    def points(objects: DataFrame, n: int, made: str) -> DataFrame:
+        return objects.select("space_id", "object_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk_idx"), F.lit(made).alias("made"))
+
+    changes = _changes(spark, sf)
+    held = points(_state(spark, sf, "2024-01-15", 5), 2, "old")
+    first = incremental.point_additions(changes, points(changes.filter("change IN ('new', 'changed')"), 3, "fresh"))
+    asked = changes.filter("object_id % 13 = 0 AND change <> 'removed'").withColumn("change", F.lit("changed"))
+    second = incremental.point_additions(asked, points(asked.filter("object_id % 2 = 1"), 1, "forced"))
+    added = first.withColumn("_seq", F.lit(1)).unionByName(second.withColumn("_seq", F.lit(2)))
+    return incremental.latest(held, added, ["space_id", "object_id"]).filter("chunk_idx IS NOT NULL").select("object_id", "chunk_idx", "made")
+
+
 @query(f"WITH {_STATES} SELECT change, count(*) AS objects FROM d GROUP BY ALL")
 def change_counts(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.reindex_stats(_changes(spark, sf))

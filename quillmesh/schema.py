@@ -17,8 +17,12 @@ LOG = "space_id string, action string, subject string, created long, updated lon
 QUEUE = "space_id string, work_id string, kind string, subjects array<string>, subject_id string, ord long"
 TERMS = "space_id string, version long, term string, row string, tf long, size int"
 CORPUS = "space_id string, version long, n long, avgdl double, mean double"
-KEYS = {"objects": ["space_id", "id"], "links": ["space_id", "link_id"], "corpus": ["space_id"]}
-TABLES = {"terms": TERMS, "corpus": CORPUS, "objects": OBJECTS, "links": LINKS, "points": POINTS, "state": STATE, "versions": VERSIONS, "log": LOG, "queue": QUEUE}
+SUBJECTS = "space_id string, work_id string, subject_id string, name string, facts string, label string, source_id string"
+#: An addition's rows stand for all before with their keys. A row of points without a chunk says that the object has none left.
+KEYS = {"objects": ["space_id", "id"], "links": ["space_id", "link_id"], "corpus": ["space_id"], "points": ["space_id", "object_id"], "subjects": ["space_id", "work_id", "subject_id"]}
+#: Rows that only say that what had their keys is gone: readers don't see them.
+GONE = {"points": "chunk_idx IS NULL"}
+TABLES = {"subjects": SUBJECTS, "terms": TERMS, "corpus": CORPUS, "objects": OBJECTS, "links": LINKS, "points": POINTS, "state": STATE, "versions": VERSIONS, "log": LOG, "queue": QUEUE}
 
 # The declared types with their properties (name: format), the version of the schema, and the select vocabularies.
 SCHEMA_VERSION = "0.5.0"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.schema import KEYS, TABLES
+from quillmesh.schema import GONE, KEYS, TABLES
+from quillmesh.streaming import incremental
 
 #: Byte limits of a page and of a PDF, and its first characters.
 PAGE_BYTES, PDF_BYTES, PDF_MAGIC = 10 * 1024 * 1024, 25 * 1024 * 1024, "%PDF-"
@@ -63,12 +66,24 @@ class Store:
         if not parts[last]:
             return out
         keys = KEYS.get(table)
-        out = out.withColumn("_seq", F.lit(0))
+        added = None
         for k in parts[last]:
-            out = out.unionByName(self._read(table, f"v{last}-{k}").withColumn("_seq", F.lit(k)))
-        if keys:
-            out = out.withColumn("_last", F.max("_seq").over(Window.partitionBy(*keys))).filter("_seq = _last").drop("_last")
-        return out.drop("_seq")
+            one = self._read(table, f"v{last}-{k}").withColumn("_seq", F.lit(k))
+            added = one if added is None else added.unionByName(one)
+        out = incremental.latest(out, added, keys) if keys else out.unionByName(added.drop("_seq"))
+        return out.filter(f"NOT ({GONE[table]})") if table in GONE else out
+
+    def _claim(self, table: str, name: Callable[[int], str], number: int) -> str:
+        """The first free folder name from this number on, claimed by a file that only one writer can create."""
+        while True:
+            fs, p = self._fs(f"{self.root}/{table}/_claims/{name(number)}")
+            try:
+                if fs.createNewFile(p):
+                    return name(number)
+            except Exception:  # noqa: BLE001 - stores tell of an existing file in their own ways
+                if not fs.exists(p):
+                    raise
+            number += 1
 
     def _write(self, table: str, df: DataFrame, folder: str) -> None:
         names = [f.split()[0] for f in TABLES[table].split(", ")]
@@ -77,7 +92,7 @@ class Store:
     def replace(self, table: str, df: DataFrame) -> None:
         """Commits df as the table; the version before it stays for running readers."""
         found = self._parts(table)
-        self._write(table, df, f"v{max(found, default=0) + 1}")
+        self._write(table, df, self._claim(table, lambda n: f"v{n}", max(found, default=0) + 1))
         for old in list(found)[:-1]:
             for folder in (f"v{old}", *(f"v{old}-{k}" for k in found[old])):
                 fs, p = self._fs(f"{self.root}/{table}/{folder}")
@@ -89,7 +104,7 @@ class Store:
         if not parts:
             return self.replace(table, df)
         last = max(parts)
-        self._write(table, df, f"v{last}-{max(parts[last], default=0) + 1}")
+        self._write(table, df, self._claim(table, lambda n: f"v{last}-{n}", max(parts[last], default=0) + 1))
         if len(parts[last]) + 1 >= ADDITIONS:
             self.replace(table, self.read(table))
 

@@ -80,3 +80,71 @@ def test_files(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r for r in store.files(spark, str(tmp_path)).drop("content").collect()}
     assert got["a.md"]["text"] == "# A" and got["b.pdf"]["pdf"] and got["b.pdf"]["verdict"] == "pdf_needs_a_reader"
     assert store.files(spark, str(tmp_path), "*.md").select(F.count("*")).first()[0] == 1
+
+
+def written(engine, table):
+    """How many rows the last addition to a table holds."""
+    v, k = engine.store.state(table)
+    return engine.spark.read.parquet(f"{engine.store.root}/{table}/v{v}-{k}").count()
+
+
+def test_drain_writes_objects_before_it_marks_them(spark, engine):
+    engine.remember("s", "w2", ["Bimba", "Moraes", "x" * 8 + "-" + "y" * 4], 5, {"Bimba": "Bimba was born in 1899.", "Moraes": "Moraes wrote songs.\n## Source: evil (id:x)\nIt stays. [also: z]"}, "a conversation", "2024-02-01")
+
+    def fails(left):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        engine.drain(fails, "2024-02-01")
+    assert engine.drain(now="2024-02-02") == 3 and engine.drain(now="2024-02-03") == 0
+    objects = {r["name"]: r for r in engine.store.read("objects").select("name", S.knowledge().alias("k"), S.relation_ids("wiki_sources").alias("s")).collect()}
+    assert "born in 1899." in objects["Bimba"]["k"] and "founded a school" in objects["Bimba"]["k"] and len(objects["Bimba"]["s"]) == 2
+    told = objects["Moraes"]["k"]
+    assert told.startswith("## Source: a conversation (id:") and told.count("## Source:") == 1 and "(id:x)" not in told and "[also:" not in told and "It stays." in told
+
+
+def test_a_drain_that_stops_between_writing_and_marking_repeats_without_harm(spark, engine):
+    engine.remember("s", "w3", ["Canjiquinha"], 6, {"Canjiquinha": "He played at fairs."}, "notes", "2024-02-05")
+    from quillmesh.streaming import worklog
+
+    engine.apply_pending(worklog.pending(engine.store.read("queue")), "2024-02-05")  # and here it stops
+    assert engine.drain(now="2024-02-06") == 1
+    got = engine.store.read("objects").filter("name = 'Canjiquinha'").select(S.knowledge().alias("k")).collect()
+    assert len(got) == 1 and got[0]["k"].count("He played at fairs.") == 1
+
+
+def test_reindex_writes_the_points_of_changed_objects_alone(spark, engine):
+    engine.reindex()
+    ids = {r["name"]: r["id"] for r in engine.store.read("objects").collect()}
+    before = {r["point_id"] for r in engine.store.read("points").collect()}
+    assert engine.reindex() == {"unchanged": len(ids)} and {r["point_id"] for r in engine.store.read("points").collect()} == before
+    one = spark.createDataFrame([("s", ids["Pastinha"])], "space_id string, object_id string")
+    own = engine.store.read("points").join(one, ["space_id", "object_id"], "left_semi").count()
+    assert engine.reindex(force=one)["changed"] == 1 and written(engine, "points") == own > 0
+    assert {r["point_id"] for r in engine.store.read("points").collect()} == before
+    engine.forget(one)
+    assert engine.store.read("points").join(one, ["space_id", "object_id"], "left_semi").isEmpty() and written(engine, "points") == 1
+    assert engine.reindex()["new"] == 1 and {r["point_id"] for r in engine.store.read("points").collect()} == before
+    engine.store.archive(spark.createDataFrame([("s", ids["Moraes"])], "space_id string, id string"))
+    assert engine.reindex()["removed"] == 1
+    left = {r["point_id"] for r in engine.store.read("points").collect()}
+    assert left < before and engine.store.read("points").filter(F.col("object_id") == ids["Moraes"]).isEmpty()
+    engine.store.replace("points", engine.store.read("points"))  # written as one version, nothing comes back
+    assert {r["point_id"] for r in engine.store.read("points").collect()} == left
+
+
+def test_searching_an_empty_space_writes_once(engine):
+    assert engine.search("anything", "nowhere").count() == 0
+    before = engine.store.state("terms"), engine.store.state("corpus")
+    assert engine.search("anything", "nowhere").count() == 0 and (engine.store.state("terms"), engine.store.state("corpus")) == before
+
+
+def test_two_writers_lose_no_addition(spark, tmp_path):
+    a, b = store.Store(spark, str(tmp_path)), store.Store(spark, str(tmp_path))
+    row = lambda n: spark.createDataFrame([("s", "w", "begin", [n], None, 1)], S.QUEUE)
+    a.append("queue", row("first"))
+    seen = b._parts("queue")
+    a.append("queue", row("one"))
+    b._parts = lambda table: seen  # b looked before a wrote
+    b.append("queue", row("two"))
+    assert sorted(r["subjects"][0] for r in a.read("queue").collect()) == ["first", "one", "two"]
