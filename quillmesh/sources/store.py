@@ -64,14 +64,18 @@ class Store:
         last = max(parts)
         out = self._read(table, f"v{last}")
         if not parts[last]:
-            return out
+            return self._seen(table, out)
         keys = KEYS.get(table)
         added = None
         for k in parts[last]:
             one = self._read(table, f"v{last}-{k}").withColumn("_seq", F.lit(k))
             added = one if added is None else added.unionByName(one)
-        out = incremental.latest(out, added, keys) if keys else out.unionByName(added.drop("_seq"))
-        return out.filter(f"NOT ({GONE[table]})") if table in GONE else out
+        return self._seen(table, incremental.latest(out, added, keys) if keys else out.unionByName(added.drop("_seq")))
+
+    @staticmethod
+    def _seen(table: str, rows: DataFrame) -> DataFrame:
+        """Without the rows that only say that something is gone."""
+        return rows.filter(f"NOT ({GONE[table]})") if table in GONE else rows
 
     def _claim(self, table: str, name: Callable[[int], str], number: int) -> str:
         """The first free folder name from this number on, claimed by a file that only one writer can create."""
