@@ -7,14 +7,16 @@ line items; the change log and the work log are events.
 from __future__ import annotations
 
 import importlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as X
-from quillmesh.operators import chunk, facts, graph, planning, resolve, search
+from quillmesh.operators import cells, chunk, facts, graph, planning, resolve, search
 from quillmesh.sources import html as pages_html
+from quillmesh.sources import kept as keep
 from quillmesh.sources.kept import kept, version
 from quillmesh.streaming import incremental, worklog
 
@@ -118,6 +120,25 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.dense(points, "embedding", _first_vector(spark, sf), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+def _celled(spark: SparkSession, sf: str) -> cells.Cells:
+    """The vectors by cell, with the language of their documents, written anew for each query that asks."""
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("type_key"))
+    points = t(spark, sf, "embeddings").select("vec_id", "embedding").join(docs, "vec_id", "left")
+    return cells.Cells.write(points, f"{keep.shared(spark)}/cells-{uuid.uuid4().hex}", "embedding", "vec_id")
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_DENSE}) ORDER BY score DESC, vec_id LIMIT 10")
+def celled_topk(spark: SparkSession, sf: str) -> DataFrame:
+    got, _ = _celled(spark, sf).nearest(_first_vector(spark, sf), 10, "embedding", "vec_id")
+    return got.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_DENSE}) JOIN documents ON doc_id = vec_id WHERE lang IN ('de', 'fr') ORDER BY score DESC, vec_id LIMIT 10")
+def celled_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    got, _ = _celled(spark, sf).nearest(_first_vector(spark, sf), 10, "embedding", "vec_id", search.Filters(types=("de", "fr")).column())
+    return got.select("vec_id", F.round("score", 6).alias("score"))
+
+
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     near = search.dense(t(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding"), "embedding", _first_vector(spark, sf), 50, "point_id")
     near = near.select("point_id", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")).alias("rank"))
