@@ -116,7 +116,9 @@ def words(host: str, path: str, html: str | None) -> list[str]:
     """
     text = unescape(_TAG.sub(" ", html or "")).lower()
     host = host.lower()
-    out = _WORD.findall(_ADDRESS.sub(" ", text.replace(host, " ") if host else text))
+    # The host goes where it stands as a name of its own, not where its letters lie within words.
+    own = rf"(?<![\w.-]){re.escape(host)}(?![\w-]|\.\w)"
+    out = _WORD.findall(_ADDRESS.sub(" ", re.sub(own, " ", text) if host else text))
     labels = host.split(".")
     for x in (*labels, *path.lower().split("/")):
         parts_ = [p for p in re.split("[-_]", x) if p]

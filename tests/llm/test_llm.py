@@ -555,3 +555,9 @@ def test_short_and_last_samples_reach_the_feature(spark):
     for quiet, heard in zip(ends[::2], ends[1::2], strict=True):
         heard[-32:] = np.arange(32) * 7 % 251
         assert media.fingerprint(quiet).tolist() != media.fingerprint(heard).tolist()
+
+
+def test_short_hosts_leave_the_prose_whole():
+    assert urls.words("e", "", "<p>the tree here e</p>") == ["the", "tree", "here"]
+    assert urls.words("de", "", "model index, de.") == ["model", "index"]
+    assert urls.words("rivernorth.io", "", "see rivernorth.io now, rivernorth.io") == ["see", "now", "io"]
