@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh import schema as S
 from quillmesh.functions import text as X
-from quillmesh.operators import chunk, facts, graph, resolve, search
-from quillmesh.providers import Extractive, HashEmbedder
-from quillmesh.sources import html
+from quillmesh.operators import chunk, contradictions, extraction, facts, graph, resolve, search
+from quillmesh.providers import Extractive, HashEmbedder, Judge, Rules
+from quillmesh.sources import fetch, html
 from quillmesh.sources.store import Store
 from quillmesh.streaming import incremental, worklog
 
-#: Sources and words an answer needs to be filed, characters of an excerpt.
-FILE_SOURCES, FILE_WORDS, EXCERPT = 3, 100, 1000
+#: Sources and words an answer needs to be filed, characters of an excerpt and of a summary.
+FILE_SOURCES, FILE_WORDS, EXCERPT, SUMMARY = 3, 100, 1000, 4000
 
 
 @dataclass
@@ -26,6 +27,10 @@ class Engine:
     store: Store
     embedder: HashEmbedder
     synthesizer: Extractive
+    judge: Judge = field(default_factory=Rules)
+    fetcher: Callable[[DataFrame], DataFrame] = lambda urls: fetch.fetch(urls, "source")
+    reader: Callable = fetch.by_pypdf
+    budget: int = 6000
 
     @classmethod
     def at(cls, spark: SparkSession, root: str, dim: int = 64) -> Engine:
@@ -86,58 +91,144 @@ class Engine:
         made = parts.select("space_id", "source_id", "ord", F.when(headed, name).otherwise(F.col("fallback")).alias("raw"), chunk.trimmed(F.when(headed, F.regexp_replace("p", r"^#{1,2}\s+.+", "")).otherwise(F.col("p"))).alias("facts"))
         return made.withColumn("name", X.sanitize_name(F.col("raw"))).filter("name IS NOT NULL AND facts <> ''").filter(~X.identifier_like(F.col("name"))).drop("raw")
 
-    def _merged(self, told: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What is told (space_id, name, ord, label, source_id, facts) resolved by title and merged by source into the entities there are.
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """df written once under the store, so that what a model or an address told is not asked again."""
+        batch = f"{self.store.root}/ingests/{uuid.uuid4().hex}"
+        df.write.parquet(batch)
+        return self.spark.read.parquet(batch)
 
-        (space_id, k, id, name, known): the subjects, known being the id of the entity that was there; and (space_id, id, name,
-        type_key, properties, created): their objects as they are to be.
+    def _merged(self, told: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+        """What is told (space_id, type_key, name, ord, label, source_id, facts) resolved and merged by source into the objects there are.
+
+        (space_id, id, name, type_key, properties, created): the objects as they are to be, with their conflicts and those of
+        the peers they contradict (created is null for a peer that nothing was told of); and (step, note, n): what was degraded.
+        With dry_run no conflicts are looked for.
         """
-        live = self.store.read("objects").filter("type_key = 'wiki_entity' AND NOT coalesce(archived, false)")
+        by = ["space_id", "type_key"]
+        live = self.store.read("objects").filter(F.col("type_key").isin(*S.FACTS_KEY) & ~F.coalesce("archived", F.lit(False)))
         told = told.withColumn("k", X.normalize_title(F.col("name")))
-        fresh = told.groupBy("space_id", "k").agg(F.min("name").alias("name"))
-        known = live.withColumn("k", X.normalize_title(F.col("name"))).groupBy("space_id", "k").agg(F.min("id").alias("known"))
-        named = fresh.join(known, ["space_id", "k"], "left").withColumn("id", F.coalesce("known", X.uuid5(F.concat_ws(":", "space_id", F.lit("wiki_entity"), "k"))))
-        told = told.join(named.select("space_id", "k", "id"), ["space_id", "k"])
-        old = live.select("id", S.prop_text("wiki_facts").alias("text"))
-        merged = facts.merge_facts(old, told.select("id", "ord", "label", "source_id", "facts"))
-        result = named.join(merged, "id").select("space_id", "id", "name", F.lit("wiki_entity").alias("type_key"), F.col("known").isNull().alias("created"), "text")
-        base = live.select("space_id", "id", F.col("properties").alias("had"))
-        linked = told.groupBy("id").agg(F.array_sort(F.collect_set("source_id")).alias("new_sources"))
-        rows = result.join(base, ["space_id", "id"], "left").join(linked, "id").withColumn("properties", F.coalesce("had", F.array().cast(f"array<{S.PROPERTY}>")))
-        rows = rows.withColumn("properties", S.with_property("wiki_sources", "objects", F.array_union(S.relation_ids("wiki_sources"), "new_sources"))).withColumn("properties", S.with_property("wiki_facts", "text", F.col("text")))
-        return named, rows.select("space_id", "id", "name", "type_key", "properties", "created")
+        fresh = told.groupBy(*by, "k").agg(F.min("name").alias("name"), F.min_by("facts", F.struct("ord", "label", "facts")).alias("facts"))
+        named = fresh.join(resolve.resolved(fresh, live, by, self.judge), [*by, "k"]).withColumn("id", F.coalesce("known", X.uuid5(F.concat_ws(":", *by, "k"))))
+        told = self._kept(told.join(named.select(*by, "k", "id", F.col("name").alias("new_name")), [*by, "k"]))
+        merged = self._kept(facts.merge_facts(live.select("id", S.knowledge().alias("text")), told.select("id", "ord", "label", "source_id", "facts"), extraction.consolidation(self.judge)))
+        base = live.select("space_id", "id", F.col("name").alias("old_name"), F.col("properties").alias("had"))
+        linked = told.groupBy(*by, "id").agg(F.min("new_name").alias("new_name"), F.array_sort(F.collect_set("source_id")).alias("new_sources"))
+        rows = linked.join(merged, "id").join(base, ["space_id", "id"], "left").withColumn("properties", F.coalesce("had", F.array().cast(f"array<{S.PROPERTY}>")))
+        rows = rows.withColumn("name", F.coalesce("old_name", "new_name")).withColumn("created", F.col("had").isNull())
+        rows = rows.withColumn("properties", S.with_property("wiki_sources", "objects", F.array_union(S.relation_ids("wiki_sources"), "new_sources")))
+        notes = merged.filter("degraded IS NOT NULL").select(F.lit("merge").alias("step"), F.col("degraded").alias("note"))
+        shape = ["space_id", "id", "name", "type_key", "properties", "created"]
+        if dry_run:
+            return rows.select(*shape), notes
+        checks, verdicts = self._conflicts(told, rows, live)
+        mine = verdicts.join(checks.select("check_id", "id", "label"), "check_id")
+        # A verdict on no section changes nothing, but a text without any would be lost in the join.
+        marked = contradictions.marked(mine.join(merged.select("id", F.col("text")), "id").select("id", "text", "label", "source_id", "contradictions", "duplicates"), ["id"])
+        rows = rows.join(marked.select("id", F.col("text").alias("_text"), "status"), "id", "left").withColumn("text", F.coalesce("_text", "text"))
+        for kind, key in S.FACTS_KEY.items():
+            rows = rows.withColumn("properties", F.when(F.col("type_key") == kind, S.with_property(key, "text", F.col("text"))).otherwise(F.col("properties")))
+        review = F.struct(F.col("status").alias("id"), F.col("status").alias("name"))
+        rows = rows.withColumn("properties", F.when(F.col("status").isNotNull(), S.with_property("wiki_status", "select", review)).otherwise(F.col("properties")))
+        add = contradictions.peers(verdicts, checks.select("check_id", F.col("id").alias("obj_id")))
+        others = live.select("space_id", "id", "name", "type_key", "properties", F.lit(None).cast("boolean").alias("created")).join(rows.select("space_id", "id"), ["space_id", "id"], "left_anti")
+        both = rows.select(*shape).unionByName(others.join(add.select("id"), "id", "left_semi"))
+        both = both.join(add.select("id", F.col("contradictions").alias("_add")), "id", "left")
+        peers = S.with_property("wiki_contradictions", "objects", F.array_union(S.relation_ids("wiki_contradictions"), F.col("_add")))
+        both = both.withColumn("properties", F.when(F.col("_add").isNotNull(), peers).otherwise(F.col("properties")))
+        return both.select(*shape), notes.unionByName(verdicts.filter("error IS NOT NULL").select(F.lit("contradictions").alias("step"), F.col("error").alias("note")))
+
+    def _conflicts(self, told: DataFrame, rows: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(check_id, space_id, id, source_id, label, new_facts, candidates) of what each source told of each object, held against the object's earlier sections and its linked peers; and the verdicts on them.
+
+        Checks of one source are asked together, as many at a time as fit the budget.
+        """
+        per = told.groupBy("space_id", "id", "source_id", "label").agg(F.array_sort(F.collect_list(F.struct("ord", "facts"))).alias("f"))
+        per = per.select("space_id", "id", "source_id", "label", F.array_join(F.transform("f", lambda x: x["facts"]), "\n").alias("new_facts"), F.concat_ws(":", "id", "source_id", "label").alias("check_id"))
+        known = rows.select("space_id", "id", "name", "text", S.outbound().alias("outbound"), F.coalesce(F.nullif(self._told("had", "wiki_facts"), F.lit("")), self._told("had", "wiki_definition")).alias("old"))
+        asked = per.join(known, ["space_id", "id"])
+        own = contradictions.own_candidates(asked.withColumnRenamed("id", "obj_id"), ["check_id"])
+        facing = asked.select("space_id", "check_id", F.col("id").alias("_self"), F.explode(F.array_distinct("outbound")).alias("id")).filter("id <> _self")
+        facing = facing.join(live.select("space_id", "id", F.struct(F.col("id").alias("object_id"), F.col("name"), S.knowledge().alias("facts")).alias("peer")), ["space_id", "id"])
+        peers = facing.groupBy("check_id").agg(F.array_sort(F.collect_list("peer")).alias("peers"))
+        checks = per.join(own, "check_id", "left").join(peers, "check_id", "left")
+        none = F.array().cast(contradictions.OFFERED)
+        checks = self._kept(checks.withColumn("candidates", F.concat(F.coalesce("peers", none), F.coalesce("own", none))).drop("own", "peers"))
+        by = ["space_id", "source_id"]
+        told_of = checks.filter(F.size("candidates") > 0).select(*by, "check_id", "new_facts", "candidates")
+        return checks, self._kept(contradictions.judged(contradictions.batched(told_of, by, self.budget), self.judge, by))
+
+    @staticmethod
+    def _told(properties: str, key: str) -> Column:
+        return F.coalesce(S.prop(key, properties)["text"], F.lit(""))
 
     def _put_made(self, rows: DataFrame, now: str) -> DataFrame:
         """Puts objects (space_id, id, name, type_key, properties, created) and gives (space_id, id, name, type_key, created) of just what was put."""
-        batch = f"{self.store.root}/ingests/{uuid.uuid4().hex}"  # written once, so that what is told is what was put
-        rows.write.parquet(batch)
-        made = self.spark.read.parquet(batch)
-        self.put(made.drop("created").select("*", F.lit("").alias("markdown"), F.lit(False).alias("archived"), F.lit(now).cast("timestamp").alias("created_date"), F.lit(now).alias("last_modified"), F.array().cast("array<string>").alias("backlinks")))
-        return self.spark.read.parquet(batch).select("space_id", "id", "name", "type_key", "created")
+        made = self._kept(rows)  # written once, so that what is told is what was put
+        fresh = made.drop("created").select("*", F.lit("").alias("markdown"), F.lit(False).alias("archived"), F.lit(now).cast("timestamp").alias("created_date"), F.lit(now).alias("last_modified"), F.array().cast("array<string>").alias("backlinks"))
+        # What an object has beside its facts stays.
+        had = self.store.read("objects").select("space_id", "id", F.struct("markdown", "created_date", "backlinks").alias("_had"))
+        kept = fresh.join(had, ["space_id", "id"], "left").withColumns({c: F.coalesce(F.col("_had")[c], F.col(c)) for c in ("markdown", "created_date", "backlinks")})
+        self.put(kept.drop("_had"))
+        return made.select("space_id", "id", "name", "type_key", "created")
+
+    def _fetched(self, sources: DataFrame) -> DataFrame:
+        """sources (space_id, source, content) with error: addresses without content are asked for, under the guard of `fetch`; PDFs become the text of their pages."""
+        sources = sources.select("space_id", "source", "content")
+        absent = sources.filter("content IS NULL AND source IS NOT NULL")
+        if absent.isEmpty():
+            return sources.filter("content IS NOT NULL").withColumn("error", F.lit(None).cast("string"))
+        got = self._kept(self.fetcher(absent.select("space_id", "source")))
+        is_pdf = F.coalesce(F.col("content_type").contains("application/pdf"), F.lit(False))
+        pages = got.filter(~is_pdf | F.col("error").isNotNull()).select("space_id", "source", F.when(F.col("error").isNull(), F.decode("body", "UTF-8")).alias("content"), "error")
+        read = fetch.pdf_result(fetch.pdf_pages(got.filter(is_pdf & F.col("error").isNull()).select("space_id", "source", F.col("body").alias("content")), ["space_id", "source"], self.reader))
+        pdfs = read.select("space_id", "source", F.when(F.col("verdict").isNull(), F.col("markdown")).alias("content"), F.col("verdict").alias("error"))
+        return self._kept(sources.filter("content IS NOT NULL").withColumn("error", F.lit(None).cast("string")).unionByName(pages).unionByName(pdfs))
 
     def ingest(self, sources: DataFrame, now: str, dry_run: bool = False) -> DataFrame:
-        """Sources (space_id, source, content) to objects: main content, a source object each, candidates resolved by title and merged by source.
+        """Sources (space_id, source, content) to objects: main content, a source object each, headings and what the judge extracts as subjects,
+        resolved by title, likeness or the judge, merged by source under the guards, and held against their earlier sections and linked peers.
 
-        Gives (space_id, id, name, type_key, created). Unusable pages are left out; with dry_run nothing is written.
+        A source without content is fetched, if it is an address. Gives (space_id, id, name, type_key, created); created is null for sources
+        and for peers that are contradicted. Unusable pages are left out; what was left out or degraded is counted in the log; with dry_run
+        no object is written and no conflict looked for.
         """
-        raw = sources.withColumn("is_html", X.looks_like_html(F.col("content")))
+        raw = self._fetched(sources).withColumn("is_html", X.looks_like_html(F.col("content")))
+        lost = raw.filter("error IS NOT NULL").select(F.lit("fetch").alias("step"), F.col("error").alias("note"))
+        raw = raw.filter("error IS NULL").drop("error")
         pages = html.extract(raw.select("space_id", "source", F.when(F.col("is_html"), F.col("content")).otherwise(F.lit("<p></p>")).alias("html"), "content", "is_html"))
         pages = pages.withColumn("markdown", F.when(F.col("is_html"), F.col("markdown")).otherwise(F.col("content"))).filter((~F.col("is_html") & (F.trim("content") != "")) | F.coalesce(F.col("verdict").isNull(), F.lit(False)))
         shown = X.scrub_credentials(F.col("source"))
         pages = pages.withColumn("source_id", X.uuid5(F.concat_ws(":", "space_id", shown))).withColumn("fallback", F.coalesce(F.nullif("title", F.lit("")), shown)).withColumn("shown", shown)
-        found = self.candidates(pages).join(pages.select("source_id", F.col("shown").alias("label")).distinct(), "source_id")
-        named, rows = self._merged(found.withColumn("ord", F.col("ord").cast("long")))
+        pages = self._kept(pages.select("space_id", "source", "source_id", "shown", "fallback", "markdown"))
+        by = ["space_id", "source_id"]
+        answers = self._kept(extraction.projected(extraction.extract(pages, self.judge, by, "markdown", budget=4 * self.budget), "answer"))
+        more = extraction.subjects(answers, by, "answer").withColumn("name", X.sanitize_name(F.col("name"))).filter("name IS NOT NULL AND trim(facts) <> ''").filter(~X.identifier_like(F.col("name")))
+        found = extraction.with_extracted(self.candidates(pages).withColumn("kind", F.lit("entity")), more, by)
+        found = found.join(pages.select("source_id", F.col("shown").alias("label")).distinct(), "source_id").withColumn("type_key", extraction.of_kind(F.col("kind"))["type_key"])
+        rows, notes = self._merged(found.withColumn("ord", F.col("ord").cast("long")).select("space_id", "type_key", "name", "ord", "label", "source_id", "facts"), dry_run)
         if dry_run:
             return rows.select("space_id", "id", "name", "type_key", "created")
         empty = F.array().cast(f"array<{S.PROPERTY}>")
-        src = pages.select("space_id", F.col("source_id").alias("id"), F.substring("shown", 1, 200).alias("name"), F.lit("wiki_source").alias("type_key"), empty.alias("properties"), F.col("markdown").alias("_m"), "source")
+        summary = answers.select(*by, F.substring(X.strip_controls(F.coalesce(F.col("answer")["summary"], F.lit(""))), 1, SUMMARY).alias("_s"))
+        src = pages.join(summary, by, "left").select("space_id", F.col("source_id").alias("id"), F.substring("shown", 1, 200).alias("name"), F.lit("wiki_source").alias("type_key"), empty.alias("properties"), F.col("markdown").alias("_m"), "_s", "source")
         src = src.withColumn("properties", S.with_property("wiki_excerpt", "text", F.substring(X.scrub_text_urls(F.col("_m")), 1, EXCERPT))).withColumn("properties", S.with_property("wiki_url", "url", X.scrub_url_secrets(F.col("source"))))
+        src = src.withColumn("properties", F.when(F.trim("_s") != "", S.with_property("wiki_summary", "text", F.col("_s"))).otherwise(F.col("properties"))).withColumn("properties", S.with_property("wiki_ingested_at", "date", F.lit(now)))
+        document = F.struct(F.lit("document").alias("id"), F.lit("document").alias("name"))
+        src = src.withColumn("properties", S.with_property("wiki_source_type", "select", document))
         src = src.select("space_id", "id", "name", "type_key", "properties", F.lit(None).cast("boolean").alias("created")).dropDuplicates(["space_id", "id"])
         done = self._put_made(rows.unionByName(src), now)
+        notes = notes.unionByName(lost).unionByName(answers.filter("error IS NOT NULL").select(F.lit("extraction").alias("step"), F.col("error").alias("note")))
+        degraded = self._degraded(notes)
         for r in done.groupBy("space_id").agg(F.count_if("created").alias("c"), F.count_if(~F.col("created")).alias("u")).collect():
-            self._log(r["space_id"], "ingest", "sources", now, r["c"], r["u"])
+            self._log(r["space_id"], "ingest", "sources", now, r["c"], r["u"], degraded)
         return done
 
+    @staticmethod
+    def _degraded(notes: DataFrame) -> str:
+        """What was degraded, as `step: note (times)`, the ten most frequent."""
+        most = notes.groupBy("step", "note").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "step", "note").limit(10).collect()
+        return "; ".join(f"{r['step']}: {r['note'][:100]} ({r['n']})" for r in most)
+
     def remember(self, space: str, work_id: str, subjects: list[str], order: int, knowledge: dict[str, str] | None = None, note: str | None = None, now: str | None = None) -> None:
         """Queues a batch of subjects by name, with what is known of each; drain applies it. With `now`, the note becomes their source object.
 
@@ -161,7 +252,7 @@ class Engine:
         turn = F.row_number().over(Window.partitionBy("space_id", X.normalize_title(F.col("name"))).orderBy("ord", "work_id", "pos"))
         told = told.filter("name IS NOT NULL").withColumn("source_id", F.coalesce("source_id", X.uuid5(F.concat_ws(":", "space_id", F.lit("narration"), "work_id"))))
         told = told.withColumn("ord", turn.cast("long"))
-        _, rows = self._merged(told.select("space_id", "name", "ord", "label", "source_id", "facts"))
+        rows, _ = self._merged(told.select("space_id", F.lit("wiki_entity").alias("type_key"), "name", "ord", "label", "source_id", "facts"))
         return self._put_made(rows, now)
 
     def drain(self, apply=None, now: str = "") -> int:

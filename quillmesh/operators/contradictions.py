@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import facts
-from quillmesh.operators.planning import BATCH_SHARE, windows
+from quillmesh.operators.planning import BATCH_SHARE, SELF_CHARS, SELF_SECTIONS, windows
 
 VERDICT = "array<struct<object_id:string,reason:string>>"
 SAME = "array<struct<object_id:string,earlier:string,new:string>>"
-CHECK = "check_id string, new_facts string, candidates array<struct<object_id:string,name:string,facts:string>>"
+OFFERED = "array<struct<object_id:string,name:string,facts:string>>"
+CHECK = f"check_id string, new_facts string, candidates {OFFERED}"
 _OWN = re.compile(r"#s(\d+)$")
 
 
@@ -92,27 +93,69 @@ def linked(objects: DataFrame, add: DataFrame) -> DataFrame:
     return told.withColumn("changed", F.size(made) > F.size(F.array_distinct(old))).withColumn("contradictions", made).drop("_add")
 
 
-def marked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, text, flagged, tagged, status) of rows (by, text, label, source_id, contradictions, duplicates): conflicts with an object's own earlier sections as flags in the writer's section,
-    judged duplicates as tags, under the guard; any conflict asks for a review, even where the guard keeps the old text."""
+def own_candidates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, own) of rows (by, obj_id, name, label, old, text): the sections of text that a writer of that label is held against, newest first, as candidates `obj_id#sN`.
+
+    N counts the sections of other labels. Those that were in the old text or stand before the writer's own are offered, at
+    most SELF_SECTIONS and SELF_CHARS in all, the first one whatever its length (cut): of two sources that come in together the later is held against the earlier.
+    """
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, label, source, hits, same in zip(b["text"].fillna(""), b["label"], b["source_id"], b["contradictions"], b["duplicates"], strict=True):
-                source = source if isinstance(source, str) else None
-                others = [s for s in facts.parse(text) if s.label != label]
-                number = lambda x: int(m[1]) if (m := _OWN.search(x["object_id"])) else -1
-                own = [x for x in (hits if hits is not None else []) if 0 <= number(x) < len(others)]
-                twice = [(number(x), x["earlier"]) for x in (same if same is not None else []) if 0 <= number(x) < len(others)]
-                base = facts.render(facts.parse(text))
-                made = base
-                for x in own:
-                    made = facts.flag_conflict(made, label, source, f"{others[number(x)].label}: {x['reason']}")
-                made = facts.tag_duplicates(made, label, twice) if twice else made
-                fine = made == base or facts.faithful(base, made, label, source, [])
-                out.append((made if fine else base, len(own), len(twice) if fine else 0, "needs-review" if own else None))
-            yield b[by].assign(**{n: [x[i] for x in out] for i, n in enumerate(("text", "flagged", "tagged", "status"))})
-
-    return rows.select(*by, "text", "label", "source_id", "contradictions", "duplicates").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", text string, flagged long, tagged long, status string")
+            for obj, name, label, old, text in zip(b["obj_id"], b["name"], b["label"], b["old"].fillna(""), b["text"].fillna(""), strict=True):
+                had = {(s.label, s.source_id) for s in facts.parse(old)}
+                offered, number, met = [], 0, False
+                for s in facts.parse(text):
+                    if s.label == label:
+                        met = True
+                        continue
+                    if not met or (s.label, s.source_id) in had:
+                        offered.append((f"{obj}#s{number}", f"{name} (earlier source: {s.label})", "\n".join(s.facts())))
+                    number += 1
+                kept, used = [], 0
+                for i, n, told in reversed(offered):
+                    if len(kept) == SELF_SECTIONS or (kept and used + len(told) > SELF_CHARS):
+                        break
+                    kept.append({"object_id": i, "name": n, "facts": told[:SELF_CHARS]})
+                    used += len(told)
+                out.append(kept)
+            yield b[by].assign(own=out)
+
+    return rows.select(*by, "obj_id", "name", "label", "old", "text").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", own {OFFERED}")
+
+
+def _marked(text: str, label: str, source: str | None, hits: list, same: list) -> tuple[str, int, int, str | None]:
+    """One text with a writer's verdicts on its earlier sections, under the guard."""
+    others = [s for s in facts.parse(text) if s.label != label]
+    number = lambda x: int(m[1]) if (m := _OWN.search(x["object_id"])) else -1
+    own = [x for x in hits if 0 <= number(x) < len(others)]
+    twice = [(number(x), x["earlier"]) for x in same if 0 <= number(x) < len(others)]
+    base = facts.render(facts.parse(text))
+    made = base
+    for x in own:
+        made = facts.flag_conflict(made, label, source, f"{others[number(x)].label}: {x['reason']}")
+    made = facts.tag_duplicates(made, label, twice) if twice else made
+    fine = made == base or facts.faithful(base, made, label, source, [])
+    return made if fine else base, len(own), len(twice) if fine else 0, "needs-review" if own else None
+
+
+def marked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, text, flagged, tagged, status) of rows (by, text, label, source_id, contradictions, duplicates): conflicts with an object's own earlier sections as flags in the writer's section,
+    judged duplicates as tags, under the guard; any conflict asks for a review, even where the guard keeps the old text.
+
+    Rows of one object (by) are the verdicts of several writers on the same text and are applied in the order of their labels.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values(["label", "source_id"])
+        text, flagged, tagged, status = some["text"].fillna("").iloc[0], 0, 0, None
+        for label, source, hits, same in zip(some["label"], some["source_id"], some["contradictions"], some["duplicates"], strict=True):
+            text, f, t, s = _marked(text, label, source if isinstance(source, str) else None, list(hits if hits is not None else []), list(same if same is not None else []))
+            flagged, tagged, status = flagged + f, tagged + t, status or s
+        return some[by].head(1).assign(text=text, flagged=flagged, tagged=tagged, status=status)
+
+    told = rows.select(*by, "text", "label", "source_id", "contradictions", "duplicates")
+    return told.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", text string, flagged long, tagged long, status string")

@@ -122,32 +122,39 @@ def adjudicated(pairs: DataFrame, judge, by: list[str]) -> DataFrame:
     return pairs.select(*by, "name", "facts", "candidates").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", match string")
 
 
-def consolidated(rows: DataFrame, judge, by: list[str]) -> DataFrame:
-    """(by, text, changed, error) of rows (by, stored, new, label, source_id, known): a model's rewrite, asked twice if malformed, its new section stamped with the source's id,
+def consolidation(judge):
+    """A rewrite for facts.merge_facts: (text, error) of a model's wording of a merge, asked twice if malformed, its new section stamped with the source's id,
     kept only if it is faithful; else new facts are appended by rule, so that nothing is lost."""
-    kinds = dict(rows.dtypes)
+    def rewrite(stored: str, label: str, source: str | None, new: str, known: set[str]) -> tuple[str, str | None]:
+        error, text = "consolidation_degraded: malformed_json", None
+        for _ in range(2):
+            try:
+                got = judge.consolidate(stored, new, label)
+            except Exception as e:  # noqa: BLE001 - a provider may fail in any way
+                error = f"consolidation_degraded: {type(e).__name__}"
+                break
+            if isinstance(got, dict) and isinstance(got.get("consolidated_text"), str):
+                error, text = None, got["consolidated_text"]
+                break
+        if text is not None:
+            text = merging.stamp(text, stored, label, source, known)
+            fresh = [u for line in new.split("\n") for u in merging.units(line.strip())]
+            if not merging.faithful(stored, text, label, source, fresh):
+                error, text = "facts_guard_rejected", None
+        return (text if text is not None else merging.append(stored, label, source, new).text), error
+
+    return rewrite
+
+
+def consolidated(rows: DataFrame, judge, by: list[str]) -> DataFrame:
+    """(by, text, changed, error) of rows (by, stored, new, label, source_id, known): the model's consolidation of each; see consolidation."""
+    kinds, rewrite = dict(rows.dtypes), consolidation(judge)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for stored, new, label, source, known in zip(b["stored"].fillna(""), b["new"].fillna(""), b["label"], b["source_id"], b["known"], strict=True):
-                source = source if isinstance(source, str) else None
-                error, text = "consolidation_degraded: malformed_json", None
-                for _ in range(2):
-                    try:
-                        got = judge.consolidate(stored, new, label)
-                    except Exception as e:  # noqa: BLE001 - a provider may fail in any way
-                        error = f"consolidation_degraded: {type(e).__name__}"
-                        break
-                    if isinstance(got, dict) and isinstance(got.get("consolidated_text"), str):
-                        error, text = None, got["consolidated_text"]
-                        break
-                if text is not None:
-                    text = merging.stamp(text, stored, label, source, set(known if known is not None else ()))
-                    fresh = [u for line in new.split("\n") for u in merging.units(line.strip())]
-                    if not merging.faithful(stored, text, label, source, fresh):
-                        error, text = "facts_guard_rejected", None
-                text = text if text is not None else merging.append(stored, label, source, new).text
+                text, error = rewrite(stored, label, source if isinstance(source, str) else None, new, set(known if known is not None else ()))
                 out.append((text, text != stored, error))
             yield b[by].assign(text=[x[0] for x in out], changed=[x[1] for x in out], error=[x[2] for x in out])
 

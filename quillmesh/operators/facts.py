@@ -278,24 +278,32 @@ def nothing_lost(old: str, new: str) -> bool:
     return True
 
 
-def merge_facts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, text, added, marked): new facts (id, ord, label, source_id, facts) merged into stored texts (id, text) in order of ord.
+def merge_facts(stored: DataFrame, new: DataFrame, rewrite=None) -> DataFrame:
+    """(id, text, added, marked, degraded): new facts (id, ord, label, source_id, facts) merged into stored texts (id, text) in order of ord.
 
-    A merge that would lose anything is left out. One object's sources meet in one task; they are as few as an object has.
+    rewrite(text, label, source_id, facts, known ids) gives (text, error) and may word the merge otherwise where there is a
+    text already; by default facts are appended. A merge that would lose anything is left out. degraded is the first error.
+    One object's sources meet in one task; they are as few as an object has.
     """
     joined = new.select("id", "ord", "label", "source_id", "facts").join(stored.select("id", "text"), "id", "left")
     kind = dict(joined.dtypes)["id"]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ord", "label"])
-        text, added, marked = next((t for t in rows["text"] if isinstance(t, str)), ""), 0, 0
-        for label, source, facts in zip(rows["label"], rows["source_id"], rows["facts"], strict=True):
-            made = append(text, label, source if isinstance(source, str) else None, facts or "")
-            if nothing_lost(text, made.text):
-                text, added, marked = made.text, added + len(made.added), marked + made.marked
-        return pd.DataFrame({"id": [rows["id"].iloc[0]], "text": [text], "added": [added], "marked": [marked]})
-
-    return joined.groupBy("id").applyInPandas(fold, f"id {kind}, text string, added long, marked long")
+        text, added, marked, degraded = next((t for t in rows["text"] if isinstance(t, str)), ""), 0, 0, None
+        for label, source, told in zip(rows["label"], rows["source_id"], rows["facts"], strict=True):
+            source, told = source if isinstance(source, str) else None, told or ""
+            made = append(text, label, source, told)
+            worded = made.text
+            if rewrite is not None and text.strip() and made.added:
+                known = {s.source_id for s in parse(text) if s.source_id}
+                worded, error = rewrite(text, clean_label(label), source, defused(told), known)
+                degraded = degraded or error
+            if nothing_lost(text, worded):
+                text, added, marked = worded, added + len(made.added), marked + made.marked
+        return pd.DataFrame({"id": [rows["id"].iloc[0]], "text": [text], "added": [added], "marked": [marked], "degraded": [degraded]})
+
+    return joined.groupBy("id").applyInPandas(fold, f"id {kind}, text string, added long, marked long, degraded string")
 
 
 def distinct_units(lines: DataFrame, line: str, by: list[str], fact_key_column) -> DataFrame:

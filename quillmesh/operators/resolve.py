@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import normalize_title, tokens
+from quillmesh.operators.extraction import adjudicated
 
 #: Least ratio of two titles, band of similar embeddings, neighbours looked at.
 RATIO = 0.92
 BAND, NEIGHBOURS = (0.70, 0.85), 5
+#: Objects that a judge is offered for one subject.
+OFFERED = 10
 
 
 def exact(candidates: DataFrame, objects: DataFrame, key: list[str]) -> DataFrame:
@@ -61,6 +64,51 @@ def similar(candidates: DataFrame, objects: DataFrame, least: float = RATIO) ->
     return a.join(scored, "ka").join(b, "kb").select("a", "b", "ratio")
 
 
+def alike(subjects: DataFrame, objects: DataFrame, by: list[str], offered: int = OFFERED) -> DataFrame:
+    """(by, n, candidates) of subjects (by, n, name): the objects (by, id, name) that share one of the two rarest words a subject has in common with
+    any of them, as an array of (object_id, name): most shared words first, then by id, at most `offered`.
+
+    An inverted index of the objects' words: a word that many names have is met only by subjects without rarer ones.
+    """
+    word = objects.select(*by, "id", "name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("w"))
+    own = subjects.select(*by, "n", F.explode(F.array_distinct(tokens(F.col("name")))).alias("w"))
+    df = word.join(own.select(*by, "w").distinct(), [*by, "w"], "left_semi").groupBy(*by, "w").agg(F.count("*").alias("df"))
+    rare = own.join(df, [*by, "w"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "n").orderBy("df", "w"))).filter("_r <= 2")
+    met = rare.select(*by, "n", "w").join(word, [*by, "w"]).groupBy(*by, "n", "id").agg(F.first("name").alias("name"))
+    both = met.join(subjects.select(*by, "n", tokens(F.col("name")).alias("_t")), [*by, "n"]).withColumn("_s", F.size(F.array_intersect(tokens(F.col("name")), "_t")))
+    best = both.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "n").orderBy(F.desc("_s"), "id"))).filter(F.col("_r") <= offered)
+    listed = best.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("_r", "id", "name"))).alias("c"))
+    return listed.select(*by, "n", F.transform("c", lambda x: F.struct(x["id"].alias("object_id"), x["name"].alias("name"))).alias("candidates"))
+
+
+def resolved(subjects: DataFrame, objects: DataFrame, by: list[str], judge=None) -> DataFrame:
+    """(by, k, known, how) of subjects (by, k, name, facts), one a normalised title k: the object (by, id, name) that each one is.
+
+    `exact` is an object of the same title (the first by id), else `similar` the one of the nearest title, if its ratio is RATIO
+    or more, else `alias` the one that a judge takes for the same among those offered; without any, known and how are null.
+    """
+    titled = objects.select(*by, "id", "name", normalize_title(F.col("name")).alias("k"))
+    same = titled.groupBy(*by, "k").agg(F.min("id").alias("_exact"))
+    told = subjects.join(same, [*by, "k"], "left")
+    left = told.filter("_exact IS NULL").select(*by, "k", "name", "facts")
+    # Titles are compared without their space and type, each distinct one once, and met again with them.
+    near = similar(left.select(F.col("k").alias("id"), F.col("k").alias("name")).distinct(), titled.select(F.col("k").alias("id"), F.col("k").alias("name")).distinct())
+    near = left.select(*by, "k").join(near.select(F.col("a").alias("k"), F.col("b").alias("_b"), "ratio"), "k").join(titled.select(*by, F.col("k").alias("_b"), "id"), [*by, "_b"])
+    near = near.groupBy(*by, "k").agg(F.min_by("id", F.struct(-F.col("ratio"), "id")).alias("_near"))
+    told = told.join(near, [*by, "k"], "left")
+    none = F.lit(None).cast("string")
+    if judge is None:
+        told = told.withColumn("_alias", none)
+    else:
+        asked = left.join(near, [*by, "k"], "left_anti").withColumnRenamed("k", "n")
+        pairs = asked.join(alike(asked.select(*by, "n", "name"), objects, by), [*by, "n"])
+        match = adjudicated(pairs, judge, [*by, "n"]).withColumnsRenamed({"n": "k", "match": "_alias"})
+        told = told.join(match, [*by, "k"], "left")
+    known = F.coalesce("_exact", "_near", "_alias")
+    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_near").isNotNull(), "similar").when(F.col("_alias").isNotNull(), "alias")
+    return told.select(*by, "k", known.alias("known"), how.alias("how"))
+
+
 def title_pairs(objects: DataFrame) -> DataFrame:
     """(a, b, reason): pairs a < b of objects (id, name) whose titles are the same (identical) or whose words one title holds all of (subset).
 

@@ -148,3 +148,42 @@ def test_two_writers_lose_no_addition(spark, tmp_path):
     b._parts = lambda table: seen  # b looked before a wrote
     b.append("queue", row("two"))
     assert sorted(r["subjects"][0] for r in a.read("queue").collect()) == ["first", "one", "two"]
+
+
+def test_ingest_judges_what_it_takes_in(spark, tmp_path):
+    """Aliases go to the object there is, conflicts are flagged in it and linked between peers, addresses are fetched, failures are told in the log."""
+    pages = {"https://a.org/x": (b"# Joao\nJoao lived in 1950.", "text/plain", None), "https://a.org/no": (b"", "", "http_error: 404")}
+
+    def fetched(urls):
+        told = spark.createDataFrame([(u, *x) for u, x in pages.items()], "source string, body binary, content_type string, error string")
+        return urls.join(told, "source")
+
+    class Some(type(Engine.at(spark, str(tmp_path)).judge)):
+        def extract(self, text, hint):
+            if "Broken" in text:
+                raise TimeoutError
+            got = super().extract(text, hint)
+            return got | {"concepts": [{"name": "Ginga", "definition": "A step of the dance."}]} if "Bimba" in text else got
+
+    e = Engine.at(spark, str(tmp_path / "kb"))
+    e.judge, e.fetcher = Some(), fetched
+    shape = "space_id string, source string, content string"
+    e.ingest(spark.createDataFrame([("s", "one", "# Manoel Bimba\nHe was born in 1899."), ("s", "https://a.org/x", None), ("s", "https://a.org/no", None)], shape), "2024-01-01")
+
+    def objects():
+        return {r["name"]: r for r in e.store.read("objects").select("id", "name", "type_key", S.knowledge().alias("k"), S.prop("wiki_status")["select"]["name"].alias("status"), S.relation_ids("wiki_contradictions").alias("c"), S.prop_text("wiki_summary").alias("summary")).collect()}
+
+    first = objects()
+    assert first["Ginga"]["type_key"] == "wiki_concept" and "A step of the dance." in first["Ginga"]["k"] and "lived in 1950." in first["Joao"]["k"] and first["one"]["summary"] == "# Manoel Bimba"
+    assert "fetch: http_error: 404 (1)" in e.store.read("log").filter("action = 'ingest'").first()["notes"]
+    # Joao is linked with Bimba, so what is told of Joao is held against Bimba's facts too.
+    linked = e.store.read("objects").filter("name = 'Joao'").withColumn("properties", S.with_property("wiki_relations", "objects", F.array(F.lit(first["Manoel Bimba"]["id"]))))
+    e.put(linked)
+    done = e.ingest(spark.createDataFrame([("s", "two", "# Bimba\nHe was born in 1900."), ("s", "three", "# Joao\nHe was born in 1888."), ("s", "four", "# Odd\nBroken text.")], shape), "2024-01-02")
+    after = objects()
+    assert "Bimba" not in after and after["Manoel Bimba"]["id"] == first["Manoel Bimba"]["id"]
+    text = after["Manoel Bimba"]["k"]
+    assert "born in 1899." in text and "born in 1900." in text and text.count("> [conflict: one: ") == 1 and after["Manoel Bimba"]["status"] == "needs-review"
+    assert after["Joao"]["c"] == [first["Manoel Bimba"]["id"]] and after["Manoel Bimba"]["c"] == [first["Joao"]["id"]] and after["Joao"]["status"] is None
+    assert "Broken text." in after["Odd"]["k"] and "extraction: extraction_degraded: timeout (1)" in [r["notes"] for r in e.store.read("log").filter("action = 'ingest'").collect()][-1]
+    assert {r["name"]: r["created"] for r in done.collect() if r["created"] is not None} == {"Manoel Bimba": False, "Joao": False, "Odd": True, "Ginga": False}
