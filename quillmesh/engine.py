@@ -106,9 +106,10 @@ class Engine:
         """
         by = ["space_id", "type_key"]
         live = self.store.read("objects").filter(F.col("type_key").isin(*S.FACTS_KEY) & ~F.coalesce("archived", F.lit(False)))
-        told = told.withColumn("k", X.normalize_title(F.col("name")))
-        fresh = told.groupBy(*by, "k").agg(F.min("name").alias("name"), F.min_by("facts", F.struct("ord", "label", "facts")).alias("facts"))
-        named = fresh.join(resolve.resolved(fresh, live, by, self.judge), [*by, "k"]).withColumn("id", F.coalesce("known", X.uuid5(F.concat_ws(":", *by, "k"))))
+        told = self._kept(told.withColumn("k", X.normalize_title(F.col("name"))))
+        fresh = self._kept(told.groupBy(*by, "k").agg(F.min("name").alias("name"), F.min_by("facts", F.struct("ord", "label", "facts")).alias("facts")))
+        titles = self._kept(live.select(*by, "id", "name", X.normalize_title(F.col("name")).alias("k")))
+        named = fresh.join(resolve.resolved(fresh, titles, by, self.judge), [*by, "k"]).withColumn("id", F.coalesce("known", X.uuid5(F.concat_ws(":", *by, "k"))))
         told = self._kept(told.join(named.select(*by, "k", "id", F.col("name").alias("new_name")), [*by, "k"]))
         merged = self._kept(facts.merge_facts(live.select("id", S.knowledge().alias("text")), told.select("id", "ord", "label", "source_id", "facts"), extraction.consolidation(self.judge)))
         base = live.select("space_id", "id", F.col("name").alias("old_name"), F.col("properties").alias("had"))

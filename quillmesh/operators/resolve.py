@@ -49,7 +49,11 @@ def similar(candidates: DataFrame, objects: DataFrame, least: float = RATIO) ->
         return df.select(F.col("id").alias(names[0]), normalize_title(F.col("name")).alias(names[1]))
 
     a, b = side(candidates, ("a", "ka")), side(objects, ("b", "kb"))
-    ka, kb = a.select("ka").distinct(), b.select("kb").distinct()
+    return a.join(similar_titles(a.select("ka").distinct(), b.select("kb").distinct(), least), "ka").join(b, "kb").select("a", "b", "ratio")
+
+
+def similar_titles(ka: DataFrame, kb: DataFrame, least: float = RATIO) -> DataFrame:
+    """(ka, kb, ratio) of distinct normalised titles ka and kb; see similar. They are best read from a table, as each is used often."""
     # Edits allowed in all: (1 - r) of both lengths; so with more parts than edits, one part of ka is left as it is in kb.
     cut = F.floor((1 - least) / least * F.length("ka")) + 2
     size = F.floor(F.length("ka") / cut)
@@ -60,8 +64,7 @@ def similar(candidates: DataFrame, objects: DataFrame, least: float = RATIO) ->
     grams = grams.select("kb", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("kb") - F.col("n") + 1), lambda i: F.substring("kb", i, F.col("n"))))).alias("g"))
     met = parts.join(grams, "g").filter(2 * F.least(F.length("ka"), F.length("kb")) >= least * (F.length("ka") + F.length("kb"))).select("ka", "kb").distinct()
     scored = met.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ka", "kb").mapInPandas(_ratios, "a string, b string, ratio double").filter(F.col("ratio") >= least)
-    scored = scored.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "ratio")
-    return a.join(scored, "ka").join(b, "kb").select("a", "b", "ratio")
+    return scored.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "ratio")
 
 
 def alike(subjects: DataFrame, objects: DataFrame, by: list[str], offered: int = OFFERED) -> DataFrame:
@@ -82,18 +85,17 @@ def alike(subjects: DataFrame, objects: DataFrame, by: list[str], offered: int =
 
 
 def resolved(subjects: DataFrame, objects: DataFrame, by: list[str], judge=None) -> DataFrame:
-    """(by, k, known, how) of subjects (by, k, name, facts), one a normalised title k: the object (by, id, name) that each one is.
+    """(by, k, known, how) of subjects (by, k, name, facts), one a normalised title k: the object (by, id, name, k) that each one is.
 
     `exact` is an object of the same title (the first by id), else `similar` the one of the nearest title, if its ratio is RATIO
     or more, else `alias` the one that a judge takes for the same among those offered; without any, known and how are null.
     """
-    titled = objects.select(*by, "id", "name", normalize_title(F.col("name")).alias("k"))
-    same = titled.groupBy(*by, "k").agg(F.min("id").alias("_exact"))
+    same = objects.groupBy(*by, "k").agg(F.min("id").alias("_exact"))
     told = subjects.join(same, [*by, "k"], "left")
     left = told.filter("_exact IS NULL").select(*by, "k", "name", "facts")
     # Titles are compared without their space and type, each distinct one once, and met again with them.
-    near = similar(left.select(F.col("k").alias("id"), F.col("k").alias("name")).distinct(), titled.select(F.col("k").alias("id"), F.col("k").alias("name")).distinct())
-    near = left.select(*by, "k").join(near.select(F.col("a").alias("k"), F.col("b").alias("_b"), "ratio"), "k").join(titled.select(*by, F.col("k").alias("_b"), "id"), [*by, "_b"])
+    near = similar_titles(left.select(F.col("k").alias("ka")).distinct(), objects.select(F.col("k").alias("kb")).distinct())
+    near = left.select(*by, "k").join(near.select(F.col("ka").alias("k"), F.col("kb").alias("_b"), "ratio"), "k").join(objects.select(*by, F.col("k").alias("_b"), "id"), [*by, "_b"])
     near = near.groupBy(*by, "k").agg(F.min_by("id", F.struct(-F.col("ratio"), "id")).alias("_near"))
     told = told.join(near, [*by, "k"], "left")
     none = F.lit(None).cast("string")
