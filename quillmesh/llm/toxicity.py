@@ -6,14 +6,14 @@ features against the landmarks, whitened by the landmarks' own kernel, are linea
 folds into one weight for each (hashed) subsequence and every word of every text can be scored. Single characters set apart
 by spaces are read as one word too.
 
-Labels mark whole texts: the machine learns from sentences by multiple instances. A sentence is as toxic as its worst word,
-a text as its worst sentence; in each round the worst words of toxic texts are the positive cases and the worst ones of
-clean texts the negative ones. The two worst words and the number of words of a text then give its probability,
+Labels mark whole texts and the machine learns from their words by multiple instances: a text is as toxic as its worst
+word. Words that tell toxic from clean texts by their counts are the first positive cases; in each round the worst words of
+toxic texts that also tell by their counts join them, and the worst ones of clean texts are negative ones. Sentences are not told apart. The two worst words and the number of words of a text then give its probability,
 by a logistic regression on texts held back from the machine.
 
 Edge cases: null, empty and word-less texts get the score of a text whose words are all harmless; unlabelled rows teach
 nothing; without toxic or clean examples every score is 0; equal texts get equal scores; repeated labels count once, the
-highest label standing; an empty table gives no rows; columns other than the id, text and keep are not read.
+highest label standing; of rows with one labelled id one text is learned from, by a hash; an empty table gives no rows; columns other than the id, text and keep are not read.
 """
 
 from __future__ import annotations
@@ -262,7 +262,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, weight: np.ndarray, seed: int
 
 
 def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic): at most about `texts` texts of each class, drawn by a hash of the id."""
+    """A model from docs (doc_id, text) and labels (doc_id, toxic): at most about `texts` texts of each class, drawn by a hash of the id, and one text of each id."""
     spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     @lean
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(segments(v.as_py())) for v in b.column(2)], pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(segments(v.as_py())) for v in b.column(2)], pa.list_(pa.string())), b.column(3)], names=["doc_id", "toxic", "words", "turn"])
 
     @lean
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
         trim()
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([model.bias]), "link": pa.array([model.link and list(model.link)], pa.list_(pa.float64()))})
 
-    told = docs.filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<string>")
+    told = docs.filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("turn"))
+    told = told.mapInArrow(words, "doc_id long, toxic int, words array<string>, turn long").groupBy("doc_id", "toxic").agg(F.min_by("words", "turn").alias("words"))  # a labelled id may have any number of rows
     made = told.repartition(1).mapInArrow(fitted, "weights array<double>, bias double, link array<double>").collect()  # one task, as its rows are bounded
     return Model(np.array(made[0]["weights"]), made[0]["bias"], made[0]["link"] and tuple(made[0]["link"])) if made else Model()
 

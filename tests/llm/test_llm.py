@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -406,6 +407,32 @@ def test_kernel_norms_agree():
     assert np.allclose(toxicity.against(words_, dense).diagonal()[[0, 1, 3]], 1, atol=1e-5)
 
 
+def test_kernel_against_counting_subsequences():
+    """The kernel by its definition: all index triples within the span, discounted by their extent, hashed nowhere."""
+    def counted(w):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    words_ = ["idiot", "id.iot", "ixdxixoxt", "banana", "rrrrrr", "überzählig", "blurghs"]
+    maps = [counted(w) for w in words_]
+    dot = lambda a, b: sum(v * b.get(k, 0) for k, v in a.items())
+    want = np.array([[dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 for b in maps] for a in maps])
+    assert np.allclose(toxicity.against(words_, toxicity.explicit(words_)), want, atol=1e-4) and want[0, 1] > 0.4 > want[0, 3]
+
+
+def test_toxicity_learns_one_text_of_a_labelled_id(spark):
+    """Bulk rows of one labelled id teach as one of them does."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["blurgh" if i % 2 else "the", *("".join(rng.choices("aeioustr", k=6)) for _ in range(12))])) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    bulk = toxicity.train(spark.createDataFrame(rows + [rows[1]] * 3000 + [(1, None)] * 5, "doc_id long, text string"), labels)
+    assert np.array_equal(once.weights, bulk.weights) and (once.bias, once.link) == (bulk.bias, bulk.link) and once.weights.any()
+
+
 def rule(host, path):
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
     fit = [(len(r), v, r) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
