@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import normalize_title, tokens
 from quillmesh.operators.extraction import adjudicated
+from quillmesh.operators.neighbours import neighbours
 
 #: Least ratio of two titles, band of similar embeddings, neighbours looked at.
 RATIO = 0.92
@@ -130,34 +130,11 @@ def title_pairs(objects: DataFrame) -> DataFrame:
     return same.unionByName(pair)
 
 
-def embedding_band(points: DataFrame, block: int = 2048, band: tuple[float, float] = BAND, top: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, score): unordered pairs among each point's `top` nearest (itself among them) whose cosine to four digits lies in the band.
+def embedding_band(points: DataFrame, band: tuple[float, float] = BAND, top: int = NEIGHBOURS, asked: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
+    """(a, b, score): unordered pairs of a key with those among its `top` nearest points (itself among them) whose cosine to four digits lies in the band.
 
-    points (vec_id, embedding). All points are asked against all, a block of them at a time: a block is broadcast (block
-    vectors), each partition keeps a point's best, and a window picks the nearest of all.
+    points and asked (key, embedding); without asked the points are asked themselves. See neighbours.
     """
-    ids = [r[0] for r in points.select("vec_id").orderBy("vec_id").collect()] if points.limit(block + 1).count() <= block else None
-    parts = [points] if ids is not None else [points.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i) for n in [-(-points.count() // block)] for i in range(n)]
-    out = None
-    for part in parts:
-        asked = part.select("vec_id", "embedding").collect()  # about block rows
-        q = np.array([r["embedding"] for r in asked], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        own = np.array([r["vec_id"] for r in asked])
-
-        def near(batches: Iterator[pd.DataFrame], q=q, own=own) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                v = np.vstack(b["embedding"].to_numpy()).astype(float)
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
-                vid = b["vec_id"].to_numpy()
-                for i in range(len(own)):
-                    best = np.lexsort((vid, -s[i]))[:top]
-                    yield pd.DataFrame({"a": own[i], "b": vid[best], "score": s[i][best]})
-
-        got = points.select("vec_id", "embedding").mapInPandas(near, "a long, b long, score double")
-        out = got if out is None else out.unionByName(got)
-    best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    kept = out.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top).filter("a <> b").withColumn("score", F.round("score", 4)).filter((F.col("score") >= band[0]) & (F.col("score") < band[1]))
+    near = neighbours(points if asked is None else asked, points, "embedding", key, top)
+    kept = near.filter("a <> b").withColumn("score", F.round("score", 4)).filter((F.col("score") >= band[0]) & (F.col("score") < band[1]))
     return kept.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
