@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh import doctor, runtime
 from quillmesh.engine import Engine
-from quillmesh.operators import graph, links, planning
+from quillmesh.operators import graph, links, planning, repair
 from quillmesh.operators.search import Filters
 
 
@@ -32,11 +33,11 @@ def parser() -> argparse.ArgumentParser:
     sub = out.add_subparsers(dest="command", required=True)
     for name, more in {
         "bootstrap": ("space",), "ingest": ("space", "files", "dry-run"), "remember": ("space", "work", "subjects"), "query": ("space", "text", "types", "tags", "after", "before"), "search": ("text", "space?", "types", "tags", "after", "before"),
-        "lint": ("space", "severity", "duplicates"), "drain": (), "reindex": (), "prune-links": ("space", "apply"), "doctor": (),
+        "lint": ("space", "severity", "duplicates", "adjudicate", "budget"), "drain": (), "reindex": (), "prune-links": ("space",), "prune-citations": ("space",), "repair": ("space", "confirm-untagged", "apply", "expect-digest", "backup"), "doctor": (),
     }.items():
         p = sub.add_parser(name)
         for m in more:
-            if m in ("dry-run", "duplicates", "apply"):
+            if m in ("dry-run", "duplicates", "adjudicate", "apply"):
                 p.add_argument(f"--{m}", action="store_true")
             else:
                 p.add_argument(f"--{m.rstrip('?')}", required=m in ("space", "files", "work", "subjects", "text"))
@@ -47,6 +48,28 @@ def _words(text: str | None) -> tuple[str, ...]:
     return tuple(filter(None, map(str.strip, (text or "").split(","))))
 
 
+def _repair(e: Engine, a: argparse.Namespace, now: str) -> int:
+    """Prints the plan, or with --apply clears what a plan with that digest told. 2 or 3 where it is refused (3: the digest differs)."""
+    named = list(_words(a.confirm_untagged))
+    if not a.apply:
+        rows, report = e.plan_repair(a.space, named)
+        _rows(rows)
+        print(json.dumps(report))
+        return 0
+    if not re.fullmatch("[0-9a-f]{64}", a.expect_digest or "") or not a.backup:
+        print(json.dumps({"status": "error", "error": "--apply needs --expect-digest (64 hex digits) and --backup"}))
+        return 2
+    try:
+        print(json.dumps({"status": "ok"} | e.apply_repair(a.space, a.expect_digest, a.backup, now, named)))
+    except repair.Refused as refused:
+        print(json.dumps({"status": "refused", "reason": refused.reason, "error": printable(refused), "digest": refused.digest}))
+        return refused.exit_code
+    except runtime.Busy:
+        print(json.dumps({"status": "error", "error": "another writer holds the space"}))
+        return 1
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quillmesh").getOrCreate()
@@ -76,11 +99,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             else:
                 print(json.dumps(e.query(a.text, a.space, now)))
         elif a.command == "lint":
-            _rows(e.lint(a.space, now, a.severity or "all", a.duplicates))
+            _rows(e.lint(a.space, now, a.severity or "all", a.duplicates or a.adjudicate, a.adjudicate, int(a.budget) if a.budget else None))
         elif a.command == "drain":
             print(json.dumps(runtime.only_one(spark, a.root, "drain", lambda: {"done": e.drain(now=now)})))
         elif a.command == "reindex":
             print(json.dumps(runtime.only_one(spark, a.root, "reindex", e.reindex)))
+        elif a.command == "prune-citations":
+            print(json.dumps(runtime.only_one(spark, a.root, f"space-{a.space}", lambda: {"objects_modified": e.prune_citations(a.space, now)})))
+        elif a.command == "repair":
+            return _repair(e, a, now)
         elif a.command == "prune-links":
             objects = e.store.read("objects").filter(F.col("space_id") == a.space)
             backed = links.pairs(objects).select(F.col("x").alias("from_id"), F.col("y").alias("to_id")).unionByName(e.store.read("links").filter(F.col("space_id") == a.space).select("from_id", "to_id"))

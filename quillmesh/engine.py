@@ -9,12 +9,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh import runtime
 from quillmesh import schema as S
 from quillmesh.functions import text as X
-from quillmesh.operators import chunk, contradictions, extraction, facts, graph, resolve, search
+from quillmesh.operators import chunk, contradictions, duplicates, extraction, facts, graph, links, planning, repair, resolve, search
 from quillmesh.providers import Extractive, HashEmbedder, Judge, Rules
 from quillmesh.sources import fetch, html
-from quillmesh.sources.store import Store
+from quillmesh.sources.store import Store, backup
 from quillmesh.streaming import incremental, worklog
 
 #: Sources and words an answer needs to be filed, characters of an excerpt and of a summary.
@@ -394,8 +395,21 @@ class Engine:
         self.store.upsert("links", done.filter("action <> 'unchanged'"), ["space_id", "link_id"])
         return done.select(*pair, "action")
 
-    def lint(self, space: str, now: str, threshold: str = "all", duplicates: bool = False) -> DataFrame:
-        """Findings on a space, of the threshold's severity or worse."""
+    def duplicates(self, space: str, adjudicate: bool = False, budget: int | None = None) -> DataFrame:
+        """(a, b, reason, score, verdict, recommendation): entities and concepts that may be one, by their titles, else by the meaning of what they are described as.
+
+        With adjudicate the `budget` likeliest pairs (all without one) are put to the judge; else all are unjudged.
+        """
+        known = self.store.read("objects").filter((F.col("space_id") == space) & F.col("type_key").isin(*S.RELATION_KEY) & ~F.coalesce("archived", F.lit(False)))
+        own = self._kept(known.select("id", "name", S.knowledge().alias("facts"), F.coalesce(F.nullif(S.prop("wiki_description")["text"], F.lit("")), "name").alias("asked")))
+        points = self.store.read("points").filter((F.col("space_id") == space) & F.col("type_key").isin(*S.RELATION_KEY)).select(F.col("object_id").alias("id"), "embedding")
+        points = points.join(own.select("id"), "id", "left_semi")
+        asked = self.embedder.embed(own.select("id", "asked"), "asked").select("id", "embedding")
+        found = self._kept(duplicates.pairs(resolve.title_pairs(own.select("id", "name")), resolve.embedding_band(points, asked=asked, key="id")))
+        return self._kept(duplicates.judged(found, own, self.judge, budget if adjudicate else 0))
+
+    def lint(self, space: str, now: str, threshold: str = "all", duplicates: bool = False, adjudicate: bool = False, budget: int | None = None) -> DataFrame:
+        """Findings on a space, of the threshold's severity or worse; with duplicates also pairs that may be one, judged if asked for."""
         o = self.store.read("objects").filter(F.col("space_id") == space)
         text = F.coalesce(S.prop("wiki_description")["text"], F.lit(""))
         objects = o.select(
@@ -404,6 +418,76 @@ class Engine:
             F.coalesce("backlinks", F.array().cast("array<string>")).alias("backlinks"), S.relation_ids("wiki_contradictions").alias("contradictions"),
         )
         failed = self.store.read("log").filter((F.col("space_id") == space) & F.col("notes").contains("relation_rollback")).select(F.col("at").alias("ts"))
-        pairs = resolve.title_pairs(objects.filter("type_key IN ('wiki_entity', 'wiki_concept')").select("id", "name")) if duplicates else None
-        links = self.store.read("links").filter(F.col("space_id") == space)
-        return graph.at_least(graph.lint(objects, links, failed, now, pairs), threshold)
+        pairs = self.duplicates(space, adjudicate, budget).select("a", "b", F.coalesce("reason", F.concat(F.lit("score "), F.col("score").cast("string"))).alias("why"), "recommendation") if duplicates else None
+        if pairs is not None:
+            pairs = pairs.select("a", "b", F.concat_ws(": ", "why", "recommendation").alias("reason")) if adjudicate else pairs.select("a", "b", F.col("why").alias("reason"))
+        stored = self.store.read("links").filter(F.col("space_id") == space)
+        return graph.at_least(graph.lint(objects, stored, failed, now, pairs), threshold)
+
+    def prune_citations(self, space: str, now: str) -> int:
+        """Takes answers out of the relations of entities and concepts, and gives the number of objects changed."""
+        objects = self.store.read("objects").filter(F.col("space_id") == space)
+        answers = objects.filter("type_key = 'wiki_query'").select("id")
+        known = objects.filter(F.col("type_key").isin(*S.RELATION_KEY)).withColumn("_listed", S.outbound())
+        kept = planning.prune(known, answers, "_listed").filter(F.size("_listed") < F.size(S.outbound()))
+        return self._relations(kept, "_listed", now)
+
+    def _relations(self, objects: DataFrame, listed: str, now: str) -> int:
+        """Writes objects with the relations that the column lists; the number of them."""
+        for kind, key in S.RELATION_KEY.items():
+            objects = objects.withColumn("properties", F.when(F.col("type_key") == kind, S.with_property(key, "objects", F.col(listed))).otherwise(F.col("properties")))
+        rows = self._kept(objects.drop(listed).withColumn("last_modified", F.lit(now)))
+        count = rows.count()
+        if count:
+            self.put(rows)
+        return count
+
+    def _repair(self, space: str, confirmed: list[str]) -> tuple[DataFrame, DataFrame, dict]:
+        """The space's untagged records, what a repair would clear (object_id, clear, keep), and its kind, evidence and digest."""
+        objects = self.store.read("objects").filter(F.col("space_id") == space)
+        logs = self.store.read("log").filter(F.col("space_id") == space)
+        logs = logs.select("space_id", F.concat_ws(":", "at", "subject").alias("id"), F.concat_ws(" ", "action", "subject").alias("name"), F.lit("log").alias("what"), F.col("action").alias("tag"))
+        told = objects.filter("type_key = 'wiki_source'").select("space_id", "id", "name", F.lit("source").alias("what"), S.prop("wiki_source_type")["select"]["name"].alias("tag"))
+        records = self._kept(logs.unionByName(told))
+        named = self.spark.createDataFrame([(space, i) for i in confirmed], "space_id string, id string")
+        kinds = repair.classified(records, named).select("space_id", "kind", "actions", "source_types")
+        known = objects.filter(F.col("type_key").isin(*S.RELATION_KEY)).select("space_id", "id", S.outbound().alias("outbound"))
+        pair = [F.least("from_id", "to_id").alias("x"), F.greatest("from_id", "to_id").alias("y")]
+        linked = self.store.read("links").filter(F.col("space_id") == space).select("space_id", *pair)
+        plan = self._kept(repair.items(known, linked.unionByName(links.pairs(objects).select(F.lit(space).alias("space_id"), "x", "y"))))
+        seen = kinds.first()
+        kind = seen["kind"] if seen else repair.UNKNOWN
+        row = repair.digest(self.spark.createDataFrame([(space, kind)], "space_id string, kind string"), plan, named).first()
+        report = {"space_id": space, "kind": kind, "evidence": {"actions": dict(seen["actions"]) if seen else {}, "source_types": dict(seen["source_types"]) if seen else {}}, "ids_to_clear": row["cleared"], "digest": row["digest"]}
+        return repair.untagged(records), plan, report
+
+    def plan_repair(self, space: str, confirmed: list[str] = ()) -> tuple[DataFrame, dict]:
+        """(rows, report): the related ids (object_id, clear, keep) that no link stands behind, and the space's kind, evidence and digest. Reads only."""
+        _, plan, report = self._repair(space, list(confirmed))
+        return plan.drop("space_id"), report
+
+    def apply_repair(self, space: str, expect: str, path: str, now: str, confirmed: list[str] = ()) -> dict:
+        """Clears what plan_repair told, under the space's lock, after what the objects listed is written to a new place.
+
+        Refused, with nothing written, for a space that not ingests alone wrote, where the confirmed ids aren't exactly the
+        untagged ones, where the digest isn't that of the plan as it is now, and where the backup's place is taken.
+        """
+        with runtime.lock(self.spark, self.store.root, f"space-{space}"):
+            bare, plan, report = self._repair(space, list(confirmed))
+            named = self.spark.createDataFrame([(i,) for i in dict.fromkeys(confirmed)], "id string")
+            bare = bare.select("id").distinct()
+            exact = bare.join(named, "id", "left_anti").isEmpty() and named.join(bare, "id", "left_anti").isEmpty()
+            kind, live = report["kind"], report["digest"]
+            if kind == repair.MIXED or (exact and kind != repair.INGEST_ONLY):
+                raise repair.Refused("kind", f"the space is {kind}, not {repair.INGEST_ONLY}", live)
+            if not exact:
+                raise repair.Refused("confirm_list", "the confirmed ids must be the untagged ids of the space", live)
+            if live != expect:
+                raise repair.Refused("digest_mismatch", "the plan is not the one that was expected", live)
+            fs, p = self.store._fs(path)
+            if fs.exists(p):
+                raise repair.Refused("backup_exists", f"there is something at {path}", live)
+            held = self.store.read("objects").filter(F.col("space_id") == space).join(plan.select("space_id", F.col("object_id").alias("id"), "keep"), ["space_id", "id"])
+            backup(held.select("space_id", F.col("id").alias("object_id"), "type_key", S.outbound().alias("prior_ids"), F.lit(live).alias("digest")), path)
+            changed = self._relations(held, "keep", now)
+            return {"space_id": space, "kind": kind, "digest": live, "backup": path, "objects_modified": changed, "ids_cleared": report["ids_to_clear"]}

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quillmesh import schema
 from quillmesh.functions import text as X
-from quillmesh.operators import facts, graph, links, planning, search
-from quillmesh.plans.catalogue import _BM25, _lists, query, t
+from quillmesh.operators import duplicates, facts, graph, links, planning, repair, resolve, search
+from quillmesh.plans.catalogue import _BM25, SQL, _lists, query, t
+from quillmesh.providers import Rules
 from quillmesh.streaming import incremental
 
 
@@ -309,3 +310,73 @@ def link_edges(spark: SparkSession, sf: str) -> DataFrame:
     bag = [("wiki_link_from", "objects", from_), ("wiki_link_to", "objects", F.array("o_orderstatus")), ("wiki_link_label", "text", F.when(k % 5 > 0, F.col("o_orderpriority"))), ("wiki_link_sources", "objects", F.array(F.lit("a"), F.col("o_orderstatus"), F.lit("a")))]
     objects = t(spark, sf, "orders").select("*", _s("l", k).alias("id"), F.lit("wiki_link").alias("type_key"), F.lit(None).cast(f"array<{schema.PROPERTY}>").alias("properties"))
     return links.edges(reduce(lambda df, p: df.withColumn("properties", schema.with_property(*p)), bag, objects))
+
+
+_CHAINS = """o AS (SELECT c_custkey % 3 AS space, c_custkey AS id, coalesce(l, []) AS l FROM customer LEFT JOIN (SELECT o_custkey, list(o_orderkey // 3 ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey),
+h AS (SELECT DISTINCT o_custkey % 3 AS space, least(o_custkey, o_orderkey // 3) AS x, greatest(o_custkey, o_orderkey // 3) AS y FROM orders WHERE o_orderpriority < '3'),
+e AS (SELECT space, id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM o),
+f AS (SELECT e.*, EXISTS (FROM o z WHERE z.space = e.space AND z.id = e.t) AND NOT EXISTS (FROM h WHERE h.space = e.space AND x = least(e.id, e.t) AND y = greatest(e.id, e.t)) AS gone FROM e)"""
+
+
+def _chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in three spaces, related to the customers that their orders' keys name, with some pairs linked."""
+    orders = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_orderkey") / 3).cast("string").alias("to"), "o_orderpriority")
+    listed = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "to"))).alias("l"))
+    objects = t(spark, sf, "customer").select("c_custkey").join(listed, "c_custkey", "left")
+    objects = objects.select((F.col("c_custkey") % 3).alias("space_id"), F.col("c_custkey").cast("string").alias("id"), F.coalesce(F.transform("l", lambda x: x["to"]), F.array().cast("array<string>")).alias("outbound"))
+    own = F.col("o_custkey").cast("string")
+    linked = orders.filter("o_orderpriority < '3'").select((F.col("o_custkey") % 3).alias("space_id"), F.least(own, "to").alias("x"), F.greatest(own, "to").alias("y"))
+    return repair.items(objects, linked)
+
+
+@query(f"""WITH {_CHAINS} SELECT CAST(space AS BIGINT) AS space_id, CAST(id AS VARCHAR) AS object_id, list_transform(list(t ORDER BY pos) FILTER (gone), lambda x: CAST(x AS VARCHAR)) AS clear,
+list_transform(coalesce(list(t ORDER BY pos) FILTER (NOT gone), []), lambda x: CAST(x AS VARCHAR)) AS keep FROM f GROUP BY space, id HAVING bool_or(gone)""")
+def chain_repair_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return _chains(spark, sf).withColumn("space_id", F.col("space_id").cast("long"))
+
+
+_KINDS = """r AS (SELECT o_custkey % 3 AS space, 'log' AS what, CASE o_orderstatus WHEN 'F' THEN 'ingest' WHEN 'O' THEN 'lint' ELSE 'query' END AS tag FROM orders
+UNION ALL SELECT c_custkey % 3, 'source', CASE WHEN c_custkey % 3 = 1 AND c_mktsegment = 'BUILDING' THEN 'agent' WHEN c_custkey % 3 = 2 AND c_mktsegment = 'MACHINERY' THEN NULL ELSE 'document' END FROM customer),
+k AS (SELECT space, CASE WHEN bool_or(what = 'source' AND coalesce(tag, '') IN ('agent', 'conversation')) THEN 'mixed' WHEN bool_or(tag IS NULL) OR NOT bool_or(what = 'log' AND coalesce(tag, '') = 'ingest') THEN 'unknown' ELSE 'ingest-only' END AS kind,
+count(*) FILTER (tag IS NULL) AS untagged, count(*) FILTER (tag = 'ingest') AS ingests, count(*) FILTER (tag = 'document') AS documents FROM r GROUP BY space)"""
+
+
+def _kinds(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    logs = t(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("space_id"), F.col("o_orderkey").alias("id"), F.lit("order").alias("name"), F.lit("log").alias("what"), F.when(status == "F", "ingest").when(status == "O", "lint").otherwise("query").alias("tag"))
+    space, segment = F.col("c_custkey") % 3, F.col("c_mktsegment")
+    tag = F.when((space == 1) & (segment == "BUILDING"), "agent").when((space == 2) & (segment == "MACHINERY"), F.lit(None).cast("string")).otherwise("document")
+    return repair.classified(logs.unionByName(t(spark, sf, "customer").select(space.alias("space_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("source").alias("what"), tag.alias("tag"))))
+
+
+@query(f"WITH {_KINDS} SELECT CAST(space AS BIGINT) AS space_id, kind, untagged, ingests, documents FROM k")
+def space_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return _kinds(spark, sf).select(F.col("space_id").cast("long").alias("space_id"), "kind", "untagged", F.coalesce(F.col("actions")["ingest"], F.lit(0)).alias("ingests"), F.coalesce(F.col("source_types")["document"], F.lit(0)).alias("documents"))
+
+
+_WORDS_SQL = ", ".join(f"CAST(sum(CAST('0x' || substr(w, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(repair.WORDS))
+
+
+@query(f"""WITH {_CHAINS}, {_KINDS}, p AS (SELECT space, sha256(CAST(to_json([CAST(id AS VARCHAR), CAST(t AS VARCHAR)]) AS VARCHAR)) AS w FROM f WHERE gone),
+s AS (SELECT space, count(*) AS n, concat_ws(',', {_WORDS_SQL}) AS sums FROM p GROUP BY space)
+SELECT CAST(space AS BIGINT) AS space_id, kind, coalesce(n, 0) AS cleared, sha256(concat_ws('|', kind, '0', '', CAST(coalesce(n, 0) AS VARCHAR), coalesce(sums, ''))) AS digest FROM k LEFT JOIN s USING (space)""")
+def chain_repair_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.digest(_kinds(spark, sf), _chains(spark, sf)).withColumn("space_id", F.col("space_id").cast("long"))
+
+
+#: Pairs that the query below puts to its judge.
+BUDGET = 500
+
+
+@query(f"""WITH tp AS ({SQL["title_pairs"]}), ep AS ({SQL["embedding_band"]}),
+u AS (SELECT a, b, min(reason) AS reason, CAST(NULL AS DOUBLE) AS score FROM tp GROUP BY a, b UNION ALL SELECT a, b, NULL, score FROM ep WHERE NOT EXISTS (FROM tp WHERE tp.a = ep.a AND tp.b = ep.b)),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE reason WHEN 'identical' THEN 0 WHEN 'subset' THEN 1 ELSE 2 END, score DESC NULLS LAST, a, b) AS n FROM u),
+w AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS w FROM part),
+v AS (SELECT o.*, CASE WHEN n > {BUDGET} THEN 'unjudged' WHEN x.id IS NULL OR y.id IS NULL THEN NULL WHEN list_has_all(x.w, y.w) OR list_has_all(y.w, x.w) THEN 'same' ELSE 'distinct' END AS verdict FROM o LEFT JOIN w x ON x.id = a LEFT JOIN w y ON y.id = b)
+SELECT a, b, reason, score, verdict FROM v""")
+def judged_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by their names and by the vectors of the same numbers."""
+    parts = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("facts"))
+    near = resolve.embedding_band(t(spark, sf, "embeddings"), band=(0.4, 0.85))
+    found = duplicates.pairs(resolve.title_pairs(parts), near)
+    return duplicates.judged(found, parts, Rules(), BUDGET).drop("recommendation")
