@@ -7,12 +7,15 @@ vector is compared only with blocks that it may reach itself. A cell's blocks ar
 that holds a third of all points is many tasks; a vector's best are kept by a ranked window, which Spark limits before it
 shuffles. Nothing that grows is broadcast: the first round sends one block a cell.
 
+Vectors that are the same are asked once: of those with one vector only the `top` smallest keys can be found, and what was found
+is joined back to all that ask it, salted for the few vectors that a thousandth of the rows or more have.
+
 How much is left out depends on the vectors: where they lie in clusters, nearly all; where they point everywhere alike, nothing
 can be, and every block meets every other, in bounded tasks.
 
 Edge cases: vectors without a direction (null, of length 0, or with null or non-finite components) are neither asked nor found;
 ties go to the smaller key; fewer points than asked for are all found; a repeated key is asked once a row and found once a row,
-and its `a` then stands for each of them; empty tables give no rows.
+so its `a` then stands for each of them; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.operators.cells import CELLS, SLACK, Cells, celled
+from quillmesh.operators.cells import CELLS, SLACK, Cells, celled, usable
 from quillmesh.sources.kept import shared
 
 #: Numbers in a block (0.5 MB), blocks in a part of a cell, and pairs of blocks in an Arrow batch.
 BLOCK, PART, PAIRS = 65_536, 64, 32
 #: The least score there is, for vectors that nothing bounds yet.
 NONE = -2.0
+#: A vector with more than its part of the rows (at least so many) is joined back in SALTS pieces; at most SHARE vectors are.
+SHARE, LEAST, SALTS = 1000, 1000, 64
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -72,6 +77,11 @@ def _packed(rows: DataFrame, kind: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"block string, cell int, keys array<{kind}>, vectors binary, lo double, hi double")
 
 
+def _same(vector: str) -> Column:
+    """128 bits that tell vectors apart."""
+    return F.concat_ws(":", F.xxhash64(vector), F.xxhash64(F.lit(1), vector))
+
+
 def neighbours(asked: DataFrame, points: DataFrame, vector: str, key: str, top: int, cells: int = CELLS, told: dict | None = None) -> DataFrame:
     """(a, b, score): for each vector of asked (key, vector) the `top` points (key, vector) nearest by cosine to six digits.
 
@@ -81,19 +91,23 @@ def neighbours(asked: DataFrame, points: DataFrame, vector: str, key: str, top:
     spark = points.sparkSession
     kind = "string" if dict(points.dtypes)[key] == "string" else "long"
     at = f"{shared(spark)}/neighbours-{uuid.uuid4().hex}"
-    named = [F.col(key).cast(kind).alias(key), F.col(vector)]
-    held = Cells.write(points.select(*named), at, vector, key, cells)
+    named = [F.col(key).cast(kind).alias(key), F.col(vector), _same(vector).alias("_same")]
+    turn = F.row_number().over(Window.partitionBy("_same").orderBy(key))
+    held = Cells.write(points.filter(usable(vector)).select(*named).withColumn("_n", turn).filter(F.col("_n") <= top).select(key, vector), at, vector, key, cells)
     if not held.known:
         return spark.createDataFrame([], f"a {kind}, b {kind}, score double")
+    asked = asked.filter(usable(vector)).select(*named)
+    asked.groupBy("_same").agg(F.first(vector).alias(vector), F.count("*").alias("_rows")).write.parquet(f"{at}/vectors")
+    different = spark.read.parquet(f"{at}/vectors")
     centres, width, known = held.centres, held.centres.shape[1], held.known
     columns = [key, vector, "cell", "angle"]
 
-    def blocks(name: str, rows: DataFrame) -> DataFrame:
+    def blocks(name: str, rows: DataFrame, kind: str) -> DataFrame:
         _packed(rows.select(*columns).sortWithinPartitions("cell"), kind, width).write.parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
-    own = blocks("points", held.rows(list(known)))
-    asks = blocks("asked", celled(asked.select(*named), vector, centres))
+    own = blocks("points", held.rows(list(known)), kind)
+    asks = blocks("asked", celled(different.select(F.col("_same").alias(key), vector), vector, centres), "string")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,26 +123,25 @@ def neighbours(asked: DataFrame, points: DataFrame, vector: str, key: str, top:
     one = own.groupBy("cell").agg(F.max_by("block", F.struct(F.octet_length("vectors"), "block")).alias("block"))
     one = own.join(F.broadcast(one.select("block")), "block", "left_semi").select("cell", F.col("vectors").alias("some"))
     met = asks.join(F.broadcast(one), "cell", "left")  # one block a cell
-    bounded = met.select("block", "cell", "keys", "vectors", "some").mapInArrow(first, f"qblock string, qcell int, asked array<{kind}>, q binary, least binary, reach array<int>")
+    bounded = met.select("block", "cell", "keys", "vectors", "some").mapInArrow(first, f"qblock string, qcell int, asked array<string>, q binary, least binary, reach array<int>")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, a, found, score = [], [], [], []
+            a, found, score = [], [], []
             for i in range(b.num_rows):
-                block, keys_q, cell, keys_v, lo, hi = (b.column(n)[i].as_py() for n in (0, 1, 4, 5, 7, 8))
-                q, v, least = _vectors(b.column(2), i, width), _vectors(b.column(6), i, width), np.frombuffer(b.column(3)[i].as_py(), "<f8")
+                keys_q, cell, keys_v, lo, hi = (b.column(n)[i].as_py() for n in (0, 3, 4, 6, 7))
+                q, v, least = _vectors(b.column(1), i, width), _vectors(b.column(5), i, width), np.frombuffer(b.column(2)[i].as_py(), "<f8")
                 asks_ = np.flatnonzero(_may(q, least, centres[cell], lo, hi))
                 by_key = np.argsort(np.array(keys_v, object), kind="stable")
                 s = np.round(q[asks_] @ v[by_key].T, 6)
                 for n, scores in zip(asks_, s, strict=True):
                     near = np.argsort(-scores, kind="stable")[:top]  # ties in the order of keys
                     near = near[scores[near] >= least[n]]
-                    places += [f"{block}:{n}"] * len(near)
                     a += [keys_q[n]] * len(near)
                     found += [keys_v[x] for x in by_key[near]]
                     score += scores[near].tolist()
             k = pa.string() if kind == "string" else pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.string()), pa.array(a, k), pa.array(found, k), pa.array(score, pa.float64())], names=["place", "a", "b", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(found, k), pa.array(score, pa.float64())], names=["_same", "b", "score"])
 
     parts = {c: -(-n // PART) for c, n in own.groupBy("cell").count().collect()}  # a row a cell
     many = F.create_map(*[F.lit(x).cast("int") for pair in parts.items() for x in pair])
@@ -136,17 +149,22 @@ def neighbours(asked: DataFrame, points: DataFrame, vector: str, key: str, top:
     try:
         spark.conf.set(_BATCH, str(PAIRS))  # rows are blocks
         bounded.write.parquet(f"{at}/bounded")
-        sent = spark.read.parquet(f"{at}/bounded").select("qblock", "asked", "q", "least", F.explode("reach").alias("cell"))
+        sent = spark.read.parquet(f"{at}/bounded").select("qblock", "asked", "q", "least", F.explode("reach").alias("cell")).drop("qblock")
         sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), many[F.col("cell")] - 1)))
         dealt = own.withColumn("part", F.pmod(F.xxhash64("block"), many[F.col("cell")]).cast("int"))
         pairs = sent.join(dealt, ["cell", "part"])
-        got = pairs.select("qblock", "asked", "q", "least", "cell", "keys", "vectors", "lo", "hi").mapInArrow(best, f"place string, a {kind}, b {kind}, score double")
-        turn = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "b"))
-        got.withColumn("_n", turn).filter(F.col("_n") <= top).select("a", "b", "score").write.parquet(f"{at}/best")
+        got = pairs.select("asked", "q", "least", "cell", "keys", "vectors", "lo", "hi").mapInArrow(best, f"_same string, b {kind}, score double")
+        turn = F.row_number().over(Window.partitionBy("_same").orderBy(F.desc("score"), "b"))
+        got.withColumn("_n", turn).filter(F.col("_n") <= top).select("_same", "b", "score").write.parquet(f"{at}/best")
     finally:
         spark.conf.set(_BATCH, before)
     if told is not None:
         per = {c: n for c, n in own.groupBy("cell").count().collect()}
         reached = spark.read.parquet(f"{at}/bounded").select(F.explode("reach").alias("cell")).groupBy("cell").count().collect()
         told |= {"met": sum(per[c] * n for c, n in reached), "all": own.count() * asks.count()}
-    return spark.read.schema(f"a {kind}, b {kind}, score double").parquet(f"{at}/best")
+    rows = different.agg(F.sum("_rows")).first()[0] or 0
+    hot = F.broadcast(different.filter(F.col("_rows") > max(LEAST, rows // SHARE)).select("_same", F.lit(SALTS).alias("_salts")))  # fewer than SHARE rows
+    salts = F.coalesce("_salts", F.lit(1))
+    left = asked.select(F.col(key).alias("a"), "_same").join(hot, "_same", "left").withColumn("_salt", F.pmod(F.xxhash64("a", F.monotonically_increasing_id()), salts).cast("int")).drop("_salts")
+    right = spark.read.schema(f"_same string, b {kind}, score double").parquet(f"{at}/best").join(hot, "_same", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, ["_same", "_salt"]).select("a", "b", "score")

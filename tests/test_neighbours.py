@@ -31,6 +31,8 @@ def clustered():
 def test_neighbours_are_those_of_brute_force_and_few_blocks_meet(spark, clustered, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 512)  # 32 vectors a block
     monkeypatch.setattr(N, "PART", 2)
+    monkeypatch.setattr(N, "LEAST", 3)
+    monkeypatch.setattr(N, "SHARE", 200)  # the vector that nine rows have is joined in pieces
     df = spark.createDataFrame(clustered, "id long, v array<double>").repartition(3)
     told = {}
     got = N.neighbours(df, df, "v", "id", 5, cells=12, told=told)
