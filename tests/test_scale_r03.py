@@ -16,3 +16,20 @@ def test_each_line_of_an_object_is_read_once(monkeypatch):
         assert facts.nothing_lost(text, made.text, seen)
         text = made.text
     assert len(read) == len(set(read)) and text.count("It was. [also:") == 1
+
+
+def test_merge_facts_goes_over_sorted_rows_in_batches(spark):
+    new = [(i, j, f"l{j}", f"s{j}", f"Fact {i}. Shared.") for i in range(50) for j in (2, 0, 1)]
+    df = spark.createDataFrame([*new, (None, 0, "l", "s", "Null id.")], "id long, ord long, label string, source_id string, facts string")
+    stored = spark.createDataFrame([(7, "Old."), (999, "Nothing new.")], "id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # objects lie across batches
+        made = facts.merge_facts(stored, df)
+        got = {r.id: r for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in plan(made)  # a pandas frame an object
+    assert set(got) == {None, *range(50)} and len(got) == made.count()
+    assert all((got[i].added, got[i].marked) == (2, 4) for i in range(50))
+    assert got[3].text.startswith("## Source: l0 (id:s0)\nFact 3. [also: l1; l2] Shared. [also: l1; l2]") and got[7].text.index("Old.") < got[7].text.index("Fact 7.")
