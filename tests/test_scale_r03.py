@@ -33,3 +33,18 @@ def test_merge_facts_goes_over_sorted_rows_in_batches(spark):
     assert set(got) == {None, *range(50)} and len(got) == made.count()
     assert all((got[i].added, got[i].marked) == (2, 4) for i in range(50))
     assert got[3].text.startswith("## Source: l0 (id:s0)\nFact 3. [also: l1; l2] Shared. [also: l1; l2]") and got[7].text.index("Old.") < got[7].text.index("Fact 7.")
+
+
+def test_postings_shuffle_texts_not_words(spark):
+    from pyspark.sql import functions as F
+
+    from quillmesh.functions import text as X
+    from quillmesh.operators import search
+
+    docs = spark.createDataFrame([(1, "red ring red"), (2, "ring"), (1, "red bolt"), (3, None), (None, "bolt")], "id long, text string")
+    words = X.tokens(F.col("text"))
+    made = search.postings(docs, "id", words, F.col("text")).sortWithinPartitions("term")
+    dealt = plan(made).split("== Physical Plan ==")[1]
+    assert dealt.count("Exchange ") == dealt.count("Exchange hashpartitioning") == 1
+    got = sorted(map(repr, made.collect()))
+    assert got == sorted(map(repr, search.postings(docs, "id", words).collect())) and len(got) == 9
