@@ -48,3 +48,25 @@ def test_postings_shuffle_texts_not_words(spark):
     assert dealt.count("Exchange ") == dealt.count("Exchange hashpartitioning") == 1
     got = sorted(map(repr, made.collect()))
     assert got == sorted(map(repr, search.postings(docs, "id", words).collect())) and len(got) == 9
+
+
+def test_bracket_at_the_end_is_found_by_a_pattern(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillmesh.functions import text as X
+
+    def walked(name: str) -> int:
+        text, depth = name.rstrip(), 0
+        for i in range(len(text) - 1, -1, -1):
+            depth += {")": 1, "(": -1}.get(text[i], 0)
+            if not text.endswith(")") or depth == 0:
+                return i if text.endswith(")") else -1
+        return -1
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("(()) ab\n") for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["a ((((x))))", "a (b (c (d)))", "a (😀 (b)) ", "a)", "((a)", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.at for r in df.select(X._tail(F.col("n")).alias("at")).collect()][: len(names) - 1] == [walked(n) for n in names[:-1]]
+    assert X._GROUP in plan(df.select(X._tail(F.col("n"))))
