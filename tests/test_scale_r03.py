@@ -70,3 +70,18 @@ def test_bracket_at_the_end_is_found_by_a_pattern(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r.at for r in df.select(X._tail(F.col("n")).alias("at")).collect()][: len(names) - 1] == [walked(n) for n in names[:-1]]
     assert X._GROUP in plan(df.select(X._tail(F.col("n"))))
+
+
+def test_blocks_are_dealt_to_parts_and_lanes(spark, monkeypatch):
+    import numpy as np
+
+    from quillmesh.operators import neighbours as N
+
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "PART", 2)
+    monkeypatch.setattr(N, "TASKS", 12)
+    v = np.random.default_rng(4).integers(-2, 3, (150, 4)).astype(float) + 0.5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, int(j)) for i, s in enumerate(np.round(u @ u.T, 6)) for j in np.lexsort((np.arange(len(v)), -s))[:3]}
+    assert {(r.a, r.b) for r in N.neighbours(df, df, "embedding", "vec_id", 3, cells=4).collect()} == want
