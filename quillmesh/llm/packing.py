@@ -38,6 +38,8 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 ROWS, PARTS = 1_000_000, 64
 #: Bounds of the search, which is exponential: nodes of one enumeration of fillings, and steps in all.
 NODES, STEPS = 4000, 20_000
+#: Pieces under this part of a sequence are held back while fillings without them waste nothing: they fill what larger ones leave.
+SMALL = 16
 
 
 @lru_cache(maxsize=2)
@@ -81,33 +83,37 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, most_waste: in
     best, nodes = most_waste, 0
     used: Counter = Counter()
     small = sizes[-1] if sizes else room + 1
+    free = sum(1 << s for s, n in counts.items() if n > 0 and s <= room)  # bit s: a piece of that size is at hand
+    shown = sum(1 << s for s in sizes)
 
-    def go(left: int, at: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal best, nodes
+    def go(left: int, top: int, chosen: tuple[int, ...]) -> bool:
+        nonlocal best, nodes, free
         nodes += 1
-        fits, deeper = False, left >= small
-        if deeper:
-            lo, hi = at, len(sizes)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if sizes[mid] > left else (lo, mid)
-            for i in range(lo, len(sizes)):
-                s = sizes[i]
-                if counts[s] <= used[s] or any(counts.get(s + c, 0) > used[s + c] and s + c <= room for c in set(chosen)):
-                    continue
-                fits = True
+        fits = False
+        if left >= small:
+            merged = 0
+            for c in set(chosen):
+                merged |= free >> c
+            some = free & shown & ~merged & ((1 << min(left, top) + 1) - 1)
+            while some:
+                s = some.bit_length() - 1
+                some ^= 1 << s
+                fits, before = True, free
                 used[s] += 1
-                stop = go(left - s, i, (*chosen, s))
+                if used[s] >= counts[s]:
+                    free ^= 1 << s
+                stop = go(left - s, s, (*chosen, s))
                 used[s] -= 1
+                free = before
                 if stop or nodes > NODES:
                     return stop or nodes > NODES
-        if not fits and left <= best and not any(c > used[s] and s <= left for s, c in counts.items()):
+        if not fits and left <= best and not free & ((1 << left + 1) - 1):
             best = best if every else left
             found.append((left, len(chosen), chosen))
             return left == 0 and not every
         return False
 
-    go(room, 0, ())
+    go(room, room, ())
     return [x[2] for x in sorted(found, key=lambda x: (x[0], x[1], [-s for s in x[2]]))]
 
 
@@ -136,8 +142,9 @@ def pack(lengths: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS)
     """Fillings and how often each is used, for pieces of the given lengths and counts.
 
     Depth first over the fillings of a sequence around the largest piece left, each used as often as the counts allow or
-    once. A branch ends where it wastes more than a packing with one sequence less than the incumbent could. The search
-    ends at the bound that total and large pieces give, when all is tried, or after `steps` steps: the incumbent stands.
+    once, those without small pieces first. A branch ends where it wastes more than a packing with one sequence less than
+    the incumbent could. The search ends at the bound that total and large pieces give, when all is tried, or after `steps`
+    steps: the incumbent stands.
     """
     total = sum(s * n for s, n in lengths.items())
     least = max(-(-total // capacity), sum(n for s, n in lengths.items() if 2 * s > capacity))
@@ -157,11 +164,13 @@ def pack(lengths: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS)
     def options() -> Iterator[tuple[tuple[int, ...], int]]:
         """What may be done next; run on only while the counts are those it began with."""
         tried = set()
-        for every in (False, True):
+        for low, every in ((capacity // SMALL, False), (0, False), (0, True)):
             sizes = sorted((s for s, n in counts.items() if n), reverse=True)
             top = sizes[0]
             counts[top] -= 1
-            made = fillings(counts, [s for s in sizes if s <= capacity - top and counts[s]], capacity - top, min(capacity - top, spare()), every)
+            room = capacity - top
+            some = {s: n for s, n in counts.items() if s >= low} if low else counts
+            made = fillings(some, [s for s in sizes if low <= s <= room and counts[s]], room, 0 if low else min(room, spare()), every)
             counts[top] += 1
             for rest in made:
                 if rest not in tried:

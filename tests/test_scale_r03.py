@@ -85,3 +85,17 @@ def test_blocks_are_dealt_to_parts_and_lanes(spark, monkeypatch):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, int(j)) for i, s in enumerate(np.round(u @ u.T, 6)) for j in np.lexsort((np.arange(len(v)), -s))[:3]}
     assert {(r.a, r.b) for r in N.neighbours(df, df, "embedding", "vec_id", 3, cells=4).collect()} == want
+
+
+def test_small_pieces_are_held_back_for_what_larger_ones_leave():
+    import random
+    from collections import Counter
+
+    from quillmesh.llm import packing
+
+    for seed in (0, 5, 7, 8, 9):
+        rng = random.Random(seed)
+        lengths = Counter(rng.choice((rng.randint(320, 340), rng.randint(170, 190), rng.randint(2, 700), 330)) for _ in range(500))
+        plan = packing.pack(dict(lengths), 2048, 150)
+        assert sum(n for _, n in plan) == -(-sum(s * n for s, n in lengths.items()) // 2048)  # one more before
+        assert Counter(s for f, n in plan for s in f for _ in range(n)) == lengths and all(sum(f) <= 2048 for f, _ in plan)
