@@ -99,3 +99,18 @@ def test_small_pieces_are_held_back_for_what_larger_ones_leave():
         plan = packing.pack(dict(lengths), 2048, 150)
         assert sum(n for _, n in plan) == -(-sum(s * n for s, n in lengths.items()) // 2048)  # one more before
         assert Counter(s for f, n in plan for s in f for _ in range(n)) == lengths and all(sum(f) <= 2048 for f, _ in plan)
+
+
+def test_pairs_of_one_title_are_dealt_to_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillmesh.operators import resolve
+
+    monkeypatch.setattr(resolve, "BLOCK", 8)
+    monkeypatch.setattr(resolve, "STEP", 3)
+    ids = [*range(40), 7, None]
+    df = spark.createDataFrame([*((i, "Red widget") for i in ids), (50, "blue bolt"), (51, None)], "id long, name string")
+    got = resolve.similar(df, df).withColumn("task", F.spark_partition_id()).collect()
+    want = [(a, b, 1.0) for a in ids for b in ids] + [(50, 50, 1.0)]
+    assert sorted(map(repr, ((r.a, r.b, r.ratio) for r in got))) == sorted(map(repr, want))
+    assert len({r.task for r in got if r.a != 50}) > 4  # one task a title before
