@@ -182,10 +182,12 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             yield b.assign(markdown=made.str[0], title=made.str[1], js_shell=made.map(lambda x: x[2]).astype(bool))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes) + ", markdown string, title string, js_shell boolean"
-    made = pages.mapInPandas(run, schema)
-    verdict = text_verdict(F.col(html), F.col("markdown"))
+    made = pages.mapInPandas(run, schema).withColumn("_seen", F.length(visible_text(F.col("markdown"))))
+    made = made.withColumn("_verdict", text_verdict(F.col(html), F.col("markdown"), seen=F.col("_seen")))  # a column each, so that no plan repeats them
+    verdict = F.col("_verdict")
     short = F.coalesce(verdict.startswith("too_little") | (verdict == "empty"), F.lit(False)) & F.col("js_shell")
-    return made.withColumn("verdict", F.when(F.coalesce(F.trim(F.col(html)), F.lit("")) == "", "empty").when(short, "js_shell").otherwise(verdict))
+    told = F.when(F.coalesce(F.trim(F.col(html)), F.lit("")) == "", "empty").when(short, "js_shell").otherwise(verdict)
+    return made.withColumn("verdict", told).drop("_seen", "_verdict")
 
 
 def recover_lines(primary: DataFrame, baseline: DataFrame, by: str = "page_id") -> DataFrame:

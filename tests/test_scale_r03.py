@@ -114,3 +114,12 @@ def test_pairs_of_one_title_are_dealt_to_many_tasks(spark, monkeypatch):
     want = [(a, b, 1.0) for a in ids for b in ids] + [(50, 50, 1.0)]
     assert sorted(map(repr, ((r.a, r.b, r.ratio) for r in got))) == sorted(map(repr, want))
     assert len({r.task for r in got if r.a != 50}) > 4  # one task a title before
+
+
+def test_visible_text_of_a_page_is_worked_out_once(spark):
+    from quillmesh.plans import catalogue
+    from quillmesh.sources import html
+
+    made = html.extract(catalogue.t(spark, "/root/testdata/sf0.001", "pages").select("page_id", "html"))
+    dealt = plan(made).split("== Physical Plan ==")[1]
+    assert dealt.count("https?://") == 1 and made.columns == ["page_id", "html", "markdown", "title", "js_shell", "verdict"]
