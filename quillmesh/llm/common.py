@@ -37,6 +37,15 @@ def trim() -> None:
         give(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives memory that the driver is done with back to the machine; call it between steps of a long job.
+
+    A JVM keeps the heap that its busiest moment took until a full collection, and Spark drops shuffles and broadcasts that nothing refers to after one.
+    """
+    trim()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, and after its last batch freed memory goes back: workers live on and serve other tasks."""
 

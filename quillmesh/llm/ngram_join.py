@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Rolling, few, lean, mix64, placed, shared_dir, small_batches, stash, table
+from quillmesh.llm.common import Rolling, few, lean, mix64, placed, shared_dir, small_batches, stash, table, tidy
 from quillmesh.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -266,6 +266,7 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, f
     joined = components(_linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent, order))
 
     for seed in SEEDS[1:]:
+        tidy(spark)
         member = _apart(shared, joined)
         main = member.filter("root = main").groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig", F.lit(seed)), "sig", "n", "pos")).alias("c"))
         main = stash(main.select("gram", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa")))
@@ -274,6 +275,7 @@ def _resolved(df: DataFrame, doc_id: str, text: str, words: int, percent: int, f
         more = _linked(star.select("a", "na", "b", "nb"), docs, nodes, parities, words, percent, order)
         joined = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
 
+    tidy(spark)
     member = _apart(shared, joined)
     a = member.filter("root <> main").select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), (F.col("held") - F.col("rank")).alias("ka"))
     b = member.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), (F.col("held") - F.col("rank")).alias("kb"), "main")

@@ -123,3 +123,29 @@ def test_visible_text_of_a_page_is_worked_out_once(spark):
     made = html.extract(catalogue.t(spark, "/root/testdata/sf0.001", "pages").select("page_id", "html"))
     dealt = plan(made).split("== Physical Plan ==")[1]
     assert dealt.count("https?://") == 1 and made.columns == ["page_id", "html", "markdown", "title", "js_shell", "verdict"]
+
+
+def test_each_stage_begins_by_giving_memory_back(spark, monkeypatch):
+    import corpus_pipeline as P
+    import pytest
+
+    class Work(Exception):
+        pass
+
+    def work(*_, **__):
+        raise Work
+
+    for name in ("learned", "placed", "strip_repeats", "pack_documents"):
+        monkeypatch.setattr(P, name, work)
+    heap, docs = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    monkeypatch.setattr(P, "table", lambda *_: docs)
+    for _, stage in P.STAGES:
+        spark.sparkContext._jvm.java.lang.System.gc()
+        held = [spark.sparkContext._jvm.java.util.ArrayList(4_000_000) for _ in range(8)]  # 16 MB each
+        before = used()
+        for x in held:
+            x.trimToSize()  # their arrays are garbage now
+        with pytest.raises(Work):
+            stage(spark, docs, "")
+        assert used() < before - 64_000_000
