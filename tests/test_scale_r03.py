@@ -149,3 +149,26 @@ def test_each_stage_begins_by_giving_memory_back(spark, monkeypatch):
         with pytest.raises(Work):
             stage(spark, docs, "")
         assert used() < before - 64_000_000
+
+
+def test_parts_go_by_numbers_and_floats_travel_as_floats(spark, monkeypatch):
+    from pathlib import Path
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillmesh.operators import neighbours as N
+    from quillmesh.sources.kept import shared
+
+    monkeypatch.setattr(N, "PART", 1)
+    v = np.random.default_rng(6).normal(size=(600, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    before, told = set(Path(shared(spark)).glob("neighbours-*")), {}
+    got = {(r.a, r.b) for r in N.neighbours(df, df, "embedding", "vec_id", 3, cells=40, told=told).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    assert got == {(i, int(j)) for i, s in enumerate(np.round(u @ u.T, 6)) for j in np.lexsort((np.arange(len(v)), -s))[:3]}
+    (at,) = set(Path(shared(spark)).glob("neighbours-*")) - before
+    for name in ("points", "asked"):
+        held = spark.read.parquet(f"{at}/{name}").agg(F.count("*"), F.sum(F.size("keys")), F.sum(F.octet_length("vectors"))).first()
+        assert held[0] > 20 and tuple(held)[1:] == (600, 600 * 16 * 4)  # a part a block, and 8 bytes a number, before
+    assert (told["parts"], told["lanes"]) == (8, 8)
