@@ -172,3 +172,30 @@ def test_parts_go_by_numbers_and_floats_travel_as_floats(spark, monkeypatch):
         held = spark.read.parquet(f"{at}/{name}").agg(F.count("*"), F.sum(F.size("keys")), F.sum(F.octet_length("vectors"))).first()
         assert held[0] > 20 and tuple(held)[1:] == (600, 600 * 16 * 4)  # a part a block, and 8 bytes a number, before
     assert (told["parts"], told["lanes"]) == (8, 8)
+
+
+def test_a_line_is_read_once_for_all_objects_of_a_task(monkeypatch):
+    read, units = [], facts.units
+    monkeypatch.setattr(facts, "units", lambda line: read.append(line) or units(line))
+    told, seen = [("a", "s1", "Fact is. It was.\nOnly."), ("b", "s2", "Fact is.")], facts.Seen()
+    made = [facts.folded(None, told, seen.bounded()) for _ in range(5)]
+    assert set(made) == {("## Source: a (id:s1)\nFact is. [also: b] It was.\nOnly.", 3, 1, None)}
+    assert len(read) == len(set(read)) == 4  # anew for each object before
+    monkeypatch.setattr(facts, "KEPT", seen.size)
+    assert len(seen.bounded()) == 4
+    facts.folded(None, [("a", None, "A new line.")], seen)
+    assert len(seen.bounded()) == seen.size == 0
+
+
+def test_what_is_defused_is_what_each_line_comes_to():
+    import random
+    import re
+
+    def slow(text: str) -> str:
+        lines = (re.sub(r"^[\s#>\-]+", "", re.sub(r"\[(?=also:|superseded:|conflict)", "(", x, flags=re.IGNORECASE)) for x in facts._printed(text).split("\n"))
+        return "\n".join(re.sub("#{2,}", "#", x).replace("(id:", "(id :").strip() for x in lines)
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B.", " ", "\n", "#", "##", ">", "[ALSO:", "[conflict", "(id:", "\t", "​", "\r\n", " ", "é", "\x00", "²"]) for _ in range(rng.randint(0, 10)))
+        assert facts.defused(text) == slow(text)
